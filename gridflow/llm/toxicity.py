@@ -2,8 +2,8 @@
 
 P(grade >= k) = 1 / (1 + exp(theta_k - w . x)) with one weight vector for all
 thresholds theta_1 < theta_2 < ...; the expected severity is the sum of these
-probabilities. x are log(1 + count) of the document's terms, for the terms that
-part the labels most; documents are scored over their whole texts in batches.
+probabilities. x are log(1 + occurrences in a hundred words) of the document's terms,
+for the terms that part the labels most; documents are scored over their whole texts in batches.
 
 Terms, weights and thresholds are fitted to at most ``SAMPLE`` labelled
 documents, chosen by hash. Terms are words and their beginnings. Labels say toxic or not; a toxic document's grade
@@ -18,6 +18,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ SAMPLE = 6_000
 TERMS = 256  # features, at most
 PREFIXES = (4, 5, 6, 7)  # lengths of the word beginnings that count as terms
 GRADES = 3
-REJECT = 0.3  # least probability of grade 1 or more of a rejected document
+REJECT = 0.4  # least probability of grade 1 or more of a rejected document
 _EDGE = string.punctuation + "¡¿«»“”„’‘…"
 
 
@@ -72,11 +73,13 @@ class Ordinal:
     def score(self, text: str | None) -> tuple[float, float]:
         """(P(grade >= 1), expected severity)."""
         z = 0.0
-        near = {word: n for word, n in words(text).items() if word[: PREFIXES[0]] in self.heads}
+        held = words(text)
+        size = sum(held.values())
+        near = {word: n for word, n in held.items() if word[: PREFIXES[0]] in self.heads}
         for term, n in terms(near).items():
             i = self.index.get(term)
             if i is not None:
-                z += self.w[i] * np.log1p(n)
+                z += self.w[i] * math.log1p(100 * n / size)
         p = 1 / (1 + np.exp(np.clip(self.theta - z, -30, 30)))
         return float(p[0]), float(p.sum())
 
@@ -115,10 +118,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out: dict[str, list] = {c: [] for c in ("id", "y", "term", "n", "size")}
             for name, y, text in zip(pdf["__id"], pdf["__y"], pdf["text"], strict=True):
                 plain = words(text)
                 held = terms(plain)
-                yield pd.DataFrame({"id": name, "y": int(y), "term": list(held), "n": list(held.values()), "size": sum(plain.values())})
+                for c, v in (("id", name), ("y", int(y)), ("size", sum(plain.values()))):
+                    out[c] += [v] * len(held)
+                out["term"] += held.keys()
+                out["n"] += held.values()
+                if len(out["id"]) > 200_000:
+                    yield pd.DataFrame(out)
+                    out = {c: [] for c in out}
+            yield pd.DataFrame(out)
 
     counted = rows.mapInPandas(count, "id long, y int, term string, n long, size long").groupBy("id", "term").agg(F.first("y").alias("y"), F.max("n").alias("n"), F.max("size").alias("size"))
     sizes = {r.y: r.k for r in labels.groupBy(F.col("toxic").alias("y")).agg(F.countDistinct(id_col).alias("k")).where("y IS NOT NULL").collect()}
@@ -143,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     strong = {t for t, v in lean.items() if v > 4}
     for r in got:
         i = ids[r.id]
-        x[i, index[r.term]] = np.log1p(r.n)
+        x[i, index[r.term]] = np.log1p(100 * r.n / r.size)
         y[i] = r.y
         density[i] += r.n / r.size if r.term in strong else 0
     bare = [np.full(max(0, k - int((y == label).sum())), label) for label, k in sorted(total.items())]
