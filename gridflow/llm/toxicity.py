@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .quality import labelled
 
 #: Labelled documents that the model is fitted to, at most.
@@ -114,7 +115,8 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 3e-4,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
-    rows = labelled(docs.select(id_col, text_col), labels, "toxic", sample, id_col).select("__id", "__y", F.col(text_col).alias("text"))
+    rows = labelled(docs.select(id_col, text_col), labels, "toxic", sample, id_col)
+    rows = cut(rows.groupBy("__id").agg(F.first("__y").alias("__y"), F.max(text_col).alias("text")).repartition(32, "__id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
                     out = {c: [] for c in out}
             yield pd.DataFrame(out)
 
-    counted = rows.mapInPandas(count, "id long, y int, term string, n long, size long").groupBy("id", "term").agg(F.first("y").alias("y"), F.max("n").alias("n"), F.max("size").alias("size"))
+    counted = rows.mapInPandas(count, "id long, y int, term string, n long, size long")
+    counted = cut(counted)
     sizes = {r.y: r.k for r in labels.groupBy(F.col("toxic").alias("y")).agg(F.countDistinct(id_col).alias("k")).where("y IS NOT NULL").collect()}
     if len(sizes) < 2:
         return None
