@@ -663,7 +663,7 @@ g AS (SELECT c_custkey AS cell, CAST(1 + c_custkey % 5 AS DOUBLE) AS area, CASE
 m AS (SELECT field, t, dst AS cell, sum(w * v) AS v FROM l JOIN a ON src = cell GROUP BY 1, 2, 3),
 ss AS (SELECT field, t, sum(v * area) AS ss FROM a JOIN g USING (cell) WHERE mask = 0 GROUP BY 1, 2),
 sd AS (SELECT field, t, sum(v * area) AS sd, sum(area) AS wd FROM m JOIN g USING (cell) WHERE mask = 0 GROUP BY 1, 2)
-SELECT m.field, m.t, m.cell, round((CASE WHEN mask = 0 THEN m.v - coalesce((sd - ss) / wd, 0) ELSE m.v END) * 0.5, 3) AS v
+SELECT m.field, m.t, m.cell, round((CASE WHEN mask = 0 THEN m.v - coalesce((sd - ss) / wd, 0) ELSE m.v END) * 0.5, 9) AS v
 FROM m JOIN g USING (cell) LEFT JOIN ss ON ss.field = m.field AND ss.t = m.t LEFT JOIN sd ON sd.field = m.field AND sd.t = m.t""")
 def exchange_pipeline(spark, d):
     c = table(spark, d, "customer").where("c_custkey <= 150")
@@ -672,4 +672,4 @@ def exchange_pipeline(spark, d):
     links_ = c.select(k.alias("dst"), k.alias("src"), (0.5 + (k % 3) / 4.0).alias("w"))
     entry = plan.Entry(("view", "click", "purchase", "signup", "error"), ("x",), DT, loctrans="AVERAGE", source_scale=(2.0, 1.0), target_scale=(0.5, 0.0), conserv="GLOBAL")
     sent = puts(spark, d).withColumn("cell", F.col("cell") % 150 + 1)
-    return rounded(plan.exchange(entry, sent, links_, grid, grid), 3)
+    return rounded(plan.exchange(entry, sent, links_, grid, grid), 9)
