@@ -1,7 +1,7 @@
 """Document quality: a classifier's evidence combined with site posteriors by empirical Bayes.
 
 1. Features of each text's form (signs, capitals, repeats, word lengths) are
-   Spark SQL expressions. A logistic model is fitted to at most ``SAMPLE``
+   counted in Arrow batches. A logistic model is fitted to at most ``SAMPLE``
    labelled documents, chosen by hash; only their features reach the driver.
 2. The model's probabilities are summed for each path and host over all
    documents (a combining aggregate, so a host with a third of all rows is
@@ -22,9 +22,12 @@ columns are not looked at.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,32 +37,43 @@ from .common import cut, small
 SAMPLE = 20_000
 SIGNS = "#$%&*|!~^{}<>\\@=+_"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
+DIGITS = "0123456789"
+STOPS = ".,"
+_COUNTED = SIGNS + CAPITALS + DIGITS + STOPS
+_SPACE = re.compile("[\x20\\t-\\r]+")
 KEEP = 0.5  # least probability of a document that is kept
 
 
-def features(text: Column) -> list[Column]:
-    """Columns of about unit scale."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1))
-    words = F.split(text, r"\s+")
-    count = F.size(words)
-    distinct = F.size(F.array_distinct(words))
-
-    def share(letters: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, letters, ""))) / n
-
+def shape(text: str | None) -> list[float]:
+    """Features of about unit scale; the text's letters are counted once, its words split once."""
+    text = text or ""
+    n = max(1, len(text))
+    words = _SPACE.split(text)
+    count, distinct = len(words), len(set(words))
+    held = Counter(text) if n < 200 else {c: text.count(c) for c in _COUNTED}
+    signs, capitals, digits, stops = (sum(held.get(c, 0) for c in kind) / n for kind in (SIGNS, CAPITALS, DIGITS, STOPS))
     return [
-        F.sqrt(share(SIGNS)) * 4,
-        F.sqrt(share(CAPITALS)) * 3,
-        F.sqrt(share("0123456789")) * 4,
-        F.log(count.cast("double")) / 5,
+        math.sqrt(signs) * 4,
+        math.sqrt(capitals) * 3,
+        math.sqrt(digits) * 4,
+        math.log(count) / 5,
         distinct / count * 2,
-        F.log(distinct.cast("double")) / 5,
+        math.log(distinct) / 5,
         (n / count) / 8,
-        F.sqrt(share(".,")) * 4,
+        math.sqrt(stops) * 4,
     ]
 
 
+def features(text: Column) -> Column:
+    """The features of each text, as an array."""
+
+    @F.pandas_udf("array<double>")
+    def shapes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shape(t) for t in texts], dtype=object)
+
+    return shapes(text)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
     """Weights (bias first) of a ridge logistic regression by Newton steps."""
     x = np.column_stack((np.ones(len(x)), x, x**2))
@@ -83,10 +97,9 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int, id_col
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
-    cols = features(F.col(text_col))
-    rows = labelled(docs.select(id_col, text_col), labels, "quality", sample, id_col).select("__id", "__y", *[c.alias(f"f{i}") for i, c in enumerate(cols)])
-    firsts = [F.first(f"f{i}").alias(f"f{i}") for i in range(len(cols))]
-    got = np.array([tuple(r) for r in rows.groupBy("__id").agg(F.first("__y"), *firsts).drop("__id").collect()], float)
+    rows = labelled(docs.select(id_col, text_col), labels, "quality", sample, id_col).select("__id", "__y", features(F.col(text_col)).alias("f"))
+    one = rows.groupBy("__id").agg(F.first("__y").alias("y"), F.min("f").alias("f"))
+    got = np.array([(r.y, *r.f) for r in one.select("y", "f").collect()], float)
     if not len(got) or len(np.unique(got[:, 0])) < 2:
         return None
     got = got[np.lexsort(got.T)]
@@ -96,11 +109,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 def log_odds(text: Column, w: np.ndarray | None) -> Column:
     if w is None:
         return F.lit(30.0)
-    f = features(text)
-    out = F.lit(float(w[0]))
-    for i, c in enumerate(f):
-        out = out + c * float(w[1 + i]) + c * c * float(w[1 + len(f) + i])
-    return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), out))
+
+    @F.pandas_udf("double")
+    def odds(texts: pd.Series) -> pd.Series:
+        f = np.array([shape(t) for t in texts], float).reshape(len(texts), -1)
+        return pd.Series(np.clip(w[0] + np.hstack((f, f**2)) @ w[1:], -30, 30) if len(f) else [], dtype=float)
+
+    return odds(text)
 
 
 @dataclass(frozen=True)
