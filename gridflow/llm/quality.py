@@ -110,12 +110,13 @@ def log_odds(text: Column, w: np.ndarray | None) -> Column:
     if w is None:
         return F.lit(30.0)
 
+    # as nondeterministic, so that a filter on the result is not pushed below and scored again there, by a second set of workers
     @F.pandas_udf("double")
     def odds(texts: pd.Series) -> pd.Series:
         f = np.array([shape(t) for t in texts], float).reshape(len(texts), -1)
         return pd.Series(np.clip(w[0] + np.hstack((f, f**2)) @ w[1:], -30, 30) if len(f) else [], dtype=float)
 
-    return odds(text)
+    return odds.asNondeterministic()(text)
 
 
 @dataclass(frozen=True)
