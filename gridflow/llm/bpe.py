@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Frequent words that the transducer holds; at some 40 bytes each it is small enough to broadcast.
 LEXICON = 32_768
 REMEMBERED = 400_000
@@ -435,9 +437,10 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON, text_col: str = "text") -> list[bytes]:
-    """The ``size`` most frequent words of all texts; ties go to the smaller word.
+    """The most frequent words of all texts, at most ``size``; words of about equal frequency stay or go together.
 
-    Tasks count before the shuffle, up to a bound of words at a time.
+    Tasks count before the shuffle, up to a bound of words at a time. No more
+    than ``size`` words come to the driver, from all tasks together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,8 +465,16 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON, text_col: st
                     yield flush()
         yield flush()
 
-    counted = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    counted = cut(docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # a histogram over steps of the counts' logarithms, some hundred rows at any size, says from which step on words can stay
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    words_of = sorted(((r.step, r.k) for r in counted.groupBy(step).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, held = words_of[0][0] + 1 if words_of else 0, 0
+    for at, k in words_of:
+        if held + k > size:
+            break
+        least, held = at, held + k
+    return [bytes(r.word) for r in counted.where(step >= least).select("word").collect()]
 
 
 def compiled_lexicon(docs: DataFrame, path: str, size: int = LEXICON, text_col: str = "text") -> bytes:
