@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from .functions import names as fn
 from .operators import batch, partition, reduce, remap, timewin, weights
 from .plans import exchange as plan
 from .schema import analytic_field, product_grid, regular_grid, table
+from .sources import tables
+from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -381,6 +384,13 @@ def bilinear_rectilinear(spark, d):
     return rounded(remap.apply_weights(links_, _grid_values(spark, d, 288), {"v": "v"}), 4)
 
 
+@query()
+def bilinear_masked(spark, d):
+    src, dst = _near_grids(spark)
+    links_ = weights.masked_bilinear_weights(src, dst, 24, 12)
+    return _summary(links_)
+
+
 @query()
 def bicubic_rectilinear(spark, d):
     src, dst = _near_grids(spark)
@@ -488,6 +498,91 @@ def accumulator_int_avg(spark, d):
     return timewin.accumulate(steps(spark, d), 5, "AVG", value="k", integer=True)
 
 
+# ---------------------------------------------------------------- tables
+
+
+def _folder(spark, name: str) -> str:
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT l_orderkey AS dst, round(sum(l_discount * p_retailprice), 4) AS y, round(sum(l_tax * p_retailprice), 4) AS z FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 3 = 0 GROUP BY 1")
+def weights_stored(spark, d):
+    """A map of two weights a link, written, and read again by the owner of some targets."""
+    folder = _folder(spark, "weights")
+    both = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dst"), F.col("l_partkey").alias("src"), "l_discount", "l_tax")
+    tables.write_weights(both, folder, "lines", ("l_discount", "l_tax"))
+    owned = both.where("dst % 3 = 0").select("dst").distinct()
+    read = tables.read_weights(spark, folder, "lines", owned).join(parts(spark, d), F.col("src") == F.col("cell"))
+    return rounded(read.groupBy("dst").agg(*[F.sum(F.col("w")[i] * F.col("price")).alias(n) for i, n in enumerate("yz")]), 4)
+
+
+@query(_PUTS + "SELECT cell, round(avg(v), 5) AS v FROM p WHERE field = 'view' AND CAST(ceil(t / 86400.0) AS BIGINT) * 86400 = 1296000 GROUP BY 1")
+def input_at_time(spark, d):
+    """What a run put out, read by another at exactly one time."""
+    folder = _folder(spark, "output")
+    tables.append_output(timewin.loctrans(puts(spark, d), "AVERAGE", 86400), folder)
+    return rounded(tables.read_input(spark, folder, "view", 1296000), 5)
+
+
+@query("SELECT p_partkey AS cell, p_retailprice AS area, CAST(p_size AS DOUBLE) AS mask FROM part")
+def grid_written_once(spark, d):
+    """A variable that a grid has already stays as it was first written."""
+    folder, cells = _folder(spark, "grids"), parts(spark, d)
+    tables.write_grid(cells.withColumnRenamed("price", "area"), folder, "parts", ("area",))
+    tables.write_grid(cells.select("cell", F.lit(0.0).alias("area"), F.col("size").alias("mask")), folder, "parts", ("area", "mask"))
+    return tables.read_grid(spark, folder, "parts", ("area", "mask"))
+
+
+@query(_PUTS + f"SELECT field, cell, CAST(ceil(t / {DT}.0) AS BIGINT) * {DT} AS t, round(avg(v), 5) AS v FROM p GROUP BY 1, 2, 3")
+def window_restart(spark, d):
+    """A run that ends within a window leaves sums and counts; the next one completes the window."""
+    end, folder = 1_000_000, _folder(spark, "restart")
+    held = puts(spark, d)
+    first, last = timewin.partial(held.where(F.col("t") < end), DT), -(-end // DT)
+    tables.write_restart(first.where(F.col("w") == last), folder, "events", "loctrans")
+    again = tables.read_restart(spark, folder, "events", "loctrans").withColumn("w", F.lit(last).cast("long"))
+    later = timewin.partial(held.where(F.col("t") >= end), DT)
+    return rounded(timewin.completed(first.where(F.col("w") < last).unionByName(again).unionByName(later), DT), 5)
+
+
+# ---------------------------------------------------------------- streams
+
+DELAY = 600
+
+
+def _stream(spark, d) -> DataFrame:
+    """The puts as a stream of the events file."""
+    schema = table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    t = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    return e.select("event_id", F.col("event_type").alias("field"), F.col("user_id").alias("cell"), t.alias("t"), F.col("value").alias("v"))
+
+
+_CLOSED = f"WHERE t <= (SELECT max(t) - 1 - {DELAY} FROM p)"
+
+
+@query(_PUTS + f", a AS (SELECT field, cell, CAST(ceil(t / {DT}.0) AS BIGINT) * {DT} AS t, round(avg(v), 5) AS v FROM p GROUP BY 1, 2, 3) SELECT * FROM a {_CLOSED}")
+def stream_average(spark, d):
+    return rounded(windows.drain(windows.loctrans(_stream(spark, d), "AVERAGE", DT, delay=DELAY), _folder(spark, "stream")), 5)
+
+
+@query(_PUTS + "SELECT field, cell, t, round(v, 6) AS v FROM p WHERE t % 60 = 0")
+def stream_instant(spark, d):
+    return rounded(windows.drain(windows.loctrans(_stream(spark, d), "INSTANT", 60), _folder(spark, "stream")))
+
+
+@query(_PUTS + f"""SELECT w, n_fields, n_fields = 3 AS ready FROM (SELECT CAST(ceil(t / {DT}.0) AS BIGINT) AS w, count(DISTINCT field) AS n_fields FROM p WHERE field IN ('view', 'click', 'purchase') GROUP BY 1)
+WHERE w * {DT} <= (SELECT max(t) - 1 - {DELAY} FROM p WHERE field IN ('view', 'click', 'purchase'))""")
+def stream_barrier(spark, d):
+    return windows.drain(windows.ready(_stream(spark, d), ["view", "click", "purchase"], DT, delay=DELAY), _folder(spark, "stream"))
+
+
+@query(_PUTS + """, b AS (SELECT *, max(t) OVER (PARTITION BY field, cell ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p)
+SELECT field, cell, t, seen FROM b WHERE t < seen""")
+def stream_backward(spark, d):
+    return windows.drain(windows.backward(_stream(spark, d), "event_id"), _folder(spark, "stream"))
+
+
 # ---------------------------------------------------------------- decompositions
 
 

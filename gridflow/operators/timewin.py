@@ -91,3 +91,15 @@ def accumulate(steps: DataFrame, n_steps: int, action: str, value: str = "v", ke
     else:
         v = F.when(F.col("n") == n_steps, F.col("s") / n_steps).otherwise(F.col("s"))
     return out.select(*keys, "cycle", v.alias(value))
+
+
+def partial(puts: DataFrame, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell")) -> DataFrame:
+    """(keys, w, v, cnt): sums and counts of each window; what a run that ends within a window leaves behind."""
+    w = window_id(F.col("t"), dt, lag).alias("w")
+    return puts.select(*keys, w, "v").groupBy(*keys, "w").agg(F.sum("v").alias("v"), F.count("*").alias("cnt"))
+
+
+def completed(parts: DataFrame, dt: int, keys: tuple[str, ...] = ("field", "cell")) -> DataFrame:
+    """(keys, t, v): averages of windows whose parts (keys, w, v, cnt) come from several runs."""
+    out = parts.groupBy(*keys, "w").agg((F.sum("v") / F.sum("cnt")).alias("v"))
+    return out.select(*keys, (F.col("w") * dt).alias("t"), "v")

@@ -163,6 +163,21 @@ def bilinear_weights(dst: DataFrame, nx: int, ny: int) -> DataFrame:
     return at.select("dst", corner).select("dst", F.col("c.src").cast("long").alias("src"), F.col("c.w").alias("w")).where(F.abs("w") > 1e-12)
 
 
+def masked_bilinear_weights(src: DataFrame, dst: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Bilinear weights of active targets, where no masked source point takes part.
+
+    A target with a masked corner takes inverse distances of the unmasked among
+    its four nearest points, or else its nearest unmasked point.
+    """
+    active = dst.where("mask = 0")
+    links = bilinear_weights(active, nx, ny)
+    hidden = links.join(src.where("mask <> 0").select(F.col("cell").alias("src")), "src", "left_semi").select("dst").distinct()
+    whole = links.join(hidden, "dst", "left_anti")
+    rest = active.join(hidden, active["cell"] == hidden["dst"], "left_semi")
+    near = _normalised(nearest_k(src, rest, 4), src, F.lit(1.0) / (F.col("d") + EPSILON))
+    return with_nearest_unmasked(whole.unionByName(near), src, active)
+
+
 def hermite(t: Column) -> tuple[Column, Column, Column, Column]:
     """h00, h01, h10, h11 of the bicubic weights."""
     return 1 - t * t * (3 - 2 * t), t * t * (3 - 2 * t), t * (t - 1) * (t - 1), t * t * (t - 1)

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from gridflow import catalog
 from gridflow.operators import partition, reduce, remap, timewin, weights
 from gridflow.plans.exchange import Entry
 from gridflow.schema import regular_grid
+from gridflow.sources import tables
+from gridflow.streaming import windows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -88,3 +91,97 @@ def test_targets_without_links_are_zero(spark):
     targets = spark.createDataFrame([(1,), (2,)], "cell long")
     got = {r.cell: r.y for r in remap.zero_filled(remap.apply_weights(links, field, {"x": "y"}), targets, ["y"]).collect()}
     assert got == {1: 2.0, 2: 0.0}
+
+
+def brute_distances(src, dst):
+    """Angles of all targets (rows) and sources (columns)."""
+
+    def xyz(g):
+        lon, lat = np.radians(g["lon"].to_numpy()), np.radians(g["lat"].to_numpy())
+        return np.stack((np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)), axis=1)
+
+    return np.arccos(np.clip(xyz(dst) @ xyz(src).T, -1, 1))
+
+
+def brute_shares(src, dst, k, weigh):
+    """Sums that ties can't change: {target: (weights' sum, largest weight)} of the unmasked among the k nearest."""
+    d, masked, out = brute_distances(src, dst), src["mask"].to_numpy() != 0, {}
+    for row, (cell, mask) in enumerate(zip(dst["cell"], dst["mask"], strict=True)):
+        if mask:
+            continue
+        best = np.lexsort((src["cell"], np.round(d[row], 12)))[:k]
+        w = np.array([0 if masked[i] else weigh(d[row, i]) for i in best])
+        out[cell] = (1.0, (w / w.sum()).max()) if w.sum() > 0 else (1.0, 1.0)
+    return out
+
+
+@pytest.fixture(scope="module")
+def grids(spark):
+    return [regular_grid(spark, nx, ny).orderBy("cell").toPandas() for nx, ny in ((24, 12), (16, 8))]
+
+
+def held_against(rows, want):
+    got = {r.dst: (r.w_sum, r.w_max) for r in rows}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=2e-6) for k in got)
+
+
+def test_distance_weights_by_brute_force(spark, sf, grids):
+    held_against(catalog.distwgt(spark, sf).collect(), brute_shares(*grids, 4, lambda d: 1 / (d + weights.EPSILON)))
+
+
+def test_gaussian_weights_by_brute_force(spark, sf, grids):
+    src = grids[0]
+    mean = brute_distances(src, src)[np.arange(len(src)), np.roll(np.arange(len(src)), -1)].mean()
+    held_against(catalog.gauswgt(spark, sf).collect(), brute_shares(*grids, 4, lambda d: math.exp(-0.5 * d * d / (2.0 * mean * mean))))
+
+
+def test_masked_bilinear_leaves_no_masked_source(spark):
+    src, dst = regular_grid(spark, 24, 12), regular_grid(spark, 16, 8)
+    w = weights.masked_bilinear_weights(src, dst, 24, 12)
+    assert w.join(src.where("mask <> 0"), w["src"] == src["cell"], "left_semi").isEmpty()
+    sums = {x.dst: x.s for x in w.groupBy("dst").agg(F.sum("w").alias("s")).collect()}
+    assert sums.keys() == {x.cell for x in dst.where("mask = 0").collect()}
+    assert all(math.isclose(s, 1, abs_tol=1e-12) for s in sums.values())
+    plain_ = weights.bilinear_weights(dst, 24, 12)
+    open_ = weights.masked_bilinear_weights(src.withColumn("mask", F.lit(0)), dst.withColumn("mask", F.lit(0)), 24, 12)
+    assert open_.exceptAll(plain_).isEmpty() and plain_.exceptAll(open_).isEmpty()
+
+
+def test_bicubic_follows_the_smooth_field(spark, sf):
+    got = {x.dst: x.v for x in catalog.bicubic_rectilinear(spark, sf).toDF("dst", "v").collect()}
+    dst = regular_grid(spark, 16, 8)
+    want = {x.cell: (x.v, x.j) for x in dst.select("cell", "j", catalog.analytic_field(F.col("lon"), F.col("lat")).alias("v")).collect()}
+    assert got.keys() == want.keys()
+    inner = [abs(got[c] - v) for c, (v, j) in want.items() if 1 < j < 8]
+    assert max(inner) < 0.05 and sum(inner) / len(inner) < 0.01
+
+
+def test_tables_replace_by_partition_and_miss_loudly(spark, tmp_path):
+    folder = str(tmp_path / "restart")
+    rows = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "field string, cell long, v double")
+    with pytest.raises(LookupError):
+        tables.read_restart(spark, folder, "e", "lag")
+    assert tables.read_restart(spark, folder, "e", "lag", required=False).isEmpty()
+    tables.write_restart(rows, folder, "e", "lag")
+    tables.write_restart(rows.where("field = 'a'").withColumn("v", F.lit(9.0)), folder, "e", "lag")
+    tables.write_restart(rows, folder, "other", "lag")
+    assert {(x.field, x.v, x.cnt) for x in tables.read_restart(spark, folder, "e", "lag").collect()} == {("a", 9.0, 1), ("b", 2.0, 1)}
+    out = str(tmp_path / "output")
+    tables.append_output(rows.withColumn("t", F.lit(10).cast("long")), out)
+    assert tables.read_input(spark, out, "a", 10).count() == 1
+    for field, t in (("a", 11), ("c", 10)):
+        with pytest.raises(LookupError):
+            tables.read_input(spark, out, field, t)
+    with pytest.raises(LookupError):
+        tables.read_grid(spark, str(tmp_path / "grids"), "g", ("area",))
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    kind = "field string, cell long, t long, v double"
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for rows in ([("f", 1, 5, 1.0), ("f", 1, 10, 3.0), ("f", 1, 11, 5.0)], [("f", 1, 20, 7.0), ("f", 1, 40, 1.0)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        got = windows.drain(windows.loctrans(spark.readStream.schema(kind).parquet(source), "AVERAGE", 10), work)
+        last = {x.t: x.v for x in got.collect()}
+    assert last == {10: 2.0, 20: 6.0}
