@@ -185,3 +185,20 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
         got = windows.drain(windows.loctrans(spark.readStream.schema(kind).parquet(source), "AVERAGE", 10), work)
         last = {x.t: x.v for x in got.collect()}
     assert last == {10: 2.0, 20: 6.0}
+
+
+def test_exchange_keeps_every_user_and_customer(spark, tmp_path):
+    """Beyond 150 users and customers nothing is dropped or folded: one reduction, one link and one correction a cell."""
+    n = 400
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i % 7 * 9000 + 1) AS ts, i % {n - 1} AS user_id,
+    CASE WHEN i % 3 = 0 THEN 'view' ELSE 'click' END AS event_type, i % 11 + 0.5 AS value FROM range(0, 4000) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.sql(f"COPY (SELECT i AS c_custkey FROM range(0, {n}) t(i)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    for name in ("events", "customer"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    whole = catalog.ORACLE_SQL["exchange_pipeline"].replace("cell % 150 + 1", "cell + 1").replace(" WHERE c_custkey <= 150", "")
+    want = plain(con.sql(f"SELECT cell, field, t, v FROM ({whole})").fetchall())
+    got = plain(catalog.exchange_pipeline(spark, str(tmp_path)).select("cell", "field", "t", "v").collect())
+    assert len({g[0] for g in got}) == n - 1 and len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and math.isclose(g[3], w[3], abs_tol=1e-8)
