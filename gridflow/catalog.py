@@ -661,6 +661,74 @@ def halo_test(spark, d):
     return partition.haloed(partition.points(_keys(spark, d)))
 
 
+# the same over all orders: none is left out, gaps come from dealing each stretch of 1,000 orders by priority
+
+
+def _dealt(spark, d) -> DataFrame:
+    """Every order as a point, indices from 1; a stretch of 1,000 orders is dealt to five parts by the order's priority."""
+    k, priority = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1).cast("long")
+    return table(spark, d, "orders").select((F.expr("o_orderkey div 1000") * 5 + priority - 1).alias("part"), k.alias("pos"), (k + 1).alias("index"))
+
+
+def _wanted(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("index"))
+
+
+_DEALT = """WITH k AS (SELECT o_orderkey // 1000 * 5 + CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1 AS part, o_orderkey + 1 AS i FROM orders),
+g AS (SELECT part, i, i - row_number() OVER (PARTITION BY part ORDER BY i) AS run FROM k),
+seg AS (SELECT part, min(i) AS start, count(*) AS length FROM g GROUP BY part, run) """
+
+
+@query(_DEALT + "SELECT part, start, length FROM seg")
+def order_segments(spark, d):
+    return partition.points(_dealt(spark, d))
+
+
+@query(_DEALT + "SELECT part, row_number() OVER (PARTITION BY part ORDER BY i) AS pos, i AS index FROM k")
+def order_points(spark, d):
+    return partition.ordered_points(partition.points(_dealt(spark, d)))
+
+
+@query(_DEALT + "SELECT part, count(*) AS n_segments, CAST(sum(length) AS BIGINT) AS n_points, max(start + length - 1) AS last_index FROM seg GROUP BY 1")
+def order_segment_stats(spark, d):
+    return partition.statistics(partition.points(_dealt(spark, d)))
+
+
+@query(_DEALT + "SELECT i AS index, part FROM k")
+def order_owners(spark, d):
+    return partition.owners(partition.points(_dealt(spark, d)), _wanted(spark, d))
+
+
+@query(_DEALT + "SELECT i AS index, part, row_number() OVER (PARTITION BY part ORDER BY i) AS local FROM k")
+def order_local_index(spark, d):
+    return partition.local_index(partition.points(_dealt(spark, d)), _wanted(spark, d))
+
+
+@query(_DEALT + """, n AS (SELECT max(i) AS n FROM k), b AS (SELECT p AS part, p * n // 7 + 1 AS start, (p + 1) * n // 7 - p * n // 7 AS length FROM n, range(0, 7) t(p))
+SELECT seg.part AS part_a, b.part AS part_b, greatest(seg.start, b.start) AS start,
+least(seg.start + seg.length, b.start + b.length) - greatest(seg.start, b.start) AS length FROM seg JOIN b ON least(seg.start + seg.length, b.start + b.length) > greatest(seg.start, b.start)""")
+def order_overlap(spark, d):
+    n = _wanted(spark, d).agg(F.max("index")).first()[0] or 0
+    return partition.overlap(partition.points(_dealt(spark, d)), partition.blocks(spark, n, 7))
+
+
+@query(_DEALT + "SELECT coalesce(max(start + length - 1 >= after), false) AS haloed FROM (SELECT *, lead(start) OVER (ORDER BY start) AS after FROM seg)")
+def order_halo(spark, d):
+    return partition.haloed(partition.points(_dealt(spark, d)))
+
+
+@query("""SELECT l_orderkey AS dst, round(sum(l_discount * p_retailprice), 4) AS y, round(sum(l_tax * p_retailprice), 4) AS z FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
+def weights_of_finished(spark, d):
+    """As ``weights_stored``, read again for the orders of one status."""
+    folder = _folder(spark, "weights")
+    both = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dst"), F.col("l_partkey").alias("src"), "l_discount", "l_tax")
+    tables.write_weights(both, folder, "lines", ("l_discount", "l_tax"))
+    owned = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("dst")).distinct()
+    read = tables.read_weights(spark, folder, "lines", owned).join(parts(spark, d), F.col("src") == F.col("cell"))
+    return rounded(read.groupBy("dst").agg(*[F.sum(F.col("w")[i] * F.col("price")).alias(n) for i, n in enumerate("yz")]), 4)
+
+
 @query("SELECT l_orderkey AS cell, round(sum(l_quantity), 3) AS q FROM lineitem GROUP BY 1")
 def rearrange_sum(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("q"))

@@ -202,3 +202,15 @@ def test_exchange_keeps_every_user_and_customer(spark, tmp_path):
     assert len({g[0] for g in got}) == n - 1 and len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:3] == w[:3] and math.isclose(g[3], w[3], abs_tol=1e-8)
+
+
+def test_every_order_has_a_part_an_owner_and_a_block(spark, tmp_path):
+    """The transfer list covers all orders, whatever the key range: the sf0.001 range ends at 1,499."""
+    n = 20_000
+    duckdb.sql(f"COPY (SELECT i AS o_orderkey, (i // 3 * 7919 % 5 + 1) || '-X' AS o_orderpriority FROM range(0, {n}) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    d = str(tmp_path)
+    met = catalog.order_overlap(spark, d).toPandas()
+    assert met["length"].sum() == n and met["start"].min() == 1 and (met["start"] + met["length"]).max() == n + 1 and set(met["part_b"]) == set(range(7))
+    assert catalog.order_segments(spark, d).agg(F.sum("length")).first()[0] == n
+    assert catalog.order_owners(spark, d).select("index").distinct().count() == n
+    assert catalog.order_local_index(spark, d).where("local < 1").isEmpty()
