@@ -14,7 +14,8 @@
 A band's bucket may hold a third of all classes. Its members are first compared
 with one leader, and those still apart with another, each round linear in the
 bucket. What is then left are pairs of different components inside a bucket,
-and all of them are looked at: few, as rows of a join; many, inside tasks that
+and all of them are looked at: few, as rows of a join that leaves out pairs
+within the bucket's largest component; many, inside tasks that
 each get two blocks of the bucket's members with their sets and give back only
 links that join components. So no pairs of a settled group are formed, none of
 a large bucket become rows, and no link is lost.
@@ -270,17 +271,13 @@ def _links(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame | None
     # what is left: all pairs of different components, within their buckets
     kinds = cut(_few_pairs(apart))
     more = [] if links is None else [links]
-    few = apart.join(kinds.where("few").select("band", "h"), ["band", "h"])
-    x = few.select("band", "h", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = few.select("band", "h", F.col("id").alias("b"), F.col("component").alias("cb"))
     near = of_id.select(F.col("id").alias("a"), F.struct("n", "p").alias("pa"))
     far = of_id.select(F.col("id").alias("b"), F.struct("n", "p").alias("pb"))
-    x, y = x.join(near, "a"), y.join(far, "b")
     close = (
-        x.join(y, ["band", "h"])
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+        _opposed(apart, kinds.where("few"), near, far)
+        .where(F.col("ca") != F.col("cb"))
         .where(_sizes("pa.n", "pb.n", spec) & (_estimate_of("pa.p", "pb.p") >= least))
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     if tested is not None:
@@ -313,6 +310,22 @@ def _few_pairs(apart: DataFrame) -> DataFrame:
     )
 
 
+def _opposed(apart: DataFrame, kinds: DataFrame, near: DataFrame, far: DataFrame) -> DataFrame:
+    """Pairs (a, ca, b, cb, pa, pb) of the members of the buckets ``kinds``: those out of its largest component against all.
+
+    Few pairs of different components mean few members out of the largest one, so the pairs are
+    linear in the bucket. Large buckets are dealt out by ``b`` in parts of about ``BLOCK``.
+    """
+    parts = F.ceil((F.col("n_main") + F.col("n_rest")) / BLOCK).cast("int")
+    all_ = apart.join(kinds.select("band", "h", "main", parts.alias("parts")), ["band", "h"])
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+    x = all_.where("component <> main").select("band", "h", every, F.col("id").alias("a"), F.col("component").alias("ca")).join(near, "a")
+    salt = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int").alias("salt")
+    y = all_.select("band", "h", salt, F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main")).join(far, "b")
+    # pairs out of the largest component are met from both sides, those with it from one
+    return x.join(y, ["band", "h", "salt"]).where(F.col("in_main") | (F.col("a") < F.col("b")))
+
+
 def _in_blocks(many: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     """Links between different components of large buckets, compared two blocks at a time.
 

@@ -223,6 +223,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, dense):
     assert [(got[i].component_id, got[i].n_shingles) for i in range(len(texts))] == list(zip(label, sizes, strict=True))
 
 
+def test_pairs_of_a_settled_group_are_not_formed(spark):
+    """A bucket of 3,000 copies in one component and two strays: the strays meet all, copies not each other."""
+    few = spark.createDataFrame([(0, 7, i, 0 if i < 3000 else i) for i in range(3002)], "band int, h long, id long, component long")
+    of = few.select("id", F.lit(9).alias("n"))
+    near, far = of.select(F.col("id").alias("a"), F.struct("n").alias("pa")), of.select(F.col("id").alias("b"), F.struct("n").alias("pb"))
+    kinds = minhash._few_pairs(few)
+    assert kinds.first()["few"]
+    got = {(r.a, r.b) for r in minhash._opposed(few, kinds, near, far).select("a", "b").collect()}
+    assert got == {(a, b) for a in (3000, 3001) for b in range(3000)} | {(3000, 3001)}
+
+
 # ------------------------------------------------------------ quality, toxicity, packing
 
 
