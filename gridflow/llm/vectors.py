@@ -9,8 +9,10 @@
 3. Every entry queries every shard, in batches. A search keeps a beam of the
    best entries seen. Beams widen in two ways: a query of which half the beam
    links gets a wider one, up to an exhaustive scan of the shard; and each batch is
-   audited on a sample of its queries against brute force, its beam being
-   doubled until the audit's recall passes (at last the scan, which is exact).
+   audited against brute force, its beam being doubled until the audit's recall
+   passes (at last the scan, which is exact). Audited are a sample of its queries
+   and, as these may have no links, entries of the shard turned away by just less
+   than a link allows.
 4. What a search finds is verified by cosine in double precision. A task counts
    a query's links and keeps one link per component of the shard, so the links
    of a large group never become rows; links between components of shards are
@@ -39,7 +41,7 @@ BATCH = 8_192  # queries a task answers, on average
 DEGREE = 12  # neighbours on upper layers; twice that on the lowest
 BUILD_BEAM = 48
 BEAM = 24  # first beam of a search
-AUDIT = 48  # audited queries of a batch
+AUDIT = 48  # audited queries of a batch, and audited entries of a shard
 RECALL = 0.99
 
 
@@ -236,6 +238,27 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ed,ed->e", a, b) / np.sqrt(np.einsum("ed,ed->e", a, a) * np.einsum("ed,ed->e", b, b))
 
 
+def turned(x: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors whose cosine with the rows of ``x`` is just above ``least``, in directions fixed by a seed."""
+    away = np.random.default_rng(len(x)).normal(size=x.shape)
+    away -= np.einsum("ed,ed->e", away, x)[:, None] * x
+    norm = np.linalg.norm(away, axis=1, keepdims=True)
+    c = min(1.0, least + (1 - least) / 100)
+    out = c * x + math.sqrt(1 - c * c) * np.where(norm > 1e-9, away / np.maximum(norm, 1e-9), 0)
+    return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
+
+
+def known_recall(graph: Graph, least: float, beam: int) -> float:
+    """The share of sampled entries that a beam of this width finds from vectors just near enough to be linked.
+
+    Queries of which half the beam links are left out: they get a wider beam anyway.
+    """
+    sample = np.unique(np.linspace(0, len(graph.x) - 1, min(AUDIT, len(graph.x))).astype(int))
+    ids, sims = graph.search(turned(graph.x[sample].astype(np.float64), least), beam)
+    due = (sims >= least - 1e-5).sum(axis=1) * 2 < sims.shape[1]
+    return float((ids == sample[:, None]).any(axis=1)[due].mean()) if due.any() else 1.0
+
+
 def linked(graph: Graph, raw: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, entry) pairs with a cosine of at least ``least``; ``raw`` and ``q`` as given, not scaled."""
     n = len(raw)
@@ -272,6 +295,9 @@ def linked(graph: Graph, raw: np.ndarray, q: np.ndarray, least: float) -> tuple[
         if beam * 8 >= n:
             a, b = scan(todo)
             full = np.empty(0, int)
+        elif known_recall(graph, least, beam) < RECALL:
+            beam *= 2
+            continue
         else:
             a, b, full = pairs(todo, beam)
             wide = np.isin(a, full)

@@ -46,6 +46,35 @@ def test_near_vectors_are_exact_and_odd_vectors_stand_alone(spark):
         assert (got[1000 + i].n_links, got[1000 + i].component_id) == (0, 1000 + i)
 
 
+def test_audit_needs_no_links_among_the_sampled_queries():
+    """A graph that leads nowhere is found out by entries turned away, and the one link is kept."""
+    rng = np.random.default_rng(5)
+    x = vectors._unit(rng.normal(size=(2500, 32))).astype(np.float32)
+    good = vectors.Graph.build(x, 1)
+    lost = vectors.Graph(x, [np.full_like(layer, -1) for layer in good.layers], good.members)
+    q = rng.normal(size=(200, 32)).astype(np.float32)
+    q[7] = x[1234] * 3
+    assert vectors.known_recall(lost, 0.95, vectors.BEAM) < 0.1
+    for graph in (lost, good):
+        a, b = vectors.linked(graph, x, q, 0.95)
+        assert (a.tolist(), b.tolist()) == ([7], [1234])
+
+
+def test_sparse_links_of_large_shards_are_those_of_brute_force(spark):
+    """Over 2,000 entries a shard, where beams and not scans do the work; 60 planted pairs near the threshold."""
+    rng = np.random.default_rng(6)
+    x = vectors._unit(rng.normal(size=(14_000, 16)))
+    x[-60:] = vectors.turned(x[:60], 0.95)
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.zeros(len(x), int)
+    for i in range(0, len(x), 1000):
+        want[i : i + 1000] = (u[i : i + 1000] @ u.T >= 0.95).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.id: r.n_links for r in vectors.near_vectors(rows).collect()}
+    assert sum(want) >= 120 and all(got[i] == n for i, n in enumerate(want))
+
+
 def test_top_k_is_exact_with_ties(spark):
     rng = np.random.default_rng(1)
     w = rng.integers(-3, 4, (700, 6))
