@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batch import ranged
+
 
 def _segments(df: DataFrame) -> DataFrame:
     return df.select("part", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")).where("length > 0")
@@ -89,9 +91,15 @@ def overlap(a: DataFrame, b: DataFrame, width: int = 1024) -> DataFrame:
 
 
 def haloed(segments: DataFrame) -> DataFrame:
-    """One row: whether any segment reaches into the next. Segments are far fewer than points."""
-    after = F.lead("start").over(Window.partitionBy(F.lit(0)).orderBy("start"))
-    return segments.withColumn("after", after).agg(F.coalesce(F.max(F.col("start") + F.col("length") - 1 >= F.col("after")), F.lit(False)).alias("haloed"))
+    """One row: whether any segment reaches into the next, within ranges of starts and then from range to range."""
+    dealt = ranged(segments.select("start", "length"), "start")
+    after = F.lead("start").over(Window.partitionBy("__range").orderBy("start"))
+    last = F.col("start") + F.col("length") - 1
+    within = dealt.withColumn("after", after).groupBy("__range").agg(F.max(last >= F.col("after")).alias("meets"), F.min("start").alias("first"), F.max_by(last, "start").alias("end"))
+    # one row for each range
+    next_ = F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("__range"))
+    both = within.withColumn("next", next_).select(F.coalesce("meets", F.lit(False)).alias("meets"), F.coalesce(F.col("end") >= F.col("next"), F.lit(False)).alias("crosses"))
+    return both.agg(F.coalesce(F.max(F.col("meets") | F.col("crosses")), F.lit(False)).alias("haloed"))
 
 
 def rearrange(batch: DataFrame, columns: list[str], add: bool = False, cell: str = "cell") -> DataFrame:
@@ -100,5 +108,13 @@ def rearrange(batch: DataFrame, columns: list[str], add: bool = False, cell: str
 
 
 def columns_of(links: DataFrame) -> DataFrame:
-    """Segments of the source indices that a matrix uses."""
-    return points(links.select(F.lit(0).alias("part"), F.col("src").alias("index"), F.col("src").alias("pos")).distinct())
+    """Segments of the source indices that a matrix uses: runs within ranges of indices, joined where ranges meet."""
+    dealt = ranged(links.select(F.col("src").alias("index")).distinct(), "index")
+    runs = points(dealt.select(F.col("__range").alias("part"), F.col("index").alias("pos"), "index"))
+    # only a range's first and last run can meet those of others: two rows for each range
+    ends = Window.partitionBy("part")
+    runs = runs.withColumn("edge", (F.col("start") == F.min("start").over(ends)) | (F.col("start") == F.max("start").over(ends)))
+    order = Window.partitionBy(F.lit(0)).orderBy("start")
+    new = F.when(F.col("start") == F.lag(F.col("start") + F.col("length")).over(order), 0).otherwise(1)
+    edges = runs.where("edge").withColumn("new", new).withColumn("run", F.sum("new").over(order)).groupBy("run").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    return runs.where("NOT edge").select("start", "length").unionByName(edges.select("start", "length")).select(F.lit(0).alias("part"), "start", "length")

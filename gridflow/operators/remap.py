@@ -7,7 +7,7 @@ broadcast or shuffled, and partial sums are made before the shuffle on dst.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,14 +29,19 @@ def apply_higher_order(links: DataFrame, field: DataFrame, orders: list[tuple[st
     return links.join(field, F.col("src") == F.col(cell)).groupBy("dst").agg(F.sum(term).alias(out))
 
 
-def ordered_apply(links: DataFrame, field: DataFrame, value: str, out: str = "y", cell: str = "cell") -> DataFrame:
+def ordered_apply(links: DataFrame, field: DataFrame, value: str, out: str = "y", cell: str = "cell", width: int = 4096) -> DataFrame:
     """As :func:`apply_weights`, but summed in the order of src for equal bits on any partitioning.
 
-    A target's links are few by nature (a stencil), so gathering them is bounded.
+    Sums are made in order within ranges of ``width`` sources, and these are summed in order:
+    a target of any number of sources is never gathered whole.
     """
-    terms = links.join(field, F.col("src") == F.col(cell)).select("dst", F.struct("src", (F.col("w") * F.col(value)).alias("x")).alias("t"))
-    total = F.aggregate(F.sort_array(F.collect_list("t")), F.lit(0.0), lambda a, t: a + t["x"])
-    return terms.groupBy("dst").agg(total.alias(out))
+
+    def summed(at: str) -> Column:
+        return F.aggregate(F.sort_array(F.collect_list(F.struct(at, "x"))), F.lit(0.0), lambda a, t: a + t["x"])
+
+    terms = links.join(field, F.col("src") == F.col(cell)).select("dst", F.floor(F.col("src") / width).alias("bin"), "src", (F.col("w") * F.col(value)).alias("x"))
+    within = terms.groupBy("dst", "bin").agg(summed("src").alias("x"))
+    return within.groupBy("dst").agg(summed("bin").alias(out))
 
 
 def accumulate_links(links: DataFrame) -> DataFrame:

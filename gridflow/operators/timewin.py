@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import ranged
+
 TRANSFORMS = {"AVERAGE": F.avg, "ACCUMUL": F.sum, "T_MIN": F.min, "T_MAX": F.max}
 
 
@@ -57,9 +59,17 @@ def missed(puts: DataFrame, dt: int, keys: tuple[str, ...] = ("field",)) -> Data
 
 
 def backward(puts: DataFrame, order: str, keys: tuple[str, ...] = ("field",)) -> DataFrame:
-    """Puts that are earlier than one before them in calling order."""
-    seen = F.max("t").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return puts.withColumn("seen", seen).where(F.col("t") < F.col("seen"))
+    """Puts that are earlier than one before them in calling order: the latest before them in their range of that
+    order, or the latest of the ranges before."""
+    dealt = ranged(puts, order)
+    before = (Window.unboundedPreceding, -1)
+    here = F.max("t").over(Window.partitionBy("__range", *keys).orderBy(order).rowsBetween(*before))
+    # one row for each range and key
+    tops = dealt.groupBy("__range", *keys).agg(F.max("t").alias("__top"))
+    earlier = tops.select("__range", *keys, F.max("__top").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(*before)).alias("__earlier"))
+    # greatest leaves nulls out
+    seen = dealt.withColumn("__here", here).join(earlier, ["__range", *keys]).withColumn("seen", F.greatest("__here", "__earlier"))
+    return seen.where(F.col("t") < F.col("seen")).select(*puts.columns, "seen")
 
 
 def repeated(puts: DataFrame, keys: tuple[str, ...] = ("field", "cell", "t")) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridflow import catalog
-from gridflow.operators import partition, reduce, remap, timewin, weights
+from gridflow.operators import batch, partition, reduce, remap, timewin, weights
 from gridflow.plans.exchange import Entry
 from gridflow.schema import regular_grid
 from gridflow.sources import tables
@@ -214,3 +214,38 @@ def test_every_order_has_a_part_an_owner_and_a_block(spark, tmp_path):
     assert catalog.order_segments(spark, d).agg(F.sum("length")).first()[0] == n
     assert catalog.order_owners(spark, d).select("index").distinct().count() == n
     assert catalog.order_local_index(spark, d).where("local < 1").isEmpty()
+
+
+def test_ordered_work_is_dealt_to_ranges(spark):
+    """No group holds more than a few of 64 ranges' rows, and what crosses ranges is as in one pass."""
+    n = 6400
+    dealt = batch.ranged(spark.range(n), "id")
+    assert max(r["count"] for r in dealt.groupBy("__range").count().collect()) <= n // 16
+
+    rng = np.random.default_rng(3)
+    src = np.setdiff1d(np.arange(1, n), rng.integers(1, n, 40))
+    starts = src[np.r_[True, np.diff(src) > 1]]
+    ends = src[np.r_[np.diff(src) > 1, True]]
+    links = spark.createDataFrame([(1, int(s), 0.5) for s in src], "dst long, src long, w double")
+    got = sorted((r.start, r.length) for r in partition.columns_of(links).collect())
+    assert got == [(s, e - s + 1) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    t = rng.integers(0, 10**6, n)
+    puts = spark.createDataFrame([(int(i), "ab"[i % 2], int(v)) for i, v in enumerate(t)], "event_id long, field string, t long")
+    want = set()
+    for f in (0, 1):
+        own = np.arange(f, n, 2)
+        seen = np.maximum.accumulate(t[own])[:-1]
+        want |= {(int(i), int(s)) for i, s in zip(own[1:], seen, strict=True) if t[i] < s}
+    assert {(r.event_id, r.seen) for r in timewin.backward(puts, "event_id").collect()} == want
+
+    apart = [(0, k * 10, 10) for k in range(500)]
+    for at in (None, 0, 7, 63, 250, 498):
+        one = [(p, s, 11 if k == at else m) for k, (p, s, m) in enumerate(apart)]
+        assert partition.haloed(spark.createDataFrame(one, "part int, start long, length long")).first()[0] == (at is not None)
+
+    field = spark.createDataFrame([(int(s), float(s)) for s in src], "cell long, x double")
+    got = remap.ordered_apply(links, field, "x", width=100)
+    assert math.isclose(got.first().y, 0.5 * float(src.sum())) and "bin" in got._jdf.queryExecution().optimizedPlan().toString()
+    none = links.where("false")
+    assert partition.columns_of(none).isEmpty() and not partition.haloed(partition.points(none.selectExpr("dst AS part", "src AS pos", "src AS index"))).first()[0]
