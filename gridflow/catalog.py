@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -329,6 +330,13 @@ def distwgt(spark, d):
     return _summary(weights.distance_weights(*_near_grids(spark), 4))
 
 
+@query()
+def distwgt_of_parts(spark, d):
+    """Distance weights from a grid of about as many points as there are parts to one of about half as many."""
+    ny = max(2, math.isqrt(table(spark, d, "part").count() // 2))
+    return _summary(weights.distance_weights(regular_grid(spark, 2 * ny, ny), regular_grid(spark, ny, ny), 4))
+
+
 @query()
 def gauswgt(spark, d):
     return _summary(weights.gaussian_weights(*_near_grids(spark), 4, 2.0))

@@ -1,6 +1,6 @@
 """Builders of interpolation weights as distributed queries.
 
-Neighbour and overlap searches bin one side by latitude and join on the bin, so
+Neighbour and overlap searches bin one side by latitude and longitude and join on the bin, so
 no pair outside neighbouring bins is formed. The k-nearest search widens its
 bins for the targets whose k-th distance reaches past them, so it is exact.
 """
@@ -22,30 +22,48 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
-def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int = 12) -> DataFrame:
+def bins_for(points: DataFrame) -> int:
+    """Latitude bands for as many points, twice as many sectors of longitude go with them: about one point a bin on an even grid."""
+    return max(1, math.ceil(math.sqrt(points.count() / 2)))
+
+
+def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -> DataFrame:
     """(dst, src, d, rank) of the k nearest source points of each target; ties go to the lower address.
 
-    Distance is at least the difference in latitude. A target looks at the bins
-    within a reach; if its k-th distance is more than the latitude left to the
-    edge of these bins, it looks again with twice the reach.
+    Distance is at least the difference in latitude, and at least the distance to the meridian that bounds the
+    sectors looked at. A target looks at the bands within a reach and as far in longitude, all around near the
+    poles; if its k-th distance is more than what is left to the edges, it looks again with twice the reach.
     """
-    height = 180.0 / bins
+    bins = bins or bins_for(src)
+    height, sectors = 180.0 / bins, 2 * bins
 
     def of(lat: Column) -> Column:
         return F.least(F.floor((lat + 90) / height), F.lit(bins - 1)).cast("int")
 
-    s = src.select(F.col("cell").alias("src"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), of(F.col("lat")).alias("bin"))
-    todo, reach, out = dst.select(F.col("cell").alias("dst"), "lon", "lat", of(F.col("lat")).alias("home")), 1, None
+    def sector(lon: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / height), F.lit(sectors - 1)).cast("int")
+
+    s = src.select(F.col("cell").alias("src"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), of(F.col("lat")).alias("bin"), sector(F.col("lon")).alias("sector"))
+    todo, reach, out = dst.select(F.col("cell").alias("dst"), "lon", "lat", of(F.col("lat")).alias("home"), sector(F.col("lon")).alias("east")), 1, None
     while True:
         low, high = F.greatest(F.col("home") - reach, F.lit(0)), F.least(F.col("home") + reach, F.lit(bins - 1))
-        near = todo.withColumn("bin", F.explode(F.sequence(low, high))).join(s, "bin")
+        wide = F.least(F.ceil(reach / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6))), F.lit(bins)).cast("int")
+        turn = F.when(2 * F.col("wide") + 1 >= sectors, F.sequence(F.lit(0), F.lit(sectors - 1))).otherwise(
+            F.transform(F.sequence(F.col("east") - F.col("wide"), F.col("east") + F.col("wide")), lambda x: F.pmod(x, F.lit(sectors)))
+        )
+        looked = todo.withColumn("wide", wide).withColumn("bin", F.explode(F.sequence(low, high))).withColumn("sector", F.explode(turn))
+        near = looked.join(s, ["bin", "sector"])
         d = great_circle(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
         order = Window.partitionBy("dst").orderBy("d", "src")
-        best = near.select("dst", "lat", "home", "src", d.alias("d")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = near.select("dst", "lon", "lat", "home", "east", "wide", "src", d.alias("d")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         below = F.when(F.col("home") - reach <= 0, F.lit(math.pi)).otherwise(F.radians(F.col("lat") + 90 - (F.col("home") - reach) * height))
         above = F.when(F.col("home") + reach >= bins - 1, F.lit(math.pi)).otherwise(F.radians((F.col("home") + reach + 1) * height - 90 - F.col("lat")))
+        at = F.pmod(F.col("lon"), F.lit(360.0)) - F.col("east") * height
+        left = F.least(F.least(at, height - at) + F.col("wide") * height, F.lit(90.0))
+        beside = F.when(2 * F.col("wide") + 1 >= sectors, F.lit(math.pi)).otherwise(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(left))))
         last = Window.partitionBy("dst")
-        best = best.withColumn("sure", (F.max("d").over(last) <= F.least(below, above)) & (F.max("rank").over(last) >= k) | F.lit(reach >= bins))
+        # acos is good to 1e-7 or so
+        best = best.withColumn("sure", (F.max("d").over(last) <= F.least(below, above, beside) - 1e-7) & (F.max("rank").over(last) >= k) | F.lit(reach >= bins))
         done = best.where("sure").select("dst", "src", "d", "rank")
         out = done if out is None else out.unionAll(done)
         if reach >= bins:
@@ -94,22 +112,26 @@ def gaussian_weights(src: DataFrame, dst: DataFrame, k: int, variance: float) ->
     return with_nearest_unmasked(links, src, active)
 
 
-def overlaps(src: DataFrame, dst: DataFrame, bins: int = 18) -> DataFrame:
+def overlaps(src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFrame:
     """(dst, src, overlap, dst_area) of regular cells whose interiors meet."""
+    bins = bins or bins_for(src)
     height = 180.0 / bins
 
-    def span(lo: str, hi: str) -> Column:
-        first = F.floor((F.col(lo) + 90) / height).cast("int")
-        last = F.least(F.ceil((F.col(hi) + 90) / height).cast("int") - 1, F.lit(bins - 1))
-        return F.sequence(first, F.greatest(first, last))
+    def span(lo: str, hi: str, origin: int, n: int) -> Column:
+        first = F.floor((F.col(lo) + origin) / height).cast("int")
+        last = F.least(F.ceil((F.col(hi) + origin) / height).cast("int") - 1, F.lit(n - 1))
+        return F.explode(F.sequence(first, F.greatest(first, last)))
+
+    def binned(cells: DataFrame) -> DataFrame:
+        return cells.withColumn("bin", span("lat_lo", "lat_hi", 90, bins)).withColumn("sector", span("lon_lo", "lon_hi", 0, 2 * bins))
 
-    a = src.select(F.col("cell").alias("src"), *[F.col(c).alias(f"s_{c}") for c in ("lon_lo", "lon_hi", "lat_lo", "lat_hi", "mask")], F.explode(span("lat_lo", "lat_hi")).alias("bin"))
-    b = dst.select(F.col("cell").alias("dst"), "lon_lo", "lon_hi", "lat_lo", "lat_hi", F.col("area").alias("dst_area"), F.explode(span("lat_lo", "lat_hi")).alias("bin"))
+    a = binned(src).select(F.col("cell").alias("src"), *[F.col(c).alias(f"s_{c}") for c in ("lon_lo", "lon_hi", "lat_lo", "lat_hi", "mask")], "bin", "sector")
+    b = binned(dst).select(F.col("cell").alias("dst"), "lon_lo", "lon_hi", "lat_lo", "lat_hi", F.col("area").alias("dst_area"), "bin", "sector")
     east, west = F.least("lon_hi", "s_lon_hi"), F.greatest("lon_lo", "s_lon_lo")
     north, south = F.least("lat_hi", "s_lat_hi"), F.greatest("lat_lo", "s_lat_lo")
     # a pair is formed in the first bin that both are in
-    first = F.floor((south + 90) / height).cast("int") == F.col("bin")
-    met = a.join(b, "bin").where((east - west > 1e-9) & (north - south > 1e-9) & first)
+    first = (F.floor((south + 90) / height).cast("int") == F.col("bin")) & (F.floor(west / height).cast("int") == F.col("sector"))
+    met = a.join(b, ["bin", "sector"]).where((east - west > 1e-9) & (north - south > 1e-9) & first)
     return met.select("dst", "src", "s_mask", "dst_area", (F.radians(east - west) * (F.sin(F.radians(north)) - F.sin(F.radians(south)))).alias("overlap"))
 
 
@@ -128,15 +150,19 @@ def conservative_weights(src: DataFrame, dst: DataFrame, normalisation: str = "F
     return with_nearest_unmasked(links, src, dst) if normalisation == "FRACNNEI" else links
 
 
-def point_in_cell(src: DataFrame, dst: DataFrame, bins: int = 18) -> DataFrame:
+def point_in_cell(src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFrame:
     """(dst, src): the first source cell, by address, that holds the target's point."""
+    bins = bins or bins_for(src)
     height = 180.0 / bins
-    first = F.floor((F.col("lat_lo") + 90) / height).cast("int")
-    last = F.least(F.floor((F.col("lat_hi") + 90) / height).cast("int"), F.lit(bins - 1))
-    a = src.select(F.col("cell").alias("src"), "lon_lo", "lon_hi", "lat_lo", "lat_hi", F.explode(F.sequence(first, last)).alias("bin"))
-    b = dst.select(F.col("cell").alias("dst"), "lon", "lat", F.least(F.floor((F.col("lat") + 90) / height), F.lit(bins - 1)).cast("int").alias("bin"))
+
+    def at(c: str, origin: int, n: int) -> Column:
+        return F.least(F.floor((F.col(c) + origin) / height), F.lit(n - 1)).cast("int")
+
+    rows, columns = F.explode(F.sequence(at("lat_lo", 90, bins), at("lat_hi", 90, bins))), F.explode(F.sequence(at("lon_lo", 0, 2 * bins), at("lon_hi", 0, 2 * bins)))
+    a = src.select(F.col("cell").alias("src"), "lon_lo", "lon_hi", "lat_lo", "lat_hi").withColumn("bin", rows).withColumn("sector", columns)
+    b = dst.select(F.col("cell").alias("dst"), "lon", "lat", at("lat", 90, bins).alias("bin"), at("lon", 0, 2 * bins).alias("sector"))
     inside = F.col("lon").between(F.col("lon_lo"), F.col("lon_hi")) & F.col("lat").between(F.col("lat_lo"), F.col("lat_hi"))
-    return a.join(b, "bin").where(inside).groupBy("dst").agg(F.min("src").alias("src"))
+    return a.join(b, ["bin", "sector"]).where(inside).groupBy("dst").agg(F.min("src").alias("src"))
 
 
 def bilinear_weights(dst: DataFrame, nx: int, ny: int) -> DataFrame:

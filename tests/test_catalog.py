@@ -130,6 +130,13 @@ def test_distance_weights_by_brute_force(spark, sf, grids):
     held_against(catalog.distwgt(spark, sf).collect(), brute_shares(*grids, 4, lambda d: 1 / (d + weights.EPSILON)))
 
 
+def test_distance_weights_of_parts_by_brute_force(spark, tmp_path):
+    for n, ny in ((300, 12), (1000, 22)):
+        spark.range(n).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/{n}/part.parquet")
+        both = [regular_grid(spark, nx, ny).orderBy("cell").toPandas() for nx in (2 * ny, ny)]
+        held_against(catalog.distwgt_of_parts(spark, f"{tmp_path}/{n}").collect(), brute_shares(*both, 4, lambda d: 1 / (d + weights.EPSILON)))
+
+
 def test_gaussian_weights_by_brute_force(spark, sf, grids):
     src = grids[0]
     mean = brute_distances(src, src)[np.arange(len(src)), np.roll(np.arange(len(src)), -1)].mean()
@@ -249,3 +256,17 @@ def test_ordered_work_is_dealt_to_ranges(spark):
     assert math.isclose(got.first().y, 0.5 * float(src.sum())) and "bin" in got._jdf.queryExecution().optimizedPlan().toString()
     none = links.where("false")
     assert partition.columns_of(none).isEmpty() and not partition.haloed(partition.points(none.selectExpr("dst AS part", "src AS pos", "src AS index"))).first()[0]
+
+
+def test_bins_follow_the_grid(spark):
+    """More points make more bins, and the nearest are those of brute force, poles and date line included."""
+    src, dst = regular_grid(spark, 64, 32), regular_grid(spark, 30, 15)
+    assert weights.bins_for(src) == 32
+    a, b = src.orderBy("cell").toPandas(), dst.orderBy("cell").toPandas()
+    d = np.sort(brute_distances(a, b), axis=1)[:, :4]
+    got = {}
+    for x in weights.nearest_k(src, dst, 4).collect():
+        got.setdefault(x.dst, []).append(x.d)
+    assert got.keys() == set(b["cell"]) and all(np.allclose(sorted(got[c]), d[i], atol=1e-6) for i, c in enumerate(b["cell"]))
+    area = weights.overlaps(src, dst).groupBy("dst").agg(F.sum("overlap").alias("s"), F.first("dst_area").alias("a"))
+    assert area.count() == 450 and area.where("abs(s - a) > 1e-9").isEmpty()
