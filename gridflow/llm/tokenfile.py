@@ -3,7 +3,7 @@
 A file holds whole documents' ids in order. Its head (checksummed) has the
 documents' ids and lengths and the file's order-0 model, a table of id
 frequencies; its body is blocks of ``BLOCK`` ids. Every block starts from the
-same state, has its own length and CRC-32, and can be read alone.
+same state, has its own length and CRC-32, and can be read with the head alone.
 
 Within a block an id is coded as an event and, if need be, a literal:
 
