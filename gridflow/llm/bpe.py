@@ -437,7 +437,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON, text_col: str = "text") -> list[bytes]:
-    """The most frequent words of all texts, at most ``size``; words of about equal frequency stay or go together.
+    """The most frequent words, at most ``size``, of all texts but those that go to the library; words of about equal frequency stay or go together.
 
     Tasks count before the shuffle, up to a bound of words at a time. No more
     than ``size`` words come to the driver, from all tasks together.
