@@ -10,14 +10,15 @@
   gives its ids, so the automaton is a transducer from words to ids. Executors
   map it from a file into memory and walk all words of a batch at once.
 * Words that the transducer does not hold are merged exactly by the
-  vocabulary's ranks, and remembered up to a bound.
+  vocabulary's ranks, many words side by side, and remembered up to a bound.
 
-Scripts beyond the code points that the word classes know go, text by text, to
-the tokenizers library itself, so results equal the library's everywhere.
-Special tokens in a text become their ids, as the library does it.
+A text with a code point that this Python's Unicode tables do not assign goes to
+the tokenizers library itself, as the library's tables may be newer; results
+equal the library's everywhere. Special tokens in a text become their ids, as the library does it.
 
 Defined cases: a null text is an empty text and has no ids; null ids and
-repeated rows are kept; other columns are not looked at.
+repeated rows are kept; an empty table gives an empty result; very long texts
+are worked on whole, by themselves; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,9 +41,8 @@ from .common import cut
 #: Frequent words that the transducer holds; at some 40 bytes each it is small enough to broadcast.
 LEXICON = 32_768
 REMEMBERED = 400_000
-#: Code points from here on go to the library (Latin, Greek, Cyrillic and common signs are below).
-KNOWN = 0x530
-_SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0)
+# fixed values: the code points of white space
+_SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -82,13 +82,27 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a] << 20 | vocab[b]] = rank
             self.made.append(vocab[a + b])
-        classes = np.zeros(KNOWN, np.uint8)  # 0 sign, 1 letter, 2 number, 3 space
-        for cp in range(KNOWN):
-            classes[cp] = {"L": 1, "N": 2}.get(unicodedata.category(chr(cp))[0], 0)
-            unassigned = unicodedata.category(chr(cp)) == "Cn"
-            classes[cp] = 9 if unassigned else classes[cp]
-        classes[list(_SPACES)] = 3
-        self.classes = classes
+        # the same by arrays: an open hash of pairs, and for pairs of bytes a table
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        self.hash_bits = max(8, int(len(pairs) * 4).bit_length())
+        self.hash_keys = np.full(1 << self.hash_bits, -1, np.int64)
+        self.hash_ranks = np.full(1 << self.hash_bits, len(self.made), np.int32)
+        todo, slot = np.arange(len(pairs)), self._slots(pairs)
+        while len(todo):
+            free = self.hash_keys[slot] < 0
+            self.hash_keys[slot[free]] = pairs[todo[free]]  # of several at one place one stays
+            held = self.hash_keys[slot] == pairs[todo]
+            self.hash_ranks[slot[held]] = todo[held]
+            todo, slot = todo[~held], slot[~held] + 1 & len(self.hash_keys) - 1
+        self.made_ids = np.array(self.made, np.int32)
+        self.byte_ids = np.array(self.of_byte, np.int32)
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.byte_ranks = self.ranks_of(self.byte_ids[left], self.byte_ids[right])
+        # of every code point: 0 sign, 1 letter, 2 number, 3 space, 9 not assigned
+        kinds = {"L": 1, "N": 2}
+        names = map(unicodedata.category, map(chr, range(0x110000)))
+        self.classes = np.fromiter((9 if c == "Cn" else kinds.get(c[0], 0) for c in names), np.uint8, 0x110000)
+        self.classes[list(_SPACES)] = 3
         self._library = None
 
     @classmethod
@@ -148,6 +162,79 @@ class Vocabulary:
                 offer(before[i])
         return [x for x, ok in zip(ids, live, strict=True) if ok]
 
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.hash_bits)).view(np.int64)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair, the number of ranks where there is none."""
+        key = left.astype(np.int64) << 20 | right
+        slot = self._slots(key)
+        held = self.hash_keys.take(slot)
+        out = self.hash_ranks.take(slot)
+        todo = np.flatnonzero(held != key)
+        while len(todo):
+            out[todo] = len(self.made)
+            todo = todo[held[todo] >= 0]  # an empty place ends the search
+            slot[todo] = slot[todo] + 1 & len(self.hash_keys) - 1
+            held[todo], out[todo] = self.hash_keys[slot[todo]], self.hash_ranks[slot[todo]]
+            todo = todo[held[todo] != key[todo]]
+        return out
+
+    def merged_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words in order, how many each has); words of about equal length merge side by side, each its lowest, leftmost pair at a time."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        counts = np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for least, most in ((1, 4), (5, 8), (9, 12), (13, 20), (21, 40)):
+            for at in np.array_split(which := np.flatnonzero((size >= least) & (size <= most)), -(-len(which) // 65_536) or 1):
+                if len(at):
+                    self._merged_alike(data, begin[at], size[at], at, counts, found)
+        for i in np.flatnonzero(size > 40).tolist():
+            ids = np.array(self.merged(words[i]), np.int32)
+            counts[i] = len(ids)
+            found.append((np.array([i]), ids[None]))
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for at, ids in found:
+            k = np.arange(ids.shape[1])
+            held = k < counts[at][:, None]
+            out[((ends - counts)[at][:, None] + k)[held]] = ids[held]
+        return out, counts
+
+    def _merged_alike(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, counts: np.ndarray, found: list) -> None:
+        width = int(size.max())
+        none = np.int32(len(self.made))
+        column = np.arange(width)
+        raw = data[np.minimum(begin[:, None] + column, len(data) - 1)].astype(np.int64)
+        ids = self.byte_ids[raw]
+        ranks = np.full((len(at), width), none, np.int32)
+        ranks[:, :-1] = np.where(column[1:] < size[:, None], self.byte_ranks[raw[:, :-1] << 8 | raw[:, 1:]], none)
+        while True:
+            row = np.arange(len(ids))
+            first = ranks.argmin(axis=1)
+            low = ranks[row, first]
+            live = low < none
+            if not live.all():
+                over = ~live
+                counts[at[over]] = size[over]
+                found.append((at[over], ids[over]))
+                ids, ranks, size, at, first, low, row = ids[live], ranks[live], size[live], at[live], first[live], low[live], row[: int(live.sum())]
+            if not len(ids):
+                return
+            # what follows the pair moves up
+            move = np.minimum(column + (column > first[:, None]), width - 1)
+            ids, ranks = np.take_along_axis(ids, move, 1), np.take_along_axis(ranks, move, 1)
+            size = size - 1
+            ids[row, first] = self.made_ids[low]
+            inner = np.flatnonzero(first < size - 1)
+            f = first[inner]
+            ranks[row, first] = none
+            ranks[inner, f] = self.ranks_of(ids[inner, f], ids[inner, f + 1])
+            inner = np.flatnonzero(first > 0)
+            f = first[inner]
+            ranks[inner, f - 1] = self.ranks_of(ids[inner, f - 1], ids[inner, f])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -194,6 +281,12 @@ def word_starts(points: np.ndarray, classes: np.ndarray, text_starts: np.ndarray
     return np.flatnonzero(start)
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``size`` of them each, in order."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
 class Lexicon:
     """A minimal acyclic transducer from words to ids, in one block of bytes.
 
@@ -328,16 +421,18 @@ class Lexicon:
             index[:] = -1
         return index
 
-    def ids_at(self, index: int) -> np.ndarray:
-        return self.ids[self.offset[index] : self.offset[index + 1]]
-
 
 class Encoder:
     """Encodes batches of texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words met so far: their places, and by place where their ids begin and how many they are."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def split(self, texts: list[str]) -> tuple[pa.DictionaryArray | None, np.ndarray, np.ndarray]:
         """The joined texts' words as a dictionary array, the words in each text, and which texts go to the library."""
@@ -346,15 +441,16 @@ class Encoder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.cumsum(sizes) - sizes
         odd = np.zeros(len(texts), bool)
-        strange = points >= KNOWN
-        strange |= self.v.classes[np.minimum(points, KNOWN - 1)] == 9
-        if strange.any():
+        if len(points) and points.max() >= 0x370 and (strange := self.v.classes[points] == 9).any():  # all below are assigned
             odd[np.searchsorted(starts + sizes, np.flatnonzero(strange), side="right")] = True
             return (*self.split(["" if o else t for t, o in zip(texts, odd, strict=True)])[:2], odd)
         if not len(points):
             return None, np.zeros(len(texts), np.int64), odd
         words = word_starts(points, self.v.classes, starts[sizes > 0])
         width = 1 + (points >= 0x80).astype(np.int64)
+        if points.max() >= 0x800:
+            width += points >= 0x800
+            width += points >= 0x10000
         byte_at = np.cumsum(width) - width
         data = joined.encode("utf-8")
         offsets = np.append(byte_at[words], len(data)).astype(np.int32)
@@ -362,16 +458,27 @@ class Encoder:
         per_text = np.diff(np.searchsorted(words, np.append(starts, len(points))))
         return array.dictionary_encode(), per_text, odd
 
-    def ids_of_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word; words not met before are looked up in the transducer, the others merged."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         new = [w for w in words if w not in known]
         if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             at = self.lexicon.lookup(new) if self.lexicon is not None else np.full(len(new), -1)
-            for w, i in zip(new, at.tolist(), strict=True):
-                known[w] = self.lexicon.ids_at(i) if i >= 0 else np.array(self.v.merged(w), np.int32)
-        return [known[w] for w in words]
+            other = np.flatnonzero(at < 0)
+            ids, counts = self.v.merged_many([new[i] for i in other.tolist()])
+            size, begin = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            size[other], begin[other] = counts, np.cumsum(counts) - counts + len(self.flat)
+            parts = [self.flat, ids]
+            held = np.flatnonzero(at >= 0)
+            if len(held):
+                size[held] = self.lexicon.offset[at[held] + 1] - self.lexicon.offset[at[held]]
+                begin[held] = np.cumsum(size[held]) - size[held] + len(self.flat) + len(ids)
+                parts.append(self.lexicon.ids[_spans(self.lexicon.offset[at[held]], size[held])])
+            self.flat, self.begin, self.size = np.concatenate(parts), np.append(self.begin, begin), np.append(self.size, size)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of texts without special tokens, up to some MB of text."""
@@ -380,16 +487,11 @@ class Encoder:
         if coded is None:
             out = [empty] * len(texts)
         else:
-            lists = self.ids_of_words(coded.dictionary.to_pylist())
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat, begin = np.concatenate(lists), np.cumsum(size) - size
-            index = coded.indices.to_numpy(zero_copy_only=False)
-            counts = size[index]
-            ends = np.cumsum(counts)
-            at = np.arange(ends[-1]) + np.repeat(begin[index] - (ends - counts), counts)
-            ids = flat[at]
-            cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
-            out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            at = self.places(coded.dictionary.to_pylist()).take(coded.indices.to_numpy(zero_copy_only=False))
+            counts = self.size.take(at)
+            ids = self.flat.take(_spans(self.begin.take(at), counts))
+            cuts = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per_text)))]
+            out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         for i in np.flatnonzero(odd):
             out[i] = np.array(self.v.library().encode(texts[i], add_special_tokens=False).ids, np.int32)
         return out
@@ -437,7 +539,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON, text_col: str = "text") -> list[bytes]:
-    """The most frequent words, at most ``size``, of all texts but those that go to the library; words of about equal frequency stay or go together.
+    """The ``size`` most frequent words, ties to the smaller, of all texts but those that go to the library.
 
     Tasks count before the shuffle, up to a bound of words at a time. No more
     than ``size`` words come to the driver, from all tasks together.
@@ -467,14 +569,18 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON, text_col: st
 
     counted = cut(docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     # a histogram over steps of the counts' logarithms, some hundred rows at any size, says from which step on words can stay
-    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
-    words_of = sorted(((r.step, r.k) for r in counted.groupBy(step).agg(F.count("*").alias("k")).collect()), reverse=True)
-    least, held = words_of[0][0] + 1 if words_of else 0, 0
+    step = F.floor(F.log2("n") * 16).cast("int")
+    words_of = sorted(((r.step, r.k) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    held = 0
+    chosen = counted.limit(0)
     for at, k in words_of:
         if held + k > size:
+            # the step that does not fit as a whole gives its most frequent words, ties to the smaller word
+            chosen = counted.where(step > at).unionAll(counted.where(step == at).orderBy(F.desc("n"), "word").limit(size - held))
             break
-        least, held = at, held + k
-    return [bytes(r.word) for r in counted.where(step >= least).select("word").collect()]
+        held += k
+        chosen = counted.where(step >= at)
+    return [bytes(r.word) for r in chosen.select("word").collect()]
 
 
 def compiled_lexicon(docs: DataFrame, path: str, size: int = LEXICON, text_col: str = "text") -> bytes:

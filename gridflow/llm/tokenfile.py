@@ -1,26 +1,31 @@
 """Token ids in compressed binary files: context mixing and range coding in independent blocks.
 
 A file holds whole documents' ids in order. Its head (checksummed) has the
-documents' ids and lengths and the file's order-0 model, a table of id
-frequencies; its body is blocks of ``BLOCK`` ids. Every block starts from the
-same state, has its own length and CRC-32, and can be read with the head alone.
+documents' ids and lengths and how often each id occurs in the file; its body
+is blocks of ``BLOCK`` ids. Every block starts from the same state, has its own
+length and CRC-32, and can be read with the head alone.
 
-Within a block an id is coded as an event and, if need be, a literal:
+Within a block three predictions share the range:
 
-* order 2: the id that last followed the two ids before it is right;
-* order 1: the id that last followed the one id before it is right;
-* order 0: neither; the id follows by the file's frequencies.
+* order 2: the id that last followed the two ids before it, as sure as such
+  guesses (by how often this one was right) have been in this block;
+* order 1: likewise by the one id before it;
+* order 0: what is left, by groups of ids of like frequency, whose shares
+  start from the file's and adapt, and within a group by the file's counts.
 
-The event's probabilities mix two adaptive counts: by how often the order-2
-guess of this context was right lately and by how often the order-1 guess was.
-A range coder with 64-bit state and 32-bit output words codes both. A task
-codes all blocks of a file side by side, one array operation a step for all
-blocks, with integer arithmetic only, so that files read the same everywhere.
+A weight between orders 2 and 1 moves, id by id, to the one that was right when
+the other was not. The range coder has 64-bit state and 32-bit words and one
+step an id; the writer carries into words already written. A task codes all blocks
+of a file side by side, one array operation a step for all blocks, with integer
+arithmetic only, so that files read the same everywhere.
 
 Files are rows of a table in the shared folder (``write_token_files``), so
 Spark's committer makes them whole even where executors are lost or tasks run
 twice; ``payload`` is the file.
 
+Very long texts are single documents of a file, which is closed after it has
+``FILE_IDS`` ids; a file may hold 65,536 different ids at most.
+
 Defined cases: a null text is an empty text and has the end id alone; null ids
 sort first; rows that repeat an id are kept, ordered by text; an empty table
 gives no file; other columns are not looked at.
@@ -43,213 +48,205 @@ from .common import ensure_checkpoint_dir
 
 MAGIC = b"CMT1"
 BLOCK = 2048
-FILE_IDS = 1 << 22  # a file is closed once it has so many ids
-SLOTS = 512  # of a block's context tables
-TOTAL_BITS = 18  # of the order-0 model; more than any vocabulary here has ids
-EVENT_BITS = 14
+FILE_IDS = 1 << 23  # a file is closed once it has so many ids
+SLOT_BITS = 8
+SLOTS = 1 << SLOT_BITS  # of a block's context tables
+SHARE_BITS = 30  # of the share that a step leaves of a block's range
+GROUPS, GROUP_BITS = 8, 14  # of ids by rank, and of their adaptive bounds
+MOST = 60_000  # a guess has at most this share of 2**16
+_SURE = (1536, 64_000)  # the weight of order 2 stays between these
+_LEAST = 48  # of 2**GROUP_BITS, towards which a group that does not occur shrinks
+_SPREAD = (1 << GROUP_BITS) - GROUPS * _LEAST
+_HASH, _HASH_SHIFT = tuple(map(np.uint32, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))), np.uint32(32 - SLOT_BITS)
 _U32, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 _LOW = np.uint64(1) << _U32
 
 
 class _Model:
-    """The state of all blocks that are coded side by side."""
-
-    def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.guess = [np.zeros((lanes, SLOTS), np.int32) for _ in range(2)]  # order 1, order 2; id + 1
-        self.sure = [np.zeros((lanes, SLOTS), np.int8) for _ in range(2)]
-        self.count = [np.tile(np.array([2, 2, 4], np.int32), (lanes, 5, 1)) for _ in range(2)]
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-
-    def keep(self, live: np.ndarray) -> None:
-        """From here on only these blocks go on."""
-        self.guess = [x[live] for x in self.guess]
-        self.sure = [x[live] for x in self.sure]
-        self.count = [x[live] for x in self.count]
-        self.one, self.two, self.row = self.one[live], self.two[live], np.arange(len(live))
-
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order-1 guess, order-2 guess, event frequencies (lanes, 3)), events: order 2, order 1, literal."""
-        row = self.row
-        self.at = ((self.one * 0x9E3779B1 >> 7) & (SLOTS - 1), ((self.one * 0x85EBCA6B + self.two * 0xC2B2AE35) >> 9) & (SLOTS - 1))
-        g1, g2 = (g[row, a] for g, a in zip(self.guess, self.at, strict=True))
-        # 4: there is no guess yet
-        self.conf = [np.where(g > 0, s[row, a], 4) for g, s, a in zip((g1, g2), self.sure, self.at, strict=True)]
-        c1, c2 = (c[row, k] for c, k in zip(self.count, self.conf, strict=True))
-        top = (1 << EVENT_BITS) - 3
-        f = (c1 * (top // 2)) // c1.sum(axis=1, keepdims=True) + (c2 * (top // 2)) // c2.sum(axis=1, keepdims=True) + 1
-        f[:, 2] += (1 << EVENT_BITS) - f.sum(axis=1, dtype=f.dtype)
-        return g1, g2, f
-
-    def learn(self, ids: np.ndarray, event: np.ndarray, g1: np.ndarray, g2: np.ndarray) -> None:
-        row, new = self.row, (ids + 1).astype(np.int32)
-        for i, g in enumerate((g1, g2)):
-            right = g == new
-            s = self.sure[i][row, self.at[i]]
-            self.sure[i][row, self.at[i]] = np.where(right, np.minimum(s + 1, 3), 0)
-            self.guess[i][row, self.at[i]] = new
-            c = self.count[i]
-            c[row, self.conf[i], event] += 24
-            if (self.steps & 31) == 31:
-                np.maximum(c * 3 // 4, 1, out=c)
-        self.two, self.one = self.one, ids.astype(np.int64)
-
-    steps = 0
-
-
-def _frequencies(ids: np.ndarray, size: int) -> np.ndarray:
-    """The order-0 model: at least 1 for every id that occurs, 2**TOTAL_BITS in all."""
-    n = np.bincount(ids, minlength=size).astype(np.int64)
-    some = n > 0
-    f = np.where(some, np.maximum(1, n * ((1 << TOTAL_BITS) - int(some.sum())) // max(1, len(ids))), 0)
-    f[int(f.argmax())] += (1 << TOTAL_BITS) - int(f.sum())
-    return f
-
-
-class _Out:
-    """Words that the blocks have written, in the order they were written."""
-
-    def __init__(self) -> None:
-        self.lane: list[np.ndarray] = []
-        self.word: list[np.ndarray] = []
-
-    def put(self, lane: np.ndarray, word: np.ndarray) -> None:
-        self.lane.append(lane)
-        self.word.append(word.astype("<u4"))
-
-    def streams(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(words of block 0, of block 1, ...; how many each has)."""
-        lane = np.concatenate(self.lane)
-        order = np.argsort(lane, kind="stable")
-        return np.concatenate(self.word)[order], np.bincount(lane, minlength=lanes)
-
-
-def _narrow(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that must put out their high word, and the width they go on with.
-
-    A width that became too small while the high word is still open is cut at
-    the next multiple of 2**32, so no carry can follow.
-    """
-    settled = (low ^ (low + (width - np.uint64(1)))) < _LOW
-    short = width < _LOW
-    cut = short & ~settled
-    if cut.any():
-        width = np.where(cut, (_LOW - (low & _MASK)), width)
-    return settled | short, width
-
-
-def code_blocks(ids: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, words in each block) of ids, cut into blocks."""
-    n = len(ids)
-    lanes = -(-n // BLOCK)
-    sizes = np.full(lanes, BLOCK)
-    sizes[-1] = n - (lanes - 1) * BLOCK
-    padded = np.zeros(lanes * BLOCK, np.int64)
-    padded[:n] = ids
-    steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    start0 = (np.cumsum(freq) - freq).astype(np.uint64)
-    freq = freq.astype(np.uint64)
-    m, out = _Model(lanes), _Out()
+    """What all blocks that are coded side by side have learned; blocks are the last axis of every array."""
+
+    def __init__(self, lanes: int, first: np.ndarray):
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.base = self.lane * SLOTS
+        # by the hash of a context: (the id that last followed it + 1) * 4 + how sure it is, 0 to 3; order 1, order 2
+        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
+        # by sureness: how often the guess was right, of 2**16; no guess is never right
+        self.right = [np.repeat(np.array([0, 12000, 28000, 45000], np.int32), lanes) for _ in range(2)]
+        self.weight = np.full(lanes, 36000, np.int32)  # of order 2 against order 1, of 2**16
+        # order 0: bounds of the groups of ids, starting from the file's
+        self.bound = np.repeat(first[:, None], lanes, axis=1)
+        self.flat_bound, self.inner = self.bound.reshape(-1), self.bound[1:GROUPS]
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.rising = (np.arange(1, GROUPS, dtype=np.int16) * np.int16(_LEAST))[:, None]
+        self.place = np.arange(1, GROUPS, dtype=np.int16)[:, None]
+
+    def look(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the share of order 2's guess, of both guesses), of 2**30."""
+        last = self.last
+        self.at1 = at1 = self.base + (last * _HASH[0] >> _HASH_SHIFT)
+        self.at2 = at2 = self.base + (last * _HASH[1] + self.before >> _HASH_SHIFT)
+        self.one, self.two = one, two = self.guess[0].take(at1), self.guess[1].take(at2)
+        sure1, sure2 = one & 3, two & 3
+        self.k1, self.k2 = sure1 * self.lanes + self.lane, sure2 * self.lanes + self.lane
+        self.r1, self.r2 = r1, r2 = self.right[0].take(self.k1), self.right[1].take(self.k2)
+        w = (self.weight * (sure2 > 0)).astype(np.int64)
+        share2 = w * r2 >> 2
+        both = ((65536 - w) * r1 >> 2) + share2
+        same = np.flatnonzero((one ^ two) < 4)
+        share2[same] = both[same]
+        return share2, both
+
+    def learn(self, ids: np.ndarray, group: np.ndarray) -> None:
+        new = ids.astype(np.int32) + 1
+        hit2, hit1 = (self.two >> 2) == new, (self.one >> 2) == new
+        for right, k, r, hit in ((self.right[1], self.k2, self.r2, hit2), (self.right[0], self.k1, self.r1, hit1)):
+            right[k] = r + ((hit * np.int32(MOST) - r) >> 5)
+        # only one was right: the weight moves towards it
+        only = np.flatnonzero(hit2 != hit1)
+        w = self.weight[only]
+        self.weight[only] = w + ((np.where(hit2[only], np.int32(_SURE[1]), np.int32(_SURE[0])) - w) >> 4)
+        entry = new << 2
+        entry |= 1
+        for guess, at, old, hit in ((self.guess[0], self.at1, self.one, hit1), (self.guess[1], self.at2, self.two, hit2)):
+            guess[at] = entry
+            again = np.flatnonzero(hit)
+            guess[at[again]] = np.minimum(old[again] + 1, old[again] | 3)
+        step = (self.place > group.astype(np.int16)) * np.int16(_SPREAD)
+        step += self.rising
+        step -= self.inner
+        step >>= 5
+        self.inner += step
+        self.before = self.last * _HASH[2]
+        self.last = new.view(np.uint32)
+
+
+class _OrderZero:
+    """The file's id frequencies in groups by rank (1, 3, 12, 48, ... ids), each group's adding up to 2**16."""
+
+    def __init__(self, n: np.ndarray):
+        some = np.flatnonzero(n)
+        if len(some) > 1 << 16:
+            raise ValueError("a file holds at most 65,536 different ids")
+        order = some[np.argsort(-n[some], kind="stable")]
+        group = np.searchsorted(4 ** np.arange(GROUPS - 1), np.arange(len(order)), side="right")
+        sums = np.bincount(group, n[order], GROUPS)
+        self.group = np.zeros(len(n), np.int64)
+        self.group[order] = group
+        self.start, self.freq = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        self.symbol = np.zeros(GROUPS << 16, np.int32)
+        for g in range(GROUPS):
+            own = order[group == g]
+            if len(own):
+                f = 1 + (n[own] * ((1 << 16) - len(own)) // int(sums[g])).astype(np.int64)
+                f[0] += (1 << 16) - int(f.sum())
+                self.freq[own], self.start[own] = f, np.cumsum(f) - f
+                self.symbol[g << 16 : (g + 1) << 16] = np.repeat(own, f)
+        share = _LEAST + (sums * ((1 << GROUP_BITS) - GROUPS * _LEAST) / max(1.0, float(sums.sum()))).astype(np.int64)
+        share[0] += (1 << GROUP_BITS) - int(share.sum())
+        self.first = np.concatenate(([0], np.cumsum(share))).astype(np.int16)
+
+
+def code_blocks(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words in each block) of ids, cut into blocks; ``n``: how often each id occurs."""
+    size = min(BLOCK, len(ids))
+    lanes = -(-len(ids) // size)
+    padded = np.full(lanes * size, ids[-1], np.int32)  # the last block is filled up
+    padded[: len(ids)] = ids
+    steps = np.ascontiguousarray(padded.reshape(lanes, size).T)
+    zero = _OrderZero(n)
+    m = _Model(lanes, zero.first)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    names = np.arange(lanes)
-
-    def put(which, start: np.ndarray, part: np.ndarray, bits: int) -> None:
-        lo, w = low[which], width[which] >> np.uint64(bits)
-        lo, w = lo + w * start, w * part
-        due, w = _narrow(lo, w)
-        while due.any():
-            at = np.flatnonzero(due)
-            out.put(names[which][at], lo[at] >> _U32)
-            lo[at] <<= _U32
-            w[at] <<= _U32
-            due = np.zeros(len(lo), bool)
-            again, cut = _narrow(lo[at], w[at])
-            w[at] = cut
-            due[at] = again
-        low[which], width[which] = lo, w
-
-    everyone = np.arange(lanes)
-    for t in range(BLOCK):
-        if t == sizes[-1] and lanes > 1 and sizes[-1] < BLOCK or (lanes == 1 and t == sizes[0]):
-            out.put(names[-1:].repeat(2), np.array([low[-1] >> _U32, low[-1] & _MASK]))
-            live = np.arange(lanes - 1)
-            m.keep(live)
-            low, width, names, steps = low[live], width[live], names[live], steps[:, live]
-            everyone = live
-            if not len(live):
-                break
-        x = steps[t]
-        g1, g2, f = m.look()
-        event = np.where(g2 == x + 1, 0, np.where(g1 == x + 1, 1, 2))
-        upto = np.cumsum(f, axis=1)
-        part = f[m.row, event]
-        put(everyone, (upto[m.row, event] - part).astype(np.uint64), part.astype(np.uint64), EVENT_BITS)
-        free = np.flatnonzero(event == 2)
-        if len(free):
-            put(free, start0[x[free]], freq[x[free]], TOTAL_BITS)
-        m.steps = t
-        m.learn(x, event, g1, g2)
-    if len(low):
-        out.put(np.repeat(names, 2), np.stack((low >> _U32, low & _MASK), axis=1).ravel())
-    return out.streams(lanes)
-
-
-def decode_blocks(words: np.ndarray, counts: np.ndarray, n: int, freq: np.ndarray) -> np.ndarray:
+    written = np.zeros(lanes, np.int64)
+    lane_of, words, carry_lane, carry_at = [], [], [], []
+    for x in steps:
+        x = x.astype(np.int64)
+        share2, both = m.look()
+        group = zero.group.take(x)
+        at = group * lanes + m.lane
+        lo = m.flat_bound.take(at).astype(np.int64)
+        step = (1 << SHARE_BITS) - both >> GROUP_BITS
+        sub = step * (m.flat_bound.take(at + lanes) - lo) >> 16
+        start = both + step * lo + sub * zero.start.take(x)
+        part = sub * zero.freq.take(x)
+        for guess, begin, share in ((m.one, share2, both - share2), (m.two, None, share2)):
+            hit = np.flatnonzero((guess >> 2) == x + 1)
+            hit = hit[share[hit] > 0]
+            start[hit], part[hit] = 0 if begin is None else begin[hit], share[hit]
+        width >>= np.uint64(SHARE_BITS)
+        add = start.view(np.uint64) * width
+        low += add
+        width *= part.view(np.uint64)
+        over = np.flatnonzero(low < add)
+        if len(over):
+            carry_lane.append(over)
+            carry_at.append(written[over])
+        due = np.flatnonzero(width < _LOW)
+        if len(due):
+            head = low[due]
+            lane_of.append(due)
+            words.append(head >> _U32)
+            low[due] = head << _U32
+            width[due] <<= _U32
+            written[due] += 1
+        m.learn(x, group)
+    for word in (low >> _U32, low & _MASK):
+        lane_of.append(m.lane)
+        words.append(word)
+    lane = np.concatenate(lane_of)
+    out = np.concatenate(words)[np.argsort(lane, kind="stable")]
+    counts = np.bincount(lane, minlength=lanes)
+    if carry_lane:  # a carry adds one to the word written before it
+        at = (np.cumsum(counts) - counts)[np.concatenate(carry_lane)] + np.concatenate(carry_at) - 1
+        np.add.at(out, at, np.uint64(1))
+        while len(over := np.flatnonzero(out > _MASK)):
+            out[over] &= _MASK
+            np.add.at(out, over - 1, np.uint64(1))
+    return out.astype("<u4"), counts
+
+
+def decode_blocks(words: np.ndarray, counts: np.ndarray, total: int, n: np.ndarray) -> np.ndarray:
     lanes = len(counts)
-    last = n - (lanes - 1) * BLOCK
-    upto0 = np.cumsum(freq)
-    symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    start0, freq = (upto0 - freq).astype(np.uint64), freq.astype(np.uint64)
+    size = min(BLOCK, total)
+    zero = _OrderZero(n)
+    m = _Model(lanes, zero.first)
     words = np.append(words, np.zeros(4, words.dtype)).astype(np.uint64)
     at = np.cumsum(counts) - counts
-    m = _Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = words[at] << _U32 | words[at + 1]
-    at = at + 2
-    out = np.zeros((BLOCK, lanes), np.int32)
-
-    def take(which, start: np.ndarray, part: np.ndarray, bits: int) -> None:
-        lo, w, c = low[which], width[which] >> np.uint64(bits), code[which]
-        lo, w = lo + w * start, w * part
-        due, w = _narrow(lo, w)
-        place = at[which]
-        while due.any():
-            k = np.flatnonzero(due)
-            c[k] = c[k] << _U32 | words[np.minimum(place[k], len(words) - 1)]
-            place[k] += 1
-            lo[k] <<= _U32
-            w[k] <<= _U32
-            due = np.zeros(len(lo), bool)
-            again, cut = _narrow(lo[k], w[k])
-            w[k] = cut
-            due[k] = again
-        low[which], width[which], code[which], at[which] = lo, w, c, place
-
-    everyone = np.arange(lanes)
-    for t in range(BLOCK):
-        if t == last and last < BLOCK:
-            live = np.arange(lanes - 1)
-            m.keep(live)
-            low, width, code, at, everyone = low[live], width[live], code[live], at[live], live
-            if not len(live):
-                break
-        g1, g2, f = m.look()
-        upto = np.cumsum(f, axis=1)
-        v = ((code - low) // (width >> np.uint64(EVENT_BITS))).astype(np.int64)
-        event = (v >= upto[:, 0]).astype(np.int64) + (v >= upto[:, 1])
-        part = f[m.row, event]
-        take(everyone, (upto[m.row, event] - part).astype(np.uint64), part.astype(np.uint64), EVENT_BITS)
-        x = np.where(event == 0, g2, g1).astype(np.int64) - 1
-        free = np.flatnonzero(event == 2)
-        if len(free):
-            v = ((code[free] - low[free]) // (width[free] >> np.uint64(TOTAL_BITS))).astype(np.int64)
-            x[free] = s = symbol[np.minimum(v, len(symbol) - 1)]
-            take(free, start0[s], freq[s], TOTAL_BITS)
-        out[t, : len(x)] = x
-        m.steps = t
-        m.learn(x, event, g1, g2)
-    return out.T.reshape(-1)[:n] if last == BLOCK or lanes == 1 else np.concatenate((out[:, :-1].T.reshape(-1), out[:last, -1]))
+    code, at = words[at] << _U32 | words[at + 1], at + 2
+    width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    out = np.zeros((size, lanes), np.int32)
+    for t in range(size):
+        share2, both = m.look()
+        width >>= np.uint64(SHARE_BITS)
+        v = (code // width).view(np.int64)
+        step = (1 << SHARE_BITS) - both >> GROUP_BITS
+        u = np.maximum(v - both, 0)
+        group = np.add.reduce((m.inner <= (u // step).astype(np.int16)).view(np.int8), axis=0, dtype=np.int8).astype(np.int64)
+        k = group * lanes + m.lane
+        lo = m.flat_bound.take(k).astype(np.int64)
+        sub = step * (m.flat_bound.take(k + lanes) - lo) >> 16
+        lo *= step
+        inside = np.minimum((u - lo) // sub, 65535)
+        x = zero.symbol.take((group << 16) + inside)
+        start = both + lo + sub * zero.start.take(x)
+        part = sub * zero.freq.take(x)
+        known = np.flatnonzero(v < both)
+        if len(known):
+            of2, a, b = v[known] < share2[known], share2[known], both[known]
+            x[known] = (np.where(of2, m.two[known], m.one[known]) >> 2) - 1
+            start[known] = np.where(of2, 0, a)
+            part[known] = np.where(of2, a, b - a)
+            group[known] = zero.group[x[known]]
+        code -= start.view(np.uint64) * width
+        width *= part.view(np.uint64)
+        due = np.flatnonzero(width < _LOW)
+        if len(due):
+            place = at[due]
+            code[due] = code[due] << _U32 | words.take(place, mode="clip")
+            width[due] <<= _U32
+            at[due] = place + 1
+        out[t] = x
+        m.learn(x, group)
+    return out.T.reshape(-1)[:total]
 
 
 def _ragged(x: np.ndarray) -> bytes:
@@ -259,11 +256,11 @@ def _ragged(x: np.ndarray) -> bytes:
 
 def pack_file(doc_ids: list[int | None], arrays: list[np.ndarray], size: int) -> bytes:
     """A file of these documents' ids; ``size``: ids are below it."""
-    ids = np.concatenate([np.empty(0, np.int64), *arrays]).astype(np.int64)
+    ids = np.concatenate([np.empty(0, np.int32), *arrays])
     lengths = np.array([len(a) for a in arrays], "<i8")
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    freq = _frequencies(ids, size) if len(ids) else np.zeros(size, np.int64)
+    freq = np.bincount(ids, minlength=size).astype(np.int64)
     words, counts = code_blocks(ids, freq) if len(ids) else (np.empty(0, "<u4"), np.empty(0, np.int64))
     ends = np.cumsum(counts)
     body = words.astype("<u4").tobytes()
