@@ -1,12 +1,13 @@
 """Embedding near-dedup: navigable small-world graphs per shard, links by exact cosine.
 
-1. Valid vectors are merged by value (pre-aggregated): equal vectors are one
-   entry with a multiplicity, so copies cost nothing further on.
-2. Entries are dealt to shards by hash. Each shard builds its own hierarchical
+1. Valid vectors are merged by value (pre-aggregated, by a 128-bit hash): equal
+   vectors are one entry with a multiplicity, so copies cost nothing further on.
+2. Entries of one length are dealt to shards by hash. Each shard builds its own hierarchical
    graph (:class:`Graph`) in one task and travels from then on as one row: the
    vectors and the neighbour lists of every layer. A shard holds at most about
    ``SHARD`` entries; their number grows with the data, their size does not.
-3. Every entry queries every shard, in batches. A search keeps a beam of the
+3. Every entry queries every shard of its length: a shard is one partition that
+   unpacks its graph once and lets the queries stream past in batches. A search keeps a beam of the
    best entries seen. Beams widen in two ways: a query of which half the beam
    links gets a wider one, up to an exhaustive scan of the shard; and each batch is
    audited against brute force, its beam being doubled until the audit's recall
@@ -20,13 +21,14 @@
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components have no links and are components of their own; rows that repeat a
-vec_id are one vector (the smallest valid array); rows with a null vec_id are
-left out; an empty table gives an empty result; other columns are not looked at.
+vec_id are one vector (the smallest valid array); vectors of different lengths
+have no links with each other; rows with a null vec_id are left out; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,13 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
-SHARD = 32_768  # entries a shard holds at most, on average
-LEAST_SHARDS = 6
-BATCH = 8_192  # queries a task answers, on average
+SHARD = 65_536  # entries a shard holds at most, on average
+LEAST_SHARDS, LEAST = 6, 2_048  # so many shards at least, if they then hold so many entries
 DEGREE = 12  # neighbours on upper layers; twice that on the lowest
 BUILD_BEAM = 48
-BEAM = 24  # first beam of a search
-AUDIT = 48  # audited queries of a batch, and audited entries of a shard
+BEAM = 12  # first beam of a search
+AUDIT = 192  # audited queries of a batch, and audited entries of a shard
 RECALL = 0.99
 
 
@@ -292,7 +293,7 @@ def linked(graph: Graph, raw: np.ndarray, q: np.ndarray, least: float) -> tuple[
     true_q, true_e = scan(np.unique(sample))
     truth = set(zip(true_q.tolist(), true_e.tolist(), strict=True))
     while len(todo):
-        if beam * 8 >= n:
+        if beam * 2 >= n:
             a, b = scan(todo)
             full = np.empty(0, int)
         elif known_recall(graph, least, beam) < RECALL:
@@ -366,79 +367,87 @@ def _build(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 _SHARD = "shard int, ids binary, comp binary, mult binary, links binary, vec binary, kind string, dim int, near array<binary>, members array<binary>"
 
 
-def _unpack(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Graph]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    v = np.frombuffer(row["vec"], np.dtype(row["kind"])).reshape(len(ids), row["dim"])
+def _vectors(row: pd.Series) -> np.ndarray:
+    return np.frombuffer(row["vec"], np.dtype(row["kind"])).reshape(-1, row["dim"])
+
+
+def _graph(row: pd.Series) -> Graph:
     members = [np.frombuffer(m, np.int32).astype(np.int64) for m in row["members"]]
     layers = [np.frombuffer(x, np.int32).astype(np.int64).reshape(len(m), -1) for x, m in zip(row["near"], members, strict=True)]
-    return ids, np.frombuffer(row["comp"], np.int64), np.frombuffer(row["mult"], np.int64), v, Graph(_unit(v).astype(np.float32), layers, members)
+    return Graph(_unit(_vectors(row)).astype(np.float32), layers, members)
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of packed shards: (shard, id, comp, links, v)."""
+    for batch in batches:
+        for _, row in batch.iterrows():
+            ids, comp, links = (np.frombuffer(row[c], np.int64) for c in ("ids", "comp", "links"))
+            v = _vectors(row)
+            for i in range(0, len(ids), 8192):
+                at = slice(i, i + 8192)
+                yield pd.DataFrame({"shard": row["shard"], "id": ids[at], "comp": comp[at], "links": links[at], "v": list(v[at])})
+
+
+def _answers(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """(id, links, -1, -1) of queries with links in a shard, and (-1, -1, comp, to) of components that they join.
+
+    Rows come by shard, each shard's packed row before its queries.
+    """
+    index = None
+    for pdf in batches:
+        for _, own in pdf.groupby("shard", sort=False):
+            for _, row in own[own["ids"].notna()].iterrows():
+                index = (np.frombuffer(row["comp_of"], np.int64), np.frombuffer(row["mult"], np.int64), _vectors(row), _graph(row))
+            mine = own[own["ids"].isna()]
+            if not len(mine):
+                continue
+            comp, mult, v, graph = index
+            a, b = linked(graph, v, np.stack(mine["v"].to_numpy()), least)
+            if not len(a):
+                continue
+            mine_id, mine_comp = mine["id"].to_numpy(np.int64), mine["comp"].to_numpy(np.int64)
+            counts = np.bincount(a, mult[b], len(mine)).astype(np.int64)
+            hit = np.flatnonzero(counts)
+            edges = np.unique(np.stack((mine_comp[a], comp[b]), axis=1), axis=0)
+            none, blank = np.full(len(hit), -1), np.full(len(edges), -1)
+            yield pd.DataFrame({"id": np.r_[mine_id[hit], blank], "links": np.r_[counts[hit], blank], "comp": np.r_[none, edges[:, 0]], "to": np.r_[none, edges[:, 1]]})
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id) of every non-null id; links are cosines of at least ``least``."""
-    base = cut(merged(vectors, id_col, vec_col))
-    entries = cut(base.where("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("mult")))
-    n = entries.count()
-    shards = max(LEAST_SHARDS, -(-n // SHARD))
-    batches = max(1, -(-n // BATCH))
-    dealt = entries.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    packed = cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: _build(pdf, least), _SHARD))
-
-    def unpacked(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in batch.iterrows():
-            out.append(pd.DataFrame({c: np.frombuffer(row[c], np.int64) for c in ("ids", "comp", "links")}).assign(shard=row["shard"]))
-        return pd.concat(out) if out else pd.DataFrame({"ids": [], "comp": [], "links": [], "shard": []}).astype("int64")
-
-    own = cut(packed.select("shard", "ids", "comp", "links").mapInPandas(lambda it: map(unpacked, it), "ids long, comp long, links long, shard int"))
-    queries = (
-        own.select(F.col("ids").alias("id"), "comp", F.col("shard").alias("home"))
-        .join(entries.select("id", "v"), "id")
-        .withColumn("batch", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(batches)).cast("int"))
-    )
-    every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))).alias("shard")
-    asked = queries.select("id", "comp", "v", "batch", every)
-    held = packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).drop("links")
-
-    def answer(mine: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("id", "links", "comp", "to")})
-        if not len(mine) or not len(index):
-            return none
-        ids, comp, mult, v, graph = _unpack(index.iloc[0])
-        a, b = linked(graph, v, np.stack(mine["v"].to_numpy()), least)
-        if not len(a):
-            return none
-        mine_id, mine_comp = mine["id"].to_numpy(np.int64), mine["comp"].to_numpy(np.int64)
-        counts = np.bincount(a, mult[b], len(mine)).astype(np.int64)
-        hit = np.flatnonzero(counts)
-        edges = np.unique(np.stack((mine_comp[a], comp[b]), axis=1), axis=0)
-        k = len(hit)
-        return pd.DataFrame(
-            {
-                "id": np.r_[mine_id[hit], np.full(len(edges), -1)],
-                "links": np.r_[counts[hit], np.full(len(edges), -1)],
-                "comp": np.r_[np.full(k, -1), edges[:, 0]],
-                "to": np.r_[np.full(k, -1), edges[:, 1]],
-            }
-        )
-
-    found = cut(
-        asked.groupBy("shard", "batch")
-        .cogroup(held.withColumnsRenamed({"shard": "s", "batch": "t"}).groupBy("s", "t"))
-        .applyInPandas(answer, "id long, links long, comp long, to long")
-    )
+    keyed = merged(vectors, id_col, vec_col).select("id", "v", "ok", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
+    base = cut(keyed)
+    entries = cut(base.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.min_by("v", "id").alias("v")))
+    first, shards = {}, 0
+    for r in entries.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row for each length
+        count = max(-(-r["n"] // SHARD), min(LEAST_SHARDS, -(-r["n"] // LEAST)))
+        first[r["dim"]] = (shards, shards + count)
+        shards += count
+    if not shards:
+        return base.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    bounds = [F.create_map(*[F.lit(x) for dim, pair in first.items() for x in (dim, pair[i])])[F.size("v")] for i in (0, 1)]
+    dealt = entries.select("id", "mult", "v", (bounds[0] + F.pmod(F.xxhash64("id"), bounds[1] - bounds[0])).cast("int").alias("shard"))
+    packed = cut(dealt.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(lambda pdf: _build(pdf, least), _SHARD))
+    own = cut(packed.mapInPandas(_entries, f"shard int, id long, comp long, links long, v {entries.schema['v'].dataType.simpleString()}"))
+    others = F.explode(F.filter(F.sequence(bounds[0], bounds[1] - 1), lambda s: s != F.col("shard"))).alias("shard")
+    # numbers are never null, so that pandas keeps them as integers
+    asked = own.select("id", "comp", "v", F.lit(0).alias("dim"), others)
+    held = packed.withColumnRenamed("comp", "comp_of").drop("links").select("*", *[F.lit(0).cast("long").alias(c) for c in ("id", "comp")])
+    rows = held.unionByName(asked, allowMissingColumns=True).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("ids").isNull())
+    found = cut(rows.mapInPandas(lambda it: _answers(it, least), "id long, links long, comp long, to long"))
     across = found.where("links >= 0").groupBy("id").agg(F.sum("links").alias("more"))
     united = components(found.where("links < 0").select(F.col("comp").alias("a"), F.col("to").alias("b")))
     per_entry = (
-        own.select(F.col("ids").alias("id"), "comp", "links")
+        own.select("id", "comp", "links")
         .join(across, "id", "left")
         .join(united, F.col("comp") == F.col("node"), "left")
         .select("id", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "comp").alias("component"))
-        .join(entries.select("id", "v", "mult"), "id")
-        .select("v", (F.col("links") + F.col("mult") - 1).alias("links"), "component")
+        .join(entries.select("id", "k1", "k2", "mult"), "id")
+        .select("k1", "k2", (F.col("links") + F.col("mult") - 1).alias("links"), "component")
     )
     return (
-        base.join(per_entry, "v", "left")
+        base.select("id", "ok", "k1", "k2")
+        .join(per_entry.withColumn("ok", F.lit(True)), ["ok", "k1", "k2"], "left")
         .select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
 
@@ -446,3 +455,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 def op1_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(min(embedding), lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95
+), reach AS (
+  SELECT DISTINCT vec_id, vec_id AS other FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept
+FROM reach r LEFT JOIN counted c ON r.vec_id = c.a GROUP BY r.vec_id
+"""
