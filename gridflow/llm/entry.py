@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op2_block_topk": topk.SQL}
+ORACLE_SQL = {"op1_embedding_near_dedup": vectors.SQL, "op2_block_topk": topk.SQL, "op10_minhash_near_dedup": minhash.SQL}

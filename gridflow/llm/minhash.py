@@ -16,8 +16,8 @@ with one leader, and those still apart with another, each round linear in the
 bucket. What is then left are pairs of different components inside a bucket,
 and all of them are looked at: few, as rows of a join that leaves out pairs
 within the bucket's largest component; many, inside tasks that
-each get two blocks of the bucket's members with their sets and give back only
-links that join components. So no pairs of a settled group are formed, none of
+each get two blocks of the bucket's members with their signatures and sets and
+give back only links that join components. So no pairs of a settled group are formed, none of
 a large bucket become rows, and no link is lost.
 
 The chance that a pair at the threshold shares no band is (1 - s**rows)**bands:
@@ -26,8 +26,10 @@ its estimate is below 1e-5 (``MARGIN`` is over four deviations).
 
 Defined cases: null, empty and blank texts have an empty set, no links, and are
 components of their own; shorter texts than a shingle are one shingle; repeated
-rows are in one class; rows with a null id form no component (null) and are
-kept; other columns are not looked at.
+rows are in one class; of rows that repeat an id with different texts, the
+smallest text stands for the id; rows with a null id form no component (null)
+and are kept; an empty table gives an empty result; very long texts are
+worked on whole, in slices; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -210,17 +212,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, spec: Spec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, n_shingles, component_id)."""
-    sig = cut(signatures(docs, spec, id_col, text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sig = cut(signatures(texts, spec, "id", "text"))
+    # ids with rows of different sets: the smallest text stands for all of them
+    of_set = F.struct("k1", "k2", "n")
+    torn = sig.where("id IS NOT NULL").groupBy("id").agg(F.min(of_set).alias("lo"), F.max(of_set).alias("hi"), F.count("*").alias("rows"))
+    torn = cut(torn.where("lo <> hi").select("id", "rows"))
+    if not torn.isEmpty():
+        one = cut(texts.join(torn.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        again = signatures(one, spec, "id", "text").join(torn, "id").withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
+        sig = cut(sig.join(torn.select("id"), "id", "left_anti").unionByName(again))
+        texts = texts.join(torn.select("id"), "id", "left_anti").unionByName(one)
     planes = [f"p{i}" for i in range(4)]
     classes = cut(
         sig.where("n > 0 AND id IS NOT NULL")
         .groupBy("k1", "k2", "n")
         .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in planes])
     )
-    # the text of each class's smallest id; repeated rows with that id have one text or another of the set
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if not classes.groupBy("id").count().where("count > 1").isEmpty():
-        raise ValueError(f"{id_col} is not unique: one id has different texts")
     links = _links(classes, texts, spec)
     if links is None:
         labelled = classes.select("k1", "k2", "n", F.col("id").alias("component_id"))
@@ -286,7 +294,7 @@ def _links(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame | None
     more.append(_confirm(cut(close), texts, spec).where("link").select("a", "b"))
     many = cut(apart.join(kinds.where("NOT few"), ["band", "h"]))
     if not many.isEmpty():
-        more.append(_in_blocks(many, texts, spec))
+        more.append(_in_blocks(many, texts, of_id, spec))
     out = more[0]
     for m in more[1:]:
         out = out.unionAll(m)
@@ -326,7 +334,7 @@ def _opposed(apart: DataFrame, kinds: DataFrame, near: DataFrame, far: DataFrame
     return x.join(y, ["band", "h", "salt"]).where(F.col("in_main") | (F.col("a") < F.col("b")))
 
 
-def _in_blocks(many: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
+def _in_blocks(many: DataFrame, texts: DataFrame, of_id: DataFrame, spec: Spec) -> DataFrame:
     """Links between different components of large buckets, compared two blocks at a time.
 
     The largest component of a bucket has blocks of its own, which meet only
@@ -348,36 +356,41 @@ def _in_blocks(many: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     members = cut(many.select("id").distinct())
     sets = shingle_sets(texts.join(small(members), "id", "left_semi"), spec)
     percent = spec.percent
+    planes = [f"p{i}" for i in range(4)]
+    sets = sets.join(of_id.select("id", *[F.col("p")[p].alias(p) for p in planes]), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _links_within(pdf["id"].to_numpy(), pdf["component"].to_numpy(), list(pdf["s"]), percent)
+        return _links_within(pdf["id"].to_numpy(), pdf["component"].to_numpy(), list(pdf["s"]), pdf[planes].to_numpy(np.int64), percent)
 
     return cut(placed.join(sets, "id").groupBy("band", "h", "x", "y").applyInPandas(run, "a long, b long").distinct())
 
 
-def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, percent: int) -> pd.DataFrame:
+def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarities of one packed signature (4) with others (n, 4), as :func:`_estimate_of`."""
+    d = others ^ one
+    apart = np.bitwise_count((d[:, :2] | d[:, 2:]).view(np.uint64)).sum(axis=1)
+    return (1 - apart / PLANE - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, planes: np.ndarray, percent: int) -> pd.DataFrame:
     """Links that join different parts: enough of them to join all that belong together."""
     sizes = np.array([len(s) for s in sets])
     order = np.lexsort((ids, -sizes))
-    ids, parts, sizes, sets = ids[order], parts[order], sizes[order], [sets[i] for i in order]
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    seen = np.zeros(len(vocabulary), np.int32)
+    ids, parts, sizes, sets, planes = ids[order], parts[order], sizes[order], [sets[i] for i in order], np.ascontiguousarray(planes[order])
     _, part = np.unique(parts, return_inverse=True)
     out = []
     for i in range(len(ids) - 1):
         # sizes fall: sets from ``last`` on are too small to be linked
         last = i + 1 + int(np.searchsorted(-sizes[i + 1 :] * 100, -sizes[i] * percent, side="right"))
-        if last <= i + 1 or (part[i + 1 : last] == part[i]).all():
+        todo = np.flatnonzero(part[i + 1 : last] != part[i]) + i + 1
+        if not len(todo):
             continue
-        seen[flat[ends[i] : ends[i + 1]]] = 1
-        both = np.add.reduceat(seen[flat[ends[i + 1] : ends[last]]], ends[i + 1 : last] - ends[i + 1])
-        seen[flat[ends[i] : ends[i + 1]]] = 0
-        linked = np.flatnonzero(both * 100 >= (sizes[i] + sizes[i + 1 : last] - both) * percent) + i + 1
-        for j in linked:
+        for j in todo[estimates(planes[i], planes[todo]) >= percent / 100 - MARGIN].tolist():
             if part[j] != part[i]:
-                out.append((ids[i], ids[j]))
-                part[part == part[j]] = part[i]
+                both = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j]))
+                if both * 100 >= (sizes[i] + sizes[j] - both) * percent:
+                    out.append((ids[i], ids[j]))
+                    part[part == part[j]] = part[i]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -409,3 +422,20 @@ def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
         "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM w
+), one AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s
+), t AS (SELECT id, n, unnest(s) AS t FROM one
+), pairs AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.id <> b.id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (na + nb - k)
+), reach AS (SELECT id, id AS other FROM one UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a
+), class AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(c.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN one o ON s.s = o.s LEFT JOIN class c ON o.id = c.id
+"""
