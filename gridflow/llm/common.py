@@ -11,16 +11,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have before it is no longer broadcast. Each row here is a
-#: pair of numbers or a short key, so the bound is a few MB.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of strings that a side may have before it is no longer broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is set; on a cluster executors could not read it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
@@ -41,17 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before each that ``df`` already has (case does not count)."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``bound`` rows, else as it is.
+    """``df`` with a broadcast hint if it has at most ``bound`` rows and ``BROADCAST_BYTES`` of strings, else as it is.
 
     The caller has cut ``df``, so counting is cheap. Beyond the bound Spark
     joins by shuffle, where adaptive execution splits hot partitions.
     """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    width = sum(strings, F.lit(0)).cast("long")
+    held = df.limit(bound + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if held["rows"] <= bound and held["bytes"] <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:

@@ -9,14 +9,19 @@ whole corpus gets the same replacement (coreference):
 * digits and letters are shifted by keyed hashes of all symbols to the left,
   then of all symbols to the right. Both passes can be undone, so two entities
   of one format never meet (distinctness by construction); signs stay, letters
-  keep case and script, vowels stay vowels;
+  keep case and script, and the common vowels stay vowels. Letters of scripts
+  without case move within their 16 neighbours among the code points;
 * addresses shift whole octets and stay addresses; card numbers keep the first
   digit and are valid by the check digit exactly if the original was; phone
   numbers keep their country code;
 * the given name of a titled person comes from a list for the title's gender
   and the name's script. Lists are finite, so a collision check over the
   distinct entities of the corpus finds equal surrogates and draws again for
-  all but one of them, until none are equal.
+  all but one of them, and for surrogates that are an entity of the corpus
+  themselves (their own among them), until there are none.
+
+Found are emails with domains of ASCII letters, numbers in the formats below, and
+names that follow a title; names without one are not.
 
 Surrogates are drawn once for each distinct entity of the corpus, laid into
 each distinct mention, and joined to the documents that hold it; what is
@@ -25,16 +30,19 @@ they are. A mention that a third of all documents share is one row on the
 mention side; the joins' hot partitions are split by adaptive execution.
 
 Defined cases: a null text stays null; an empty one stays empty; null ids and
-repeated rows are kept; other columns pass through untouched (a column
-``__replace`` or ``n_<type>`` of the input would be overwritten).
+repeated rows are kept; an empty table gives an empty result; very long texts
+are worked on whole; all other columns pass through untouched. Counts have
+underscores before their names where the input has such a column.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, spare
 
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Signora", "г-жа", "госпожа", "Κυρία")
@@ -62,6 +70,18 @@ ALPHABETS = (
     "βγδζθκλμνξπρστφχψ",
 )
 
+
+
+def _cased() -> tuple[str, ...]:
+    """The other small letters that have a capital, by script (Latin, Greek, Cyrillic, Armenian)."""
+    scripts: dict[str, str] = {}
+    for c in map(chr, (*range(0x80, 0x590), *range(0x1E00, 0x2000))):
+        if unicodedata.category(c) == "Ll" and len(c.upper()) == 1 and c.upper() != c == c.upper().lower() and not any(c in x for x in ALPHABETS):
+            script = unicodedata.name(c).split(" ")[0]
+            scripts[script] = scripts.get(script, "") + c
+    return tuple(x for x in scripts.values() if len(x) > 1)
+
+
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 EMAIL = rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}})\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -120,6 +140,9 @@ def canonical(m: Column) -> Column:
     )
 
 
+_CASED = _cased()
+
+
 def _draw(key: str, *parts: Column) -> Column:
     """A keyed number from 0 to 2**28 - 1."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *parts), 256), 1, 7), 16, 10).cast("int")
@@ -131,7 +154,9 @@ def _pass(s: str, tweak: str) -> Column:
     The result is reversed. The key is in column ``__key``.
     """
     draw = f"cast(conv(substr(sha2(concat_ws('|', __key, {tweak}, i, substr({s}, 1, i)), 256), 1, 7), 16, 10) as int)"
-    cases = " ".join(f"when instr('{x}', c) > 0 then substr('{x}', pmod(instr('{x}', c) - 1 + {draw}, {len(x)}) + 1, 1)" for x in ALPHABETS)
+    cases = " ".join(f"when instr('{x}', c) > 0 then substr('{x}', pmod(instr('{x}', c) - 1 + {draw}, {len(x)}) + 1, 1)" for x in ALPHABETS + _CASED)
+    near = f"decode(unhex(lpad(hex(ascii(c) - pmod(ascii(c), 16) + pmod(ascii(c) + {draw}, 16)), 8, '0')), 'UTF-32')"
+    cases += f" when c rlike '\\\\p{{L}}' then {near}"
     return F.expr(f"reverse(array_join(transform(filter(split({s}, ''), c -> c != ''), (c, i) -> case {cases} else c end), ''))")
 
 
@@ -164,8 +189,8 @@ def _given(gender: Column, given: Column, key: str) -> Column:
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """Adds ``s`` to rows (kind, canon, attempt): the entity's surrogate at that draw (0: the first).
 
-    A later draw joins the shifted given name to the listed one; that differs
-    wherever the given names differ. Letters are in lower case but for given names from a list; :func:`laid_in`
+    A later draw joins the given name, shifted by draw and gender, to the listed
+    one; that differs wherever the given names differ. Letters are in lower case but for given names from a list; :func:`laid_in`
     gives them a mention's format.
     """
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
@@ -185,7 +210,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     )
     by = (
         F.when(kind == "email", F.concat(tweak, F.lit("@"), F.col("__domain")))
-        .when(kind == "name", F.lit("family"))
+        .when(kind == "name", F.concat(F.lit("family"), F.when((attempt > 0) & (F.size("__words") < 2), F.concat(F.lit("#"), attempt.cast("string"))).otherwise("")))
         .when(kind == "card", F.concat(tweak, F.substring(canon, 1, 1)))
         .otherwise(tweak)
     )
@@ -194,7 +219,8 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     second = F.when(kind == "email", F.substring("__domain", F.lit(1), F.length("__domain") - F.length("__top"))).otherwise(
         F.when((kind == "name") & (F.size("__words") > 1), F.element_at("__words", 1)).otherwise("")
     )
-    df = _shifted(df, "__second", second, key, F.when(kind == "email", F.concat(F.lit("email"), F.col("__top"))).otherwise("given"))
+    drawn = F.concat(F.lit("given"), F.when(attempt > 0, F.concat_ws("#", F.lit(""), attempt.cast("string"), F.substring(canon, 1, 1))).otherwise(""))
+    df = _shifted(df, "__second", second, key, F.when(kind == "email", F.concat(F.lit("email"), F.col("__top"))).otherwise(drawn))
     # octets, forward and backward
     octet = F.split(F.when(kind == "ip", canon).otherwise("0.0.0.0"), r"\.")
     df = df.withColumns({f"__o{i}": octet[i].cast("int") for i in range(4)})
@@ -210,7 +236,9 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     card = F.concat(lead, F.pmod(_luhn(lead) + F.col("__off"), F.lit(10)).cast("string"))
     listed = _given(F.substring(canon, 1, 1), F.element_at("__words", 1), key)
     given = F.when(attempt > 0, F.concat_ws("-", listed, F.initcap("__second"))).otherwise(F.coalesce(listed, F.col("__second")))
-    name = F.when(F.size("__words") < 2, F.col("__main")).otherwise(F.concat(given, F.lit(" "), F.col("__main")))
+    # a family name alone that is short may find all names of its format taken: later draws make it longer
+    longer = F.when(attempt > 2, F.lower(F.coalesce(listed, F.col("__main")))).otherwise("")
+    name = F.when(F.size("__words") < 2, F.concat("__main", longer)).otherwise(F.concat(given, F.lit(" "), F.col("__main")))
     s = (
         F.when(kind == "email", F.concat("__main", F.lit("@"), "__second", "__top"))
         .when(kind == "ip", F.concat_ws(".", *[F.col(f"__o{i}").cast("string") for i in range(4)]))
@@ -246,17 +274,20 @@ def laid_in(m: Column, kind: Column, s: Column) -> Column:
     )
 
 
-def distinct_surrogates(found: DataFrame, key: str, rounds: int = 5) -> DataFrame:
+def distinct_surrogates(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     """(kind, canon, attempt, s) of distinct (kind, canon), after the collision check.
 
     Two entities of a kind collide if their surrogates are equal but for case.
-    In each collision the smallest canonical form stays, the others draw again.
+    In each collision the smallest canonical form stays, the others draw again;
+    where the surrogate is an entity that was found itself, all do.
     """
     state = cut(surrogates(found.withColumn("attempt", F.lit(0)), key))
+    bare = F.when(F.col("kind") == "name", F.substring("canon", F.lit(3), F.length("canon"))).otherwise(F.col("canon"))
+    real = cut(found.select("kind", bare.alias("low")).distinct()).withColumn("real", F.lit(True))
     for _ in range(rounds):
         low = F.lower("s").alias("low")
-        clash = state.groupBy("kind", low).agg(F.count("*").alias("n"), F.min("canon").alias("stays")).where("n > 1")
-        clash = cut(clash.select("kind", "low", "stays"))
+        clash = state.groupBy("kind", low).agg(F.count("*").alias("n"), F.min("canon").alias("stays")).join(real, ["kind", "low"], "left")
+        clash = cut(clash.where("n > 1 OR real").select("kind", "low", F.when(F.col("real"), "").otherwise(F.col("stays")).alias("stays")))
         if clash.isEmpty():
             return state
         again = F.when(F.col("stays").isNotNull() & (F.col("canon") != F.col("stays")), F.col("attempt") + 1).otherwise(F.col("attempt"))
@@ -265,39 +296,38 @@ def distinct_surrogates(found: DataFrame, key: str, rounds: int = 5) -> DataFram
     raise RuntimeError(f"surrogates still collide after {rounds} draws")
 
 
-def replacements(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, __replace map<mention, replacement>) of the ids whose texts hold an entity."""
-    text = F.col(text_col)
-    mention = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))).alias("m")
-    held = cut(docs.where(holds_entity(text)).select(F.col(id_col).alias("__id"), mention).distinct())
+def replacements(held: DataFrame, key: str) -> DataFrame:
+    """(row, replace map<mention, replacement>) of rows (row, m): the mentions that each row's text holds."""
     m = F.col("m")
     distinct = cut(held.select("m").distinct().select("m", kind_of(m).alias("kind"), canonical(m).alias("canon")))
     drawn = distinct_surrogates(distinct.select("kind", "canon").distinct(), key)
     laid = cut(distinct.join(drawn, ["kind", "canon"]).select("m", laid_in(m, F.col("kind"), F.col("s")).alias("r")))
-    pairs = held.join(small(laid), "m")
-    return pairs.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("m", "r"))).alias("__replace"))
+    return held.join(small(laid), "m").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("m", "r"))).alias("replace"))
 
 
-def replace_pii(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id", counts: bool = False) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with every entity of ``text_col`` replaced; all other columns as they are.
 
     ``counts`` adds ``n_<type>`` for each type of entity.
     """
     text = F.col(text_col)
     hit = holds_entity(text)
-    mine = docs.where(hit)
-    with_map = replacements(docs, key, id_col, text_col)
-    mine = mine.join(with_map, mine[id_col].eqNullSafe(with_map["__id"]), "left").drop("__id")
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    zipped = F.arrays_zip(F.split(text, ENTITY, -1).alias("p"), found.alias("m"))
-    known = F.col("__replace")
-    woven = F.array_join(F.transform(zipped, lambda z: F.concat(z["p"], F.when(z["m"].isNull(), "").otherwise(F.element_at(known, z["m"])))), "")
-    changed, same = {text_col: woven}, {}
+    names = docs.columns
+    row, found = spare(docs, "row", "found")
+    # rows are known by their place in the cut table, as ids may be null or repeat
+    mine = cut(docs.where(hit).withColumns({row: F.monotonically_increasing_id(), found: F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))}))
+    maps = replacements(mine.select(F.col(row).alias("row"), F.explode(F.array_distinct(found)).alias("m")), key)
+    own, known = spare(mine, "own", "known")
+    mine = mine.join(maps.toDF(own, known), F.col(row) == F.col(own), "left")
+    zipped = F.arrays_zip(F.split(text, ENTITY, -1).alias("p"), F.col(found).alias("m"))
+    woven = F.array_join(F.transform(zipped, lambda z: F.concat(z["p"], F.when(z["m"].isNull(), "").otherwise(F.element_at(F.col(known), z["m"])))), "")
+    kept = [woven.alias(c) if c == text_col else F.col(c) for c in names]
+    rest = docs.where(~hit)
     if counts:
         kinds = F.transform(found, kind_of)
-        changed |= {f"n_{t}": (F.size(kinds) - F.size(F.array_remove(kinds, t))).cast("long") for t in TYPES}
-        same = {f"n_{t}": F.lit(0).cast("long") for t in TYPES}
-    return docs.where(~hit).withColumns(same).unionByName(mine.withColumns(changed).drop("__replace"))
+        kept += [(F.size(kinds) - F.size(F.array_remove(kinds, t))).cast("long").alias(c) for t, c in zip(TYPES, spare(docs, *[f"n_{t}" for t in TYPES]), strict=True)]
+        rest = rest.select("*", *[F.lit(0).cast("long").alias(c) for c in spare(docs, *[f"n_{t}" for t in TYPES])])
+    return rest.union(mine.select(*kept))
 
 
 #: The key of the registered query. A deployment passes its own secret.

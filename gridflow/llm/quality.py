@@ -15,8 +15,9 @@
 Defined cases: null and empty texts have neutral features (zeros); null hosts
 and paths are sites of their own; ids without labels and labels without
 documents are passed by; without labels of both kinds every document keeps
-probability 1; repeated rows get equal scores; all columns are kept and other
-columns are not looked at.
+probability 1; repeated rows get equal scores; an empty table gives an empty
+result; very long texts are scored whole; all columns are kept (but for one
+called ``__quality``, which is replaced) and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, spare
 
 #: Labelled documents that the model is fitted to, at most.
 SAMPLE = 20_000
@@ -90,14 +91,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``bound`` labelled ids with their documents: (__id, __y, all columns of ``docs``); by hash of the id."""
+    """At most ``bound`` labelled ids with the documents (two columns): (__id, __y, __text); by hash of the id."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(target).alias("__y"))
     chosen = cut(one.orderBy(F.xxhash64("__id"), "__id").limit(bound))
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"])
+    return docs.toDF("__id", "__text").join(F.broadcast(chosen), "__id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
-    rows = labelled(docs.select(id_col, text_col), labels, "quality", sample, id_col).select("__id", "__y", features(F.col(text_col)).alias("f"))
+    rows = labelled(docs.select(id_col, text_col), labels, "quality", sample, id_col).select("__id", "__y", features(F.col("__text")).alias("f"))
     one = rows.groupBy("__id").agg(F.first("__y").alias("y"), F.min("f").alias("f"))
     got = np.array([(r.y, *r.f) for r in one.select("y", "f").collect()], float)
     if not len(got) or len(np.unique(got[:, 0])) < 2:
@@ -159,6 +160,10 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _chance(odds: str) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(odds)))
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -168,22 +173,24 @@ def classify(
     text_col: str = "text",
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """``docs`` with __quality: the probability of good quality."""
+    """``docs`` with __quality: the probability of good quality (a column of that name is replaced)."""
     w = fit(docs, labels, sample, id_col, text_col)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")
+    names = docs.columns
+    if w is None:
+        return docs.withColumn("__quality", F.lit(1.0))
+    odds_, h, q, p, host_, path_, n, s, mean = spare(docs, "odds", "h", "q", "p", "host", "path", "n", "s", "mean")
     odds = log_odds(F.col(text_col), w)
-    probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__odds")))
-    scored = docs.select(host, path, odds.alias("__odds")).select("host", "path", probability.alias("p"))
+    scored = docs.select(host, path, odds.alias("odds")).select("host", "path", _chance("odds").alias("p"))
     sites, prior = site_posteriors(scored)
-    sites = small(sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("host_mean").alias("__mean")))
-    mine = docs.withColumns({"__odds": odds, "__h": host, "__q": path}).withColumn("__p", probability)
-    joined = mine.join(sites, (F.col("__h") == F.col("__host")) & (F.col("__q") == F.col("__path")), "left")
+    sites = small(sites.toDF(host_, path_, n, s, mean))
+    mine = docs.withColumns({odds_: odds, h: host, q: path}).withColumn(p, _chance(odds_))
+    joined = mine.join(sites, (F.col(h) == F.col(host_)) & (F.col(q) == F.col(path_)), "left")
     # the path's posterior from its other documents
-    site = (F.col("__s") - F.col("__p") + prior.path * F.col("__mean")) / (F.col("__n") - 1 + prior.path)
-    moved = F.col("__odds") + _logit(site) - math.log(prior.mean / (1 - prior.mean))
-    out = joined.withColumn("__quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-moved))) if w is not None else joined.withColumn("__quality", F.lit(1.0))
-    return out.drop("__odds", "__h", "__q", "__p", "__host", "__path", "__n", "__s", "__mean")
+    site = (F.col(s) - F.col(p) + prior.path * F.col(mean)) / (F.col(n) - 1 + prior.path)
+    moved = F.col(odds_) + _logit(site) - math.log(prior.mean / (1 - prior.mean))
+    return joined.select(*[F.col(c) for c in names if c != "__quality"], (F.lit(1.0) / (F.lit(1.0) + F.exp(-moved))).alias("__quality"))
 
 
 def op6_quality_bayes(spark, sf_dir: str) -> DataFrame:

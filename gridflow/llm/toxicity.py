@@ -12,8 +12,9 @@ so grades order the toxic documents by how much of it they hold.
 
 Defined cases: null and empty texts have no terms and the lowest severity;
 labels without documents are passed by; without labels of both kinds no
-document is toxic; repeated rows get equal scores; all columns are kept and
-other columns are not looked at.
+document is toxic; repeated rows get equal scores; an empty table gives an
+empty result; very long texts are scored whole; all columns are kept (but for
+``__toxic`` and ``__severity``, which are replaced) and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spare
 from .quality import labelled
 
 #: Labelled documents that the model is fitted to, at most.
@@ -116,7 +117,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 3e-4,
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
     rows = labelled(docs.select(id_col, text_col), labels, "toxic", sample, id_col)
-    rows = cut(rows.groupBy("__id").agg(F.first("__y").alias("__y"), F.max(text_col).alias("text")).repartition(32, "__id"))
+    rows = cut(rows.groupBy("__id").agg(F.first("__y").alias("__y"), F.max("__text").alias("text")).repartition(32, "__id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
                 if len(out["id"]) > 200_000:
                     yield pd.DataFrame(out)
                     out = {c: [] for c in out}
-            yield pd.DataFrame(out)
+            if out["id"]:
+                yield pd.DataFrame(out)
 
     counted = rows.mapInPandas(count, "id long, y int, term string, n long, size long")
     counted = cut(counted)
@@ -182,8 +184,9 @@ def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def scored(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.score(t) for t in text], columns=["toxic", "severity"])
 
-    out = docs.withColumn("__scored", scored(F.col(text_col)))
-    return out.withColumns({"__toxic": F.col("__scored.toxic"), "__severity": F.col("__scored.severity")}).drop("__scored")
+    (held,) = spare(docs, "scored")
+    out = docs.withColumn(held, scored(F.col(text_col)))
+    return out.withColumns({"__toxic": F.col(held)["toxic"], "__severity": F.col(held)["severity"]}).drop(held)
 
 
 def op5_toxicity_ordinal(spark, sf_dir: str) -> DataFrame:

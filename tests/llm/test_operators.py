@@ -88,7 +88,7 @@ def test_top_k_is_exact_with_ties(spark):
 
 def test_blocks_are_pruned():
     x = np.repeat(np.eye(16, dtype=np.int64) * 100, 64, axis=0)
-    _, _, _, scored = topk.best_of_shard(np.arange(1024), x, np.array([0]), x[:1], 5)
+    _, _, _, scored = topk.Shard(np.arange(1024), x).best(np.array([0]), x[:1], 5)
     assert scored < 4
 
 
@@ -133,11 +133,74 @@ def test_transducer_is_minimal_and_exact():
     held = [b"walking", b"talking", b"walked", b"talked", b"w", b""]
     m = bpe.Lexicon.mapped(bpe.Lexicon.compile(held[:-1], v.merged).pack())
     at = m.lookup([*held, b"wal", b"walkings"])
-    assert [m.ids_at(i).tolist() if i >= 0 else None for i in at[:5]] == [v.merged(w) for w in held[:5]]
+    assert [m.ids[m.offset[i] : m.offset[i + 1]].tolist() for i in at[:5]] == [v.merged(w) for w in held[:5]]
     assert (at[5:] == -1).all()
     assert len(np.unique(m.keys // 256)) == 9  # root, w, t, and the shared a l k, in, e
 
 
+def test_frequent_words_are_the_top_with_a_tie_rule(spark):
+    texts = ["b b b a a a c c d"] * 3 + ["e"]
+    v = bpe.Vocabulary.at(PATH)
+    for size, want in ((0, []), (1, [b" a"]), (2, [b" a", b" b"]), (3, [b" a", b" b", b" c"]), (99, [b" a", b" b", b" c", b" d", b"b", b"e"])):
+        assert sorted(bpe.frequent_words(docs_of(spark, texts), PATH, size)) == want
+    assert v.merged_many([])[1].tolist() == []
+
+
+def test_words_merged_side_by_side_equal_words_merged_alone():
+    rng = random.Random(5)
+    v = bpe.Vocabulary.at(PATH)
+    held = [bytes(rng.choices(b"abcder tion", k=rng.randint(1, 90))) for _ in range(2000)] + [rng.randbytes(rng.randint(1, 50)) for _ in range(500)]
+    ids, counts = v.merged_many(held)
+    alone = [v.merged(w) for w in held]
+    assert counts.tolist() == list(map(len, alone)) and ids.tolist() == [i for x in alone for i in x]
+
+
+def test_token_files_are_smaller_than_deflated_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    arrays = bpe.Encoder(bpe.Vocabulary.at(PATH)).encode(texts)
+    flat = np.concatenate(arrays)
+    payload = tokenfile.pack_file(list(range(len(arrays))), arrays, 50257)
+    assert len(payload) < 0.95 * len(zlib.compress(flat.astype("<u2").tobytes(), 9))
+    share = np.unique(flat, return_counts=True)[1] / len(flat)
+    assert len(payload) < len(flat) * -(share * np.log2(share)).sum() / 8 + 4 * len(share)
+    long = np.tile(np.arange(40), 4000)
+    assert len(tokenfile.pack_file([1], [long], 50257)) < len(long) / 8
+
+
+def test_op3_and_op9_equal_the_library_on_their_whole_table(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    ids = [library.encode(r.text or "", add_special_tokens=False).ids for r in rows]
+    raw = [np.array(x, "<u4").tobytes() for x in ids]
+    back = [library.decode(x, skip_special_tokens=False).encode() for x in ids]
+    want = {(r.doc_id, len(x), hashlib.sha256(w).hexdigest(), hashlib.sha256(b).hexdigest()) for r, x, w, b in zip(rows, ids, raw, back, strict=True)}
+    got = bpe.op3_bpe_transducer(spark, sf)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert set(map(tuple, got.collect())) == want
+    start, want = 0, set()
+    for r, x, w in zip(rows, ids, raw, strict=True):
+        want.add((r.doc_id, start, len(x) + 1, zlib.crc32(w + np.array([2], "<u4").tobytes())))
+        start += len(x) + 1
+    got = tokenfile.op9_token_files(spark, sf)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert set(map(tuple, got.collect())) == want
+
+
+def test_every_assigned_script_is_encoded_like_the_library():
+    from tokenizers import Tokenizer
+
+    points = [*range(0x20, 0x3000), *range(0x3000, 0x20000, 7), *range(0x20000, 0x110000, 997)]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)} .{chr(c)}.'{chr(c)}" for c in points if not 0xD800 <= c < 0xE000]
+    got = bpe.Encoder(bpe.Vocabulary.at(PATH)).encode(texts)
+    want = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(got, want, strict=True))
+    odd = bpe.Encoder(bpe.Vocabulary.at(PATH)).split(["\u201cquoted\u201d \u2013 \u4e2d\u6587 \u0627\u0644 \U0001f600 \u20ac"])[2]
+    assert not odd.any()  # typographic signs, CJK, Arabic and emoji do not leave the transducer
+
+
 def test_token_files_round_trip_and_notice_damage(spark, tmp_path):
     rng = np.random.default_rng(0)
     for arrays in ([np.array([5])], [rng.integers(0, 50257, k) for k in (1, 0, 3000, 2048)], [np.array([7] * 5000)]):
@@ -302,21 +365,28 @@ def test_ordinal_thresholds_are_ordered():
     assert (np.diff(theta) > 0).all() and w[0] > 0 > w[1]
 
 
+def trial(left, size, sizes):
+    """Cost for each token of a bin that takes, of the lengths left (falling), each that fits."""
+    used = 0
+    for n in left:
+        used += n if used + n <= size else 0
+    return packing.cost(min(s for s in sizes if s >= used)) / used
+
+
 def naive_best_fit(lengths, sizes):
-    bins, out, rest = [], [], sum(lengths)
+    bins, out = [], []
     for n in lengths:
         fits = [b for b in bins if b[0] - b[1] >= n]
         if fits:
             room = min(b[0] - b[1] for b in fits)
             b = max((b for b in fits if b[0] - b[1] == room), key=lambda b: b[3])
         else:
-            size = min((s for s in sizes if s >= n), key=lambda s: (packing.cost(s) / min(s, rest), s))
+            size = min((s for s in sizes if s >= n), key=lambda s: (trial(lengths[len(out) :], s, sizes), s))
             b = [size, 0, len(bins), 0]
             bins.append(b)
         out.append((b[2], b[1]))
         b[1] += n
         b[3] = len(out)
-        rest -= n
     final = [min(s for s in sizes if s >= b[1]) for b in bins]
     return [b for b, _ in out], [o for _, o in out], [final[b] for b, _ in out]
 
