@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflow.llm import minhash, packing, pii, quality, toxicity
-from gridflow.llm.common import ensure_checkpoint_dir, table
+from gridflow.llm.common import cut, ensure_checkpoint_dir, spare, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +30,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    The smallest doc_id stays. Rows that repeat a doc_id are one document; rows
-    without a doc_id can't be told apart and all stay.
+    The smallest doc_id stays. Rows that repeat a doc_id are one document, the one
+    with the smallest text; rows without a doc_id can't be told apart and all stay.
     """
     found = minhash.near_duplicates(docs, minhash.Spec(shingle=5, percent=80))
-    kept = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows"))
-    kept = kept.select(F.col("id").alias("__id"), "rows")
-    one = docs.join(kept, docs["doc_id"] == kept["__id"])
-    once, again = one.where("rows = 1").select(*docs.columns), one.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    kept = cut(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows")))
+    ids = {k: kept.where(f"rows {k} 1").select("id") for k in ("=", ">")}
+    once, again = (docs.join(i, docs["doc_id"] == i["id"], "left_semi") for i in ids.values())
+    (whole,) = spare(docs, "whole")
+    order = F.struct(F.col("text").isNull(), "text", F.to_json(F.struct(*[docs[c] for c in docs.columns])))
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), order).alias(whole)).select(f"{whole}.*")
+    return once.union(again).union(docs.where("doc_id IS NULL"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
