@@ -6,7 +6,9 @@ and 1 for masked points. Angles are degrees; areas are on the unit sphere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +36,27 @@ def regular_grid(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     return out.withColumns({"area": area, "mask": F.when(cell % 7 == 0, 1).otherwise(0)})
 
 
+def with_corners(grid: DataFrame) -> DataFrame:
+    """A regular grid with the corners of its cells, clon and clat, anticlockwise from the south-west."""
+    return grid.withColumns({"clon": F.array("lon_lo", "lon_hi", "lon_hi", "lon_lo"), "clat": F.array("lat_lo", "lat_lo", "lat_hi", "lat_hi")})
+
+
+def turned(lon: Column, lat: Column, tilt: float) -> tuple[Column, Column]:
+    """(lon, lat) after the sphere is turned by ``tilt`` degrees about the axis through longitudes 90 and 270 on the equator."""
+    a = math.radians(tilt)
+    x, y, z = F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+    new_x, new_z = x * math.cos(a) + z * math.sin(a), z * math.cos(a) - x * math.sin(a)
+    return F.pmod(F.degrees(F.atan2(y, new_x)), F.lit(360.0)), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), new_z))))
+
+
+def rotated_grid(spark: SparkSession, nx: int, ny: int, tilt: float = 30.0) -> DataFrame:
+    """(cell, i, j, lon, lat, clon, clat, mask): a regular grid whose poles are turned away, so that rows and columns bend."""
+    base = regular_grid(spark, nx, ny)
+    lon, lat = turned(F.col("lon"), F.col("lat"), tilt)
+    corners = [turned(F.col(x), F.col(y), tilt) for x, y in (("lon_lo", "lat_lo"), ("lon_hi", "lat_lo"), ("lon_hi", "lat_hi"), ("lon_lo", "lat_hi"))]
+    return base.select("cell", "i", "j", lon.alias("lon"), lat.alias("lat"), F.array(*[c[0] for c in corners]).alias("clon"), F.array(*[c[1] for c in corners]).alias("clat"), "mask")
+
+
 def product_grid(axes: dict[str, DataFrame]) -> DataFrame:
     """Cartesian product of coordinate axes, the first axis slowest, numbered from 1 as ``cell``.
 
