@@ -41,7 +41,7 @@ SHARD = 65_536  # entries a shard holds at most, on average
 LEAST_SHARDS, LEAST = 6, 2_048  # so many shards at least, if they then hold so many entries
 DEGREE = 12  # neighbours on upper layers; twice that on the lowest
 BUILD_BEAM = 48
-BEAM = 12  # first beam of a search
+BEAM = 6  # first beam of a search
 AUDIT = 192  # audited queries of a batch, and audited entries of a shard
 RECALL = 0.99
 
@@ -82,7 +82,7 @@ class Graph:
         for at in range(level[0] + 1):
             own = order[level[order] >= at]
             members.append(own)
-            layers.append(_layer(x[own], DEGREE * (2 if at == 0 else 1)))
+            layers.append(_reachable(_layer(x[own], DEGREE * (2 if at == 0 else 1))))
         return cls(x, layers, members)
 
     def descend(self, q: np.ndarray) -> np.ndarray:
@@ -204,6 +204,30 @@ def _layer(x: np.ndarray, width: int) -> np.ndarray:
     return near
 
 
+def _reachable(near: np.ndarray, spare: int = 4) -> np.ndarray:
+    """The lists with room for ``spare`` more, in which entries that no search could come to from the first one get a link from a neighbour of theirs."""
+    near = np.pad(near, ((0, 0), (0, spare)), constant_values=-1)
+    seen = np.zeros(len(near), bool)
+    edge = np.zeros(1, np.int64)
+    while True:
+        while len(edge):
+            seen[edge] = True
+            edge = np.unique(near[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~seen[edge]]
+        fixed = []
+        for u in np.flatnonzero(~seen):
+            for v in near[u][near[u] >= 0]:
+                free = np.flatnonzero(near[v] < 0)
+                if seen[v] and len(free):
+                    near[v, free[0]] = u
+                    fixed.append(u)
+                    break
+        if not fixed:
+            return near
+        edge = np.array(fixed)
+
+
 def _link_back(x: np.ndarray, near: np.ndarray, new: np.ndarray, width: int) -> None:
     """The neighbours of ``new`` get links back; full lists are chosen anew."""
     src = np.repeat(new, width)
@@ -292,8 +316,9 @@ def linked(graph: Graph, raw: np.ndarray, q: np.ndarray, least: float) -> tuple[
     sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
     true_q, true_e = scan(np.unique(sample))
     truth = set(zip(true_q.tolist(), true_e.tolist(), strict=True))
+    share = 2  # of the shard that a beam may have before a scan takes its place
     while len(todo):
-        if beam * 2 >= n:
+        if beam * share >= n:
             a, b = scan(todo)
             full = np.empty(0, int)
         elif known_recall(graph, least, beam) < RECALL:
@@ -311,7 +336,8 @@ def linked(graph: Graph, raw: np.ndarray, q: np.ndarray, least: float) -> tuple[
             a, b = a[~wide], b[~wide]
         out_q.append(a)
         out_e.append(b)
-        todo, beam = full, beam * 2
+        # queries with many links: array products over the whole shard soon cost less than wide beams
+        todo, beam, share = full, beam * 2, 256
     if not out_q:
         return np.empty(0, int), np.empty(0, int)
     a, b = np.concatenate(out_q), np.concatenate(out_e)
