@@ -40,6 +40,16 @@ def list_name(names: Column, k: int) -> Column:
     return F.get(as_list(names), k - 1)
 
 
+def list_range(names: Column, first: int, last: int) -> Column:
+    """The names from place ``first`` to ``last``."""
+    return F.array_join(F.slice(as_list(names), first, max(0, last - first + 1)), ":")
+
+
+def list_valid(names: Column) -> Column:
+    """Whether the list is one: names without blanks between single colons."""
+    return F.coalesce(names.rlike(r"^[^:\s]+(:[^:\s]+)*$"), F.lit(False))
+
+
 def count_char(s: Column, c: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
 
@@ -57,6 +67,39 @@ def between_tags(s: Column, start: str, end: str) -> Column:
     return F.when((at > 0) & (stop > 0), F.substring(rest, F.lit(1), stop - 1)).otherwise("")
 
 
+def cleaned(s: Column) -> Column:
+    """Without blanks at its ends, and with any run of white space in it as one blank."""
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def template_date(template: Column, t: Column) -> Column:
+    """The template with its marks filled in from a timestamp: %y4, %y2, %m1, %m2, %mc, %d1, %d2, %h1, %h2, %h3, %n2."""
+    def number(c: Column) -> Column:
+        return c.cast("string")
+
+    def padded(c: Column, width: int) -> Column:
+        return F.lpad(c.cast("string"), width, "0")
+
+    # fixed values: the marks
+    marks = {
+        "%y4": padded(F.year(t), 4),
+        "%y2": F.date_format(t, "yy"),
+        "%m1": number(F.month(t)),
+        "%m2": padded(F.month(t), 2),
+        "%mc": F.lower(F.date_format(t, "MMM")),
+        "%d1": number(F.day(t)),
+        "%d2": padded(F.day(t), 2),
+        "%h1": number(F.hour(t)),
+        "%h2": padded(F.hour(t), 2),
+        "%h3": padded(F.hour(t), 3),
+        "%n2": padded(F.minute(t), 2),
+    }
+    out = template
+    for mark, value in marks.items():
+        out = F.replace(out, F.lit(mark), value)
+    return out
+
+
 def alphanumeric(s: Column) -> Column:
     return F.regexp_replace(s, "[^A-Za-z0-9]", "")
 

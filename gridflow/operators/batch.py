@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def zero_batch(spark, n: int, reals: list[str], ints: list[str] = ()) -> DataFrame:
     return spark.range(1, n + 1).select(F.col("id").alias("cell"), *[F.lit(0.0).alias(c) for c in reals], *[F.lit(0).alias(c) for c in ints])
@@ -36,19 +38,103 @@ def ranged(batch: DataFrame, order: str, bins: int = 64) -> DataFrame:
     return batch.withColumn("__range", place)
 
 
-def permutation(batch: DataFrame, keys: list[tuple[str, bool]], tie: str = "cell", bins: int = 64) -> DataFrame:
-    """(tie, place): each row's place in the order of ``keys`` (name, descending) and then ``tie``.
+def running(batch: DataFrame, order: list[Column], value: Column, out: str, bins: int = 64) -> DataFrame:
+    """The batch with ``out``: the sum of the integer ``value`` over the rows up to each, in ``order`` (which must have no ties).
 
-    Rows are range-partitioned by the keys and numbered within their range; the
-    ranges' sizes are added in order, so no single task sorts all rows.
+    Rows are range-partitioned, once, and summed within their range; the sums of the ranges before are added, so
+    no single task sorts all rows.
     """
-    order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys] + [F.col(tie).asc()]
-    dealt = batch.select(tie, *[c for c, _ in keys if c != tie]).repartitionByRange(bins, *order).withColumn("__part", F.spark_partition_id())
-    local = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    dealt = cut(batch.withColumn("__value", value.cast("long")).repartitionByRange(bins, *order).withColumn("__part", F.spark_partition_id()))
+    up_to = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # a row for each range
+    sums = dealt.groupBy("__part").agg(F.sum("__value").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__before"))
-    return local.join(F.broadcast(starts), "__part").select(tie, (F.col("__before") + F.col("__k")).alias("place"))
+    whole = dealt.withColumn("__k", up_to).join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part")
+    return whole.withColumn(out, F.col("__before") + F.col("__k")).drop("__value", "__part", "__k", "__before")
+
+
+def by(keys: list[tuple[str, bool]], tie: str) -> list[Column]:
+    return [F.col(c).desc() if down else F.col(c).asc() for c, down in keys] + [F.col(tie).asc()]
+
+
+def permutation(batch: DataFrame, keys: list[tuple[str, bool]], tie: str = "cell", bins: int = 64) -> DataFrame:
+    """(tie, place): each row's place in the order of ``keys`` (name, descending) and then ``tie``."""
+    narrow = batch.select(tie, *[c for c, _ in keys if c != tie])
+    return running(narrow, by(keys, tie), F.lit(1), "place", bins).select(tie, "place")
+
+
+def permuted(batch: DataFrame, places: DataFrame, cell: str = "cell") -> DataFrame:
+    """The batch with every row renumbered to its place in ``places`` (cell, place)."""
+    return batch.join(places, cell).withColumn(cell, F.col("place")).drop("place")
+
+
+def unpermuted(batch: DataFrame, places: DataFrame, cell: str = "cell") -> DataFrame:
+    """The batch that :func:`permuted` was given."""
+    back = places.select(F.col("place").alias("__at"), F.col(cell).alias("__was"))
+    return batch.join(back, F.col(cell) == F.col("__at")).withColumn(cell, F.col("__was")).drop("__at", "__was")
+
+
+def in_order(batch: DataFrame, keys: list[tuple[str, bool]], cell: str = "cell") -> DataFrame:
+    """The batch renumbered in the order of ``keys`` and then of its numbers."""
+    return permuted(batch, permutation(batch, keys, cell), cell)
+
+
+def rank_merge(a: DataFrame, b: DataFrame, key: str, cell: str = "cell") -> DataFrame:
+    """(side, cell, place): places of both lists' rows in one merged order by ``key``; equal keys of ``a`` come first."""
+    both = a.select(F.lit(0).alias("side"), cell, key).unionByName(b.select(F.lit(1).alias("side"), cell, key))
+    return running(both, [F.col(key), F.col("side"), F.col(cell)], F.lit(1), "place").select("side", cell, "place")
+
+
+def unique(batch: DataFrame, key: str, cell: str = "cell") -> DataFrame:
+    """(key, cell): the first row of each run of equal keys."""
+    return batch.groupBy(key).agg(F.min(cell).alias(cell))
+
+
+def bin_index(batch: DataFrame, key: str) -> DataFrame:
+    """(key, start, n): where each key's rows begin, from 1, if rows are sorted by key, and how many they are."""
+    counted = batch.groupBy(key).agg(F.count("*").alias("n"))
+    return running(counted, [F.col(key)], F.col("n"), "end").select(key, (F.col("end") - F.col("n") + 1).alias("start"), "n")
+
+
+def column_counts(batch: DataFrame) -> DataFrame:
+    """One row: rows, real columns, integer columns (but for ``cell``)."""
+    kinds = [k for c, k in batch.dtypes if c != "cell"]
+    reals, ints = sum(k in ("double", "float") for k in kinds), sum(k in ("int", "bigint", "smallint", "tinyint") for k in kinds)
+    return batch.agg(F.count("*").alias("n_rows"), F.lit(reals).alias("n_reals"), F.lit(ints).alias("n_ints"))
+
+
+def position(batch: DataFrame, name: str, strict: bool = True) -> int:
+    """The place of a column among those of its kind, from 1; 0, or an error if ``strict``, where it is not there."""
+    kind = dict(batch.dtypes).get(name)
+    if kind is None:
+        if strict:
+            raise LookupError(f"no column {name}")
+        return 0
+    return [c for c, k in batch.dtypes if c != "cell" and k == kind].index(name) + 1
+
+
+def shared_places(a: DataFrame, b: DataFrame) -> list[tuple[str, int, int]]:
+    """(name, place in a, place in b) of the shared columns, in the order of ``a``."""
+    return [(c, position(a, c), position(b, c)) for c in shared_columns(a, b)]
+
+
+def appended(batch: DataFrame, reals: list[str] = (), ints: list[str] = ()) -> DataFrame:
+    """The batch with new columns of zeros; names that it has are an error."""
+    taken = set(batch.columns) & {*reals, *ints}
+    if taken:
+        raise ValueError(f"already there: {', '.join(sorted(taken))}")
+    return batch.withColumns({c: F.lit(0.0) for c in reals} | {c: F.lit(0) for c in ints})
+
+
+def exported(batch: DataFrame, column: str, cell: str = "cell") -> DataFrame:
+    """(cell, v) of one column."""
+    return batch.select(cell, F.col(column).alias("v"))
+
+
+def imported(batch: DataFrame, vector: DataFrame, column: str, cell: str = "cell") -> DataFrame:
+    """The batch with ``column`` taken from (cell, v); rows that the vector lacks keep theirs."""
+    held = batch.join(vector.select(cell, F.col("v").alias("__v")), cell, "left")
+    return held.select(*[F.coalesce("__v", column).alias(column) if c == column else F.col(c) for c in batch.columns])
 
 
 def check_masks(batch: DataFrame, ints: list[str], reals: list[str]) -> DataFrame:
@@ -59,6 +145,15 @@ def check_masks(batch: DataFrame, ints: list[str], reals: list[str]) -> DataFram
     return batch.agg(*[wrong(c, ~F.col(c).isin(0, 1)) for c in ints], *[wrong(c, ~F.col(c).between(0, 1)) for c in reals])
 
 
+def masked_strictly(batch: DataFrame, ints: list[str], reals: list[str]) -> DataFrame:
+    """The batch as it is; a mask out of its range raises as soon as its row is read."""
+    def held(c: str, ok: Column) -> Column:
+        return F.when(ok, F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"mask {c} is out of range: "), F.col(c).cast("string"))).cast(dict(batch.dtypes)[c])).alias(c)
+
+    checked = {c: held(c, F.col(c).isin(0, 1)) for c in ints} | {c: held(c, F.col(c).between(0, 1)) for c in reals}
+    return batch.select(*[checked.get(c, F.col(c)) for c in batch.columns])
+
+
 def top_k(batch: DataFrame, k: int, by: str, keys: list[str], tie: str) -> DataFrame:
     """The k smallest of each group; ties go to the smaller ``tie``."""
     order = Window.partitionBy(*keys).orderBy(by, tie)

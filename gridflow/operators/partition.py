@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batch import ranged
+from .batch import ranged, running
 
 
 def _segments(df: DataFrame) -> DataFrame:
@@ -24,6 +24,51 @@ def box(spark: SparkSession, offset: int, nx: int, ny: int, stride: int, part: i
     return _segments(spark.range(ny).select(F.lit(part).alias("part"), (F.col("id") * stride + offset + 1).alias("start"), F.lit(nx).alias("length")))
 
 
+def replicated(segments: DataFrame, parts: int) -> DataFrame:
+    """The same segments for each of ``parts`` parts."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    return segments.select(every, "start", "length")
+
+
+def at_root(segments: DataFrame, root: int = 0) -> DataFrame:
+    """All segments owned by one part."""
+    return segments.select(F.lit(root).alias("part"), "start", "length")
+
+
+def increasing(segments: DataFrame) -> DataFrame:
+    """(part, increasing): whether a part's segments, in the order of ``pos``, begin later and later."""
+    before = F.lag("start").over(Window.partitionBy("part").orderBy("pos"))
+    steps = segments.withColumn("__before", before)
+    return steps.groupBy("part").agg(F.coalesce(F.min(F.col("start") > F.col("__before")), F.lit(True)).alias("increasing"))
+
+
+def sorted_segments(segments: DataFrame, bins: int = 64) -> DataFrame:
+    """(place, part, start, length): all segments numbered in the order of their starts, then parts."""
+    return running(segments.select("part", "start", "length"), [F.col("start"), F.col("part"), F.col("length")], F.lit(1), "place", bins).select("place", "part", "start", "length")
+
+
+def block_of(index: Column, n: int, parts: int) -> Column:
+    """The part of the default blocks that holds an index from 1; -1 if none does."""
+    p = F.floor(((index - 1) * parts + parts - 1) / n)
+    # the block after, or before, where rounding down starts it elsewhere
+    low = lambda x: F.floor(x * n / parts)
+    p = F.when(low(p) > index - 1, p - 1).when(low(p + 1) <= index - 1, p + 1).otherwise(p)
+    return F.when((index >= 1) & (index <= n), p).otherwise(F.lit(-1)).cast("int")
+
+
+def bounds_of(segments: DataFrame) -> DataFrame:
+    """(part, first, last): the lowest and highest index of each part of a block map."""
+    return segments.groupBy("part").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("length") - 1).alias("last"))
+
+
+def as_blocks(segments: DataFrame) -> DataFrame:
+    """A block map of segments that cover 1 .. n in the order of their parts: one segment for each part; others raise."""
+    whole = bounds_of(segments).join(segments.groupBy("part").agg(F.sum("length").alias("n")), "part")
+    ok = F.col("last") - F.col("first") + 1 == F.col("n")
+    length = F.when(ok, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("not one block: part "), F.col("part").cast("string"))).cast("long"))
+    return whole.select("part", F.col("first").alias("start"), length.alias("length"))
+
+
 def orange(pieces: DataFrame, part: Column) -> DataFrame:
     """Segments of rows (offset, length); empty ones are dropped."""
     return _segments(pieces.select(part.alias("part"), (F.col("offset") + 1).alias("start"), "length"))
@@ -107,9 +152,9 @@ def rearrange(batch: DataFrame, columns: list[str], add: bool = False, cell: str
     return batch.groupBy(cell).agg(*[F.sum(c).alias(c) for c in columns]) if add else batch.repartition(cell)
 
 
-def columns_of(links: DataFrame) -> DataFrame:
+def columns_of(links: DataFrame, index: str = "src") -> DataFrame:
     """Segments of the source indices that a matrix uses: runs within ranges of indices, joined where ranges meet."""
-    dealt = ranged(links.select(F.col("src").alias("index")).distinct(), "index")
+    dealt = ranged(links.select(F.col(index).alias("index")).distinct(), "index")
     runs = points(dealt.select(F.col("__range").alias("part"), F.col("index").alias("pos"), "index"))
     # only a range's first and last run can meet those of others: two rows for each range
     ends = Window.partitionBy("part")
@@ -118,3 +163,23 @@ def columns_of(links: DataFrame) -> DataFrame:
     new = F.when(F.col("start") == F.lag(F.col("start") + F.col("length")).over(order), 0).otherwise(1)
     edges = runs.where("edge").withColumn("new", new).withColumn("run", F.sum("new").over(order)).groupBy("run").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
     return runs.where("NOT edge").select("start", "length").unionByName(edges.select("start", "length")).select(F.lit(0).alias("part"), "start", "length")
+
+
+def rows_of(links: DataFrame) -> DataFrame:
+    """Segments of the target indices that a matrix has."""
+    return columns_of(links, "dst")
+
+
+def dealt_by_row(links: DataFrame, segments: DataFrame) -> DataFrame:
+    """(part, dst, src, w): each link with the part that owns its target."""
+    return _dealt(links, segments, "dst")
+
+
+def dealt_by_column(links: DataFrame, segments: DataFrame) -> DataFrame:
+    """(part, dst, src, w): each link with the part that owns its source."""
+    return _dealt(links, segments, "src")
+
+
+def _dealt(links: DataFrame, segments: DataFrame, index: str) -> DataFrame:
+    owned = owners(segments, links.select(index).distinct(), index=index)
+    return links.join(owned.withColumnRenamed("index", index), index).select("part", "dst", "src", "w")

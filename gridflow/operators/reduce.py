@@ -73,34 +73,59 @@ def merge(sources: list[tuple[DataFrame, list[str]]], columns: list[str], cell:
 CONSERVATION = ("GLOBAL", "GLBPOS", "BASBAL", "BASPOS")
 
 
-def sums(batch: DataFrame, prefix: str, value: str = "v") -> DataFrame:
-    """One row (<prefix>s, <prefix>w): active points' value times area, and area."""
+def sums(batch: DataFrame, prefix: str, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, <prefix>s, <prefix>w): active points' value times area, and area; one row without keys."""
     active = F.col("mask") == 0
-    return batch.agg(
+    return batch.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(active, F.col(value) * F.col("area"))), F.lit(0.0)).alias(f"{prefix}s"),
         F.coalesce(F.sum(F.when(active, F.col("area"))), F.lit(0.0)).alias(f"{prefix}w"),
     )
 
 
-def conserve(src: DataFrame, dst: DataFrame, mode: str, value: str = "v") -> DataFrame:
-    """``dst`` with ``value`` corrected on active points so that the integrals agree.
+def correction(mode: str, ss: Column, ws: Column, sd: Column, wd: Column) -> tuple[Column, Column]:
+    """(factor, shift) that the target's active values take, from the sums and areas of source and target.
 
-    GLOBAL and BASBAL share the difference by area, GLBPOS and BASPOS scale;
-    the BAS modes compare means over the basins' areas. Zero areas or sums that
-    the formula divides by raise, but scaling leaves 0 alone if both sums are 0.
+    GLOBAL and BASBAL share the difference by area, GLBPOS and BASPOS scale; the BAS modes compare means over the
+    basins' areas. Zero areas or sums that the formula divides by raise when the rows are made, but scaling leaves the field
+    alone if both sums are 0.
     """
-    a, b = sums(src, "a", value).first(), sums(dst, "b", value).first()
-    ss, ws, sd, wd = a["as"], a["aw"], b["bs"], b["bw"]
-    v = F.col(value)
-    if mode in ("GLOBAL", "BASBAL"):
-        if wd == 0 or (mode == "BASBAL" and ws == 0):
-            raise ZeroDivisionError(f"{mode}: the active area is 0")
-        new = v - (sd - (ss if mode == "GLOBAL" else ss * wd / ws)) / wd
-    elif mode in ("GLBPOS", "BASPOS"):
-        if sd == 0 and ss != 0 or mode == "BASPOS" and ws == 0:
-            raise ZeroDivisionError(f"{mode}: the target's sum is 0")
-        scale = 1.0 if sd == 0 else ss / sd * (wd / ws if mode == "BASPOS" else 1.0)
-        new = v * scale
-    else:
+    if mode not in CONSERVATION:
         raise ValueError(f"unknown mode {mode}")
-    return dst.withColumn(value, F.when(F.col("mask") == 0, new).otherwise(v))
+
+    def sure(bad: Column, what: str, value: Column) -> Column:
+        return F.when(bad, F.raise_error(F.lit(f"{mode}: {what} is 0")).cast("double")).otherwise(value)
+
+    one, none = F.lit(1.0), F.lit(0.0)
+    if mode == "GLOBAL":
+        return one, sure(wd == 0, "the target's active area", F.try_divide(ss - sd, wd))
+    if mode == "BASBAL":
+        return one, sure((wd == 0) | (ws == 0), "an active area", F.try_divide(F.try_divide(ss * wd, ws) - sd, wd))
+    scale = F.try_divide(ss, sd) * (F.try_divide(wd, ws) if mode == "BASPOS" else one)
+    bad = (sd == 0) & (ss != 0) | ((ws == 0) if mode == "BASPOS" else F.lit(False))
+    return sure(bad, "the target's sum" if mode == "GLBPOS" else "the target's sum or the source's area", F.when(sd == 0, one).otherwise(scale)), none
+
+
+def conserve(src: DataFrame, dst: DataFrame, mode: str, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``dst`` with ``value`` corrected on active points so that the integrals agree, for each of ``keys`` by itself."""
+    total = sums(dst, "b", value, keys)
+    both = total.join(sums(src, "a", value, keys), list(keys), "left") if keys else total.crossJoin(sums(src, "a", value))
+    held = [F.coalesce(c, F.lit(0.0)) for c in ("as", "aw", "bs", "bw")]
+    factor, shift = correction(mode, *held)
+    fix = both.select(*keys, factor.alias("__factor"), shift.alias("__shift"))
+    out = dst.join(fix, list(keys)) if keys else dst.crossJoin(F.broadcast(fix))  # one row without keys
+    new = F.when(F.col("mask") == 0, F.col(value) * F.col("__factor") + F.col("__shift")).otherwise(F.col(value))
+    return out.select(*[new.alias(value) if c == value else F.col(c) for c in dst.columns])
+
+
+def running_merge(total: DataFrame | None, batch: DataFrame, masks: list[str], columns: list[str], cell: str = "cell") -> DataFrame:
+    """(cell, columns, weight_sum): one more source added to a merge that is under way, as sums that are not divided yet."""
+    w = masked_weight(F.lit(1.0), masks)
+    more = batch.select(cell, *[(F.col(c) * w).alias(c) for c in columns], w.alias("weight_sum"))
+    both = more if total is None else total.select(cell, *columns, "weight_sum").unionByName(more)
+    return both.groupBy(cell).agg(*[F.sum(c).alias(c) for c in (*columns, "weight_sum")])
+
+
+def merged(total: DataFrame, columns: list[str], cell: str = "cell", strict: bool = True) -> DataFrame:
+    """The means of a running merge; a zero sum of weights raises, or gives null if not ``strict``."""
+    safe = (lambda a, b: a / b) if strict else F.try_divide
+    return total.select(cell, *[safe(F.col(c), F.col("weight_sum")).alias(c) for c in columns], "weight_sum")

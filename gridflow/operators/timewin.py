@@ -6,6 +6,8 @@ the coupling lattice. Reductions are combining aggregates by (window, cell).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,25 +25,86 @@ def check_lag(dt: int, lag: int) -> None:
         raise ValueError(f"lag {lag} is not within the period {dt}")
 
 
-def loctrans(puts: DataFrame, transform: str, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell")) -> DataFrame:
-    """(keys, t, v): one value for each window and key, stamped with the lattice time it leaves at (t + lag = k dt)."""
+def loctrans(puts: DataFrame, transform: str, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell"), values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keys, t, values): one value for each window and key, stamped with the lattice time it leaves at (t + lag = k dt)."""
     check_lag(dt, lag)
     if transform == "INSTANT":
-        return puts.where(F.pmod(F.col("t") + lag, F.lit(dt)) == 0).select(*keys, (F.col("t") + lag).alias("t"), "v")
+        return puts.where(F.pmod(F.col("t") + lag, F.lit(dt)) == 0).select(*keys, (F.col("t") + lag).alias("t"), *values)
     w = window_id(F.col("t"), dt, lag).alias("w")
-    return puts.select(*keys, w, "v").groupBy(*keys, "w").agg(TRANSFORMS[transform]("v").alias("v")).select(*keys, (F.col("w") * dt).alias("t"), "v")
+    out = puts.select(*keys, w, *values).groupBy(*keys, "w").agg(*[TRANSFORMS[transform](v).alias(v) for v in values])
+    return out.select(*keys, (F.col("w") * dt).alias("t"), *values)
+
+
+@dataclass(frozen=True)
+class Leg:
+    """What one run of several gives: values delivered in it, and what it leaves for the next."""
+
+    delivered: DataFrame  # keys, t, v
+    ready: DataFrame  # keys, v, cnt: what the next leg delivers at its start
+    carried: DataFrame  # keys, v, cnt: the window that the next leg completes
+
+
+def leg(puts: DataFrame, transform: str, dt: int, lag: int, start: int, end: int, ready: DataFrame | None = None, carried: DataFrame | None = None, keys: tuple[str, ...] = ("field", "cell")) -> Leg:
+    """A run over [start, end), both on the lattice, of the puts in it and what the run before left.
 
+    With a positive lag the first exchange is served from ``ready``, and what would leave at the end is left for the next run.
+    Windows that the end cuts are left as sums (or extremes) and counts.
+    """
+    check_lag(dt, lag)
+    if start % dt or end % dt or end <= start:
+        raise ValueError(f"{start} and {end} are not on the lattice of {dt}")
+    own = puts.where((F.col("t") >= start) & (F.col("t") < end))
+    if transform == "INSTANT":
+        own = own.where(F.pmod(F.col("t") + lag, F.lit(dt)) == 0)
+    parts = partial(own, dt, lag, keys, transform)
+    last = end // dt
+    if carried is not None:
+        before = carried.select(*keys, F.lit(start // dt + (1 if lag > 0 else 0)).cast("long").alias("w"), "v", "cnt")
+        parts = _together(parts.unionByName(before), keys, transform)
+    whole = F.col("w") < last if lag <= 0 else F.col("w") <= last
+    done = completed(parts.where(whole), dt, keys, transform)
+    out = done.where(F.col("t") < end)
+    if ready is not None:
+        out = out.unionByName(ready.select(*keys, F.lit(start).cast("long").alias("t"), "v"))
+    left = done.where(F.col("t") == end).select(*keys, "v", F.lit(1).cast("long").alias("cnt"))
+    return Leg(out, left, parts.where(~whole).select(*keys, "v", "cnt"))
+
+
+def within(puts: DataFrame, runtime: int) -> DataFrame:
+    """The puts; one at or after the end of the run raises as soon as its row is read."""
+    t = F.when(F.col("t") < runtime, F.col("t")).otherwise(F.raise_error(F.concat(F.lit(f"the run ends at {runtime}, a put is at "), F.col("t").cast("string"))).cast("long"))
+    return puts.withColumn("t", t)
+
+
+def aligned(gets: DataFrame, delivered: DataFrame, dt: int, keys: tuple[str, ...] = ("field", "cell")) -> DataFrame:
+    """(gets, v, code): what each get (keys, t) receives: the value that leaves at its time. Codes as :func:`get_code`."""
+    held = delivered.select(*keys, "t", "v", *[c for c in ("origin",) if c in delivered.columns])
+    out = gets.join(held, [*keys, "t"], "left")
+    origin = F.col("origin") if "origin" in delivered.columns else F.lit("put")
+    return out.select(*gets.columns, "v", get_code(F.col("t"), dt, F.when(F.col("v").isNotNull(), origin)).alias("code"))
+
+
+def get_code(t: Column, dt: int, origin: Column, writes: bool = False) -> Column:
+    """What a get at ``t`` did, by where its value came from ("put", "restart", "input"): codes of the coupling interface (fixed values)."""
+    received, from_restart, read_input, received_out, from_restart_out, ok = 3, 10, 11, 12, 13, 0
+    on = F.pmod(t, F.lit(dt)) == 0
+    return (
+        F.when(~on | origin.isNull(), ok)
+        .when(origin == "input", read_input)
+        .when(origin == "restart", from_restart_out if writes else from_restart)
+        .otherwise(received_out if writes else received)
+    )
 
-def with_restart(puts: DataFrame, restart: DataFrame, lag: int) -> DataFrame:
-    """Puts shifted by a positive lag; the first exchange is served from the restart table."""
-    shifted = puts.withColumn("t", F.col("t") + lag)
-    return shifted.unionByName(restart.withColumn("t", F.lit(0).cast("long"))) if lag > 0 else shifted
 
+def blocked(gets: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, t, waits_for): gets (entry, t) that wait for an entry of lower SEQ whose exchange at or before ``t`` is still to come.
 
-def to_restart(puts: DataFrame, dt: int, lag: int, runtime: int) -> DataFrame:
-    """Puts whose exchange falls on the end of the run: they go to the restart table."""
-    at = F.col("t") + lag
-    return puts.where((at == runtime) & (F.lit(lag) > 0) & (F.pmod(at, F.lit(dt)) == 0))
+    ``entries``: (entry, seq, dt, last), ``last`` the time of the last exchange; a few rows, as a coupling has entries.
+    """
+    own = gets.join(F.broadcast(entries.select("entry", "seq")), "entry")
+    others = entries.select(F.col("entry").alias("waits_for"), F.col("seq").alias("other"), F.col("dt").alias("d"), "last")
+    due = F.floor(F.col("t") / F.col("d")) * F.col("d")
+    return own.join(F.broadcast(others), F.col("other") < F.col("seq")).where(F.col("last") < due).select("entry", "t", "waits_for")
 
 
 def ready(puts: DataFrame, fields: list[str], dt: int, lag: int = 0) -> DataFrame:
@@ -103,13 +166,19 @@ def accumulate(steps: DataFrame, n_steps: int, action: str, value: str = "v", ke
     return out.select(*keys, "cycle", v.alias(value))
 
 
-def partial(puts: DataFrame, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell")) -> DataFrame:
-    """(keys, w, v, cnt): sums and counts of each window; what a run that ends within a window leaves behind."""
+def partial(puts: DataFrame, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell"), transform: str = "AVERAGE") -> DataFrame:
+    """(keys, w, v, cnt): sums, or extremes, and counts of each window; what a run that ends within a window leaves behind."""
     w = window_id(F.col("t"), dt, lag).alias("w")
-    return puts.select(*keys, w, "v").groupBy(*keys, "w").agg(F.sum("v").alias("v"), F.count("*").alias("cnt"))
+    return _together(puts.select(*keys, w, "v", F.lit(1).cast("long").alias("cnt")), keys, transform)
+
+
+def _together(parts: DataFrame, keys: tuple[str, ...], transform: str) -> DataFrame:
+    add = {"T_MIN": F.min, "T_MAX": F.max}.get(transform, F.sum)
+    return parts.groupBy(*keys, "w").agg(add("v").alias("v"), F.sum("cnt").alias("cnt"))
 
 
-def completed(parts: DataFrame, dt: int, keys: tuple[str, ...] = ("field", "cell")) -> DataFrame:
-    """(keys, t, v): averages of windows whose parts (keys, w, v, cnt) come from several runs."""
-    out = parts.groupBy(*keys, "w").agg((F.sum("v") / F.sum("cnt")).alias("v"))
-    return out.select(*keys, (F.col("w") * dt).alias("t"), "v")
+def completed(parts: DataFrame, dt: int, keys: tuple[str, ...] = ("field", "cell"), transform: str = "AVERAGE") -> DataFrame:
+    """(keys, t, v): the values of windows whose parts (keys, w, v, cnt) come from several runs."""
+    out = _together(parts, keys, transform)
+    v = F.col("v") / F.col("cnt") if transform == "AVERAGE" else F.col("v")
+    return out.select(*keys, (F.col("w") * dt).alias("t"), v.alias("v"))

@@ -12,6 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from .batch import running
+
 EPSILON = 2.220446049250313e-16
 
 
@@ -28,7 +31,7 @@ def bins_for(points: DataFrame) -> int:
 
 
 def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -> DataFrame:
-    """(dst, src, d, rank) of the k nearest source points of each target; ties go to the lower address.
+    """(dst, src, d, rank) of the k nearest source points of each target; ties (to 1e-9) go to the lower address.
 
     Distance is at least the difference in latitude, and at least the distance to the meridian that bounds the
     sectors looked at. A target looks at the bands within a reach and as far in longitude, all around near the
@@ -54,7 +57,8 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
         looked = todo.withColumn("wide", wide).withColumn("bin", F.explode(F.sequence(low, high))).withColumn("sector", F.explode(turn))
         near = looked.join(s, ["bin", "sector"])
         d = great_circle(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
-        order = Window.partitionBy("dst").orderBy("d", "src")
+        # rounding errors don't part equal distances
+        order = Window.partitionBy("dst").orderBy(F.round("d", 9), "src")
         best = near.select("dst", "lon", "lat", "home", "east", "wide", "src", d.alias("d")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         below = F.when(F.col("home") - reach <= 0, F.lit(math.pi)).otherwise(F.radians(F.col("lat") + 90 - (F.col("home") - reach) * height))
         above = F.when(F.col("home") + reach >= bins - 1, F.lit(math.pi)).otherwise(F.radians((F.col("home") + reach + 1) * height - 90 - F.col("lat")))
@@ -64,6 +68,7 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
         last = Window.partitionBy("dst")
         # acos is good to 1e-7 or so
         best = best.withColumn("sure", (F.max("d").over(last) <= F.least(below, above, beside) - 1e-7) & (F.max("rank").over(last) >= k) | F.lit(reach >= bins))
+        best = cut(best)  # used three times, and by every wider search
         done = best.where("sure").select("dst", "src", "d", "rank")
         out = done if out is None else out.unionAll(done)
         if reach >= bins:
@@ -95,14 +100,20 @@ def distance_weights(src: DataFrame, dst: DataFrame, k: int) -> DataFrame:
 
 
 def average_distance(grid: DataFrame) -> DataFrame:
-    """One row: the mean distance of points that follow each other by address, around the cycle.
+    """One row: the mean distance of points that follow each other by address, around the cycle; addresses may have gaps."""
+    places = running(grid.select("cell", "lon", "lat"), [F.col("cell")], F.lit(1), "place")
+    n = places.agg(F.max("place").alias("n"))
+    after = places.crossJoin(F.broadcast(n)).select(F.when(F.col("place") == 1, F.col("n")).otherwise(F.col("place") - 1).alias("place"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    return places.join(after, "place").agg(F.avg(great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("distance"))
 
-    The sum needs each point's successor only: an equi-join on the next address.
-    """
-    n = grid.agg(F.max("cell").alias("n")).first()["n"]
-    after = grid.select((F.col("cell") - 1).alias("before"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    after = after.withColumn("before", F.when(F.col("before") == 0, n).otherwise(F.col("before")))
-    return grid.join(after, grid["cell"] == after["before"]).agg(F.avg(great_circle(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("distance"))
+
+def chord_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Angle in radians between points in degrees, from the chord between them: exact for close points too."""
+    def at(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+        return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+    square = sum(((a - b) * (a - b) for a, b in zip(at(lon1, lat1), at(lon2, lat2), strict=True)), F.lit(0.0))
+    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2))
 
 
 def gaussian_weights(src: DataFrame, dst: DataFrame, k: int, variance: float) -> DataFrame:
@@ -226,18 +237,17 @@ def bicubic_weights(dst: DataFrame, nx: int, ny: int) -> DataFrame:
 
 def gradients(field: DataFrame, nx: int, ny: int, value: str = "v") -> DataFrame:
     """(cell, value, gi, gj, gij): central differences along i (periodic), j (one-sided at the ends) and both."""
-    i, j = F.col("i"), F.col("j")
-    base = field.select("cell", "i", "j", F.col(value).alias("v"))
-
-    def at(di: int, dj: int, name: str) -> DataFrame:
-        return base.select(F.pmod(i - di - 1, F.lit(nx)).alias("ai") + 1, (j - dj).alias("aj"), F.col("v").alias(name)).toDF("ai", "aj", name)
-
-    out = base
-    for di in (-1, 0, 1):
-        for dj in (-1, 0, 1):
-            if di or dj:
-                name = f"v{di + 1}{dj + 1}"
-                out = out.join(at(di, dj, name), (F.col("i") == F.col("ai")) & (F.col("j") == F.col("aj")), "left").drop("ai", "aj")
+    # each value goes to the nine places that look at it; one shuffle by place
+    around = F.explode(F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (-1, 0, 1) for dj in (-1, 0, 1)])).alias("o")
+    sent = field.select("cell", "i", "j", F.col(value).alias("v"), around)
+    sent = sent.select("cell", "v", "o.di", "o.dj", (F.pmod(F.col("i") - F.col("o.di") - 1, F.lit(nx)) + 1).alias("i"), (F.col("j") - F.col("o.dj")).alias("j"))
+
+    def seen(di: int, dj: int, column: str) -> Column:
+        return F.max(F.when((F.col("di") == di) & (F.col("dj") == dj), F.col(column)))
+
+    parts = [seen(di, dj, "v").alias(f"v{di + 1}{dj + 1}") for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
+    out = sent.groupBy("i", "j").agg(seen(0, 0, "cell").alias("cell"), seen(0, 0, "v").alias("v"), *parts).where("cell IS NOT NULL")
+    j = F.col("j")
     up, down = F.coalesce(F.col("v12"), F.col("v")), F.coalesce(F.col("v10"), F.col("v"))
     steps = F.when((j == 1) | (j == ny), 1).otherwise(2)
     cross = (F.coalesce("v22", "v21") - F.coalesce("v02", "v01")) - (F.coalesce("v20", "v21") - F.coalesce("v00", "v01"))

@@ -1,13 +1,76 @@
-"""One exchange as a plan: window, scale, diagnose, map, conserve, scale."""
+"""One exchange as a plan: window, scale, check, map, conserve, scale; and what an entry may say."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batch, reduce, remap, timewin
+from ..operators import batch, curvilinear, polygons, reduce, reduced, timewin, weights
+from ..sources import tables
+
+# fixed values: words of the coupling interface
+STATUS = {"EXPORTED": "EXPORTED", "EXPOUT": "EXPOUT", "IGNORED": "EXPORTED", "IGNOUT": "EXPOUT", "INPUT": "INPUT", "OUTPUT": "OUTPUT"}
+RETIRED = "REDGLO INVERT MASK EXTRAP CORRECT INTERP MOZAIC NOINTERP FILLING MASKP REVERSE GLORED".split()
+TRANSFORMS = "LOCTRANS BLASOLD CHECKIN SCRIPR MAPPING CONSERV BLASNEW CHECKOUT".split()
+METHODS = ("BILINEAR", "BICUBIC", "DISTWGT", "GAUSWGT", "CONSERV")
+VALUES = ("v", "v2", "v3", "v4", "v5")
+
+
+@dataclass(frozen=True)
+class Run:
+    """What holds for all entries of a run: its length, its components and how much is told."""
+
+    runtime: int
+    components: tuple[str, ...] = ()
+    log_level: int = 0
+
+    def __post_init__(self) -> None:
+        if self.runtime <= 0 or len(set(self.components)) != len(self.components):
+            raise ValueError("a run has a positive length and components of different names")
+
+
+@dataclass(frozen=True)
+class Remap:
+    """How weights are made: ``kind`` is LR (regular), D (reduced) or U (unstructured)."""
+
+    method: str
+    kind: str = "LR"
+    restriction: str = "LATLON"
+    field: str = "SCALAR"
+    norm: str | None = None
+    order: str | None = None
+    neighbours: int | None = None
+    variance: float | None = None
+
+    def __post_init__(self) -> None:
+        def need(ok: bool, what: str) -> None:
+            if not ok:
+                raise ValueError(f"{self.method}: {what}")
+
+        need(self.method in METHODS, "unknown method")
+        need(self.kind in ("LR", "D", "U"), f"unknown kind of grid {self.kind}")
+        need(self.method not in ("BILINEAR", "BICUBIC") or self.kind != "U", "needs a grid with rows (LR or D)")
+        need(self.method != "CONSERV" or self.norm in ("FRACAREA", "DESTAREA", "FRACNNEI", "NONE") and self.order in ("FIRST", "SECOND"), "needs a normalisation and an order")
+        need(self.method not in ("DISTWGT", "GAUSWGT") or (self.neighbours or 0) > 0, "needs a number of neighbours")
+        need(self.method != "GAUSWGT" or (self.variance or 0) > 0, "needs a variance")
+        if self.kind == "D":  # reduced grids are searched by their circles
+            object.__setattr__(self, "restriction", "REDUCED")
+        object.__setattr__(self, "field", "SCALAR")  # vectors are remapped by component
+
+    def weights(self, src: DataFrame, dst: DataFrame, nx: int = 0, periodic: bool = True) -> DataFrame:
+        """(dst, src, w) or (dst, src, w1, ...) by this method; ``nx`` and ``periodic`` describe rows of an LR grid."""
+        if self.method == "DISTWGT":
+            return weights.distance_weights(src, dst, self.neighbours)
+        if self.method == "GAUSWGT":
+            return weights.gaussian_weights(src, dst, self.neighbours, self.variance)
+        if self.method == "CONSERV":
+            return polygons.conservative(src, dst, self.norm, self.order == "SECOND")
+        if self.kind == "D":
+            return (reduced.bilinear if self.method == "BILINEAR" else reduced.bicubic)(src, dst)
+        return (curvilinear.bilinear if self.method == "BILINEAR" else curvilinear.bicubic)(src, dst, nx, periodic)
 
 
 @dataclass(frozen=True)
@@ -21,71 +84,172 @@ class Entry:
     seq: int = 1
     status: str = "EXPORTED"
     restart: str | None = None
-    source_grid: str | None = None
-    target_grid: str | None = None
     loctrans: str = "INSTANT"
     source_scale: tuple[float, float] = (1.0, 0.0)
     target_scale: tuple[float, float] = (1.0, 0.0)
-    mapping: str | None = None
-    map_at: str = "src"
     map_mode: str = "bfb"
-    scripr: tuple[str, ...] = ()
+    remap: Remap | None = None
     conserv: str | None = None
     checkin: bool = False
     checkout: bool = False
 
     def __post_init__(self) -> None:
         timewin.check_lag(self.dt, self.lag)
+        if self.status not in STATUS:
+            raise ValueError(f"unknown or retired status {self.status}")
+        object.__setattr__(self, "status", STATUS[self.status])
+        if self.loctrans != "INSTANT" and self.loctrans not in timewin.TRANSFORMS:
+            raise ValueError(f"unknown time transform {self.loctrans}")
+        if self.conserv is not None and self.conserv not in reduce.CONSERVATION:
+            raise ValueError(f"unknown conservation {self.conserv}")
+        if self.map_mode not in ("bfb", "sum", "opt"):
+            raise ValueError(f"unknown way of mapping {self.map_mode}")
+        if self.lag > 0 and self.restart is None and self.status in ("EXPORTED", "EXPOUT"):
+            raise ValueError("a positive lag needs a restart table")
+
+
+def check_transforms(names: list[str]) -> None:
+    """Names of an entry's transforms: known ones, in the order in which they are done."""
+    for name in names:
+        if name in RETIRED:
+            raise ValueError(f"{name} is no longer a transform")
+        if name not in TRANSFORMS:
+            raise ValueError(f"unknown transform {name}")
+    places = [TRANSFORMS.index(n) for n in names]
+    if sorted(set(places)) != places:
+        raise ValueError(f"transforms are done in the order {', '.join(TRANSFORMS)}")
+
+
+def in_sequence(entries: list[Entry]) -> list[Entry]:
+    """Entries by SEQ, equal ones in their order."""
+    if any(e.seq < 1 for e in entries):
+        raise ValueError("SEQ begins at 1")
+    return sorted(entries, key=lambda e: e.seq)
+
+
+def matched(entries: DataFrame, variables: DataFrame) -> DataFrame:
+    """(entry, source, target, from_component, to_component, problem) of entries (entry, source, target).
+
+    ``variables``: (component, name, direction), direction "out" or "in". ``problem`` is null where all is well: one
+    component puts the source, another gets the target, and no other entry has the same target. One source may feed several targets.
+    """
+    out = variables.where("direction = 'out'").select(F.col("name").alias("source"), F.col("component").alias("from_component"))
+    into = variables.where("direction = 'in'").select(F.col("name").alias("target"), F.col("component").alias("to_component"))
+    feeds = entries.groupBy("target").agg(F.count("*").alias("n_feeds"))
+    both = entries.join(out, "source", "left").join(into, "target", "left").join(feeds, "target")
+    problem = (
+        F.when(F.col("from_component").isNull(), "nobody puts the source")
+        .when(F.col("to_component").isNull(), "nobody gets the target")
+        .when(F.col("from_component") == F.col("to_component"), "one component on both sides")
+        .when(F.col("n_feeds") > 1, "several sources for one target")
+    )
+    return both.select("entry", "source", "target", "from_component", "to_component", problem.alias("problem"))
+
+
+def without_overlap(grid: DataFrame, nx: int, overlap: int) -> DataFrame:
+    """A periodic grid whose last ``overlap`` columns repeat its first ones, without these; rows are nx - overlap long from then on."""
+    return grid.where(F.col("i") <= nx - overlap)
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], columns: tuple[str, ...] = ("w",)) -> DataFrame:
+    """(dst, src, columns) of the map ``name``: read if it is there, else built once and written."""
+    try:
+        found = not tables.read_weights(spark, folder, name).isEmpty()
+    except LookupError:
+        found = False
+    if not found:
+        tables.write_weights(build(), folder, name, columns)
+    return tables.read_weights(spark, folder, name).select("dst", "src", *[F.col("w")[i].alias(c) for i, c in enumerate(columns)])
 
 
 def windowed(entry: Entry, puts: DataFrame, runtime: int | None = None) -> DataFrame:
-    """The values that leave the source: only fields of the entry, before the end of the run."""
+    """The values that leave the source: only fields of the entry, before the end of the run; up to five value arrays."""
     own = puts.where(F.col("field").isin(*entry.source))
     if runtime is not None:
-        own = own.where(F.col("t") + entry.lag < runtime)
-    out = timewin.loctrans(own, entry.loctrans, entry.dt, entry.lag)
-    return batch.affine(out, "v", *entry.source_scale)
+        own = timewin.within(own, runtime).where(F.col("t") + entry.lag < runtime)
+    values = tuple(v for v in VALUES if v in puts.columns)
+    return batch.affine(timewin.loctrans(own, entry.loctrans, entry.dt, entry.lag, values=values), "v", *entry.source_scale)
 
 
 def mapped(entry: Entry, field: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(field, t, cell, v) on the target grid; without links the field stays as it is."""
+    """(field, t, cell, v) on the target grid; without links the field stays as it is.
+
+    The second to fifth value arrays go with the weights of the same number, w2 to w5. Mode "bfb" sums a target's terms in the
+    order of their sources, for equal bits on any partitioning; the others as they come.
+    """
     if links is None:
         return field
+    pairs = [(v, w) for v, w in zip(VALUES, ("w", "w2", "w3", "w4", "w5"), strict=True) if v in field.columns and w in links.columns]
     terms = links.join(field, F.col("src") == F.col("cell"))
-    return terms.groupBy("field", "t", F.col("dst").alias("cell")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    x = sum((F.col(w) * F.col(v) for v, w in pairs[1:]), F.col("w") * F.col("v"))
+    keys = ["field", "t", F.col("dst").alias("cell")]
+    if entry.map_mode != "bfb":
+        return terms.groupBy(*keys).agg(F.sum(x).alias("v"))
+    width = 4096  # sources of a target that are summed in one list
+    ordered = lambda at, v: F.aggregate(F.sort_array(F.collect_list(F.struct(at, v))), F.lit(0.0), lambda a, t: a + t[v])
+    within = terms.select("field", "t", "dst", F.floor(F.col("src") / width).alias("bin"), "src", x.alias("x")).groupBy("field", "t", "dst", "bin").agg(ordered("src", "x").alias("y"))
+    return within.groupBy(*keys).agg(ordered("bin", "y").alias("v"))
 
 
 def conserved(entry: Entry, src: DataFrame, dst: DataFrame, src_grid: DataFrame, dst_grid: DataFrame) -> DataFrame:
-    """The target corrected for each (field, t) at once; corrections join back on (field, t)."""
-    def sums(f: DataFrame, grid: DataFrame, x: str) -> DataFrame:
-        live = f.join(grid.where("mask = 0").select("cell", "area"), "cell")
-        return live.groupBy("field", "t").agg(F.sum(F.col("v") * F.col("area")).alias(f"s{x}"), F.sum("area").alias(f"w{x}"))
-
-    both = sums(src, src_grid, "s").join(sums(dst, dst_grid, "d"), ["field", "t"])
-    shift = {"GLOBAL": (F.col("sd") - F.col("ss")) / F.col("wd"), "BASBAL": (F.col("sd") - F.col("ss") * F.col("wd") / F.col("ws")) / F.col("wd")}
-    scale = {"GLBPOS": F.col("ss") / F.col("sd"), "BASPOS": F.col("ss") / F.col("sd") * (F.col("wd") / F.col("ws"))}
-    add = (-shift[entry.conserv]) if entry.conserv in shift else F.lit(0.0)
-    factor = scale.get(entry.conserv, F.lit(1.0))
-    fix = both.select("field", "t", add.alias("__add"), factor.alias("__factor"))
-    out = dst.join(dst_grid.select("cell", "mask"), "cell").join(fix, ["field", "t"], "left")
-    new = F.col("v") * F.coalesce("__factor", F.lit(1.0)) + F.coalesce("__add", F.lit(0.0))
-    return out.select("field", "t", "cell", F.when(F.col("mask") == 0, new).otherwise(F.col("v")).alias("v"))
+    """The target corrected for each (field, t) at once."""
+    at = ("field", "t")
+    whole = [f.join(g.select("cell", "area", "mask"), "cell") for f, g in ((src, src_grid), (dst, dst_grid))]
+    return reduce.conserve(*whole, entry.conserv, keys=at).select("field", "t", "cell", "v")
 
 
 def exchange(
     entry: Entry, puts: DataFrame, links: DataFrame | None = None, src_grid: DataFrame | None = None, dst_grid: DataFrame | None = None, runtime: int | None = None
 ) -> DataFrame:
     """The delivered (field, t, cell, v): fixed order of window, scale, map, conserve, scale."""
-    sent = windowed(entry, puts, runtime)
+    return delivered(entry, windowed(entry, puts, runtime), links, src_grid, dst_grid)
+
+
+def delivered(entry: Entry, sent: DataFrame, links: DataFrame | None = None, src_grid: DataFrame | None = None, dst_grid: DataFrame | None = None) -> DataFrame:
     got = mapped(entry, sent, links)
     if entry.conserv and links is not None:
         got = conserved(entry, sent, got, src_grid, dst_grid)
-    return batch.affine(got, "v", *entry.target_scale)
+    got = batch.affine(got, "v", *entry.target_scale)
+    names = F.create_map(*[F.lit(n) for pair in zip(entry.source, entry.target, strict=False) for n in pair])
+    return got.withColumn("field", F.coalesce(names[F.col("field")], F.col("field"))) if len(entry.source) == len(entry.target) else got
 
 
-def diagnosed(field: DataFrame) -> DataFrame:
-    """(field, t, vmin, vmax, vsum), as checks on either side print them."""
-    return field.groupBy("field", "t").agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.sum("v").alias("vsum"))
+def checks(entry: Entry, sent: DataFrame, got: DataFrame) -> DataFrame | None:
+    """(side, field, t, vmin, vmax, vsum) of the sides that the entry wants checked."""
+    wanted = [(side, f) for on, side, f in ((entry.checkin, "in", sent), (entry.checkout, "out", got)) if on]
+    out = None
+    for side, f in wanted:
+        one = f.groupBy("field", "t").agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.sum("v").alias("vsum")).select(F.lit(side).alias("side"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-__all__ = ["Entry", "conserved", "diagnosed", "exchange", "mapped", "reduce", "remap", "windowed"]
+def run_leg(
+    entry: Entry, puts: DataFrame | None, start: int, end: int, folder: str, links: DataFrame | None = None, src_grid: DataFrame | None = None, dst_grid: DataFrame | None = None, first: bool = False
+) -> DataFrame:
+    """One run of several over [start, end): delivered (field, t, cell, v), with what the run before left and what this one leaves in ``folder``.
+
+    By status: EXPORTED delivers, EXPOUT also writes records, OUTPUT only writes them, INPUT delivers records that are there. A
+    positive lag reads restart values at the start (those of the ``first`` run must have been written before) and writes them at the end.
+    """
+    spark = puts.sparkSession if puts is not None else SparkSession.getActiveSession()
+    if entry.status == "INPUT":
+        records = [tables.read_input(spark, folder + "/records", f, t).select(F.lit(f).alias("field"), F.lit(t).cast("long").alias("t"), "cell", "v") for f in entry.source for t in range(start, end, entry.dt)]
+        out = records[0]
+        for r in records[1:]:
+            out = out.unionByName(r)
+        return delivered(entry, out, links, src_grid, dst_grid)
+    own = puts.where(F.col("field").isin(*entry.source))
+    name = entry.restart or ":".join(entry.source)
+    ready = tables.read_restart(spark, folder, name, "ready", required=first) if entry.lag > 0 else None
+    carried = None if first else tables.read_restart(spark, folder, name, "loctrans", required=False)
+    # read before this leg writes what the next one reads
+    ready, carried = (None if x is None else batch.cut(x) for x in (ready, carried))
+    leg = timewin.leg(own, entry.loctrans, entry.dt, entry.lag, start, end, ready, carried)
+    if entry.lag > 0:
+        tables.write_restart(leg.ready, folder, name, "ready")
+    tables.write_restart(leg.carried, folder, name, "loctrans")
+    sent = batch.affine(leg.delivered, "v", *entry.source_scale)
+    if entry.status in ("EXPOUT", "OUTPUT"):
+        tables.append_output(sent, folder + "/records")
+    return delivered(entry, sent, links, src_grid, dst_grid) if entry.status != "OUTPUT" else sent.limit(0)

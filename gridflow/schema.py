@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.batch import running
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,18 +62,17 @@ def rotated_grid(spark: SparkSession, nx: int, ny: int, tilt: float = 30.0) -> D
 def product_grid(axes: dict[str, DataFrame]) -> DataFrame:
     """Cartesian product of coordinate axes, the first axis slowest, numbered from 1 as ``cell``.
 
-    Each axis has one column of its name; axes are short by nature, the product is the grid.
+    Each axis has one column of its name, with values that differ; they are numbered and joined to the cells by arithmetic.
     """
-    out = None
-    for name, axis in axes.items():
-        n = axis.count()
-        rows = [r[0] for r in axis.orderBy(name).collect()]
-        values = F.explode(F.array(*map(F.lit, rows))).alias(name)
-        place = F.array_position(F.array(*map(F.lit, rows)), F.col(name))
-        if out is None:
-            out = axis.sparkSession.range(1).select(values).withColumn("cell", place)
-        else:
-            out = out.select("*", values).withColumn("cell", (F.col("cell") - 1) * n + place)
+    counts = [axis.count() for axis in axes.values()]
+    total = math.prod(counts)
+    spark = next(iter(axes.values())).sparkSession
+    out = spark.range(1, total + 1).select(F.col("id").alias("cell"))
+    rest = total
+    for (name, axis), n in zip(axes.items(), counts, strict=True):
+        rest //= max(n, 1)
+        numbered = running(axis.select(name), [F.col(name)], F.lit(1), "__at")
+        out = out.withColumn("__at", F.floor((F.col("cell") - 1) / rest) % n + 1).join(numbered, "__at").drop("__at")
     return out
 
 

@@ -7,22 +7,23 @@ what other entries, maps or grids wrote stays.
 
 from __future__ import annotations
 
-import tempfile
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
+__all__ = [
+    "append_output", "read_grid", "read_input", "read_restart", "read_weights", "resource", "shared_folder", "write_grid", "write_restart", "write_weights",
+]
+
 RESTART = "cell long, v double, cnt long, entry string, kind string, field string"
 OUTPUT = "t long, cell long, v double, field string"
 WEIGHTS = "dst long, src long, w array<double>, map string"
 GRID = "cell long, value double, grid string, variable string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
-
-
 def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The table, or no rows where nothing has been written yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -36,9 +37,11 @@ def _replace(df: DataFrame, folder: str, *by: str) -> None:
 
 
 def write_restart(rows: DataFrame, folder: str, entry: str, kind: str) -> None:
-    """Replaces the restart values of this entry, kind and the fields that ``rows`` (field, cell, v[, cnt]) holds."""
+    """Replaces all restart values of this entry and kind by ``rows`` (field, cell, v[, cnt]); fields without rows have none then."""
     cnt = F.col("cnt") if "cnt" in rows.columns else F.lit(1)
-    _replace(rows.select("cell", "v", cnt.cast("long").alias("cnt"), F.lit(entry).alias("entry"), F.lit(kind).alias("kind"), "field"), folder, "entry", "kind", "field")
+    # partition folders are named as Spark escapes them
+    own = f"{folder}/entry={quote(entry, safe='')}/kind={quote(kind, safe='')}"
+    rows.select("cell", "v", cnt.cast("long").alias("cnt"), "field").write.mode("overwrite").partitionBy("field").parquet(own)
 
 
 def read_restart(spark: SparkSession, folder: str, entry: str, kind: str, required: bool = True) -> DataFrame:
@@ -62,6 +65,21 @@ def read_input(spark: SparkSession, folder: str, field: str, t: int) -> DataFram
     return out
 
 
+def resource(spark: SparkSession, path: str) -> DataFrame:
+    """(key, line, place, token) of a text file of "key: tokens" lines and "key::" tables that end with "::".
+
+    ``line`` counts the lines of a table from 1 (1 for a single line), ``place`` the tokens of a line from 1. Blank lines and what
+    follows a # count for nothing. Tokens are strings; cast them to what they are. The file is a small one: it is
+    read as one row, so that its lines have an order.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^(?=[ \t]*[A-Za-z]\S*?::?(?:\s|$))")).alias("block"))
+    block = text.select(F.regexp_replace("block", "(?m)#.*$", "").alias("block"), F.regexp_extract("block", r"^\s*([A-Za-z][^\s:]*)(::?)", 1).alias("key"), (F.regexp_extract("block", r"^\s*([A-Za-z][^\s:]*)(::?)", 2) == "::").alias("many"))
+    body = F.regexp_replace("block", r"^\s*[A-Za-z][^\s:]*::?", "")
+    held = F.when(F.col("many"), F.split(F.regexp_extract(body, r"(?s)^(.*?)(?:^|\n)[ \t]*::", 1), "\n")).otherwise(F.slice(F.split(body, "\n"), 1, 1))
+    lines = block.where("key <> ''").select("key", F.posexplode(F.filter(F.transform(held, lambda x: F.trim(x)), lambda x: x != "")).alias("line", "words"))
+    return lines.select("key", (F.col("line") + 1).alias("line"), F.posexplode(F.split("words", r"\s+")).alias("place", "token")).select("key", "line", (F.col("place") + 1).alias("place"), "token")
+
+
 def write_weights(links: DataFrame, folder: str, name: str, columns: tuple[str, ...] = ("w",)) -> None:
     """Replaces the map ``name`` by (dst, src, one or more weights)."""
     _replace(links.select("dst", "src", F.array(*[F.col(c).cast("double") for c in columns]).alias("w"), F.lit(name).alias("map")), folder, "map")
