@@ -1,8 +1,8 @@
 """Conservative weights of polygon cells, first and second order.
 
 A cell is a polygon in longitude and latitude with straight sides between its corners. The corners' polygon is cut into
-convex pieces with four corners each; a cell around a pole becomes one piece for each side, from that side up to the pole. Pieces
-of both grids meet by bins, and each pair is clipped and integrated along the sides of what they share (by Stokes'
+convex pieces with four corners each; a cell around a pole, or with a point on its rim there, becomes one piece for each
+side, from that side up to the pole. Pieces of both grids meet by bins, and each pair is clipped and integrated along the sides of what they share (by Stokes'
 theorem a side (phi, theta) gives the cap below it): area, and the integrals of latitude and of longitude times cosine
 over it, for second order. Pairs are Arrow batches; everything before and after is joins and aggregates.
 """
@@ -37,14 +37,26 @@ def pieces(grid: DataFrame, cell: str) -> DataFrame:
         bare = F.greatest(F.abs(F.get("clat", F.pmod(k - 1, n))), F.abs(F.get("clat", F.pmod(k + 1, n)))) <= 90 - 1e-7
         return F.when(bare & (F.abs(F.get("clat", k)) > 90 - 1e-7), F.array(point(F.pmod(k - 1, n)), point(F.pmod(k + 1, n)))).otherwise(F.array(point(k)))
 
-    corners = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), corner))
+    def over_the_pole(k: Column) -> Column:
+        """Two points at the pole after corner k, if the side from there goes half around it."""
+        after = F.pmod(k + 1, n)
+        half = (F.abs(F.abs(beside(F.get("clon", after), F.get("clon", k))) - 180) < 1e-6) & (F.abs(F.get("clat", k)) <= 90 - 1e-7) & (F.abs(F.get("clat", after)) <= 90 - 1e-7)
+        top = F.when(F.get("clat", k) >= 0, F.lit(90.0)).otherwise(F.lit(-90.0))
+        points = F.array(*[F.struct(F.get("clon", at).alias("x"), top.alias("y")) for at in (k, after)])
+        return F.when(half, points).otherwise(F.slice(points, 1, 0))
+
+    corners = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(corner(k), over_the_pole(k))))
     grid = grid.withColumn("__c", corners).select("cell", "lat", F.col("__c.x").alias("clon"), F.col("__c.y").alias("clat"))
     # corners next to each other, all around; the last step says whether the cell goes around a pole
     step = F.transform(F.sequence(F.lit(0), n - 1), lambda k: beside(F.get("clon", F.pmod(k + 1, n)), F.get("clon", k)))
     out = grid.select(F.col("cell").alias(cell), "lat", "clon", "clat", n.alias("n"), step.alias("step"))
+    # a step of half a turn, along the pole, is the way back of the others
+    half = lambda s: F.abs(F.abs(s) - 180) < 1e-6
+    others = F.aggregate(F.filter("step", lambda s: ~half(s)), F.lit(0.0), lambda a, s: a + s)
+    out = out.withColumn("step", F.transform("step", lambda s: F.when(half(s), -others).otherwise(s)))
     along = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.get("clon", F.lit(0)) + F.aggregate(F.slice("step", F.lit(1), k), F.lit(0.0), lambda a, s: a + s))
     out = out.withColumns({"x": along, "y": F.concat("clat", F.slice("clat", 1, 1))})
-    polar = F.abs(F.get("x", F.col("n")) - F.get("x", F.lit(0))) > 180
+    polar = (F.abs(F.get("x", F.col("n")) - F.get("x", F.lit(0))) > 180) | (F.array_max(F.transform("y", lambda y: F.abs(y))) > 90 - 1e-7)
     pole = F.when(F.col("lat") >= 0, F.lit(90.0)).otherwise(F.lit(-90.0))
 
     def at(name: str, k: Column) -> Column:

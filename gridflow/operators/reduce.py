@@ -113,7 +113,8 @@ def conserve(src: DataFrame, dst: DataFrame, mode: str, value: str = "v", keys:
     factor, shift = correction(mode, *held)
     fix = both.select(*keys, factor.alias("__factor"), shift.alias("__shift"))
     out = dst.join(fix, list(keys)) if keys else dst.crossJoin(F.broadcast(fix))  # one row without keys
-    new = F.when(F.col("mask") == 0, F.col(value) * F.col("__factor") + F.col("__shift")).otherwise(F.col(value))
+    # masked rows look at the correction too, so that its guards speak where no row is active
+    new = F.when(F.col("mask") == 0, F.col(value) * F.col("__factor") + F.col("__shift")).otherwise(F.col(value) + 0.0 * (F.col("__factor") + F.col("__shift")))
     return out.select(*[new.alias(value) if c == value else F.col(c) for c in dst.columns])
 
 
