@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import query, r, rounded
+from .catalog import _folder, query, r, rounded
 from .operators import curvilinear, polygons, reduced, remap, weights
-from .plans.exchange import Remap
+from .plans.exchange import Remap, stored
 from .schema import analytic_field, regular_grid, rotated_grid, table, with_corners
 
 TILT = 33.0
@@ -280,3 +280,31 @@ def chord_distances(spark, d):
     a = src.select("cell", F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("cell") % n + 1).alias("after"))
     b = src.select(F.col("cell").alias("after"), "lon", "lat")
     return a.join(b, "after").select("cell", r(weights.chord_distance(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"))).alias("d"))
+
+
+@query(f"WITH {_N}, g AS {_SOURCE} SELECT cell, 1 - mask AS mask FROM g")
+def mask_flipped(spark, d):
+    src, _ = boxes(spark, d)
+    return curvilinear.flipped(src).select("cell", "mask")
+
+
+@query(_SHARED + "SELECT dst, round(sum(w * v), 6) AS v FROM (SELECT dst, v, area / sum(area) OVER (PARTITION BY dst) AS w FROM k WHERE mask = 0) GROUP BY 1")
+def weights_built_once(spark, d):
+    """A map that is stored when it is first asked for, and read the second time."""
+    src, dst = boxes(spark, d)
+    folder = _folder(spark, "maps")
+    for _ in range(2):
+        links = stored(spark, folder, "boxes", lambda: Remap("CONSERV", norm="FRACAREA", order="FIRST").weights(src, dst).withColumnRenamed("w1", "w"))
+    return rounded(remap.apply_weights(links, with_values(src), {"v": "v"}))
+
+
+@query(f"""WITH {_N}, g AS (SELECT *, {_value()} AS v FROM {_SOURCE}), e AS (SELECT a.cell, a.j, a.ny, a.v, e.v AS east, w.v AS west, n.v AS north, s.v AS south,
+ne.v AS ne, nw.v AS nw, se.v AS se, sw.v AS sw FROM g a JOIN g e ON e.j = a.j AND e.i = a.i % a.nx + 1 JOIN g w ON w.j = a.j AND w.i = (a.i + a.nx - 2) % a.nx + 1
+LEFT JOIN g n ON n.j = a.j + 1 AND n.i = a.i LEFT JOIN g s ON s.j = a.j - 1 AND s.i = a.i LEFT JOIN g ne ON ne.j = a.j + 1 AND ne.i = e.i LEFT JOIN g nw ON nw.j = a.j + 1 AND nw.i = w.i
+LEFT JOIN g se ON se.j = a.j - 1 AND se.i = e.i LEFT JOIN g sw ON sw.j = a.j - 1 AND sw.i = w.i)
+SELECT cell, round((east - west) / 2, 6) AS gi, round((coalesce(north, v) - coalesce(south, v)) / CASE WHEN j IN (1, ny) THEN 1 ELSE 2 END, 6) AS gj,
+round(((coalesce(ne, east) - coalesce(nw, west)) - (coalesce(se, east) - coalesce(sw, west))) / 2 / CASE WHEN j IN (1, ny) THEN 1 ELSE 2 END, 6) AS gij FROM e""")
+def field_gradients(spark, d):
+    src, _ = boxes(spark, d)
+    n = size(spark, d)
+    return rounded(weights.gradients(with_values(src), 2 * n, n).select("cell", "gi", "gj", "gij"))

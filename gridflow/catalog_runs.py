@@ -55,6 +55,24 @@ def output_then_input(spark, d):
     return rounded(plan.run_leg(reads, table(spark, d, "events"), 864_000, 907_200, folder).drop("field"), 5)
 
 
+@query(_PUTS + f"""SELECT field, cell, w * {DT} AS t, round(avg(v), 5) AS v FROM (SELECT field, cell, v, CAST(ceil((t + 7200) / {DT}.0) AS BIGINT) AS w FROM p WHERE field = 'click' AND t + 7200 < 2592000) GROUP BY field, cell, w""")
+def exchange_to_the_end(spark, d):
+    """Puts whose exchange would come at or after the end of the run are not sent."""
+    entry = plan.Entry(("click",), ("click",), DT, lag=7200, restart="click", loctrans="AVERAGE")
+    return rounded(plan.windowed(entry, puts(spark, d), 2_592_000), 5)
+
+
+@query("SELECT 'users' AS name, row_number() OVER (ORDER BY event_type) AS place, count(DISTINCT user_id) AS i, round(avg(value), 6) AS r FROM events GROUP BY event_type")
+def counters_stored(spark, d):
+    """A counter and a mean for each field, written as small arrays and read again."""
+    folder = _folder(spark, "counters")
+    n = puts(spark, d).groupBy("field").agg(F.count_distinct("cell").alias("i"), F.avg("v").alias("r"))
+    ordered = batch.running(n, [F.col("field")], F.lit(1), "place")
+    tables.write_arrays(ordered.select(F.lit("old").alias("name"), "place", "i", "r"), folder, "a:b")
+    tables.write_arrays(ordered.select(F.lit("users").alias("name"), "place", "i", "r"), folder, "a:b")
+    return rounded(tables.read_arrays(spark, folder, "a:b"))
+
+
 def _hours(spark, d):
     """The puts with times at full hours, and places of their own in calling order."""
     return puts(spark, d).withColumns({"t": F.floor(F.col("t") / 3600).cast("long") * 3600, "place": F.col("event_id") * 7919 % 1_000_003})

@@ -43,6 +43,11 @@ def prepared(grid: DataFrame) -> DataFrame:
     )
 
 
+def flipped(grid: DataFrame) -> DataFrame:
+    """The grid with its mask the other way round: 1 for active points in one convention, 0 in the other."""
+    return grid.withColumn("mask", 1 - F.col("mask"))
+
+
 def duplicates(grid: DataFrame, width: float = 1e-6) -> DataFrame:
     """(cell, other): pairs of points that differ by less than ``width`` degrees in both coordinates, ``cell`` the higher.
 

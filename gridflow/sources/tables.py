@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..shared import shared_folder
 
 __all__ = [
-    "append_output", "read_grid", "read_input", "read_restart", "read_weights", "resource", "shared_folder", "write_grid", "write_restart", "write_weights",
+    "append_output", "read_arrays", "read_grid", "read_input", "read_restart", "read_weights", "resource", "shared_folder", "write_arrays", "write_grid", "write_restart", "write_weights",
 ]
 
 RESTART = "cell long, v double, cnt long, entry string, kind string, field string"
@@ -52,6 +52,18 @@ def read_restart(spark: SparkSession, folder: str, entry: str, kind: str, requir
     return out
 
 
+def write_arrays(rows: DataFrame, folder: str, entry: str) -> None:
+    """Replaces the small arrays of an entry, such as counters, by rows (name, place, i, r) of integers and reals."""
+    values = rows.select("name", F.col("place").cast("long").alias("place"), F.col("i").cast("long").alias("i"), F.col("r").cast("double").alias("r"))
+    values.coalesce(1).write.mode("overwrite").parquet(f"{folder}/arrays/entry={quote(entry, safe='')}")  # small: one file
+
+
+def read_arrays(spark: SparkSession, folder: str, entry: str) -> DataFrame:
+    """(name, place, i, r) of an entry."""
+    rows = _read(spark, f"{folder}/arrays", "name string, place long, i long, r double, entry string")
+    return rows.where(F.col("entry") == entry).select("name", "place", "i", "r")
+
+
 def append_output(values: DataFrame, folder: str) -> None:
     """Adds (field, t, cell, v) to the records of its fields."""
     values.select("t", "cell", "v", "field").write.mode("append").partitionBy("field").parquet(folder)
