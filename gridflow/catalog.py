@@ -325,7 +325,7 @@ def _summary(links: DataFrame) -> DataFrame:
     return rounded(links.groupBy("dst").agg(F.count("*").alias("n_links"), F.sum("w").alias("w_sum"), F.max("w").alias("w_max")))
 
 
-@query()
+@query(_shares("1 / (d + 2.220446049250313e-16)"))
 def distwgt(spark, d):
     return _summary(weights.distance_weights(*_near_grids(spark), 4))
 
@@ -337,7 +337,7 @@ def distwgt_of_parts(spark, d):
     return _summary(weights.distance_weights(regular_grid(spark, 2 * ny, ny), regular_grid(spark, ny, ny), 4))
 
 
-@query()
+@query(_shares(f"exp(-0.5 * d * d / (2.0 * (SELECT avg({_DISTANCE}) FROM s JOIN s t ON t.cell = s.cell % 288 + 1) ** 2))"))
 def gauswgt(spark, d):
     return _summary(weights.gaussian_weights(*_near_grids(spark), 4, 2.0))
 
@@ -392,14 +392,34 @@ def bilinear_rectilinear(spark, d):
     return rounded(remap.apply_weights(links_, _grid_values(spark, d, 288), {"v": "v"}), 4)
 
 
-@query()
+_AT = """p AS (SELECT cell AS dst, lon * 24 / 360.0 + 0.5 AS x, greatest(1.0, least(12.0, (lat + 90) * 12 / 180.0 + 0.5)) AS y FROM t),
+q AS (SELECT dst, floor(x) AS i, least(floor(y), 11) AS j, x - floor(x) AS p, y - least(floor(y), 11) AS q FROM p),
+c AS (SELECT dst, p, q, di, dj, CAST((j + dj - 1) * 24 + ((CAST(i + di - 1 AS BIGINT) % 24) + 24) % 24 + 1 AS BIGINT) AS src,
+(CASE WHEN di = 1 THEN p ELSE 1 - p END) * (CASE WHEN dj = 1 THEN q ELSE 1 - q END) AS w FROM q, range(0, 2) a(di), range(0, 2) b(dj))"""
+
+
+@query(_NEAR + f""", {_AT}, a AS (SELECT c.dst, c.src, c.w FROM c JOIN t ON c.dst = t.cell WHERE t.mask = 0 AND abs(c.w) > 1e-12), h AS (SELECT DISTINCT dst FROM a JOIN s ON src = cell WHERE s.mask <> 0),
+r AS (SELECT dst, src, 1 / (d + 2.220446049250313e-16) AS w FROM n WHERE smask = 0 AND dst IN (SELECT dst FROM h)),
+o AS (SELECT dst, src, w FROM a WHERE dst NOT IN (SELECT dst FROM h) UNION ALL SELECT dst, src, w / sum(w) OVER (PARTITION BY dst) FROM r),
+l AS (SELECT k.dst, k.src, 1.0 AS w, row_number() OVER (PARTITION BY k.dst ORDER BY round(k.d, 9), k.src) AS x FROM k WHERE k.tmask = 0 AND k.smask = 0 AND k.dst NOT IN (SELECT dst FROM o))
+SELECT dst, count(*) AS n_links, round(sum(w), 6) AS w_sum, round(max(w), 6) AS w_max FROM (SELECT dst, src, w FROM o UNION ALL SELECT dst, src, w FROM l WHERE x = 1) GROUP BY 1""")
 def bilinear_masked(spark, d):
     src, dst = _near_grids(spark)
     links_ = weights.masked_bilinear_weights(src, dst, 24, 12)
     return _summary(links_)
 
 
-@query()
+_V = "(2 - cos(acos(greatest(-1.0, least(1.0, cos(radians(lat)) * cos(radians(lon))))) / 1.2))"
+
+
+@query(f"""WITH t AS {_grid_sql(16, 8)}, g AS (SELECT *, {_V} AS v FROM {_grid_sql(24, 12)}), {_AT},
+e AS (SELECT a.cell, a.v, (e.v - w.v) / 2 AS gi, (coalesce(n.v, a.v) - coalesce(s.v, a.v)) / CASE WHEN a.j IN (1, 12) THEN 1 ELSE 2 END AS gj,
+((coalesce(ne.v, e.v) - coalesce(nw.v, w.v)) - (coalesce(se.v, e.v) - coalesce(sw.v, w.v))) / 2 / CASE WHEN a.j IN (1, 12) THEN 1 ELSE 2 END AS gij
+FROM g a JOIN g e ON e.j = a.j AND e.i = a.i % 24 + 1 JOIN g w ON w.j = a.j AND w.i = (a.i + 22) % 24 + 1 LEFT JOIN g n ON n.j = a.j + 1 AND n.i = a.i LEFT JOIN g s ON s.j = a.j - 1 AND s.i = a.i
+LEFT JOIN g ne ON ne.j = a.j + 1 AND ne.i = e.i LEFT JOIN g nw ON nw.j = a.j + 1 AND nw.i = w.i LEFT JOIN g se ON se.j = a.j - 1 AND se.i = e.i LEFT JOIN g sw ON sw.j = a.j - 1 AND sw.i = w.i),
+b AS (SELECT dst, src, CASE WHEN di = 0 THEN 1 - p * p * (3 - 2 * p) ELSE p * p * (3 - 2 * p) END AS vi, CASE WHEN di = 0 THEN p * (p - 1) * (p - 1) ELSE p * p * (p - 1) END AS si,
+CASE WHEN dj = 0 THEN 1 - q * q * (3 - 2 * q) ELSE q * q * (3 - 2 * q) END AS vj, CASE WHEN dj = 0 THEN q * (q - 1) * (q - 1) ELSE q * q * (q - 1) END AS sj FROM c)
+SELECT dst, round(sum(vi * vj * v + si * vj * gi + vi * sj * gj + si * sj * gij), 6) AS y FROM b JOIN e ON src = cell GROUP BY 1""")
 def bicubic_rectilinear(spark, d):
     src, dst = _near_grids(spark)
     field = weights.gradients(src.withColumn("v", analytic_field(F.col("lon"), F.col("lat"))), 24, 12)
