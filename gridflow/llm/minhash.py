@@ -377,6 +377,9 @@ def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, planes: np.nda
     sizes = np.array([len(s) for s in sets])
     order = np.lexsort((ids, -sizes))
     ids, parts, sizes, sets, planes = ids[order], parts[order], sizes[order], [sets[i] for i in order], np.ascontiguousarray(planes[order])
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    seen = np.zeros(len(vocabulary), np.int32)
     _, part = np.unique(parts, return_inverse=True)
     out = []
     for i in range(len(ids) - 1):
@@ -385,12 +388,20 @@ def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, planes: np.nda
         todo = np.flatnonzero(part[i + 1 : last] != part[i]) + i + 1
         if not len(todo):
             continue
-        for j in todo[estimates(planes[i], planes[todo]) >= percent / 100 - MARGIN].tolist():
+        todo = todo[estimates(planes[i], planes[todo]) >= percent / 100 - MARGIN]
+        if not len(todo):
+            continue
+        # the full sets of these, laid end to end, against set i
+        held = sizes[todo]
+        at = np.cumsum(held) - held
+        places = np.arange(int(held.sum())) + np.repeat(ends[todo] - at, held)
+        seen[flat[ends[i] : ends[i + 1]]] = 1
+        both = np.add.reduceat(seen[flat[places]], at)
+        seen[flat[ends[i] : ends[i + 1]]] = 0
+        for j in todo[both * 100 >= (sizes[i] + held - both) * percent].tolist():
             if part[j] != part[i]:
-                both = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j]))
-                if both * 100 >= (sizes[i] + sizes[j] - both) * percent:
-                    out.append((ids[i], ids[j]))
-                    part[part == part[j]] = part[i]
+                out.append((ids[i], ids[j]))
+                part[part == part[j]] = part[i]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
