@@ -106,11 +106,16 @@ def correction(mode: str, ss: Column, ws: Column, sd: Column, wd: Column) -> tup
 
 
 def conserve(src: DataFrame, dst: DataFrame, mode: str, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
-    """``dst`` with ``value`` corrected on active points so that the integrals agree, for each of ``keys`` by itself."""
+    """``dst`` with ``value`` corrected on active points so that the integrals agree, for each of ``keys`` by itself.
+
+    Of several groups, one that has no active target points has nothing to correct and stays as it is.
+    """
     total = sums(dst, "b", value, keys)
     both = total.join(sums(src, "a", value, keys), list(keys), "left") if keys else total.crossJoin(sums(src, "a", value))
     held = [F.coalesce(c, F.lit(0.0)) for c in ("as", "aw", "bs", "bw")]
     factor, shift = correction(mode, *held)
+    if keys:
+        factor, shift = (F.when(held[3] == 0, F.lit(none)).otherwise(c) for c, none in ((factor, 1.0), (shift, 0.0)))
     fix = both.select(*keys, factor.alias("__factor"), shift.alias("__shift"))
     out = dst.join(fix, list(keys)) if keys else dst.crossJoin(F.broadcast(fix))  # one row without keys
     # masked rows look at the correction too, so that its guards speak where no row is active

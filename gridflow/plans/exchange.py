@@ -192,9 +192,12 @@ def mapped(entry: Entry, field: DataFrame, links: DataFrame | None) -> DataFrame
 
 
 def conserved(entry: Entry, src: DataFrame, dst: DataFrame, src_grid: DataFrame, dst_grid: DataFrame) -> DataFrame:
-    """The target corrected for each (field, t) at once."""
+    """The target corrected for each (field, t) at once; a target grid without any active area raises."""
     at = ("field", "t")
     whole = [f.join(g.select("cell", "area", "mask"), "cell") for f, g in ((src, src_grid), (dst, dst_grid))]
+    active = reduce.sums(dst_grid.withColumn("v", F.lit(0.0)), "g").select("gw")  # one row
+    sure = F.when(F.col("gw") > 0, F.col("v")).otherwise(F.raise_error(F.lit(f"{entry.conserv}: the target's active area is 0")).cast("double"))
+    whole[1] = whole[1].crossJoin(F.broadcast(active)).withColumn("v", sure).drop("gw")
     return reduce.conserve(*whole, entry.conserv, keys=at).select("field", "t", "cell", "v")
 
 
@@ -247,8 +250,8 @@ def run_leg(
     ready, carried = (None if x is None else batch.cut(x) for x in (ready, carried))
     leg = timewin.leg(own, entry.loctrans, entry.dt, entry.lag, start, end, ready, carried)
     if entry.lag > 0:
-        tables.write_restart(leg.ready, folder, name, "ready")
-    tables.write_restart(leg.carried, folder, name, "loctrans")
+        tables.write_restart(leg.ready, folder, name, "ready", whole=True)
+    tables.write_restart(leg.carried, folder, name, "loctrans", whole=True)
     sent = batch.affine(leg.delivered, "v", *entry.source_scale)
     if entry.status in ("EXPOUT", "OUTPUT"):
         tables.append_output(sent, folder + "/records")

@@ -36,9 +36,15 @@ def _replace(df: DataFrame, folder: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
 
 
-def write_restart(rows: DataFrame, folder: str, entry: str, kind: str) -> None:
-    """Replaces all restart values of this entry and kind by ``rows`` (field, cell, v[, cnt]); fields without rows have none then."""
+def write_restart(rows: DataFrame, folder: str, entry: str, kind: str, whole: bool = False) -> None:
+    """Replaces the restart values of this entry, kind and the fields that ``rows`` (field, cell, v[, cnt]) holds.
+
+    ``whole``: of all fields, so that those without rows have no values from then on.
+    """
     cnt = F.col("cnt") if "cnt" in rows.columns else F.lit(1)
+    if not whole:
+        _replace(rows.select("cell", "v", cnt.cast("long").alias("cnt"), F.lit(entry).alias("entry"), F.lit(kind).alias("kind"), "field"), folder, "entry", "kind", "field")
+        return
     # partition folders are named as Spark escapes them
     own = f"{folder}/entry={quote(entry, safe='')}/kind={quote(kind, safe='')}"
     rows.select("cell", "v", cnt.cast("long").alias("cnt"), "field").write.mode("overwrite").partitionBy("field").parquet(own)

@@ -254,7 +254,7 @@ def test_restart_values_of_fields_that_went_are_gone(spark, tmp_path):
     rows = spark.createDataFrame([("f", 1, 1.0), ("g", 1, 2.0)], "field string, cell long, v double")
     tables.write_restart(rows, folder, "a:b", "ready")
     tables.write_restart(rows.where("field = 'g'"), folder, "other", "ready")
-    tables.write_restart(rows.where("field = 'f'"), folder, "a:b", "ready")
+    tables.write_restart(rows.where("field = 'f'"), folder, "a:b", "ready", whole=True)
     assert [r.field for r in tables.read_restart(spark, folder, "a:b", "ready").collect()] == ["f"]
     assert [r.field for r in tables.read_restart(spark, folder, "other", "ready").collect()] == ["g"]
 
