@@ -38,12 +38,13 @@ def ranged(batch: DataFrame, order: str, bins: int = 64) -> DataFrame:
     return batch.withColumn("__range", place)
 
 
-def running(batch: DataFrame, order: list[Column], value: Column, out: str, bins: int = 64) -> DataFrame:
+def running(batch: DataFrame, order: list[Column], value: Column, out: str, bins: int | None = None) -> DataFrame:
     """The batch with ``out``: the sum of the integer ``value`` over the rows up to each, in ``order`` (which must have no ties).
 
     Rows are range-partitioned, once, and summed within their range; the sums of the ranges before are added, so
-    no single task sorts all rows.
+    no single task sorts all rows. There are as many ranges as the session has shuffle partitions.
     """
+    bins = bins or int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(batch.withColumn("__value", value.cast("long")).repartitionByRange(bins, *order).withColumn("__part", F.spark_partition_id()))
     up_to = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     # a row for each range
@@ -57,7 +58,7 @@ def by(keys: list[tuple[str, bool]], tie: str) -> list[Column]:
     return [F.col(c).desc() if down else F.col(c).asc() for c, down in keys] + [F.col(tie).asc()]
 
 
-def permutation(batch: DataFrame, keys: list[tuple[str, bool]], tie: str = "cell", bins: int = 64) -> DataFrame:
+def permutation(batch: DataFrame, keys: list[tuple[str, bool]], tie: str = "cell", bins: int | None = None) -> DataFrame:
     """(tie, place): each row's place in the order of ``keys`` (name, descending) and then ``tie``."""
     narrow = batch.select(tie, *[c for c, _ in keys if c != tie])
     return running(narrow, by(keys, tie), F.lit(1), "place", bins).select(tie, "place")

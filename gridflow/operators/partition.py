@@ -42,7 +42,7 @@ def increasing(segments: DataFrame) -> DataFrame:
     return steps.groupBy("part").agg(F.coalesce(F.min(F.col("start") > F.col("__before")), F.lit(True)).alias("increasing"))
 
 
-def sorted_segments(segments: DataFrame, bins: int = 64) -> DataFrame:
+def sorted_segments(segments: DataFrame, bins: int | None = None) -> DataFrame:
     """(place, part, start, length): all segments numbered in the order of their starts, then parts."""
     return running(segments.select("part", "start", "length"), [F.col("start"), F.col("part"), F.col("length")], F.lit(1), "place", bins).select("place", "part", "start", "length")
 
