@@ -16,8 +16,8 @@ with one leader, and those still apart with another, each round linear in the
 bucket. What is then left are pairs of different components inside a bucket,
 and all of them are looked at: few, as rows of a join that leaves out pairs
 within the bucket's largest component; many, inside tasks that
-each get two blocks of the bucket's members with their signatures and sets and
-give back only links that join components. So no pairs of a settled group are formed, none of
+each get two blocks of the bucket's members with their sets (no estimate comes
+first there) and give back only links that join components. So no pairs of a settled group are formed, none of
 a large bucket become rows, and no link is lost.
 
 The chance that a pair at the threshold shares no band is (1 - s**rows)**bands:
@@ -294,7 +294,7 @@ def _links(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame | None
     more.append(_confirm(cut(close), texts, spec).where("link").select("a", "b"))
     many = cut(apart.join(kinds.where("NOT few"), ["band", "h"]))
     if not many.isEmpty():
-        more.append(_in_blocks(many, texts, of_id, spec))
+        more.append(_in_blocks(many, texts, spec))
     out = more[0]
     for m in more[1:]:
         out = out.unionAll(m)
@@ -334,7 +334,7 @@ def _opposed(apart: DataFrame, kinds: DataFrame, near: DataFrame, far: DataFrame
     return x.join(y, ["band", "h", "salt"]).where(F.col("in_main") | (F.col("a") < F.col("b")))
 
 
-def _in_blocks(many: DataFrame, texts: DataFrame, of_id: DataFrame, spec: Spec) -> DataFrame:
+def _in_blocks(many: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     """Links between different components of large buckets, compared two blocks at a time.
 
     The largest component of a bucket has blocks of its own, which meet only
@@ -356,27 +356,18 @@ def _in_blocks(many: DataFrame, texts: DataFrame, of_id: DataFrame, spec: Spec)
     members = cut(many.select("id").distinct())
     sets = shingle_sets(texts.join(small(members), "id", "left_semi"), spec)
     percent = spec.percent
-    planes = [f"p{i}" for i in range(4)]
-    sets = sets.join(of_id.select("id", *[F.col("p")[p].alias(p) for p in planes]), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _links_within(pdf["id"].to_numpy(), pdf["component"].to_numpy(), list(pdf["s"]), pdf[planes].to_numpy(np.int64), percent)
+        return _links_within(pdf["id"].to_numpy(), pdf["component"].to_numpy(), list(pdf["s"]), percent)
 
     return cut(placed.join(sets, "id").groupBy("band", "h", "x", "y").applyInPandas(run, "a long, b long").distinct())
 
 
-def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarities of one packed signature (4) with others (n, 4), as :func:`_estimate_of`."""
-    d = others ^ one
-    apart = np.bitwise_count((d[:, :2] | d[:, 2:]).view(np.uint64)).sum(axis=1)
-    return (1 - apart / PLANE - 2.0**-BITS) / (1 - 2.0**-BITS)
-
-
-def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, planes: np.ndarray, percent: int) -> pd.DataFrame:
+def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, percent: int) -> pd.DataFrame:
     """Links that join different parts: enough of them to join all that belong together."""
     sizes = np.array([len(s) for s in sets])
     order = np.lexsort((ids, -sizes))
-    ids, parts, sizes, sets, planes = ids[order], parts[order], sizes[order], [sets[i] for i in order], np.ascontiguousarray(planes[order])
+    ids, parts, sizes, sets = ids[order], parts[order], sizes[order], [sets[i] for i in order]
     ends = np.concatenate(([0], np.cumsum(sizes)))
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
     seen = np.zeros(len(vocabulary), np.int32)
@@ -385,20 +376,13 @@ def _links_within(ids: np.ndarray, parts: np.ndarray, sets: list, planes: np.nda
     for i in range(len(ids) - 1):
         # sizes fall: sets from ``last`` on are too small to be linked
         last = i + 1 + int(np.searchsorted(-sizes[i + 1 :] * 100, -sizes[i] * percent, side="right"))
-        todo = np.flatnonzero(part[i + 1 : last] != part[i]) + i + 1
-        if not len(todo):
-            continue
-        todo = todo[estimates(planes[i], planes[todo]) >= percent / 100 - MARGIN]
-        if not len(todo):
+        if last <= i + 1 or (part[i + 1 : last] == part[i]).all():
             continue
-        # the full sets of these, laid end to end, against set i
-        held = sizes[todo]
-        at = np.cumsum(held) - held
-        places = np.arange(int(held.sum())) + np.repeat(ends[todo] - at, held)
         seen[flat[ends[i] : ends[i + 1]]] = 1
-        both = np.add.reduceat(seen[flat[places]], at)
+        both = np.add.reduceat(seen[flat[ends[i + 1] : ends[last]]], ends[i + 1 : last] - ends[i + 1])
         seen[flat[ends[i] : ends[i + 1]]] = 0
-        for j in todo[both * 100 >= (sizes[i] + held - both) * percent].tolist():
+        linked = np.flatnonzero(both * 100 >= (sizes[i] + sizes[i + 1 : last] - both) * percent) + i + 1
+        for j in linked:
             if part[j] != part[i]:
                 out.append((ids[i], ids[j]))
                 part[part == part[j]] = part[i]

@@ -172,27 +172,30 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample: int = SAMPLE,
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """``docs`` with __quality: the probability of good quality (a column of that name is replaced)."""
+    """``docs`` (its columns ``keep``, or all) with __quality: the probability of good quality; a column of that name is replaced."""
     w = fit(docs, labels, sample, id_col, text_col)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")
-    names = docs.columns
+    names = [c for c in keep or docs.columns if c != "__quality"]
     if w is None:
-        return docs.withColumn("__quality", F.lit(1.0))
+        return docs.select(*names, F.lit(1.0).alias("__quality"))
     odds_, h, q, p, host_, path_, n, s, mean = spare(docs, "odds", "h", "q", "p", "host", "path", "n", "s", "mean")
-    odds = log_odds(F.col(text_col), w)
-    scored = docs.select(host, path, odds.alias("odds")).select("host", "path", _chance("odds").alias("p"))
+    mine = docs.select(*names, log_odds(F.col(text_col), w).alias(odds_), host.alias(h), path.alias(q))
+    if text_col not in names:
+        # scored once, for the sites' sums and for the documents; whole texts would take more disk than that is worth
+        mine = cut(mine)
+    scored = mine.select(F.col(h).alias("host"), F.col(q).alias("path"), _chance(odds_).alias("p"))
     sites, prior = site_posteriors(scored)
     sites = small(sites.toDF(host_, path_, n, s, mean))
-    mine = docs.withColumns({odds_: odds, h: host, q: path}).withColumn(p, _chance(odds_))
-    joined = mine.join(sites, (F.col(h) == F.col(host_)) & (F.col(q) == F.col(path_)), "left")
+    joined = mine.withColumn(p, _chance(odds_)).join(sites, (F.col(h) == F.col(host_)) & (F.col(q) == F.col(path_)), "left")
     # the path's posterior from its other documents
     site = (F.col(s) - F.col(p) + prior.path * F.col(mean)) / (F.col(n) - 1 + prior.path)
     moved = F.col(odds_) + _logit(site) - math.log(prior.mean / (1 - prior.mean))
-    return joined.select(*[F.col(c) for c in names if c != "__quality"], (F.lit(1.0) / (F.lit(1.0) + F.exp(-moved))).alias("__quality"))
+    return joined.select(*names, (F.lit(1.0) / (F.lit(1.0) + F.exp(-moved))).alias("__quality"))
 
 
 def op6_quality_bayes(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels).select("doc_id", F.round("__quality", 6).alias("quality"), (F.col("__quality") >= KEEP).alias("kept"))
+    return classify(docs, labels, keep=("doc_id",)).select("doc_id", F.round("__quality", 6).alias("quality"), (F.col("__quality") >= KEEP).alias("kept"))

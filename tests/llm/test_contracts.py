@@ -193,16 +193,6 @@ def test_registered_bands_find_links_near_the_threshold(spark, tmp_path):
     assert sum(got[2 * i + 1].component_id == 2 * i for i in range(400)) == 400
 
 
-def test_estimates_of_arrays_and_of_columns_agree(spark):
-    rng = np.random.default_rng(0)
-    x = rng.integers(-(2**63), 2**63 - 1, (50, 4), dtype=np.int64)
-    x[1:25] = x[0] ^ (np.int64(1) << rng.integers(0, 63, (24, 4)))
-    rows = spark.createDataFrame([(i, *map(int, x[0]), *map(int, v)) for i, v in enumerate(x)], "i int, a0 long, a1 long, a2 long, a3 long, b0 long, b1 long, b2 long, b3 long")
-    one = [F.struct(*[F.col(f"{k}{i}").alias(f"p{i}") for i in range(4)]).alias(k) for k in "ab"]
-    got = [r.e for r in rows.select("i", *one).select("i", minhash._estimate_of("a", "b").alias("e")).orderBy("i").collect()]
-    assert np.allclose(got, minhash.estimates(x[0], x))
-
-
 # ------------------------------------------------------------ personal data
 
 
