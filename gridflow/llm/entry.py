@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, packing, pii, quality, secrets, tokenfile, topk, toxicity, vectors
+from . import bpe, minhash, packing, phrases, pii, quality, secrets, tokenfile, topk, toxicity, turns, vectors
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,9 @@ QUERIES = {
         packing.op8_best_fit_packing,
         tokenfile.op9_token_files,
         minhash.op10_minhash_near_dedup,
+        turns.op11_conversation_repair,
+        phrases.op12_phrase_collocations,
     )
 }
 
-ORACLE_SQL = {"op1_embedding_near_dedup": vectors.SQL, "op2_block_topk": topk.SQL, "op10_minhash_near_dedup": minhash.SQL}
+ORACLE_SQL = {"op1_embedding_near_dedup": vectors.SQL, "op2_block_topk": topk.SQL, "op10_minhash_near_dedup": minhash.SQL, "op11_conversation_repair": turns.SQL, "op12_phrase_collocations": phrases.SQL}
