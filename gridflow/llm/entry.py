@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, packing, phrases, pii, quality, secrets, tokenfile, topk, toxicity, turns, vectors
+from . import bpe, language, minhash, packing, phrases, pii, quality, secrets, tokenfile, topk, toxicity, turns, vectors
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         minhash.op10_minhash_near_dedup,
         turns.op11_conversation_repair,
         phrases.op12_phrase_collocations,
+        language.op13_language_ftrl,
     )
 }
 
