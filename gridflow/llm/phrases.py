@@ -1,19 +1,21 @@
 """Phrases whose words stand together more often than chance, mined from position bitmaps.
 
-1. Texts become blocks of one language: every word and every end of a piece takes a
+1. Texts become blocks of one language, the shards: every word and every end of a piece takes a
    position, and a word's positions in the block are a bitmap, kept as the bytes that
-   are not zero (``at``: their places, ``bits``: eight positions each).
+   are not zero (their places, and eight positions each). Blocks are written once, as a table.
 2. Counts of words are summed over blocks. Only words that occur ``least`` times in
-   their language can be in a phrase that does; the others' bitmaps go no further.
+   their language can be in a phrase that does.
 3. In each block phrases are extended depth-first, from a group of first words: the
    prefix's bitmap is shifted by one position and ANDed with the bitmaps of all words
    that have bits there; set bits are counted. Ends of pieces hold no word, so nothing
-   crosses them. Counts of phrases are summed over blocks.
+   crosses them. Counts of phrases are summed over blocks, those of two words first: a longer phrase needs
+   both of its parts to be frequent.
 4. Candidates are scored at their worst cut in exact decimals.
 
-A block holds at most ``BLOCK`` positions but for the rest of its last text, and blocks are dealt
-evenly whatever language they are in. A block never meets another one: what is shuffled are words
-with their bitmaps (once), and a block's distinct phrases with their counts.
+Blocks are not shuffled; they are told which words and parts are frequent by Bloom filters of ``BLOOM`` bits, whatever the
+corpus. A filter's mistakes only let a phrase be counted that turns out to be rare; no frequent one is missed, and counts are
+exact. What is shuffled are a block's distinct words and phrases with their counts. A block holds at most ``BLOCK`` positions but for
+the rest of its last text, and blocks are dealt as the input is, whatever language they are in.
 
 Defined cases: null and empty texts and pieces have no words; a null language is
 ``und``; repeated rows count as often as they occur; an empty table gives an empty
@@ -24,21 +26,26 @@ not looked at.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small
+from .common import cut, ensure_checkpoint_dir
 
 #: Positions of a block; a text goes on in its block to its end.
 BLOCK = 1 << 20
 #: Bytes of a group of first words' bitmaps that are extended together.
 GROUP = 1 << 15
+BLOOM = 1 << 26
+
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _END = b"."  # can't be a word
@@ -64,58 +71,102 @@ class _Block:
         self.words += [got, np.zeros(1, np.uint32)]
         self.size += len(got) + 1
 
-    def rows(self, block: int, lang: str) -> pa.RecordBatch:
-        """A row for each word: how often it occurs, and its bitmap."""
+    def row(self, lang: str) -> pa.RecordBatch:
+        """One row: the words, how often each occurs, how many bytes its bitmap has, and all bitmaps in the order of words."""
         word = np.concatenate(self.words)
         position = np.flatnonzero(word)
         word = word[position]
         order = np.argsort(word, kind="stable")
         word, position = word[order], position[order]
         key = word.astype(np.int64) << 32 | position >> 3
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         bits = np.bitwise_or.reduceat(np.uint8(1) << (position & 7).astype(np.uint8), first) if len(key) else np.empty(0, np.uint8)
-        at, of = (position[first] >> 3).astype("<u4"), word[first]
-        n = np.bincount(word, minlength=len(self.ids))[1:]
-        ends = np.searchsorted(of, np.arange(1, len(self.ids) + 1)).astype(np.int32)  # a word's bytes begin and end
-        k = len(n)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(k, block)),
-                pa.array([lang] * k, pa.string()),
-                pa.array(list(self.ids)[1:], pa.binary()),
-                pa.array(n.astype(np.int64)),
-                pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(at)]),
-                pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends), pa.py_buffer(bits)]),
-            ],
-            ["block", "lang", "word", "n", "at", "bits"],
-        )
+        at, of = position[first] >> 3, word[first]
+        step = np.diff(at, prepend=0)  # from byte to byte; a word's first is its place
+        begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+        step[begins] = at[begins]
+        size = len(self.ids)
+        columns = {
+            "lang": pa.array([lang], pa.string()),
+            "words": pa.array([list(self.ids)[1:]], pa.list_(pa.binary())),
+            "n": pa.array([np.bincount(word, minlength=size)[1:].astype(np.int32)], pa.list_(pa.int32())),
+            "sizes": pa.array([np.bincount(of, minlength=size)[1:].astype(np.int32)], pa.list_(pa.int32())),
+            "at": pa.array([step.astype("<u4").tobytes()], pa.binary()),
+            "bits": pa.array([bits.tobytes()], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+
+_BLOCKS = "lang string, words array<binary>, n array<int>, sizes array<int>, at binary, bits binary"
 
 
 def bitmaps(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = BLOCK) -> DataFrame:
-    """(block, lang, word, n, at, bits): the words of blocks with their position bitmaps."""
+    """(lang, words, n, sizes, at, bits): blocks of texts of one language as position bitmaps, a row each; written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
         held: dict[str, _Block] = {}
-        done = 0
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 block = held.setdefault(lang.as_py(), _Block())
                 block.add(tokens(text.as_py()))
                 if block.size >= size:
-                    yield from _sliced(held.pop(lang.as_py()).rows(part + done, lang.as_py()))
-                    done += 1
+                    yield held.pop(lang.as_py()).row(lang.as_py())
         for lang, block in held.items():
-            yield from _sliced(block.rows(part + done, lang))
-            done += 1
+            yield block.row(lang)
 
     narrow = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return narrow.mapInArrow(run, "block long, lang string, word binary, n long, at binary, bits binary")
+    spark = docs.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/phrases-{uuid.uuid4().hex}"
+    narrow.mapInArrow(run, _BLOCKS).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
+    return spark.read.schema(_BLOCKS).parquet(folder)
+
+
+class Bloom:
+    """A set of words or phrases of a language that may hold some more; of ``BLOOM`` bits, two for each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def hashes(lang: str, words: list[bytes]) -> np.ndarray:
+        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+    @staticmethod
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of phrases of what ``a`` and ``b`` are hashes of."""
+        with np.errstate(over="ignore"):
+            h = (a * _P1 ^ b) * _P2
+            return h ^ h >> np.uint64(29)
+
+    @staticmethod
+    def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return h % np.uint64(BLOOM), (h >> np.uint64(32)) % np.uint64(BLOOM)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        one, two = (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1) for p in self.places(h))
+        return (one & two).astype(bool)
 
 
-def _sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, rows.num_rows, 20_000):
-        yield rows.slice(i, 20_000)
+def bloom(rows: DataFrame, names: tuple[str, ...]) -> Bloom:
+    """The filter of rows (lang, names), words of which each is a hash's part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            places = []
+            for lang, own in pdf.groupby("lang", sort=False):
+                h = Bloom.hashes(lang, list(own[names[0]]))
+                for name in names[1:]:
+                    h = Bloom.joined(h, Bloom.hashes(lang, list(own[name])))
+                places += Bloom.places(h)
+            p = np.unique(np.concatenate(places)).astype(np.int64)
+            at, first = np.unique(p >> 5, return_index=True)
+            yield pd.DataFrame({"at": at, "bits": np.bitwise_or.reduceat(np.int64(1) << (p & 31), first)})
+
+    got = rows.select("lang", *[F.col(c).cast("binary").alias(c) for c in names]).mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # BLOOM / 32 rows at most
+    bits = np.zeros(BLOOM // 32, "<u4")
+    bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return Bloom(bits.view(np.uint8))
 
 
 def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -125,15 +176,22 @@ def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class _Index:
-    """The bitmaps of a block's words, by word and by place."""
-
-    def __init__(self, at: list[bytes], bits: list[bytes]):
-        sizes = np.fromiter(map(len, bits), np.int64, len(bits))
-        self.starts = np.r_[0, np.cumsum(sizes)]
-        self.at = np.frombuffer(b"".join(at), "<u4").astype(np.int64)
-        self.bits = np.frombuffer(b"".join(bits), np.uint8)
+    """The bitmaps of a block's frequent words, by word and by place."""
+
+    def __init__(self, row: dict, frequent: Bloom):
+        h = Bloom.hashes(row["lang"], row["words"])
+        kept = np.flatnonzero(frequent.holds(h))
+        self.words, self.hashes = pa.array(row["words"], pa.binary()).take(pa.array(kept)), h[kept]
+        sizes = np.asarray(row["sizes"], np.int64)
+        steps, bits = np.frombuffer(row["at"], "<u4").astype(np.int64), np.frombuffer(row["bits"], np.uint8)
+        # places are running sums of each word's steps
+        up, starts = np.cumsum(steps), np.cumsum(sizes) - sizes
+        at = up - np.repeat(up[starts] - steps[starts], sizes) if len(sizes) else up
+        own = _places(starts[kept], sizes[kept])
+        self.at, self.bits = at[own], bits[own]
+        self.starts = np.r_[0, np.cumsum(sizes[kept])]
         order = np.argsort(self.at, kind="stable")
-        self.of_place = np.repeat(np.arange(len(bits)), sizes)[order]
+        self.of_place = np.repeat(np.arange(len(kept)), sizes[kept])[order]
         self.bits_of_place = self.bits[order]
         counts = np.bincount(self.at, minlength=int(self.at.max(initial=0)) + 3)
         self.first, self.count = np.r_[0, np.cumsum(counts)], counts
@@ -169,49 +227,49 @@ def _counted(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sorted_[first], np.add.reduceat(n, first), which
 
 
-def extend(index: _Index, depth: int, group: int = GROUP) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(the words of phrases by place, counts) of all phrases of 2 to ``depth`` words, a group of first words at a time."""
+def extend(index: _Index, depth: int, parts: Bloom | None = None, group: int = GROUP) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(the words of phrases by place, counts) of all phrases of ``depth`` words, a group of first words at a time.
+
+    ``parts``: prefixes are only extended, and phrases only given, if their last two words are in it.
+    """
     words = len(index.starts) - 1
     for a, b in index.groups(group):
         own = slice(int(index.starts[a]), int(index.starts[b]))
-        names = [np.arange(a, b)]
+        names, counts = [np.arange(a, b)], np.empty(0, np.int64)
         prefix = np.repeat(np.arange(b - a), np.diff(index.starts[a : b + 1]))
         at, bits = index.at[own], index.bits[own]
         for _ in range(depth - 1):
             prefix, word, at, bits = index.extended(prefix, at, bits)
+            if parts is not None and len(prefix):
+                frequent = parts.holds(Bloom.joined(index.hashes[names[-1][prefix]], index.hashes[word]))
+                prefix, word, at, bits = prefix[frequent], word[frequent], at[frequent], bits[frequent]
             if not len(prefix):
                 break
             keys, counts, prefix = _counted(prefix * words + word, bits)
             names = [x[keys // words] for x in names] + [keys % words]
+        if len(names) == depth and len(prefix):
             yield names, counts
 
 
-def counted(bitmaps_: DataFrame, longest: int) -> DataFrame:
-    """(w1 .. wk, n) of rows (block, id, at, bits): how often phrases of 2 to ``longest`` words occur in all blocks; null where shorter."""
-    names = [f"w{k}" for k in range(1, longest + 1)]
-    schema = pa.schema([(c, pa.int64()) for c in (*names, "n")])
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        index = _Index(table.column("at").to_pylist(), table.column("bits").to_pylist())
-        out = [schema.empty_table()]
-        for words, n in extend(index, longest):
-            held = [pa.array(ids[w]) for w in words] + [pa.nulls(len(n), pa.int64())] * (longest - len(words))
-            out.append(pa.Table.from_arrays([*held, pa.array(n)], schema=schema))
-        return pa.concat_tables(out)
-
-    found = bitmaps_.select("block", "id", "at", "bits").groupBy("block").applyInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
-    return found.groupBy(*names).agg(F.sum("n").alias("n"))
+def counted(blocks: DataFrame, depth: int, frequent: Bloom, parts: Bloom | None = None) -> DataFrame:
+    """(lang, w1 .. wk, n): how often phrases of ``depth`` words occur in all blocks."""
+    names = [f"w{k}" for k in range(1, depth + 1)]
+    sent = blocks.sparkSession.sparkContext.broadcast((frequent, parts))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, parts = sent.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: v[0] for c, v in batch.slice(k, 1).to_pydict().items()}
+                index = _Index(row, frequent)
+                for words, n in extend(index, depth, parts):
+                    for i in range(0, len(n), 50_000):
+                        held = [index.words.take(pa.array(w[i : i + 50_000])).cast(pa.string()) for w in words]
+                        size = len(held[0])
+                        yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * size), *held, pa.array(n[i : i + 50_000])], ["lang", *names, "n"])
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``name``: numbers from 0 without gaps, the same at each use (the rows are cut)."""
-    raw = cut(rows.withColumn("__raw", F.monotonically_increasing_id()))
-    part = F.shiftright("__raw", 33)
-    sizes = raw.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    joined = raw.withColumn("__part", part).join(F.broadcast(sizes.select(F.col("part").alias("__part"), before.alias("__before"))), "__part")
-    return joined.withColumn(name, F.col("__raw").bitwiseAND((1 << 33) - 1) + F.col("__before")).drop("__raw", "__part", "__before")
+    found = blocks.select("lang", "words", "sizes", "at", "bits").mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
+    return found.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def _exact(c: Column) -> Column:
@@ -225,21 +283,16 @@ def collocations(
 
     A phrase is left out if one that holds it has at least ``cover`` hundredths of its count. ``top``: the first so many of each language.
     """
-    found = bitmaps(docs, text_col, lang_col, block)
-    found = cut(found)
-    by_word = found.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    by_word = cut(by_word)
-    total = by_word.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = cut(numbered(by_word.where(F.col("f") >= least), "id"))
-    frequent = found.join(small(words).select("lang", "word", "id"), ["lang", "word"])
-    phrases = cut(counted(frequent, 3).where(F.col("n") >= least))
-
-    one = words.select("id", "f", "lang", F.col("word").cast("string").alias("text"))
-    pairs = phrases.where("w3 IS NULL").select("w1", "w2", F.col("n").alias("f2"))
-    triples = phrases.where("w3 IS NOT NULL").select("w1", "w2", "w3", F.col("n").alias("a"))
+    blocks = bitmaps(docs, text_col, lang_col, block)
+    each = blocks.select("lang", F.explode(F.arrays_zip("words", "n")).alias("x")).select("lang", F.col("x.words").cast("string").alias("word"), F.col("x.n").alias("n"))
+    words = cut(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    total = blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    frequent = bloom(words, ("word",))
+    pairs = cut(counted(blocks, 2, frequent).where(F.col("n") >= least).withColumnRenamed("n", "f2"))
+    triples = cut(counted(blocks, 3, frequent, bloom(pairs, ("w1", "w2"))).where(F.col("n") >= least).withColumnRenamed("n", "a"))
 
     def word(k: int) -> DataFrame:
-        return one.select(F.col("id").alias(f"w{k}"), F.col("f").alias(f"f{k}_"), F.col("text").alias(f"t{k}"), *(["lang"] if k == 1 else []))
+        return words.select("lang", F.col("word").alias(f"w{k}"), F.col("f").alias(f"f{k}_"))
 
     def score(a: str, l_: str, r_: str) -> Column:
         # a <= l and a <= r, so the quotient is at most a million; the products have up to 38 digits
@@ -247,18 +300,18 @@ def collocations(
         return F.call_function("div", product, _exact(F.col(l_)) * _exact(F.col(r_)))
 
     # a pair is covered by the triples that hold it
-    held = triples.select(F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "a")
-    over = held.groupBy("p.w1", "p.w2").agg(F.max("a").alias("over"))
-    two = pairs.join(over, ["w1", "w2"], "left").where(F.coalesce(F.col("over") * 100 < F.col("f2") * cover, F.lit(True))).join(word(1), "w1").join(word(2), "w2")
-    two = two.select("lang", F.concat_ws(" ", "t1", "t2").alias("phrase"), F.col("f2").alias("a"), F.col("f1_").alias("l"), F.col("f2_").alias("r"), score("f2", "f1_", "f2_").alias("score"))
-    head = pairs.select("w1", "w2", F.col("f2").alias("head"))
-    tail = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f2").alias("tail"))
-    three = triples.join(head, ["w1", "w2"]).join(tail, ["w2", "w3"]).join(word(1), "w1").join(word(2).drop("f2_"), "w2").join(word(3), "w3")
+    held = triples.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "a")
+    over = held.groupBy("lang", "p.w1", "p.w2").agg(F.max("a").alias("over"))
+    two = pairs.join(over, ["lang", "w1", "w2"], "left").where(F.coalesce(F.col("over") * 100 < F.col("f2") * cover, F.lit(True))).join(word(1), ["lang", "w1"]).join(word(2), ["lang", "w2"])
+    two = two.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("f2").alias("a"), F.col("f1_").alias("l"), F.col("f2_").alias("r"), score("f2", "f1_", "f2_").alias("score"))
+    head = pairs.select("lang", "w1", "w2", F.col("f2").alias("head"))
+    tail = pairs.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f2").alias("tail"))
+    three = triples.join(head, ["lang", "w1", "w2"]).join(tail, ["lang", "w2", "w3"]).join(word(1), ["lang", "w1"]).join(word(3), ["lang", "w3"])
     early, late = score("a", "f1_", "tail"), score("a", "head", "f3_")
     first = early <= late
     three = three.select(
         "lang",
-        F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"),
+        F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"),
         "a",
         F.when(first, F.col("f1_")).otherwise(F.col("head")).alias("l"),
         F.when(first, F.col("tail")).otherwise(F.col("f3_")).alias("r"),
