@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 
@@ -182,18 +181,27 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"place": np.r_[at, -1], "n": np.r_[seen[at], texts]})
 
-    got = docs.select("text").mapInPandas(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # DIM rows at most
+    got = docs.select("text").mapInPandas(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # DIM rows at most
     out = np.zeros(DIM + 1, np.int64)
-    out[got["place"]] = got["n"]
+    out[got["place"].to_numpy()] = got["n"].to_numpy()
     return out[:DIM], int(out[DIM])
 
 
 def sample(docs: DataFrame, bound: int) -> DataFrame:
-    """At most ``bound`` rows of ``docs`` (id, lang, text): by hash of the id, one of each language after the other."""
-    # nothing but ids and languages is ranked and sorted; a null id is one like any other
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ranked = docs.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
-    chosen = cut(ranked.orderBy("rank", "lang").limit(bound).select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct())
+    """At most ``bound`` rows of ``docs`` (id, lang, text), by hash of the id, in numbers as equal for all languages as these allow."""
+    # the most frequent languages, a row each
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(bound).collect()}
+    left, share = bound, {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quota = min(n, left // (len(sizes) - k))
+        left -= quota
+        share[lang] = quota / n
+    spark = docs.sparkSession
+    shares = spark.createDataFrame(list(share.items()), "lang string, share double")
+    h = F.xxhash64("id")
+    place = F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = docs.select("id", "lang").join(F.broadcast(shares), "lang").where(place < F.col("share"))
+    chosen = cut(near.orderBy(h, "id", "lang").limit(bound).select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct())
     held = docs.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
     # rows that repeat an id are one document of the sample
     return held.groupBy("id", "lang").agg(F.min("text").alias("text"))
@@ -212,7 +220,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> Model | None:
             got = [counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "lang": pdf["lang"], "at": [a.astype("<u2").tobytes() for a, _ in got], "n": [c.astype("<u4").tobytes() for _, c in got]})
 
-    rows = sample(known, bound).select(F.xxhash64("id").alias("id"), "lang", "text").mapInPandas(run, "id long, lang string, at binary, n binary").toPandas()
+    rows = sample(known, bound).select(F.xxhash64("id").alias("id"), "lang", "text").mapInPandas(run, "id long, lang string, at binary, n binary").toArrow().to_pandas()
     rows = rows[rows["at"].str.len() > 0].sort_values(["id", "lang"]).reset_index(drop=True)
     names = sorted(rows["lang"].unique(), key=lambda x: x.encode("utf-8", "surrogatepass"))
     if not names:

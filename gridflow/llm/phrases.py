@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +58,24 @@ def tokens(text: str | None) -> list[bytes]:
     return _ENDS.sub(b" . ", (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)).split()
 
 
+class _Ids(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class _Block:
     """The words of one language, by position."""
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {_END: 0}
+        self.ids = _Ids({_END: 0})
         self.words: list[np.ndarray] = []
         self.size = 0
 
     def add(self, words: list[bytes]) -> None:
-        ids = self.ids
-        got = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words))
+        got = np.fromiter(map(self.ids.__getitem__, words), np.uint32, len(words))
         self.words += [got, np.zeros(1, np.uint32)]
         self.size += len(got) + 1
 
@@ -163,9 +171,9 @@ def bloom(rows: DataFrame, names: tuple[str, ...]) -> Bloom:
             at, first = np.unique(p >> 5, return_index=True)
             yield pd.DataFrame({"at": at, "bits": np.bitwise_or.reduceat(np.int64(1) << (p & 31), first)})
 
-    got = rows.select("lang", *[F.col(c).cast("binary").alias(c) for c in names]).mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # BLOOM / 32 rows at most
+    got = rows.select("lang", *[F.col(c).cast("binary").alias(c) for c in names]).mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # BLOOM / 32 rows at most
     bits = np.zeros(BLOOM // 32, "<u4")
-    bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
     return Bloom(bits.view(np.uint8))
 
 
@@ -252,8 +260,7 @@ def extend(index: _Index, depth: int, parts: Bloom | None = None, group: int = G
 
 
 def counted(blocks: DataFrame, depth: int, frequent: Bloom, parts: Bloom | None = None) -> DataFrame:
-    """(lang, w1 .. wk, n): how often phrases of ``depth`` words occur in all blocks."""
-    names = [f"w{k}" for k in range(1, depth + 1)]
+    """(lang, phrase, n): how often phrases of ``depth`` words (joined by spaces) occur in all blocks."""
     sent = blocks.sparkSession.sparkContext.broadcast((frequent, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +271,17 @@ def counted(blocks: DataFrame, depth: int, frequent: Bloom, parts: Bloom | None
                 index = _Index(row, frequent)
                 for words, n in extend(index, depth, parts):
                     for i in range(0, len(n), 50_000):
-                        held = [index.words.take(pa.array(w[i : i + 50_000])).cast(pa.string()) for w in words]
-                        size = len(held[0])
-                        yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * size), *held, pa.array(n[i : i + 50_000])], ["lang", *names, "n"])
+                        held = [index.words.take(pa.array(w[i : i + 50_000])) for w in words]
+                        phrase = pc.binary_join_element_wise(*held, pa.scalar(b" ", pa.binary())).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(phrase)), phrase, pa.array(n[i : i + 50_000])], ["lang", "phrase", "n"])
+
+    found = blocks.select("lang", "words", "sizes", "at", "bits").mapInArrow(run, "lang string, phrase string, n long")
+    # a block's phrases are distinct, so nothing is gained by adding before the shuffle
+    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
 
-    found = blocks.select("lang", "words", "sizes", "at", "bits").mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
-    return found.groupBy("lang", *names).agg(F.sum("n").alias("n"))
+def _split(phrases: DataFrame, depth: int) -> DataFrame:
+    return phrases.withColumns({f"w{k}": F.split_part("phrase", F.lit(" "), F.lit(k)) for k in range(1, depth + 1)}).drop("phrase")
 
 
 def _exact(c: Column) -> Column:
@@ -288,8 +300,8 @@ def collocations(
     words = cut(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
     total = blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     frequent = bloom(words, ("word",))
-    pairs = cut(counted(blocks, 2, frequent).where(F.col("n") >= least).withColumnRenamed("n", "f2"))
-    triples = cut(counted(blocks, 3, frequent, bloom(pairs, ("w1", "w2"))).where(F.col("n") >= least).withColumnRenamed("n", "a"))
+    pairs = cut(_split(counted(blocks, 2, frequent).where(F.col("n") >= least), 2).withColumnRenamed("n", "f2"))
+    triples = cut(_split(counted(blocks, 3, frequent, bloom(pairs, ("w1", "w2"))).where(F.col("n") >= least), 3).withColumnRenamed("n", "a"))
 
     def word(k: int) -> DataFrame:
         return words.select("lang", F.col("word").alias(f"w{k}"), F.col("f").alias(f"f{k}_"))
