@@ -36,10 +36,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+#: Whether Spark removes the shuffle files of an execution as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared checkpoint folder and read from there.
+
+    What was shuffled for it is removed then, so iterations don't fill the disks; nothing
+    reads it again, as the checkpoint is a reliable one.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # the setting holds for plans that are made under it
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:
