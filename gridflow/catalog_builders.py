@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _folder, query, r, rounded
 from .operators import curvilinear, polygons, reduced, remap, weights
-from .plans.exchange import Remap, stored
+from .plans.exchange import Remap, remapped
 from .schema import analytic_field, regular_grid, rotated_grid, table, with_corners
 
 TILT = 33.0
@@ -294,7 +294,7 @@ def weights_built_once(spark, d):
     src, dst = boxes(spark, d)
     folder = _folder(spark, "maps")
     for _ in range(2):
-        links = stored(spark, folder, "boxes", lambda: Remap("CONSERV", norm="FRACAREA", order="FIRST").weights(src, dst).withColumnRenamed("w1", "w"))
+        links = remapped(spark, folder, "boxes", Remap("CONSERV", norm="FRACAREA", order="FIRST"), src, dst, columns=("w1",)).withColumnRenamed("w1", "w")
     return rounded(remap.apply_weights(links, with_values(src), {"v": "v"}))
 
 

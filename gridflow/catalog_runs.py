@@ -138,7 +138,7 @@ def _exchange_conserv(mode: str, sql: str) -> None:
     def run(spark, d):
         """Both fields of an exchange, corrected each by itself."""
         src, dst = _sides(spark, d)
-        entry = plan.Entry(("f", "g"), ("x",), 10, map_mode="sum", conserv=mode)
+        entry = plan.Entry(("f", "g"), ("f", "g"), 10, map_mode="sum", conserv=mode)
         sides = [s.select("cell", F.explode(F.array(F.lit("f"), F.lit("g"))).alias("field"), F.lit(10).cast("long").alias("t"), "v").withColumn("v", F.when(F.col("field") == "g", F.col("v") * 2).otherwise(F.col("v"))) for s in (src, dst)]
         return rounded(plan.conserved(entry, *sides, src, dst))
 
@@ -162,7 +162,54 @@ def exchange_value_arrays(spark, d):
     links_ = c.select(k.alias("dst"), (k % 15).alias("src"), F.lit(0.5).alias("w"), (F.col("c_acctbal") / 1000).alias("w2"), (k / 100).alias("w3"))
     fields = ("view", "click", "purchase", "signup", "error")
     sent = puts(spark, d).withColumns({"v2": F.col("v") * F.col("v"), "v3": (F.col("t") % 100).cast("double")})
-    return rounded(plan.exchange(plan.Entry(fields, ("x",), DT, loctrans="AVERAGE"), sent, links_), 3)
+    return rounded(plan.exchange(plan.Entry(fields, fields, DT, loctrans="AVERAGE"), sent, links_), 3)
+
+
+@query(_PUTS + f""", a AS (SELECT field, cell, CAST(ceil((t + 3600) / {DT}.0) AS BIGINT) * {DT} AS t, avg(v) AS v, avg(v * v) AS v2, avg(t % 100) AS v3 FROM p WHERE field IN ('view', 'click') AND t < {_LEG_ENDS[-1]} GROUP BY 1, 2, 3
+UNION ALL SELECT 'view', c_custkey % 15, 0, sum(c_acctbal), sum(c_acctbal) / 2, 0 FROM customer GROUP BY 2),
+l AS (SELECT c_custkey AS dst, c_custkey % 15 AS src, 0.5 AS w, c_acctbal / 1000 AS w2, c_custkey / 100.0 AS w3 FROM customer)
+SELECT field, t, dst AS cell, round(sum(w * v + w2 * v2 + w3 * v3), 3) AS v FROM l JOIN a ON src = cell WHERE t < {_LEG_ENDS[-1]} GROUP BY 1, 2, 3""")
+def restart_legs_arrays(spark, d):
+    """Three value arrays through lag, restart values and three legs, each with weights of its own; the second leg is run twice."""
+    c, k, fields = table(spark, d, "customer"), F.col("c_custkey"), ("view", "click")
+    links_ = c.select(k.alias("dst"), (k % 15).alias("src"), F.lit(0.5).alias("w"), (F.col("c_acctbal") / 1000).alias("w2"), (k / 100).alias("w3"))
+    sent = puts(spark, d).withColumns({"v2": F.col("v") * F.col("v"), "v3": (F.col("t") % 100).cast("double")})
+    entry, folder = plan.Entry(fields, fields, DT, lag=3600, restart="events", loctrans="AVERAGE", map_mode="sum"), _folder(spark, "legs")
+    begin = c.groupBy((k % 15).alias("cell")).agg(F.sum("c_acctbal").alias("v")).withColumns({"v2": F.col("v") / 2, "field": F.lit("view")})
+    tables.write_restart(begin, folder, "events", "ready")
+    out = []
+    for i, (start, end) in enumerate(zip(_LEG_ENDS, _LEG_ENDS[1:], strict=False)):
+        for _ in range(2 if i == 1 else 1):
+            leg = plan.run_leg(entry, sent, start, end, folder, links_, first=i == 0)
+        out.append(leg)
+    return rounded(out[0].unionByName(out[1]).unionByName(out[2]), 3)
+
+
+@query(_PUTS + f"SELECT field, cell, CAST(ceil(t / {DT}.0) AS BIGINT) * {DT} AS t, round(avg(v), 5) AS v FROM p WHERE field IN ('view', 'click') AND t > 0 AND t <= 864000 - {DT} GROUP BY 1, 2, 3")
+def records_of_repeated_legs(spark, d):
+    """Legs that write records; the first is run twice, and a third one that is not committed has left records too. What is read has every record once."""
+    fields, folder = ("view", "click"), _folder(spark, "records")
+    entry = plan.Entry(fields, fields, DT, status="EXPOUT", loctrans="AVERAGE")
+    for start, end in ((0, 432_000), (0, 432_000), (432_000, 864_000)):
+        plan.run_leg(entry, puts(spark, d), start, end, folder, first=start == 0)
+    tables.append_output(timewin.loctrans(puts(spark, d), "AVERAGE", DT), folder, ":".join(fields), 864_000)
+    return rounded(tables.read_records(spark, folder, fields, DT, 864_000, DT), 5)
+
+
+@query("""WITH g AS (SELECT o_orderkey AS cell, o_orderstatus AS field, CAST(0 AS BIGINT) AS t, o_totalprice AS v, CAST(1 + o_orderkey % 5 AS DOUBLE) AS area, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS mask FROM orders),
+s AS (SELECT field, sum(v * area) FILTER (mask = 0) AS ss, 1.5 * sum(v * area) FILTER (mask = 0) AS sd, sum(area) FILTER (mask = 0) AS wd FROM g GROUP BY 1)
+SELECT field, cell, round(1.5 * v + CASE WHEN mask = 0 THEN (ss - sd) / wd ELSE 0 END, 4) AS v, true AS same FROM g JOIN s USING (field)""")
+def conserve_same_bits(spark, d):
+    """GLOBAL conservation in mode bfb of the orders of each status, on 3 and on 211 partitions: ``same`` compares bits."""
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(k.alias("cell"), F.col("o_orderstatus").alias("field"), F.lit(0).cast("long").alias("t"), F.col("o_totalprice").alias("v"), (1 + k % 5).cast("double").alias("area"), F.when(k % 7 == 0, 1).otherwise(0).alias("mask"))
+    out = []
+    for n in (3, 211):
+        src = orders.repartition(n)
+        dst = src.withColumn("v", F.col("v") * 1.5).repartition(n, "cell")
+        out.append(reduce.conserve(src, dst, "GLOBAL", keys=("field", "t"), how="bfb").select("field", "cell", "v"))
+    both = out[0].join(out[1].select("cell", F.col("v").alias("other")), "cell")
+    return both.select("field", "cell", r("v", 4).alias("v"), (F.col("v") == F.col("other")).alias("same"))
 
 
 # ---------------------------------------------------------------- sorts and batches

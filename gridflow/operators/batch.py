@@ -54,6 +54,13 @@ def running(batch: DataFrame, order: list[Column], value: Column, out: str, bins
     return whole.withColumn(out, F.col("__before") + F.col("__k")).drop("__value", "__part", "__k", "__before")
 
 
+def fingerprint(rows: DataFrame) -> str:
+    """What rows are in a table, whatever their order and partitions: equal tables have equal fingerprints."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])
+    one = rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(28,0)")).alias("sum"), F.bit_xor(F.xxhash64(h)).alias("mixed")).first()
+    return f"{one['n']}:{one['sum'] or 0}:{one['mixed'] or 0}"
+
+
 def by(keys: list[tuple[str, bool]], tie: str) -> list[Column]:
     return [F.col(c).desc() if down else F.col(c).asc() for c, down in keys] + [F.col(tie).asc()]
 

@@ -11,6 +11,8 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exact import exact_sums
+
 ACTIONS = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}
 
 
@@ -73,9 +75,17 @@ def merge(sources: list[tuple[DataFrame, list[str]]], columns: list[str], cell:
 CONSERVATION = ("GLOBAL", "GLBPOS", "BASBAL", "BASPOS")
 
 
-def sums(batch: DataFrame, prefix: str, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, <prefix>s, <prefix>w): active points' value times area, and area; one row without keys."""
+def sums(batch: DataFrame, prefix: str, value: str = "v", keys: tuple[str, ...] = (), mode: str = "opt") -> DataFrame:
+    """(keys, <prefix>s, <prefix>w): active points' value times area, and area; one row without keys.
+
+    Mode "bfb" gives equal bits on any partitioning, "opt" adds as rows come.
+    """
     active = F.col("mask") == 0
+    if mode == "bfb":
+        # masked points count as 0, so that a group of them has a row
+        parts = {f"{prefix}s": F.when(active, F.col(value) * F.col("area")), f"{prefix}w": F.when(active, F.col("area"))}
+        out = exact_sums(batch, {n: F.coalesce(c, F.lit(0.0)) for n, c in parts.items()}, keys)
+        return out.select(*keys, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in parts])
     return batch.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(active, F.col(value) * F.col("area"))), F.lit(0.0)).alias(f"{prefix}s"),
         F.coalesce(F.sum(F.when(active, F.col("area"))), F.lit(0.0)).alias(f"{prefix}w"),
@@ -105,13 +115,15 @@ def correction(mode: str, ss: Column, ws: Column, sd: Column, wd: Column) -> tup
     return sure(bad, "the target's sum" if mode == "GLBPOS" else "the target's sum or the source's area", F.when(sd == 0, one).otherwise(scale)), none
 
 
-def conserve(src: DataFrame, dst: DataFrame, mode: str, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+def conserve(src: DataFrame, dst: DataFrame, mode: str, value: str = "v", keys: tuple[str, ...] = (), how: str = "opt") -> DataFrame:
     """``dst`` with ``value`` corrected on active points so that the integrals agree, for each of ``keys`` by itself.
 
+    ``how``: the integrals' mode, "bfb" or "opt", as in :func:`sums`.
+
     Of several groups, one that has no active target points has nothing to correct and stays as it is.
     """
-    total = sums(dst, "b", value, keys)
-    both = total.join(sums(src, "a", value, keys), list(keys), "left") if keys else total.crossJoin(sums(src, "a", value))
+    total, given = sums(dst, "b", value, keys, how), sums(src, "a", value, keys, how)
+    both = total.join(given, list(keys), "left") if keys else total.crossJoin(given)
     held = [F.coalesce(c, F.lit(0.0)) for c in ("as", "aw", "bs", "bw")]
     factor, shift = correction(mode, *held)
     if keys:

@@ -25,9 +25,16 @@ def check_lag(dt: int, lag: int) -> None:
         raise ValueError(f"lag {lag} is not within the period {dt}")
 
 
+def check_values(transform: str, values: tuple[str, ...]) -> None:
+    """Extremes are taken of one value array; of several it would not be clear which one's time counts."""
+    if transform in ("T_MIN", "T_MAX") and len(values) > 1:
+        raise ValueError(f"{transform} takes one value array, not {', '.join(values)}")
+
+
 def loctrans(puts: DataFrame, transform: str, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell"), values: tuple[str, ...] = ("v",)) -> DataFrame:
     """(keys, t, values): one value for each window and key, stamped with the lattice time it leaves at (t + lag = k dt)."""
     check_lag(dt, lag)
+    check_values(transform, values)
     if transform == "INSTANT":
         return puts.where(F.pmod(F.col("t") + lag, F.lit(dt)) == 0).select(*keys, (F.col("t") + lag).alias("t"), *values)
     w = window_id(F.col("t"), dt, lag).alias("w")
@@ -39,35 +46,38 @@ def loctrans(puts: DataFrame, transform: str, dt: int, lag: int = 0, keys: tuple
 class Leg:
     """What one run of several gives: values delivered in it, and what it leaves for the next."""
 
-    delivered: DataFrame  # keys, t, v
-    ready: DataFrame  # keys, v, cnt: what the next leg delivers at its start
-    carried: DataFrame  # keys, v, cnt: the window that the next leg completes
+    delivered: DataFrame  # keys, t, values
+    ready: DataFrame  # keys, values, cnt: what the next leg delivers at its start
+    carried: DataFrame  # keys, values, cnt: the window that the next leg completes
 
 
-def leg(puts: DataFrame, transform: str, dt: int, lag: int, start: int, end: int, ready: DataFrame | None = None, carried: DataFrame | None = None, keys: tuple[str, ...] = ("field", "cell")) -> Leg:
+def leg(
+    puts: DataFrame, transform: str, dt: int, lag: int, start: int, end: int, ready: DataFrame | None = None, carried: DataFrame | None = None, keys: tuple[str, ...] = ("field", "cell"), values: tuple[str, ...] = ("v",)
+) -> Leg:
     """A run over [start, end), both on the lattice, of the puts in it and what the run before left.
 
     With a positive lag the first exchange is served from ``ready``, and what would leave at the end is left for the next run.
-    Windows that the end cuts are left as sums (or extremes) and counts.
+    Windows that the end cuts are left as sums (or extremes) and counts, of all value arrays.
     """
     check_lag(dt, lag)
+    check_values(transform, values)
     if start % dt or end % dt or end <= start:
         raise ValueError(f"{start} and {end} are not on the lattice of {dt}")
     own = puts.where((F.col("t") >= start) & (F.col("t") < end))
     if transform == "INSTANT":
         own = own.where(F.pmod(F.col("t") + lag, F.lit(dt)) == 0)
-    parts = partial(own, dt, lag, keys, transform)
+    parts = partial(own, dt, lag, keys, transform, values)
     last = end // dt
     if carried is not None:
-        before = carried.select(*keys, F.lit(start // dt + (1 if lag > 0 else 0)).cast("long").alias("w"), "v", "cnt")
-        parts = _together(parts.unionByName(before), keys, transform)
+        before = carried.select(*keys, F.lit(start // dt + (1 if lag > 0 else 0)).cast("long").alias("w"), *values, "cnt")
+        parts = _together(parts.unionByName(before), keys, transform, values)
     whole = F.col("w") < last if lag <= 0 else F.col("w") <= last
-    done = completed(parts.where(whole), dt, keys, transform)
+    done = completed(parts.where(whole), dt, keys, transform, values)
     out = done.where(F.col("t") < end)
     if ready is not None:
-        out = out.unionByName(ready.select(*keys, F.lit(start).cast("long").alias("t"), "v"))
-    left = done.where(F.col("t") == end).select(*keys, "v", F.lit(1).cast("long").alias("cnt"))
-    return Leg(out, left, parts.where(~whole).select(*keys, "v", "cnt"))
+        out = out.unionByName(ready.select(*keys, F.lit(start).cast("long").alias("t"), *values))
+    left = done.where(F.col("t") == end).select(*keys, *values, F.lit(1).cast("long").alias("cnt"))
+    return Leg(out, left, parts.where(~whole).select(*keys, *values, "cnt"))
 
 
 def within(puts: DataFrame, runtime: int) -> DataFrame:
@@ -166,19 +176,18 @@ def accumulate(steps: DataFrame, n_steps: int, action: str, value: str = "v", ke
     return out.select(*keys, "cycle", v.alias(value))
 
 
-def partial(puts: DataFrame, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell"), transform: str = "AVERAGE") -> DataFrame:
-    """(keys, w, v, cnt): sums, or extremes, and counts of each window; what a run that ends within a window leaves behind."""
+def partial(puts: DataFrame, dt: int, lag: int = 0, keys: tuple[str, ...] = ("field", "cell"), transform: str = "AVERAGE", values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keys, w, values, cnt): sums, or extremes, and counts of each window; what a run that ends within a window leaves behind."""
     w = window_id(F.col("t"), dt, lag).alias("w")
-    return _together(puts.select(*keys, w, "v", F.lit(1).cast("long").alias("cnt")), keys, transform)
+    return _together(puts.select(*keys, w, *values, F.lit(1).cast("long").alias("cnt")), keys, transform, values)
 
 
-def _together(parts: DataFrame, keys: tuple[str, ...], transform: str) -> DataFrame:
+def _together(parts: DataFrame, keys: tuple[str, ...], transform: str, values: tuple[str, ...] = ("v",)) -> DataFrame:
     add = {"T_MIN": F.min, "T_MAX": F.max}.get(transform, F.sum)
-    return parts.groupBy(*keys, "w").agg(add("v").alias("v"), F.sum("cnt").alias("cnt"))
+    return parts.groupBy(*keys, "w").agg(*[add(v).alias(v) for v in values], F.sum("cnt").alias("cnt"))
 
 
-def completed(parts: DataFrame, dt: int, keys: tuple[str, ...] = ("field", "cell"), transform: str = "AVERAGE") -> DataFrame:
-    """(keys, t, v): the values of windows whose parts (keys, w, v, cnt) come from several runs."""
-    out = _together(parts, keys, transform)
-    v = F.col("v") / F.col("cnt") if transform == "AVERAGE" else F.col("v")
-    return out.select(*keys, (F.col("w") * dt).alias("t"), v.alias("v"))
+def completed(parts: DataFrame, dt: int, keys: tuple[str, ...] = ("field", "cell"), transform: str = "AVERAGE", values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(keys, t, values): the values of windows whose parts (keys, w, values, cnt) come from several runs."""
+    out = _together(parts, keys, transform, values)
+    return out.select(*keys, (F.col("w") * dt).alias("t"), *[(F.col(v) / F.col("cnt") if transform == "AVERAGE" else F.col(v)).alias(v) for v in values])

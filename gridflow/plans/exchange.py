@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ STATUS = {"EXPORTED": "EXPORTED", "EXPOUT": "EXPOUT", "IGNORED": "EXPORTED", "IG
 RETIRED = "REDGLO INVERT MASK EXTRAP CORRECT INTERP MOZAIC NOINTERP FILLING MASKP REVERSE GLORED".split()
 TRANSFORMS = "LOCTRANS BLASOLD CHECKIN SCRIPR MAPPING CONSERV BLASNEW CHECKOUT".split()
 METHODS = ("BILINEAR", "BICUBIC", "DISTWGT", "GAUSWGT", "CONSERV")
-VALUES = ("v", "v2", "v3", "v4", "v5")
+VALUES = tables.VALUES
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,7 @@ class Entry:
     map_mode: str = "bfb"
     remap: Remap | None = None
     conserv: str | None = None
+    conserv_mode: str = "bfb"
     checkin: bool = False
     checkout: bool = False
 
@@ -102,6 +104,10 @@ class Entry:
             raise ValueError(f"unknown time transform {self.loctrans}")
         if self.conserv is not None and self.conserv not in reduce.CONSERVATION:
             raise ValueError(f"unknown conservation {self.conserv}")
+        if self.conserv_mode not in ("bfb", "opt"):
+            raise ValueError(f"unknown way of conserving {self.conserv_mode}")
+        if len(self.source) != len(self.target):
+            raise ValueError(f"{len(self.source)} sources for {len(self.target)} targets")
         if self.map_mode not in ("bfb", "sum", "opt"):
             raise ValueError(f"unknown way of mapping {self.map_mode}")
         if self.lag > 0 and self.restart is None and self.status in ("EXPORTED", "EXPOUT"):
@@ -151,8 +157,17 @@ def without_overlap(grid: DataFrame, nx: int, overlap: int) -> DataFrame:
     return grid.where(F.col("i") <= nx - overlap)
 
 
-def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], columns: tuple[str, ...] = ("w",)) -> DataFrame:
-    """(dst, src, columns) of the map ``name``: read if it is there, else built once and written."""
+def stored(
+    spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], columns: tuple[str, ...] = ("w",), of: tuple[object, ...] = ()
+) -> DataFrame:
+    """(dst, src, columns) of the map ``name``: read if it is there, else built once and written.
+
+    ``of``: what the map is made of, tables (grids) and other values (a :class:`Remap`). A map is known by its name and by the
+    content of these, so another mask, another cell or another method builds a new one.
+    """
+    if of:
+        parts = [batch.fingerprint(x) if isinstance(x, DataFrame) else repr(x) for x in of]
+        name = f"{name}@{hashlib.sha256(repr((parts, columns)).encode()).hexdigest()[:32]}"
     try:
         found = not tables.read_weights(spark, folder, name).isEmpty()
     except LookupError:
@@ -162,6 +177,11 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return tables.read_weights(spark, folder, name).select("dst", "src", *[F.col("w")[i].alias(c) for i, c in enumerate(columns)])
 
 
+def remapped(spark: SparkSession, folder: str, name: str, remap: Remap, src: DataFrame, dst: DataFrame, nx: int = 0, periodic: bool = True, columns: tuple[str, ...] = ("w",)) -> DataFrame:
+    """The weights of ``remap`` from ``src`` to ``dst``, kept in ``folder`` and built again only if one of these has changed."""
+    return stored(spark, folder, name, lambda: remap.weights(src, dst, nx, periodic), columns, (remap, src, dst, nx, periodic))
+
+
 def windowed(entry: Entry, puts: DataFrame, runtime: int | None = None) -> DataFrame:
     """The values that leave the source: only fields of the entry, before the end of the run; up to five value arrays."""
     own = puts.where(F.col("field").isin(*entry.source))
@@ -198,7 +218,7 @@ def conserved(entry: Entry, src: DataFrame, dst: DataFrame, src_grid: DataFrame,
     active = reduce.sums(dst_grid.withColumn("v", F.lit(0.0)), "g").select("gw")  # one row
     sure = F.when(F.col("gw") > 0, F.col("v")).otherwise(F.raise_error(F.lit(f"{entry.conserv}: the target's active area is 0")).cast("double"))
     whole[1] = whole[1].crossJoin(F.broadcast(active)).withColumn("v", sure).drop("gw")
-    return reduce.conserve(*whole, entry.conserv, keys=at).select("field", "t", "cell", "v")
+    return reduce.conserve(*whole, entry.conserv, keys=at, how=entry.conserv_mode).select("field", "t", "cell", "v")
 
 
 def exchange(
@@ -213,8 +233,8 @@ def delivered(entry: Entry, sent: DataFrame, links: DataFrame | None = None, src
     if entry.conserv and links is not None:
         got = conserved(entry, sent, got, src_grid, dst_grid)
     got = batch.affine(got, "v", *entry.target_scale)
-    names = F.create_map(*[F.lit(n) for pair in zip(entry.source, entry.target, strict=False) for n in pair])
-    return got.withColumn("field", F.coalesce(names[F.col("field")], F.col("field"))) if len(entry.source) == len(entry.target) else got
+    names = F.create_map(*[F.lit(n) for pair in zip(entry.source, entry.target, strict=True) for n in pair])
+    return got.withColumn("field", F.coalesce(names[F.col("field")], F.col("field")))
 
 
 def checks(entry: Entry, sent: DataFrame, got: DataFrame) -> DataFrame | None:
@@ -233,26 +253,28 @@ def run_leg(
     """One run of several over [start, end): delivered (field, t, cell, v), with what the run before left and what this one leaves in ``folder``.
 
     By status: EXPORTED delivers, EXPOUT also writes records, OUTPUT only writes them, INPUT delivers records that are there. A
-    positive lag reads restart values at the start (those of the ``first`` run must have been written before) and writes them at the end.
+    positive lag reads restart values at the start (those of the ``first`` run must have been written before, for its start) and writes
+    them at the end. All value arrays of the puts (v to v5) go through windows, restart values and the map.
+
+    A leg goes on from a leg of the same entry that was committed and ended at ``start``. What it writes counts once it is
+    committed, which comes last; a leg that is run again, after a failure or not, leaves the same tables.
     """
     spark = puts.sparkSession if puts is not None else SparkSession.getActiveSession()
     if entry.status == "INPUT":
-        records = [tables.read_input(spark, folder + "/records", f, t).select(F.lit(f).alias("field"), F.lit(t).cast("long").alias("t"), "cell", "v") for f in entry.source for t in range(start, end, entry.dt)]
-        out = records[0]
-        for r in records[1:]:
-            out = out.unionByName(r)
-        return delivered(entry, out, links, src_grid, dst_grid)
+        return delivered(entry, tables.read_records(spark, folder, entry.source, start, end, entry.dt), links, src_grid, dst_grid)
+    values = tuple(v for v in VALUES if v in puts.columns)
     own = puts.where(F.col("field").isin(*entry.source))
     name = entry.restart or ":".join(entry.source)
-    ready = tables.read_restart(spark, folder, name, "ready", required=first) if entry.lag > 0 else None
-    carried = None if first else tables.read_restart(spark, folder, name, "loctrans", required=False)
-    # read before this leg writes what the next one reads
-    ready, carried = (None if x is None else batch.cut(x) for x in (ready, carried))
-    leg = timewin.leg(own, entry.loctrans, entry.dt, entry.lag, start, end, ready, carried)
+    if not first and tables.committed(spark, folder).where((F.col("entry") == name) & (F.col("end") == start)).isEmpty():
+        raise LookupError(f"no leg of {name} that ends at {start} in {folder}")
+    ready = tables.read_restart(spark, folder, name, "ready", first, start, values) if entry.lag > 0 else None
+    carried = None if first else tables.read_restart(spark, folder, name, "loctrans", False, start, values)
+    leg = timewin.leg(own, entry.loctrans, entry.dt, entry.lag, start, end, ready, carried, values=values)
     if entry.lag > 0:
-        tables.write_restart(leg.ready, folder, name, "ready", whole=True)
-    tables.write_restart(leg.carried, folder, name, "loctrans", whole=True)
+        tables.write_restart(leg.ready, folder, name, "ready", True, end)
+    tables.write_restart(leg.carried, folder, name, "loctrans", True, end)
     sent = batch.affine(leg.delivered, "v", *entry.source_scale)
     if entry.status in ("EXPOUT", "OUTPUT"):
-        tables.append_output(sent, folder + "/records")
+        tables.append_output(sent, folder, name, start)
+    tables.commit(spark, folder, name, start, end)
     return delivered(entry, sent, links, src_grid, dst_grid) if entry.status != "OUTPUT" else sent.limit(0)

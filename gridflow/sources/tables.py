@@ -3,6 +3,9 @@
 Tables are partitioned by what a read asks for (entry, field, map or grid), so
 a read prunes to its own folders. A sink that replaces does so by partition:
 what other entries, maps or grids wrote stays.
+
+A leg of a run writes its records and restart values below its own name and commits them last, by a
+row of the table of commits. Until then no read sees them, and a leg that is run again replaces what an attempt before has left.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from pyspark.sql import functions as F
 from ..shared import shared_folder
 
 __all__ = [
-    "append_output", "read_arrays", "read_grid", "read_input", "read_restart", "read_weights", "resource", "shared_folder", "write_arrays", "write_grid", "write_restart", "write_weights",
+    "append_output", "commit", "committed", "read_arrays", "read_grid", "read_input", "read_records", "read_restart", "read_weights", "resource", "shared_folder", "write_arrays", "write_grid", "write_restart", "write_weights",
 ]
 
-RESTART = "cell long, v double, cnt long, entry string, kind string, field string"
-OUTPUT = "t long, cell long, v double, field string"
+VALUES = ("v", "v2", "v3", "v4", "v5")
+RESTART = f"cell long, {', '.join(f'{v} double' for v in VALUES)}, cnt long, entry string, kind string, at long, field string"
+OUTPUT = "t long, cell long, v double, leg string, field string"
+COMMITS = "end long, entry string, start long"
+DIRECT = "-"  # the leg of records that no leg has written
 WEIGHTS = "dst long, src long, w array<double>, map string"
 GRID = "cell long, value double, grid string, variable string"
 
@@ -36,28 +42,40 @@ def _replace(df: DataFrame, folder: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
 
 
-def write_restart(rows: DataFrame, folder: str, entry: str, kind: str, whole: bool = False) -> None:
-    """Replaces the restart values of this entry, kind and the fields that ``rows`` (field, cell, v[, cnt]) holds.
+def write_restart(rows: DataFrame, folder: str, entry: str, kind: str, whole: bool = False, at: int = 0) -> None:
+    """Replaces the restart values at time ``at`` of this entry, kind and the fields that ``rows`` (field, cell, v[, v2 .. v5, cnt]) holds.
 
     ``whole``: of all fields, so that those without rows have no values from then on.
     """
     cnt = F.col("cnt") if "cnt" in rows.columns else F.lit(1)
-    if not whole:
-        _replace(rows.select("cell", "v", cnt.cast("long").alias("cnt"), F.lit(entry).alias("entry"), F.lit(kind).alias("kind"), "field"), folder, "entry", "kind", "field")
-        return
-    # partition folders are named as Spark escapes them
-    own = f"{folder}/entry={quote(entry, safe='')}/kind={quote(kind, safe='')}"
-    rows.select("cell", "v", cnt.cast("long").alias("cnt"), "field").write.mode("overwrite").partitionBy("field").parquet(own)
-
-
-def read_restart(spark: SparkSession, folder: str, entry: str, kind: str, required: bool = True) -> DataFrame:
-    """(field, cell, v, cnt) of an entry; raises if there are none and they are required."""
-    out = _read(spark, folder, RESTART).where((F.col("entry") == entry) & (F.col("kind") == kind)).select("field", "cell", "v", "cnt")
+    held = [F.col(v) if v in rows.columns else F.lit(None).cast("double").alias(v) for v in VALUES]
+    rows = rows.select("cell", *held, cnt.cast("long").alias("cnt"), "field")
+    if whole:
+        # partition folders are named as Spark escapes them
+        rows.write.mode("overwrite").partitionBy("field").parquet(f"{folder}/restart/entry={quote(entry, safe='')}/kind={quote(kind, safe='')}/at={at}")
+    else:
+        _replace(rows.withColumns({"entry": F.lit(entry), "kind": F.lit(kind), "at": F.lit(at)}), f"{folder}/restart", "entry", "kind", "at", "field")
+
+
+def read_restart(spark: SparkSession, folder: str, entry: str, kind: str, required: bool = True, at: int = 0, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(field, cell, values, cnt) of an entry at time ``at``; raises if there are none and they are required. Value arrays that were not written are 0."""
+    own = (F.col("entry") == entry) & (F.col("kind") == kind) & (F.col("at") == at)
+    out = _read(spark, f"{folder}/restart", RESTART).where(own).select("field", "cell", *[F.coalesce(v, F.lit(0.0)).alias(v) if v != "v" else F.col(v) for v in values], "cnt")
     if required and out.isEmpty():
-        raise LookupError(f"no restart values of {entry}, {kind} in {folder}")
+        raise LookupError(f"no restart values of {entry}, {kind} at {at} in {folder}")
     return out
 
 
+def commit(spark: SparkSession, folder: str, entry: str, start: int, end: int) -> None:
+    """From now on the records of the entry's leg over [start, end) can be read, and a leg can go on from its end."""
+    spark.range(1).select(F.lit(end).cast("long").alias("end")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/entry={quote(entry, safe='')}/start={start}")
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """(entry, start, end): a row for each leg that has been committed."""
+    return _read(spark, f"{folder}/commits", COMMITS).select("entry", "start", "end")
+
+
 def write_arrays(rows: DataFrame, folder: str, entry: str) -> None:
     """Replaces the small arrays of an entry, such as counters, by rows (name, place, i, r) of integers and reals."""
     values = rows.select("name", F.col("place").cast("long").alias("place"), F.col("i").cast("long").alias("i"), F.col("r").cast("double").alias("r"))
@@ -70,16 +88,41 @@ def read_arrays(spark: SparkSession, folder: str, entry: str) -> DataFrame:
     return rows.where(F.col("entry") == entry).select("name", "place", "i", "r")
 
 
-def append_output(values: DataFrame, folder: str) -> None:
-    """Adds (field, t, cell, v) to the records of its fields."""
-    values.select("t", "cell", "v", "field").write.mode("append").partitionBy("field").parquet(folder)
+def append_output(values: DataFrame, folder: str, entry: str | None = None, start: int = 0) -> None:
+    """Adds (field, t, cell, v) to the records of its fields.
+
+    With an ``entry``, as the records of its leg from ``start``: they replace those that an earlier attempt of the
+    leg has written, and are there to be read once the leg is committed.
+    """
+    rows = values.select("t", "cell", "v", "field")
+    if entry is None:
+        rows.withColumn("leg", F.lit(DIRECT)).write.mode("append").partitionBy("leg", "field").parquet(f"{folder}/records")
+    else:
+        rows.write.mode("overwrite").partitionBy("field").parquet(f"{folder}/records/leg={quote(f'{entry}@{start}', safe='')}")
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, t, cell, v) of all records that can be read."""
+    legs = committed(spark, folder).select(F.concat("entry", F.lit("@"), "start").alias("leg"))
+    rows = _read(spark, f"{folder}/records", OUTPUT)
+    direct = rows.where(F.col("leg") == DIRECT)
+    return direct.unionByName(rows.join(legs, "leg", "left_semi")).select("field", "t", "cell", "v")
 
 
 def read_input(spark: SparkSession, folder: str, field: str, t: int) -> DataFrame:
     """(cell, v) of a field at exactly ``t``; raises if there is no such record."""
-    out = _read(spark, folder, OUTPUT).where((F.col("field") == field) & (F.col("t") == t)).select("cell", "v")
-    if out.isEmpty():
-        raise LookupError(f"no record of {field} at {t} in {folder}")
+    return read_records(spark, folder, (field,), t, t + 1, 1).select("cell", "v")
+
+
+def read_records(spark: SparkSession, folder: str, fields: tuple[str, ...], start: int, end: int, dt: int) -> DataFrame:
+    """(field, t, cell, v) at start, start + dt, ... before ``end``, in one scan; raises if a field has no record at one of these times."""
+    on = (F.col("t") >= start) & (F.col("t") < end) & ((F.col("t") - start) % dt == 0)
+    out = _records(spark, folder).where(F.col("field").isin(*fields) & on)
+    wanted = spark.range(start, end, dt).select(F.explode(F.array(*map(F.lit, fields))).alias("field"), F.col("id").alias("t"))
+    # a few of what is missing
+    missing = wanted.join(out.select("field", "t").distinct(), ["field", "t"], "left_anti").limit(3).collect()
+    if missing:
+        raise LookupError(f"no record of {', '.join(f'{r.field} at {r.t}' for r in missing)} in {folder}")
     return out
 
 
