@@ -25,7 +25,6 @@ not looked at.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -48,14 +47,15 @@ BLOOM = 1 << 26
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _END = b"."  # can't be a word
-_ENDS = re.compile(rb"[.,;:!?\n-\r]+")
+_ENDS = b".,;:!?\n\x0b\x0c\r"
+#: A-Z in lower case, and any end of a piece as ``_END``.
+_PLAIN = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + _END * len(_ENDS))
 
 
 def tokens(text: str | None) -> list[bytes]:
     """A text's words in lower case (A-Z), with ``_END`` between pieces."""
-    return _ENDS.sub(b" . ", (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)).split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).replace(_END, b" . ").split()
 
 
 class _Ids(dict):
@@ -83,10 +83,9 @@ class _Block:
         """One row: the words, how often each occurs, how many bytes its bitmap has, and all bitmaps in the order of words."""
         word = np.concatenate(self.words)
         position = np.flatnonzero(word)
-        word = word[position]
-        order = np.argsort(word, kind="stable")
-        word, position = word[order], position[order]
-        key = word.astype(np.int64) << 32 | position >> 3
+        both = np.sort(word[position].astype(np.int64) << 32 | position)
+        word, position = both >> 32, both & 0xFFFFFFFF
+        key = word << 32 | position >> 3
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         bits = np.bitwise_or.reduceat(np.uint8(1) << (position & 7).astype(np.uint8), first) if len(key) else np.empty(0, np.uint8)
         at, of = position[first] >> 3, word[first]
@@ -198,7 +197,7 @@ class _Index:
         own = _places(starts[kept], sizes[kept])
         self.at, self.bits = at[own], bits[own]
         self.starts = np.r_[0, np.cumsum(sizes[kept])]
-        order = np.argsort(self.at, kind="stable")
+        order = np.argsort(self.at)
         self.of_place = np.repeat(np.arange(len(kept)), sizes[kept])[order]
         self.bits_of_place = self.bits[order]
         counts = np.bincount(self.at, minlength=int(self.at.max(initial=0)) + 3)
@@ -224,14 +223,15 @@ class _Index:
         return prefix[source], self.of_place[found[kept]], at[source], both[kept]
 
 
-def _counted(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their set bits, which of them each key is)."""
-    order = np.argsort(key, kind="stable")
+def _counted(key: np.ndarray, bits: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their set bits, and if there is ``more`` to extend, which of them each key is)."""
+    order = np.argsort(key)
     sorted_, n = key[order], np.bitwise_count(bits)[order].astype(np.int64)
     new = np.r_[True, sorted_[1:] != sorted_[:-1]]
-    which = np.empty(len(key), np.int64)
-    which[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
+    which = np.empty(len(key) if more else 0, np.int64)
+    if more:
+        which[order] = np.cumsum(new) - 1
     return sorted_[first], np.add.reduceat(n, first), which
 
 
@@ -246,16 +246,16 @@ def extend(index: _Index, depth: int, parts: Bloom | None = None, group: int = G
         names, counts = [np.arange(a, b)], np.empty(0, np.int64)
         prefix = np.repeat(np.arange(b - a), np.diff(index.starts[a : b + 1]))
         at, bits = index.at[own], index.bits[own]
-        for _ in range(depth - 1):
+        for step in range(2, depth + 1):
             prefix, word, at, bits = index.extended(prefix, at, bits)
             if parts is not None and len(prefix):
                 frequent = parts.holds(Bloom.joined(index.hashes[names[-1][prefix]], index.hashes[word]))
                 prefix, word, at, bits = prefix[frequent], word[frequent], at[frequent], bits[frequent]
             if not len(prefix):
                 break
-            keys, counts, prefix = _counted(prefix * words + word, bits)
+            keys, counts, prefix = _counted(prefix * words + word, bits, step < depth)
             names = [x[keys // words] for x in names] + [keys % words]
-        if len(names) == depth and len(prefix):
+        if len(names) == depth:
             yield names, counts
 
 
