@@ -628,10 +628,12 @@ def stream_barrier(spark, d):
     return windows.drain(windows.ready(_stream(spark, d), ["view", "click", "purchase"], DT, delay=DELAY), _folder(spark, "stream"))
 
 
-@query(_PUTS + """, b AS (SELECT *, max(t) OVER (PARTITION BY field, cell ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p)
+@query(_PUTS + """, h AS (SELECT *, event_id * 7919 % 1000003 AS place FROM p), b AS (SELECT *, max(t) OVER (PARTITION BY field, cell ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM h)
 SELECT field, cell, t, seen FROM b WHERE t < seen""")
 def stream_backward(spark, d):
-    return windows.drain(windows.backward(_stream(spark, d), "event_id"), _folder(spark, "stream"))
+    """Puts that are called in another order than that of their times."""
+    stream = _stream(spark, d).withColumn("place", F.col("event_id") * 7919 % 1_000_003)
+    return windows.drain(windows.backward(stream, "place"), _folder(spark, "stream"))
 
 
 # ---------------------------------------------------------------- decompositions

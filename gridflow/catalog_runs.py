@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from .catalog import _DEALT, _PUTS, _SIDES, _dealt, _folder, _merge_sql, _nation_sources, _sides, links, order_grid, parts, puts, query, r, rounded
 from .functions import names as fn
 from .operators import batch, partition, reduce, timewin
+from .plans import coupled
 from .plans import exchange as plan
 from .schema import regular_grid, table, with_corners
 from .sources import tables
+from .streaming import stateful
 
 DT = 21600
 
@@ -165,6 +167,59 @@ def exchange_value_arrays(spark, d):
     return rounded(plan.exchange(plan.Entry(fields, fields, DT, loctrans="AVERAGE"), sent, links_), 3)
 
 
+_RUN, _WEEK, _LATE = 2_592_000, 432_000, 3600
+
+
+def _coupled_sql() -> str:
+    """The exchanges of the run below, one after the other: heat and rain every five days, the sea's answer every ten."""
+    names = {"heat": ("view", _WEEK), "rain": ("click", _WEEK), "sst": ("purchase", 2 * _WEEK)}
+    hears = {"heat": {"sst": 0.5}, "rain": {"sst": 0.5}, "sst": {"heat": 0.25, "rain": -0.125}}
+    ctes, there = [], {n: [] for n in names}
+    for n, (_, dt) in names.items():
+        ctes.append(f"{n}_0 AS (SELECT cell, CAST(0 AS BIGINT) AS t, CAST(cell % {dt // 43200} AS DOUBLE) AS v FROM (SELECT DISTINCT cell FROM p))")
+        there[n].append(0)
+    for t, n in sorted((t, n) for n, (_, dt) in names.items() for t in range(dt, _RUN, dt)):
+        field, dt = names[n]
+        last, more = t - _LATE, ""
+        for other, factor in hears[n].items():
+            known = " UNION ALL ".join(f"SELECT * FROM {other}_{k}" for k in there[other] if k <= last)
+            more += f" + {factor} * coalesce((SELECT arg_max(s.v, s.t) FROM ({known}) s WHERE s.cell = p.cell AND s.t <= p.t), 0)"
+        ctes.append(f"{n}_{t} AS (SELECT cell, CAST({t} AS BIGINT) AS t, avg(v{more}) AS v FROM p WHERE field = '{field}' AND t > {last - dt} AND t <= {last} GROUP BY 1)")
+        there[n].append(t)
+    side = {"heat": "ocean", "rain": "ocean", "sst": "atmos"}
+    rows = " UNION ALL ".join(f"SELECT '{side[n]}' AS component, '{n}' AS field, t, cell, round(v + 3e-9, 5) AS v FROM {n}_{t}" for n, ts in there.items() for t in ts)
+    return f"{_PUTS}, {', '.join(ctes)} {rows}"
+
+
+@query(_coupled_sql())
+def coupled_feedback(spark, d):
+    """Three entries between two components, both ways: what each puts follows what it has got from the other."""
+    held, cells = puts(spark, d).select("field", "cell", "t", "v"), puts(spark, d).select("cell").distinct()
+
+    def begin(field: str, dt: int):
+        return cells.select(F.lit(field).alias("field"), "cell", (F.col("cell") % (dt // 43200)).cast("double").alias("v"))
+
+    def model(names: tuple[str, ...], hears: dict[str, float]):
+        def put(received, start, end):
+            own = held.where(F.col("field").isin(*names) & (F.col("t") >= start) & (F.col("t") < end))
+            known = coupled.latest(own, received, {f: f"got_{f}" for f in hears})
+            return known.select("field", "cell", "t", (F.col("v") + sum(F.col(f"got_{f}") * w for f, w in hears.items())).alias("v"))
+
+        return put
+
+    def entry(source: str, target: str, dt: int):
+        return plan.Entry((source,), (target,), dt, lag=_LATE, restart="begin", loctrans="AVERAGE", map_mode="sum")
+
+    entries = [
+        coupled.Coupled(entry("view", "heat", _WEEK), "atmos", "ocean", begin=begin("view", _WEEK)),
+        coupled.Coupled(entry("click", "rain", _WEEK), "atmos", "ocean", begin=begin("click", _WEEK)),
+        coupled.Coupled(entry("purchase", "sst", 2 * _WEEK), "ocean", "atmos", begin=begin("purchase", 2 * _WEEK)),
+    ]
+    models = {"atmos": model(("view", "click"), {"sst": 0.5}), "ocean": model(("purchase",), {"heat": 0.25, "rain": -0.125})}
+    # values that end with a 5 at the sixth digit are rounded up
+    return coupled.run_coupled(spark, entries, models, plan.Run(_RUN, ("atmos", "ocean"))).withColumn("v", r(F.col("v") + 3e-9, 5))
+
+
 @query(_PUTS + f""", a AS (SELECT field, cell, CAST(ceil((t + 3600) / {DT}.0) AS BIGINT) * {DT} AS t, avg(v) AS v, avg(v * v) AS v2, avg(t % 100) AS v3 FROM p WHERE field IN ('view', 'click') AND t < {_LEG_ENDS[-1]} GROUP BY 1, 2, 3
 UNION ALL SELECT 'view', c_custkey % 15, 0, sum(c_acctbal), sum(c_acctbal) / 2, 0 FROM customer GROUP BY 2),
 l AS (SELECT c_custkey AS dst, c_custkey % 15 AS src, 0.5 AS w, c_acctbal / 1000 AS w2, c_custkey / 100.0 AS w3 FROM customer)
@@ -213,6 +268,48 @@ def conserve_same_bits(spark, d):
     return both.select("field", "cell", r("v", 4).alias("v"), (F.col("v") == F.col("other")).alias("same"))
 
 
+# ---------------------------------------------------------------- streams that stop and go on
+
+
+def _landed(spark, d, folder: str, start: int, end: int) -> None:
+    """The puts of a leg arrive in the folder of the stream."""
+    part = puts(spark, d).where((F.col("t") >= start) & (F.col("t") < end)).withColumns({"v2": F.col("v") * F.col("v"), "v3": (F.col("t") % 100).cast("double")})
+    part.select("field", "cell", "t", "v", "v2", "v3").write.mode("append").parquet(folder)
+
+
+def _stream_legs(name: str, transform: str, lag: int, values: tuple[str, ...], sql: str) -> None:
+    def run(spark, d):
+        """A stream that is stopped twice and goes on from its state; at the end of the run its clock closes the last windows."""
+        folder = _folder(spark, "stream-legs")
+        landing = f"{folder}/puts"
+        _landed(spark, d, landing, 0, 0)
+        stream = spark.readStream.schema("field string, cell long, t long, v double, v2 double, v3 double").parquet(landing)
+        stream = stateful.windows(stateful.with_clock(stream, f"{folder}/clock", values), transform, DT, lag, values=values)
+        for start, end in zip(_LEG_ENDS, _LEG_ENDS[1:], strict=False):
+            _landed(spark, d, landing, start, end)
+            stateful.drain(stream, folder)
+        stateful.tick(spark, f"{folder}/clock", _LEG_ENDS[-1] + 2 * DT)
+        out = stateful.drain(stream, folder)
+        return out.select("field", "cell", "t", *[r(F.col(v) + 3e-9, 5).alias(v) for v in values])
+
+    run.__name__ = name
+    query(_PUTS + f"SELECT field, cell, CAST(ceil((t + {lag}) / {DT}.0) AS BIGINT) * {DT} AS t, {sql} FROM p WHERE t < {_LEG_ENDS[-1]} GROUP BY 1, 2, 3")(run)
+
+
+_stream_legs("stream_legs_average", "AVERAGE", 3600, ("v", "v2", "v3"), "round(avg(v) + 3e-9, 5) AS v, round(avg(v * v) + 3e-9, 5) AS v2, round(avg(t % 100) + 3e-9, 5) AS v3")
+_stream_legs("stream_legs_max", "T_MAX", 0, ("v",), "round(max(v) + 3e-9, 5) AS v")
+
+
+@query(_PUTS + f"SELECT field, cell, CAST(ceil(t / {DT}.0) AS BIGINT) AS w, round(sum(v) + 3e-9, 5) AS v, count(*) AS cnt FROM p WHERE t < 1000000 AND CAST(ceil(t / {DT}.0) AS BIGINT) * {DT} > (SELECT max(t) - 1 FROM p WHERE t < 1000000) GROUP BY 1, 2, 3")
+def stream_state_as_restart(spark, d):
+    """A stream that stops within a window, and what its state holds of it."""
+    folder = _folder(spark, "stream-state")
+    _landed(spark, d, f"{folder}/puts", 0, 1_000_000)
+    stream = spark.readStream.schema("field string, cell long, t long, v double, v2 double, v3 double").parquet(f"{folder}/puts")
+    stateful.drain(stateful.windows(stream, "AVERAGE", DT), folder)
+    return stateful.left_open(spark, folder).withColumn("v", r(F.col("v") + 3e-9, 5))
+
+
 # ---------------------------------------------------------------- sorts and batches
 
 
