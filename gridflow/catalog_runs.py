@@ -10,7 +10,7 @@ from .operators import batch, partition, reduce, timewin
 from .plans import coupled
 from .plans import exchange as plan
 from .schema import regular_grid, table, with_corners
-from .sources import tables
+from .sources import netcdf, tables
 from .streaming import stateful
 
 DT = 21600
@@ -310,6 +310,31 @@ def stream_state_as_restart(spark, d):
     return stateful.left_open(spark, folder).withColumn("v", r(F.col("v") + 3e-9, 5))
 
 
+# ---------------------------------------------------------------- NetCDF files
+
+
+@query("SELECT l_orderkey AS dst, l_partkey AS src, l_discount AS w1, l_tax AS w2, l_returnflag AS mode, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4, 5")
+def netcdf_weights(spark, d):
+    """A map of two weights a link, written as NetCDF files and read again in small stretches."""
+    netcdf.register(spark)
+    folder, li = _folder(spark, "netcdf"), table(spark, d, "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("dst_address"), F.col("l_partkey").alias("src_address"), F.array("l_discount", "l_tax").alias("remap_matrix"), F.col("l_returnflag").alias("mode"))
+    rows.write.format("netcdf").option("dimension", "num_links").mode("overwrite").save(folder)
+    got = spark.read.format("netcdf").option("dimensions", "num_links").option("points", 20_000).load(folder)
+    w = F.col("remap_matrix")
+    return got.groupBy(F.col("dst_address").alias("dst"), F.col("src_address").alias("src"), w[0].alias("w1"), w[1].alias("w2"), "mode").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS cell, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders")
+def netcdf_restart(spark, d):
+    """Restart values with gaps, of which only two variables are read."""
+    netcdf.register(spark)
+    folder, k = _folder(spark, "netcdf"), F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("cell"), F.when(k % 11 != 0, F.col("o_totalprice")).alias("v"), F.lit(1).alias("cnt"), "o_orderstatus")
+    rows.write.format("netcdf").mode("overwrite").save(folder)
+    return spark.read.format("netcdf").schema("cell long, v double").load(folder)
+
+
 # ---------------------------------------------------------------- sorts and batches
 
 

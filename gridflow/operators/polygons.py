@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .curvilinear import SHIFT, _binned, beside
+from ..shared import cut
 from .weights import bins_for, with_nearest_unmasked
 
 _GAUSS = ((0.5 - 15**0.5 / 10, 5 / 18), (0.5, 8 / 18), (0.5 + 15**0.5 / 10, 5 / 18))
@@ -192,5 +193,6 @@ def conservative(src: DataFrame, dst: DataFrame, normalisation: str = "FRACAREA"
     links = met.select("dst", "src", *[c.alias(n) for n, c in w.items()])
     if normalisation != "FRACNNEI":
         return links
+    links = cut(links)  # the repair below reads them in several jobs
     near = with_nearest_unmasked(links.select("dst", "src", F.col("w1").alias("w")), src, dst.where("mask = 0")).join(links.select("dst").distinct(), "dst", "left_anti")
     return links.unionByName(near.select("dst", "src", F.col("w").alias("w1"), *[F.lit(0.0).alias(n) for n in w if n != "w1"]))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .curvilinear import _four_nearest
 from .weights import with_nearest_unmasked
 
@@ -79,8 +80,9 @@ def _weights(grid: DataFrame, dst: DataFrame, half: int, whole: bool) -> DataFra
 
 
 def _with_rest(links: DataFrame, grid: DataFrame, active: DataFrame) -> DataFrame:
-    rest = active.join(links.select(F.col("dst").alias("cell")).distinct(), "cell", "left_anti")
-    return with_nearest_unmasked(links.unionByName(_four_nearest(grid, rest)), grid, active)
+    links = cut(links)
+    rest = cut(active.join(links.select(F.col("dst").alias("cell")).distinct(), "cell", "left_anti"))
+    return links.unionByName(with_nearest_unmasked(_four_nearest(grid, rest), grid, rest))
 
 
 def bilinear(grid: DataFrame, dst: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def bicubic(grid: DataFrame, dst: DataFrame) -> DataFrame:
     Targets without all four circles, or without any unmasked point on them, are done as by :func:`bilinear`.
     """
     active = dst.where("mask = 0")
-    links = _weights(grid, active, 2, False)
-    rest = active.join(links.select(F.col("dst").alias("cell")).distinct(), "cell", "left_anti")
+    links = cut(_weights(grid, active, 2, False))
+    rest = cut(active.join(links.select(F.col("dst").alias("cell")).distinct(), "cell", "left_anti"))
     return links.unionByName(bilinear(grid, rest))
 

@@ -37,6 +37,9 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
     sectors looked at. A target looks at the bands within a reach and as far in longitude, all around near the
     poles; if its k-th distance is more than what is left to the edges, it looks again with twice the reach.
     """
+    out = dst.select(F.col("cell").alias("dst"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
+    if dst.isEmpty():
+        return out
     bins = bins or bins_for(src)
     height, sectors = 180.0 / bins, 2 * bins
 
@@ -87,7 +90,7 @@ def _normalised(near: DataFrame, src: DataFrame, raw: Column) -> DataFrame:
 
 def with_nearest_unmasked(links: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """Targets without links get their nearest unmasked source with weight 1."""
-    bare = dst.join(links.select("dst").distinct(), dst["cell"] == F.col("dst"), "left_anti")
+    bare = cut(dst.join(links.select("dst").distinct(), dst["cell"] == F.col("dst"), "left_anti"))  # read by each round of the search
     one = nearest_k(src.where("mask = 0"), bare, 1)
     return links.unionByName(one.select("dst", "src", F.lit(1.0).alias("w")))
 
