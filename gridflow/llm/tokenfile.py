@@ -53,10 +53,10 @@ SLOT_BITS = 8
 SLOTS = 1 << SLOT_BITS  # of a block's context tables
 SHARE_BITS = 30  # of the share that a step leaves of a block's range
 GROUPS, GROUP_BITS = 8, 14  # of ids by rank, and of their adaptive bounds
+MEMBERS = 1 << 15  # ids of each further group, in files of more than 2**16 different ids
 MOST = 60_000  # a guess has at most this share of 2**16
 _SURE = (1536, 64_000)  # the weight of order 2 stays between these
 _LEAST = 48  # of 2**GROUP_BITS, towards which a group that does not occur shrinks
-_SPREAD = (1 << GROUP_BITS) - GROUPS * _LEAST
 _HASH, _HASH_SHIFT = tuple(map(np.uint32, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))), np.uint32(32 - SLOT_BITS)
 _U32, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 _LOW = np.uint64(1) << _U32
@@ -75,10 +75,12 @@ class _Model:
         self.weight = np.full(lanes, 36000, np.int32)  # of order 2 against order 1, of 2**16
         # order 0: bounds of the groups of ids, starting from the file's
         self.bound = np.repeat(first[:, None], lanes, axis=1)
-        self.flat_bound, self.inner = self.bound.reshape(-1), self.bound[1:GROUPS]
+        groups = len(first) - 1
+        self.flat_bound, self.inner = self.bound.reshape(-1), self.bound[1:groups]
+        self.spread = np.int16((1 << GROUP_BITS) - groups * _LEAST)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.rising = (np.arange(1, GROUPS, dtype=np.int16) * np.int16(_LEAST))[:, None]
-        self.place = np.arange(1, GROUPS, dtype=np.int16)[:, None]
+        self.rising = (np.arange(1, groups, dtype=np.int16) * np.int16(_LEAST))[:, None]
+        self.place = np.arange(1, groups, dtype=np.int16)[:, None]
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
         """(the share of order 2's guess, of both guesses), of 2**30."""
@@ -111,7 +113,7 @@ class _Model:
             guess[at] = entry
             again = np.flatnonzero(hit)
             guess[at[again]] = np.minimum(old[again] + 1, old[again] | 3)
-        step = (self.place > group.astype(np.int16)) * np.int16(_SPREAD)
+        step = (self.place > group.astype(np.int16)) * self.spread
         step += self.rising
         step -= self.inner
         step >>= 5
@@ -121,27 +123,33 @@ class _Model:
 
 
 class _OrderZero:
-    """The file's id frequencies in groups by rank (1, 3, 12, 48, ... ids), each group's adding up to 2**16."""
+    """The file's id frequencies in groups by rank (1, 3, 12, 48, ... ids), each group's adding up to 2**16.
+
+    The last group takes the rest, or where that is too many, its first ``MEMBERS``; further groups take as many each.
+    """
 
     def __init__(self, n: np.ndarray):
         some = np.flatnonzero(n)
-        if len(some) > 1 << 16:
-            raise ValueError("a file holds at most 65,536 different ids")
         order = some[np.argsort(-n[some], kind="stable")]
-        group = np.searchsorted(4 ** np.arange(GROUPS - 1), np.arange(len(order)), side="right")
-        sums = np.bincount(group, n[order], GROUPS)
+        rank = np.arange(len(order))
+        group = np.searchsorted(4 ** np.arange(GROUPS - 1), rank, side="right")
+        if len(order) > 1 << 16:
+            rest = np.maximum(0, rank - 4 ** (GROUPS - 2))
+            group += rest // MEMBERS
+        groups = max(GROUPS, int(group[-1]) + 1) if len(order) else GROUPS
+        sums = np.bincount(group, n[order], groups)
         self.group = np.zeros(len(n), np.int64)
         self.group[order] = group
         self.start, self.freq = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        self.symbol = np.zeros(GROUPS << 16, np.int32)
-        for g in range(GROUPS):
+        self.symbol = np.zeros(groups << 16, np.int32)
+        for g in range(groups):
             own = order[group == g]
             if len(own):
                 f = 1 + (n[own] * ((1 << 16) - len(own)) // int(sums[g])).astype(np.int64)
                 f[0] += (1 << 16) - int(f.sum())
                 self.freq[own], self.start[own] = f, np.cumsum(f) - f
                 self.symbol[g << 16 : (g + 1) << 16] = np.repeat(own, f)
-        share = _LEAST + (sums * ((1 << GROUP_BITS) - GROUPS * _LEAST) / max(1.0, float(sums.sum()))).astype(np.int64)
+        share = _LEAST + (sums * ((1 << GROUP_BITS) - groups * _LEAST) / max(1.0, float(sums.sum()))).astype(np.int64)
         share[0] += (1 << GROUP_BITS) - int(share.sum())
         self.first = np.concatenate(([0], np.cumsum(share))).astype(np.int16)
 

@@ -46,10 +46,10 @@ def usable(embedding: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, w array<long>): floor(SCALE * component) of every usable vector."""
-    w = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * SCALE))
-    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), w.alias("w"))
-    return rows.groupBy("id").agg(F.min("w").alias("w"))
+    """(id, w array<long>): floor(SCALE * component) of every usable vector; of rows that repeat an id, of the smallest array."""
+    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("x"))
+    w = F.transform("x", lambda x: F.floor(x.cast("double") * SCALE))
+    return rows.groupBy("id").agg(F.min("x").alias("x")).select("id", w.alias("w"))
 
 
 def _alike(x: np.ndarray, rows: np.ndarray, out: list[np.ndarray]) -> None:
