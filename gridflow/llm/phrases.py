@@ -147,16 +147,17 @@ class Bloom:
             return h ^ h >> np.uint64(29)
 
     @staticmethod
-    def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return h % np.uint64(BLOOM), (h >> np.uint64(32)) % np.uint64(BLOOM)
+    def places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        one, two = (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1) for p in self.places(h))
+        one, two = (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1) for p in self.places(h, 8 * len(self.bits)))
         return (one & two).astype(bool)
 
 
 def bloom(rows: DataFrame, names: tuple[str, ...]) -> Bloom:
     """The filter of rows (lang, names), words of which each is a hash's part."""
+    size = BLOOM
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -165,13 +166,13 @@ def bloom(rows: DataFrame, names: tuple[str, ...]) -> Bloom:
                 h = Bloom.hashes(lang, list(own[names[0]]))
                 for name in names[1:]:
                     h = Bloom.joined(h, Bloom.hashes(lang, list(own[name])))
-                places += Bloom.places(h)
+                places += Bloom.places(h, size)
             p = np.unique(np.concatenate(places)).astype(np.int64)
             at, first = np.unique(p >> 5, return_index=True)
             yield pd.DataFrame({"at": at, "bits": np.bitwise_or.reduceat(np.int64(1) << (p & 31), first)})
 
     got = rows.select("lang", *[F.col(c).cast("binary").alias(c) for c in names]).mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # BLOOM / 32 rows at most
-    bits = np.zeros(BLOOM // 32, "<u4")
+    bits = np.zeros(size // 32, "<u4")
     bits[got["at"].to_numpy()] = got["bits"].to_numpy()
     return Bloom(bits.view(np.uint8))
 

@@ -109,6 +109,9 @@ _ALL_TITLES = MALE + FEMALE + BOTH
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(_ALL_TITLES, key=len, reverse=True))})\.?\x20(?:(?:\p{{Lu}}\.|{_WORD})\x20){{0,2}}{_WORD}(?!\p{{L}})"
 ENTITY = "|".join((EMAIL, SSN, IP, IP6, IBAN, PHONE, CARD, NAME))
 
+#: What a family name's surrogate begins with as the name does, in small letters.
+PREFIX = r"^(?:[od]'|ma?c)(?=\p{L}{3})"
+
 #: What every entity holds: a digit (an IPv6 address too), an at sign or a title. Quick to look for, it spares most texts the search.
 DIGIT = r"[0-9@]"
 TITLE = rf"(?=[{''.join(sorted({x[0] for x in _ALL_TITLES}))}])(?:{'|'.join(_ALL_TITLES)})\.?\x20"
@@ -250,7 +253,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     # what is shifted first: the local part, the family name, the inner digits of a card, all digits
     main = (
         F.when(kind == "email", F.substring(canon, F.lit(1), at - 1))
-        .when(kind == "name", F.element_at("__words", -1))
+        .when(kind == "name", F.regexp_replace(F.element_at("__words", -1), PREFIX, ""))
         .when(kind == "card", F.substring(canon, F.lit(2), F.length(canon) - 2))
         .when(kind == "iban", F.lower(F.substring(canon, F.lit(5), F.length(canon))))
         .when(kind.isin("ip", "ip6"), "")
@@ -258,12 +261,13 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     )
     by = (
         F.when(kind == "email", F.concat(tweak, F.lit("@"), F.col("__domain")))
-        .when(kind == "name", F.concat(F.lit("family"), F.when((attempt > 0) & (F.size("__words") < 2), F.concat(F.lit("#"), attempt.cast("string"))).otherwise("")))
+        .when(kind == "name", F.concat(F.lit("family"), F.regexp_extract(F.element_at("__words", -1), PREFIX, 0), F.when((attempt > 0) & (F.size("__words") < 2), F.concat(F.lit("#"), attempt.cast("string"))).otherwise("")))
         .when(kind == "card", F.concat(tweak, F.substring(canon, 1, 1)))
         .when(kind == "iban", F.concat(tweak, F.substring(canon, 1, 4)))
         .otherwise(tweak)
     )
     df = _shifted(df, "__main", main, key, by)
+    df = df.withColumn("__main", F.concat(F.when(kind == "name", F.regexp_extract(F.element_at("__words", -1), PREFIX, 0)).otherwise(""), "__main"))
     # and second: the domain without its last label, given names, for those that have no list
     second = F.when(kind == "email", F.substring("__domain", F.lit(1), F.length("__domain") - F.length("__top"))).otherwise(
         F.when((kind == "name") & (F.size("__words") > 1), F.array_join(F.slice("__words", F.lit(1), F.size("__words") - 1), " ")).otherwise("")

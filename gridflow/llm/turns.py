@@ -186,7 +186,8 @@ def damaged(rows: DataFrame) -> DataFrame:
     return held.select("conv_id", "turn", new_role.alias("role"), new_text.alias("text"), F.explode(copies).alias("copy"))
 
 
-_ORDER = (F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("copy"))
+def _order() -> list[Column]:
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("copy")]
 
 
 def _marks(text: str) -> tuple[Column, Column]:
@@ -265,7 +266,7 @@ def _short(rows: DataFrame) -> DataFrame:
             got = got.drop(["unit"]).add_column(0, "conv_id", ids)
             yield from got.to_batches()
 
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", *_ORDER)
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", *_order())
     return dealt.select("conv_id", "turn", "role", "text", "blank", "open").mapInArrow(run, f"conv_id {kind}, {_RESULT}")
 
 
@@ -274,7 +275,7 @@ def _long(rows: DataFrame) -> DataFrame:
     rows = cut(rows)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # equal rows can be dealt out too: they differ by where they were read
-    order = [F.col("unit"), *_ORDER, F.col("at")]
+    order = [F.col("unit"), *_order(), F.col("at")]
     dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     key = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     dealt = cut(dealt.withColumns({"pos": F.monotonically_increasing_id(), "key": key}).drop("at"))
