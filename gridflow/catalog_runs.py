@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .catalog import _DEALT, _PUTS, _SIDES, _dealt, _folder, _merge_sql, _nation_sources, _sides, links, order_grid, parts, puts, query, r, rounded
 from .functions import names as fn
-from .operators import batch, partition, reduce, timewin
+from .operators import batch, matrix, partition, reduce, timewin
 from .plans import coupled
 from .plans import exchange as plan
 from .schema import regular_grid, table, with_corners
@@ -497,6 +499,46 @@ _by("row", "dst", partition.dealt_by_row)
 _by("column", "src", partition.dealt_by_column)
 
 
+def _kept_product(how: str) -> None:
+    def run(spark, d):
+        """Three products of one kept matrix, none of which moves its links."""
+        name = f"lines_{uuid.uuid4().hex}"
+        matrix.keep_matrix(links(spark, d), name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        p, out = parts(spark, d), []
+        for k in range(3):
+            field = p.select("cell", F.lit(k).alias("step"), (F.col("price") + k * F.col("size")).alias("v"))
+            out.append(matrix.product(spark, name, field, ("step",), how=how))
+        return rounded(out[0].unionByName(out[1]).unionByName(out[2]), 3)
+
+    run.__name__ = f"kept_product_by_{how}"
+    query("SELECT step, l_orderkey AS dst, round(sum(l_discount * (p_retailprice + step * p_size)), 3) AS y FROM lineitem JOIN part ON l_partkey = p_partkey, (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS step) GROUP BY 1, 2")(run)
+
+
+_kept_product("source")
+_kept_product("target")
+
+
+@query(_DEALT + "SELECT o_orderkey + 1 AS cell, o_totalprice AS v, CAST(part % 5 AS INTEGER) AS part, true AS at_home FROM orders JOIN seg ON o_orderkey + 1 BETWEEN start AND start + length - 1")
+def rearranged_to_owners(spark, d):
+    """Orders dealt to the five parts that own them: ``at_home`` compares the partition that a row is in with its part."""
+    seg = partition.points(_dealt(spark, d)).withColumn("part", F.col("part") % 5)
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("cell"), F.col("o_totalprice").alias("v"))
+    return partition.rearranged(rows, seg, 5).withColumn("at_home", F.spark_partition_id() == F.col("part"))
+
+
+@query("""WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders), b AS (SELECT p AS part, p * n // 5 + 1 AS start, (p + 1) * n // 5 AS last FROM n, range(0, 5) t(p))
+SELECT o_orderkey + 1 AS cell, o_totalprice AS v, CAST(part AS INTEGER) AS part, true AS at_home FROM orders JOIN b ON o_orderkey + 1 BETWEEN start AND last""")
+def transferred_between_blocks(spark, d):
+    """Orders in 7 blocks sent on to 5 by a table of transfers that is found once and read the second time."""
+    n, folder = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1, _folder(spark, "transfers")
+    a, b = partition.blocks(spark, n, 7), partition.blocks(spark, n, 5)
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("cell"), F.col("o_totalprice").alias("v"))
+    rows = rows.withColumn("part", partition.block_of(F.col("cell"), n, 7))
+    for _ in range(2):
+        lists = partition.kept_transfers(spark, folder, "blocks", a, b)
+    return partition.transferred(rows, lists, 5).withColumn("at_home", F.spark_partition_id() == F.col("part"))
+
+
 # ---------------------------------------------------------------- tables, strings, times
 
 

@@ -27,12 +27,13 @@ def affine(batch: DataFrame, column: str, factor: float = 1.0, offset: float = 0
     return batch.withColumn(column, F.col(column) * factor + offset)
 
 
-def ranged(batch: DataFrame, order: str, bins: int = 64) -> DataFrame:
+def ranged(batch: DataFrame, order: str, bins: int | None = None) -> DataFrame:
     """The batch with ``__range``, the place of the range of the number ``order`` that a row is in.
 
     Bounds are quantiles of the column, fixed in the plan: ranges hold about equally many rows, equal values share one,
-    and all uses of the result see the same ranges. Nulls are in the first.
+    and all uses of the result see the same ranges. Nulls are in the first. There are as many ranges as the session has shuffle partitions.
     """
+    bins = bins or max(2, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(batch.approxQuantile(order, [k / bins for k in range(1, bins)], 1 / (4 * bins))))
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
     return batch.withColumn("__range", place)

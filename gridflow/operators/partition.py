@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batch import ranged, running
+from .batch import fingerprint, ranged, running
 
 
 def _segments(df: DataFrame) -> DataFrame:
@@ -148,10 +148,34 @@ def haloed(segments: DataFrame) -> DataFrame:
 
 
 def rearrange(batch: DataFrame, columns: list[str], add: bool = False, cell: str = "cell") -> DataFrame:
-    """A batch dealt anew by cell; with ``add``, duplicates are summed."""
+    """A batch dealt anew by cell; with ``add``, duplicates are summed. For the parts of a decomposition see :func:`rearranged`."""
     return batch.groupBy(cell).agg(*[F.sum(c).alias(c) for c in columns]) if add else batch.repartition(cell)
 
 
+def rearranged(batch: DataFrame, segments: DataFrame, parts: int, cell: str = "cell") -> DataFrame:
+    """The batch with ``part``, the owner of each cell, dealt so that partition k holds what part k owns; cells without an owner are left out."""
+    owned = owners_with(segments, batch.select(F.col(cell).alias("index"))).select(F.col("index").alias(cell), F.col("part").cast("int").alias("part"))
+    return batch.join(owned, cell).repartitionById(parts, F.col("part"))
+
+
+def kept_transfers(spark: SparkSession, folder: str, name: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(part_a, part_b, start, length): what the parts of one decomposition send to those of another, found once and kept by the content of both."""
+    path = f"{folder}/transfers/{name}-{fingerprint(a)}-{fingerprint(b)}".replace(":", "_")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        overlap(a, b).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def transferred(batch: DataFrame, transfers: DataFrame, parts: int, cell: str = "cell", width: int = 1024) -> DataFrame:
+    """A batch (part, cell, ...) sent on by :func:`kept_transfers`: ``part`` is the new owner, and partition k holds what part k gets."""
+    last = F.col("start") + F.col("length") - 1
+    lists = transfers.select("part_a", "part_b", "start", last.alias("__last"), F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + length - 1) div {width}"))).alias("__bin"))
+    met = batch.join(lists, (F.col("part") == F.col("part_a")) & (lists["__bin"] == F.expr(f"{cell} div {width}")))
+    own = met.where(F.col(cell).between(F.col("start"), F.col("__last")))
+    return own.select(*[F.col("part_b").cast("int").alias("part") if c == "part" else F.col(c) for c in batch.columns]).repartitionById(parts, F.col("part"))
+
+
 def columns_of(links: DataFrame, index: str = "src") -> DataFrame:
     """Segments of the source indices that a matrix uses: runs within ranges of indices, joined where ranges meet."""
     dealt = ranged(links.select(F.col(index).alias("index")).distinct(), "index")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batch, curvilinear, polygons, reduce, reduced, timewin, weights
+from ..operators.exact import exact_sums
 from ..sources import tables
 
 # fixed values: words of the coupling interface
@@ -61,8 +62,10 @@ class Remap:
             object.__setattr__(self, "restriction", "REDUCED")
         object.__setattr__(self, "field", "SCALAR")  # vectors are remapped by component
 
-    def weights(self, src: DataFrame, dst: DataFrame, nx: int = 0, periodic: bool = True) -> DataFrame:
-        """(dst, src, w) or (dst, src, w1, ...) by this method; ``nx`` and ``periodic`` describe rows of an LR grid."""
+    def weights(self, src: DataFrame, dst: DataFrame, nx: int = 0, periodic: bool = True, overlap: int = 0) -> DataFrame:
+        """(dst, src, w) or (dst, src, w1, ...) by this method; ``nx``, ``periodic`` and ``overlap`` (columns that repeat the first ones) describe rows of an LR grid."""
+        if overlap:
+            src, nx = without_overlap(src, nx, overlap), nx - overlap
         if self.method == "DISTWGT":
             return weights.distance_weights(src, dst, self.neighbours)
         if self.method == "GAUSWGT":
@@ -207,6 +210,11 @@ def mapped(entry: Entry, field: DataFrame, links: DataFrame | None) -> DataFrame
         return terms.groupBy(*keys).agg(F.sum(x).alias("v"))
     width = 4096  # sources of a target that are summed in one list
     ordered = lambda at, v: F.aggregate(F.sort_array(F.collect_list(F.struct(at, v))), F.lit(0.0), lambda a, t: a + t[v])
+    # links that repeat a pair would meet in one list
+    repeats = links.groupBy("dst", "src").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeats.isEmpty():
+        whole = {w: F.col(w) for _, w in pairs} | ({"w": F.col("w")})
+        terms = exact_sums(links, whole, ("dst", "src")).join(field, F.col("src") == F.col("cell"))
     within = terms.select("field", "t", "dst", F.floor(F.col("src") / width).alias("bin"), "src", x.alias("x")).groupBy("field", "t", "dst", "bin").agg(ordered("src", "x").alias("y"))
     return within.groupBy(*keys).agg(ordered("bin", "y").alias("v"))
 

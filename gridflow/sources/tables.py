@@ -142,14 +142,18 @@ def resource(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_weights(links: DataFrame, folder: str, name: str, columns: tuple[str, ...] = ("w",)) -> None:
-    """Replaces the map ``name`` by (dst, src, one or more weights)."""
+    """Replaces the map ``name`` by (dst, src, one or more weights), in ranges of targets: a file, and a part of it, tells which it has."""
+    links = links.repartitionByRange("dst", "src").sortWithinPartitions("dst", "src")
     _replace(links.select("dst", "src", F.array(*[F.col(c).cast("double") for c in columns]).alias("w"), F.lit(name).alias("map")), folder, "map")
 
 
 def read_weights(spark: SparkSession, folder: str, name: str, owned: DataFrame | None = None) -> DataFrame:
-    """(dst, src, w array) of a map, of the targets in ``owned`` (dst) alone if that is given."""
+    """(dst, src, w array) of a map, of the targets in ``owned`` (dst) alone if that is given; of these, files outside of their range are not read."""
     out = _read(spark, folder, WEIGHTS).where(F.col("map") == name).select("dst", "src", "w")
-    return out if owned is None else out.join(owned.select("dst"), "dst", "left_semi")
+    if owned is None:
+        return out
+    ends = owned.agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")).first()
+    return out.where(F.col("dst").between(ends["lo"], ends["hi"])).join(owned.select("dst"), "dst", "left_semi")
 
 
 def write_grid(cells: DataFrame, folder: str, name: str, variables: tuple[str, ...]) -> None:
