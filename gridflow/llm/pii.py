@@ -196,6 +196,16 @@ def _pass(s: str, tweak: str) -> Column:
     return F.expr(f"reverse(array_join(transform(filter(split({s}, ''), c -> c != ''), (c, i) -> case {cases} else c end), ''))")
 
 
+def _group_pass(groups: str, key: str, tweak: Column, mark: str) -> Column:
+    """Each number moves, by a keyed hash of those before it, among the numbers of as many hexadecimal digits; 0 stays."""
+    def moved(g: Column, i: Column) -> Column:
+        low = F.pow(F.lit(16.0), F.length(F.hex(g)) - 1).cast("long")
+        before = F.array_join(F.transform(F.slice(groups, F.lit(1), i), lambda x: x.cast("string")), ":")
+        return F.when(g == 0, g).otherwise(F.pmod(g - low + _draw(key, tweak, F.lit(mark), before), low * 15) + low)
+
+    return F.transform(groups, moved)
+
+
 def _luhn(prefix: Column) -> Column:
     """The check digit that a card number with these leading digits must have."""
     digits = F.transform(F.filter(F.split(F.reverse(prefix), ""), lambda c: c != ""), lambda c: c.cast("int"))
@@ -283,17 +293,11 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
             moved[f"__o{i}"] = F.pmod(F.col(f"__o{i}") + _draw(key, tweak, F.lit(mark), *[F.col(b).cast("string") for b in before]), F.lit(256))
             before.append(f"__o{i}")
         df = df.withColumns(moved)
-    # groups of hexadecimal digits, forward and backward, each within the numbers of as many digits
-    six = F.split(F.when(kind == "ip6", canon).otherwise("0:0:0:0:0:0:0:0"), ":")
-    df = df.withColumns({f"__g{i}": F.conv(six[i], 16, 10).cast("long") for i in range(8)} | {f"__n{i}": F.length(six[i]) for i in range(8)})
-    for mark, order in ((">", range(8)), ("<", range(7, -1, -1))):
-        moved, before = {}, []
-        for i in order:
-            low, g = F.pow(F.lit(16.0), F.col(f"__n{i}") - 1).cast("long"), F.col(f"__g{i}")
-            moved[f"__g{i}"] = F.when(g == 0, g).otherwise(F.pmod(g - low + _draw(key, tweak, F.lit(mark), *[F.col(b).cast("string") for b in before]), low * 15) + low)
-            before.append(f"__g{i}")
-        df = df.withColumns(moved)
-    ip6 = F.concat_ws(":", *[F.lower(F.hex(F.col(f"__g{i}"))) for i in range(8)])
+    # groups of hexadecimal digits, forward and backward
+    df = df.withColumn("__groups", F.transform(F.split(F.when(kind == "ip6", canon).otherwise("0"), ":"), lambda g: F.conv(g, 16, 10).cast("long")))
+    for mark in (">", "<"):
+        df = df.withColumn("__groups", F.reverse(_group_pass("__groups", key, tweak, mark)))
+    ip6 = F.array_join(F.transform("__groups", lambda g: F.lower(F.hex(g))), ":")
     # an account number's check digits are as far from the valid ones as they were
     country = F.substring(canon, 1, 2)
     valid = lambda number: 98 - _mod97(F.concat(number, country, F.lit("00")))
