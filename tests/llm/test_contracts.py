@@ -159,7 +159,7 @@ def test_registered_near_vectors_equal_brute_force(spark, tmp_path, spread):
 @pytest.mark.parametrize("name", sorted(entry.ORACLE_SQL))
 def test_registered_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = entry.QUERIES[name](spark, sf)
     want = con.execute(entry.ORACLE_SQL[name])
