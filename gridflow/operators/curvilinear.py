@@ -139,16 +139,16 @@ def located(quads_: DataFrame, dst: DataFrame, bins: int | None = None) -> DataF
     return one.select("dst", "quad", "hidden", *[f"c{k}" for k in range(1, 5)], clip(F.coalesce(p, F.lit(0.0))).alias("p"), clip(F.col("q")).alias("q"))
 
 
-def _four_nearest(src: DataFrame, targets: DataFrame) -> DataFrame:
+def _four_nearest(src: DataFrame, targets: DataFrame, bins: int | None = None) -> DataFrame:
     """Inverse distances of the unmasked among the four nearest points."""
-    near = nearest_k(src, targets, 4).join(src.select(F.col("cell").alias("src"), "mask"), "src").where("mask = 0")
+    near = nearest_k(src, targets, 4, bins).join(src.select(F.col("cell").alias("src"), "mask"), "src").where("mask = 0")
     near = near.withColumn("w", F.lit(1.0) / (F.col("d") + EPSILON))
     return near.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("dst"))).select("dst", "src", "w")
 
 
-def _placed(src: DataFrame, active: DataFrame, nx: int, periodic: bool) -> tuple[DataFrame, DataFrame]:
+def _placed(src: DataFrame, active: DataFrame, nx: int, periodic: bool, bins: int) -> tuple[DataFrame, DataFrame]:
     """Where the active targets are, and those of them that no unmasked quadrilateral holds; both are used by several jobs, so they are written."""
-    placed = cut(located(quads(src, nx, periodic), active).where("NOT hidden"))
+    placed = cut(located(quads(src, nx, periodic), active, bins).where("NOT hidden"))
     return placed, cut(active.join(placed.select(F.col("dst").alias("cell")), "cell", "left_anti"))
 
 
@@ -156,23 +156,25 @@ def bilinear(src: DataFrame, dst: DataFrame, nx: int, periodic: bool = True) ->
     """(dst, src, w) of active targets. Where a corner is masked or no quadrilateral holds the target, the unmasked of the
     four nearest points share by inverse distance; where these are all masked, the nearest unmasked point has it all."""
     active = dst.where("mask = 0")
-    placed, rest = _placed(src, active, nx, periodic)
+    bins = bins_for(src)
+    placed, rest = _placed(src, active, nx, periodic, bins)
     p, q = F.col("p"), F.col("q")
     shares = ((1 - p) * (1 - q), p * (1 - q), p * q, (1 - p) * q)
     corner = F.explode(F.array(*[F.struct(F.col(f"c{k}").alias("src"), w.alias("w")) for k, w in enumerate(shares, 1)])).alias("c")
     links = placed.select("dst", corner).select("dst", "c.src", "c.w")
-    return links.unionByName(with_nearest_unmasked(_four_nearest(src, rest), src, rest))
+    return links.unionByName(with_nearest_unmasked(_four_nearest(src, rest, bins), src, rest, bins))
 
 
 def bicubic(src: DataFrame, dst: DataFrame, nx: int, periodic: bool = True) -> DataFrame:
     """(dst, src, w1, w2, w3, w4): weights of the value and of its i, j and cross gradients; elsewhere as :func:`bilinear`, in w1."""
     active = dst.where("mask = 0")
-    placed, rest = _placed(src, active, nx, periodic)
+    bins = bins_for(src)
+    placed, rest = _placed(src, active, nx, periodic, bins)
     hp, hq = hermite(F.col("p")), hermite(F.col("q"))
     corners = []
     for k, (di, dj) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)), 1):
         value_i, slope_i, value_j, slope_j = hp[di], hp[2 + di], hq[dj], hq[2 + dj]
         corners.append(F.struct(F.col(f"c{k}").alias("src"), (value_i * value_j).alias("w1"), (slope_i * value_j).alias("w2"), (value_i * slope_j).alias("w3"), (slope_i * slope_j).alias("w4")))
     links = placed.select("dst", F.explode(F.array(*corners)).alias("c")).select("dst", "c.*")
-    plain = with_nearest_unmasked(_four_nearest(src, rest), src, rest)
+    plain = with_nearest_unmasked(_four_nearest(src, rest, bins), src, rest, bins)
     return links.unionByName(plain.select("dst", "src", F.col("w").alias("w1"), *[F.lit(0.0).alias(f"w{k}") for k in (2, 3, 4)]))

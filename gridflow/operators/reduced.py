@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut
 from .curvilinear import _four_nearest
-from .weights import with_nearest_unmasked
+from .weights import bins_for, with_nearest_unmasked
 
 
 def octahedral_grid(spark: SparkSession, ny: int) -> DataFrame:
@@ -80,9 +80,9 @@ def _weights(grid: DataFrame, dst: DataFrame, half: int, whole: bool) -> DataFra
 
 
 def _with_rest(links: DataFrame, grid: DataFrame, active: DataFrame) -> DataFrame:
-    links = cut(links)
+    links, bins = cut(links), bins_for(grid)
     rest = cut(active.join(links.select(F.col("dst").alias("cell")).distinct(), "cell", "left_anti"))
-    return links.unionByName(with_nearest_unmasked(_four_nearest(grid, rest), grid, rest))
+    return links.unionByName(with_nearest_unmasked(_four_nearest(grid, rest, bins), grid, rest, bins))
 
 
 def bilinear(grid: DataFrame, dst: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
 
     Distance is at least the difference in latitude, and at least the distance to the meridian that bounds the
     sectors looked at. A target looks at the bands within a reach and as far in longitude, all around near the
-    poles; if its k-th distance is more than what is left to the edges, it looks again with twice the reach.
+    poles; if its k-th distance is more than what is left to the edges, it looks again with three times the reach.
     """
     out = dst.select(F.col("cell").alias("dst"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
     if dst.isEmpty():
@@ -79,7 +79,7 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
         rest = todo.join(best.where("sure").select("dst").distinct(), "dst", "left_anti")
         if rest.isEmpty():
             return out
-        todo, reach = rest, reach * 2
+        todo, reach = rest, reach * 3
 
 
 def _normalised(near: DataFrame, src: DataFrame, raw: Column) -> DataFrame:
@@ -88,10 +88,10 @@ def _normalised(near: DataFrame, src: DataFrame, raw: Column) -> DataFrame:
     return live.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("dst"))).select("dst", "src", "w")
 
 
-def with_nearest_unmasked(links: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
+def with_nearest_unmasked(links: DataFrame, src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFrame:
     """Targets without links get their nearest unmasked source with weight 1."""
     bare = cut(dst.join(links.select("dst").distinct(), dst["cell"] == F.col("dst"), "left_anti"))  # read by each round of the search
-    one = nearest_k(src.where("mask = 0"), bare, 1)
+    one = nearest_k(src.where("mask = 0"), bare, 1, bins)
     return links.unionByName(one.select("dst", "src", F.lit(1.0).alias("w")))
 
 
