@@ -1,6 +1,7 @@
 """Conservative weights of polygon cells, first and second order.
 
-A cell is a polygon in longitude and latitude with straight sides between its corners. The corners' polygon is cut into
+A cell is a polygon in longitude and latitude with straight sides between its corners, or with sides along great circles
+where it comes near a pole (:func:`with_great_circles`). The corners' polygon is cut into
 convex pieces with four corners each; a cell around a pole, or with a point on its rim there, becomes one piece for each
 side, from that side up to the pole. Pieces of both grids meet by bins, and each pair is clipped and integrated along the sides of what they share (by Stokes'
 theorem a side (phi, theta) gives the cap below it): area, and the integrals of latitude and of longitude times cosine
@@ -9,6 +10,7 @@ over it, for second order. Pairs are Arrow batches; everything before and after
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,38 @@ from .weights import bins_for, with_nearest_unmasked
 _GAUSS = ((0.5 - 15**0.5 / 10, 5 / 18), (0.5, 8 / 18), (0.5 + 15**0.5 / 10, 5 / 18))
 
 
+def with_great_circles(grid: DataFrame, parts: int = 8, above: float = math.degrees(1.45)) -> DataFrame:
+    """The grid with ``parts`` points on each side that reaches beyond the latitude ``above``, along the great circle between its corners.
+
+    Between these points sides are straight in degrees, so areas are off by a share that falls as 1 / parts**2. A side is the same for both
+    cells that have it, so cells still fill the sphere; a side of half a turn or more has no great circle.
+    """
+    n = F.size("clon")
+
+    def along(k: Column) -> Column:
+        after = F.pmod(k + 1, n)
+        x, y, x2, y2 = (F.radians(F.get(c, at)) for at in (k, after) for c in ("clon", "clat"))
+        ends = [(F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)) for a, b in ((x, y), (x2, y2))]
+
+        def point(j: Column) -> Column:
+            # on the chord, and from there outwards
+            u, v, w = ((1 - j / parts) * a + j / parts * b for a, b in zip(*ends, strict=True))
+            return F.struct(F.degrees(F.atan2(v, u)).alias("x"), F.degrees(F.atan2(w, F.sqrt(u * u + v * v))).alias("y"))
+
+        first = F.array(F.struct(F.get("clon", k).alias("x"), F.get("clat", k).alias("y")))
+        near = F.greatest(F.abs(F.get("clat", k)), F.abs(F.get("clat", after))) > above
+        return F.when(near, F.concat(first, F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), point))).otherwise(first) if parts > 1 else first
+
+    out = grid.withColumn("__arc", F.flatten(F.transform(F.sequence(F.lit(0), n - 1), along)))
+    return out.withColumns({"clon": F.col("__arc.x"), "clat": F.col("__arc.y")}).drop("__arc")
+
+
 def pieces(grid: DataFrame, cell: str) -> DataFrame:
-    """(cell, x array, y array): convex pieces in degrees of grid rows (cell, lon, lat, clon, clat), corners in turn.
+    """(cell, x array, y array, sign): convex pieces in degrees of grid rows (cell, lon, lat, clon, clat), corners in turn.
 
-    A corner at a pole has the longitudes of both its neighbours. Polygons of more than four corners and ones that are not convex are cut into triangles from their first corner; a triangle has its last corner twice.
+    A corner at a pole has the longitudes of both its neighbours. Four-cornered polygons that are not convex are cut into triangles from their first
+    corner; a triangle has its last corner twice. Polygons of more corners, and those at a pole, are the sum of what lies between each side and the pole,
+    taken with the side's direction as ``sign``: whatever their shape, what is out of them cancels.
     """
     n = F.size("clon")
 
@@ -69,10 +99,14 @@ def pieces(grid: DataFrame, cell: str) -> DataFrame:
 
     turns = F.transform(F.sequence(F.lit(0), F.col("n") - 1), cross)
     convex = (F.col("n") == 4) & ((F.array_min(turns) >= -1e-12) | (F.array_max(turns) <= 1e-12))
-    sides = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.array(at("x", k), at("x", k + 1), at("x", k + 1), at("x", k)).alias("x"), F.array(at("y", k), at("y", k + 1), pole, pole).alias("y")))
-    fan = F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda k: F.struct(*[F.array(at(c, F.lit(0)), at(c, k), at(c, k + 1), at(c, k + 1)).alias(c) for c in "xy"]))
-    whole = F.array(F.struct(F.slice("x", 1, 4).alias("x"), F.slice("y", 1, 4).alias("y")))
-    return out.select(cell, F.explode(F.when(polar, sides).when(convex, whole).otherwise(fan)).alias("o")).select(cell, "o.x", "o.y")
+    out = out.withColumn("way", F.signum(F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda a, k: a + (at("x", k + 1) - at("x", k)) * (180 - F.abs(at("y", k)) - F.abs(at("y", k + 1))))))
+    sides = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda k: F.struct(F.array(at("x", k), at("x", k + 1), at("x", k + 1), at("x", k)).alias("x"), F.array(at("y", k), at("y", k + 1), pole, pole).alias("y"), (F.signum(at("x", k + 1) - at("x", k)) * F.col("way")).alias("sign")),
+    )
+    fan = F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda k: F.struct(*[F.array(at(c, F.lit(0)), at(c, k), at(c, k + 1), at(c, k + 1)).alias(c) for c in "xy"], F.lit(1.0).alias("sign")))
+    whole = F.array(F.struct(F.slice("x", 1, 4).alias("x"), F.slice("y", 1, 4).alias("y"), F.lit(1.0).alias("sign")))
+    return out.select(cell, F.explode(F.when(polar | (F.col("n") > 4), sides).when(convex, whole).otherwise(fan)).alias("o")).select(cell, "o.x", "o.y", "o.sign").where("sign <> 0")
 
 
 def _clipped(sx: np.ndarray, sy: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +161,7 @@ def overlaps(src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFra
     bins = bins or bins_for(src)
 
     def dealt(grid: DataFrame, name: str) -> DataFrame:
-        p = pieces(grid, name).select(name, F.col("x").alias(f"{name}_x"), F.col("y").alias(f"{name}_y"), F.monotonically_increasing_id().alias(f"{name}_piece"))
+        p = pieces(grid, name).select(name, F.col("x").alias(f"{name}_x"), F.col("y").alias(f"{name}_y"), F.col("sign").alias(f"{name}_sign"), F.monotonically_increasing_id().alias(f"{name}_piece"))
         ends = [f(f"{name}_{c}") for c in "xy" for f in (F.array_min, F.array_max)]
         return _binned(p, ends[0], ends[1], ends[2], ends[3], bins)
 
@@ -141,7 +175,7 @@ def overlaps(src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFra
     west = F.greatest(s_lo, d_lo + F.col("turn"))
     # a pair is formed in the first bin that both are in
     first = (F.least(F.floor((south + 90) / height), F.lit(bins - 1)) == F.col("band")) & (F.pmod(F.floor((west + SHIFT) / height), F.lit(sectors)) == F.col("sector"))
-    pairs = met.where(first).select("src", "dst", "src_x", "src_y", F.transform("dst_x", lambda x: x + F.col("turn")).alias("dst_x"), "dst_y")
+    pairs = met.where(first).select("src", "dst", (F.col("src_sign") * F.col("dst_sign")).alias("sign"), "src_x", "src_y", F.transform("dst_x", lambda x: x + F.col("turn")).alias("dst_x"), "dst_y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,10 +184,12 @@ def overlaps(src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFra
                 x, y = _clipped(*_anticlockwise(sx, sy), *_anticlockwise(dx, dy))
                 w = integrals(x, y)
                 some = w[:, 0] > 1e-15
+                w *= pdf["sign"].to_numpy()[:, None]
                 yield pd.DataFrame({"dst": pdf["dst"][some], "src": pdf["src"][some], "area": w[some, 0], "lat": w[some, 1], "lon": w[some, 2]})
 
     parts = pairs.mapInPandas(run, "dst long, src long, area double, lat double, lon double")
-    return parts.groupBy("dst", "src").agg(*[F.sum(c).alias(c) for c in ("area", "lat", "lon")])
+    # pairs of which all parts cancel do not meet
+    return parts.groupBy("dst", "src").agg(*[F.sum(c).alias(c) for c in ("area", "lat", "lon")]).where("area > 1e-15")
 
 
 def measured(grid: DataFrame) -> DataFrame:
@@ -162,19 +198,23 @@ def measured(grid: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                w = integrals(*_anticlockwise(np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy())))
+                w = integrals(*_anticlockwise(np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy()))) * pdf["sign"].to_numpy()[:, None]
                 yield pd.DataFrame({"cell": pdf["cell"], "area": w[:, 0], "lat": w[:, 1], "lon": w[:, 2]})
 
     parts = pieces(grid, "cell").mapInPandas(run, "cell long, area double, lat double, lon double")
     return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("area", "lat", "lon")])
 
 
-def conservative(src: DataFrame, dst: DataFrame, normalisation: str = "FRACAREA", second: bool = False) -> DataFrame:
+def conservative(src: DataFrame, dst: DataFrame, normalisation: str = "FRACAREA", second: bool = False, arcs: int = 0) -> DataFrame:
     """(dst, src, w1[, w2, w3]) of unmasked sources: FRACAREA, DESTAREA, NONE or FRACNNEI.
 
+    ``arcs``: sides near the poles are great circles, of so many points each; 0 for sides straight in degrees everywhere.
+
     With ``second``, w2 goes with the gradient by latitude and w3 with the gradient by longitude over the cosine of
     latitude, both per radian and at the source's centroid.
     """
+    if arcs:
+        src, dst = with_great_circles(src, arcs), with_great_circles(dst, arcs)
     met = overlaps(src, dst).join(src.where("mask = 0").select(F.col("cell").alias("src")), "src", "left_semi")
     if normalisation in ("FRACAREA", "FRACNNEI"):
         met = met.withColumn("by", F.sum("area").over(Window.partitionBy("dst")))

@@ -46,6 +46,7 @@ class Remap:
     order: str | None = None
     neighbours: int | None = None
     variance: float | None = None
+    arcs: int = 0
 
     def __post_init__(self) -> None:
         def need(ok: bool, what: str) -> None:
@@ -71,7 +72,7 @@ class Remap:
         if self.method == "GAUSWGT":
             return weights.gaussian_weights(src, dst, self.neighbours, self.variance)
         if self.method == "CONSERV":
-            return polygons.conservative(src, dst, self.norm, self.order == "SECOND")
+            return polygons.conservative(src, dst, self.norm, self.order == "SECOND", self.arcs)
         if self.kind == "D":
             return (reduced.bilinear if self.method == "BILINEAR" else reduced.bicubic)(src, dst)
         return (curvilinear.bilinear if self.method == "BILINEAR" else curvilinear.bicubic)(src, dst, nx, periodic)
