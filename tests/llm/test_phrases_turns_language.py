@@ -322,3 +322,45 @@ def test_every_replaced_span_has_type_format_and_identity(spark):
 def test_what_is_no_entity_stays(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [tuple(r) for r in pii.replace_pii(df, "k").collect()] == [(1, text)]
+
+
+# ---------------------------------------------------------------- 5
+
+
+def loss(w, theta, x, y, grades, ridge):
+    """The mean negative log-likelihood of P(grade >= k) = 1 / (1 + exp(theta_k - w x)), term by term, with its penalty."""
+    total = 0.0
+    for row, grade in zip(x, y, strict=True):
+        z = float(row @ w)
+        above = [1.0, *[1 / (1 + np.exp(t - z)) for t in theta], 0.0]
+        total -= np.log(above[grade] - above[grade + 1])
+    return total / len(y) + ridge / 2 * float(w @ w)
+
+
+def test_ordinal_fit_is_a_minimum_of_its_likelihood():
+    from gridflow.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    z = x @ np.array([1.5, -1.0, 0.0, 0.5]) + rng.logistic(size=300)
+    y = (z[:, None] > np.array([-0.5, 0.8, 2.0])).sum(axis=1)
+    w, theta = toxicity.fit_ordinal(x, y, 3)
+    assert list(theta) == sorted(theta) and np.all(np.diff(theta) > 0)
+    best, step = loss(w, theta, x, y, 3, 3e-4), 1e-4
+    for k in range(4):
+        for d in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += d
+            assert loss(moved, theta, x, y, 3, 3e-4) > best
+        moved = w.copy()
+        moved[k] += step
+        assert abs(loss(moved, theta, x, y, 3, 3e-4) - best) / step < 0.01
+    for k in range(3):
+        for d in (-0.05, 0.05):
+            moved = theta.copy()
+            moved[k] += d
+            assert loss(w, moved, x, y, 3, 3e-4) > best
+    score = toxicity.Ordinal(["bad"], np.array([2.0]), np.array([0.5, 1.5])).score("Bad bad word, bad!")
+    z = 2.0 * np.log1p(100 * 3 / 4)
+    chance = [1 / (1 + np.exp(t - z)) for t in (0.5, 1.5)]
+    assert np.allclose(score, (chance[0], sum(chance)))
