@@ -106,7 +106,9 @@ CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(
 _ONE = r"(?:[OD]['’]|Ma?c)?\p{Lu}\p{Ll}+"
 _WORD = rf"{_ONE}(?:-{_ONE})*"
 _ALL_TITLES = MALE + FEMALE + BOTH
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(_ALL_TITLES, key=len, reverse=True))})\.?\x20(?:(?:\p{{Lu}}\.|{_WORD})\x20){{0,2}}{_WORD}(?!\p{{L}})"
+#: What may follow a title and is no name.
+_NO_NAME = r"(?!Who(?!\p{L}))"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(_ALL_TITLES, key=len, reverse=True))})\.?\x20{_NO_NAME}(?:(?:\p{{Lu}}\.|{_WORD})\x20){{0,2}}{_WORD}(?!\p{{L}})"
 ENTITY = "|".join((EMAIL, SSN, IP, IP6, IBAN, PHONE, CARD, NAME))
 
 #: What a family name's surrogate begins with as the name does, in small letters.
