@@ -243,7 +243,7 @@ def identify(model: Model | None, text: Column) -> Column:
     """(lang, score) of each text, as a struct."""
     if model is None:
         return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
-    held = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    held = SparkSession.builder.getOrCreate().sparkContext.broadcast(model)
 
     # as nondeterministic, so that a text is not scored again for each field of the result
     @F.pandas_udf("struct<lang:string,score:double>")
