@@ -6,7 +6,7 @@ given by the user, or ``option("variables", "a,b")``, limits what is read to its
 each file of a folder, is read in ranges of points: a partition reads, of each of its variables, one
 stretch of bytes (of each record, where the first dimension is the unlimited one), and no two partitions read the same bytes.
 
-``df.write.format("netcdf").mode("overwrite").save(folder)`` writes a file for each partition, whose dimension is ``cell_count`` (or
+``df.write.format("netcdf").mode("overwrite").save(folder)`` writes a file for each partition that has rows, whose dimension is ``cell_count`` (or
 ``option("dimension", ...)``): tasks write to a folder of their own, and files are moved to their place when all have ended.
 Classic files have no 64-bit integers: ``long`` columns are stored as doubles with the attribute ``kind``, up to 2**53.
 Nulls are stored as the fill value of their type, and strings as characters, padded with zeros to the longest of the file.
@@ -241,7 +241,10 @@ class Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches), schema=None) if (held := next(batches, None)) is None else pa.Table.from_batches([held, *batches])
+        held = list(batches)
+        if not any(b.num_rows for b in held):  # such as a split of a Parquet file in which no row group begins
+            return Written("", 0)
+        table = pa.Table.from_batches(held)
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.nc"
         files, at = _opened(self.path)

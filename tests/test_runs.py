@@ -277,6 +277,17 @@ def test_tables_come_back_from_files(spark, tmp_path):
         spark.read.format("netcdf").load(str(tmp_path / "z.nc"))
 
 
+def test_partitions_without_rows_write_no_file(spark, tmp_path):
+    netcdf.register(spark)
+    rows = spark.createDataFrame([(k, k / 3, "x") for k in range(3)], "cell long, v double, name string").repartition(8, "cell")
+    assert rows.select(F.spark_partition_id()).distinct().count() < 8
+    rows.write.format("netcdf").mode("overwrite").save(str(tmp_path / "x"))
+    read = spark.read.format("netcdf").schema("cell long, v double")
+    assert sorted(map(tuple, read.load(str(tmp_path / "x")).collect())) == [(k, k / 3) for k in range(3)]
+    rows.where("cell < 0").write.format("netcdf").mode("overwrite").save(str(tmp_path / "x"))
+    assert read.load(str(tmp_path / "x")).count() == 0
+
+
 # ---------------------------------------------------------------- matrices and decompositions
 
 
