@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.timewin import TRANSFORMS, check_lag, check_values, window_id
+from .windows import event_time, origin
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,7 +44,7 @@ class Windows(StatefulProcessor):
             join = {"sum": lambda a, b: a + b, "min": min, "max": max}[self.how]
             more, cnt = tuple(join(a, b) for a, b in zip(held[:-1], more, strict=True)), cnt + held[-1]
         else:
-            self.handle.registerTimer(w * self.dt * 1000)
+            self.handle.registerTimer((w * self.dt + origin(self.dt)) * 1000)
         self.open.updateValue((w,), (*map(float, more), int(cnt)))
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
@@ -64,7 +65,7 @@ class Windows(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        w = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.dt
+        w = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - origin(self.dt)) // self.dt
         if self.open.containsKey((w,)):
             *held, cnt = self.open.getValue((w,))
             self.open.removeKey((w,))
@@ -84,9 +85,7 @@ def windows(puts: DataFrame, transform: str, dt: int, lag: int = 0, delay: int =
     check_values(transform, values)
     if transform not in TRANSFORMS:
         raise ValueError(f"no windows for {transform}")
-    # a put counts a second earlier than it is stamped: windows are closed at their end
-    at = F.timestamp_seconds(F.col("t") + lag - 1)
-    rows = puts.select("field", "cell", "t", *values, window_id(F.col("t"), dt, lag).alias("w"), at.alias("at")).withWatermark("at", f"{delay} seconds")
+    rows = puts.select("field", "cell", "t", *values, window_id(F.col("t"), dt, lag).alias("w"), event_time(dt, lag).alias("at")).withWatermark("at", f"{delay} seconds")
     out = f"field string, cell long, t long, {', '.join(f'{v} double' for v in values)}"
     held = None if begin is None else begin.select("field", "cell", "w", *values, "cnt").groupBy("field", "cell")
     return rows.groupBy("field", "cell").transformWithStateInPandas(Windows(transform, dt, values), out, "Append", "EventTime", initialState=held)

@@ -3,6 +3,7 @@
 ``puts`` has (field, cell, t, v), ``t`` in whole seconds since the run's start.
 Event-time windows are closed on the left; a put counts one second earlier than
 it is stamped, so that they become the coupling windows (k-1) dt < t + lag <= k dt.
+A stream's watermark begins at 1970 and drops what is not later, so the run's start is put at :func:`origin`, far after it.
 A window is sent once the watermark has passed its end and then leaves the state.
 """
 
@@ -18,9 +19,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.timewin import TRANSFORMS, check_lag
 
 
+#: Seconds that puts may lie before the run's start.
+EARLIEST = 1 << 31
+
+
+def origin(dt: int) -> int:
+    """The event time, in seconds, of the run's start: on the lattice of ``dt``."""
+    return -(-EARLIEST // dt) * dt
+
+
+def event_time(dt: int, lag: int) -> Column:
+    """When a put counts: a second earlier than it is stamped, as windows are closed at their end."""
+    return F.timestamp_seconds(F.col("t") + lag - 1 + origin(dt))
+
+
 def _timed(puts: DataFrame, dt: int, lag: int, delay: int) -> tuple[DataFrame, Column]:
     check_lag(dt, lag)
-    at = F.timestamp_seconds(F.col("t") + lag - 1)
+    at = event_time(dt, lag)
     return puts.withColumn("at", at).withWatermark("at", f"{delay} seconds"), F.window("at", f"{dt} seconds").alias("span")
 
 
@@ -31,7 +46,7 @@ def loctrans(puts: DataFrame, transform: str, dt: int, lag: int = 0, delay: int
         return puts.where(F.pmod(F.col("t") + lag, F.lit(dt)) == 0).select(*keys, (F.col("t") + lag).alias("t"), "v")
     timed, span = _timed(puts, dt, lag, delay)
     out = timed.groupBy(span, *keys).agg(TRANSFORMS[transform]("v").alias("v"))
-    return out.select(*keys, F.unix_seconds("span.end").alias("t"), "v")
+    return out.select(*keys, (F.unix_seconds("span.end") - origin(dt)).alias("t"), "v")
 
 
 def ready(puts: DataFrame, fields: list[str], dt: int, lag: int = 0, delay: int = 0) -> DataFrame:
@@ -41,7 +56,7 @@ def ready(puts: DataFrame, fields: list[str], dt: int, lag: int = 0, delay: int
     """
     timed, span = _timed(puts.where(F.col("field").isin(fields)), dt, lag, delay)
     got = timed.groupBy(span).agg(F.size(F.collect_set("field")).cast("long").alias("n_fields"))
-    return got.select((F.unix_seconds("span.end") / dt).cast("long").alias("w"), "n_fields", (F.col("n_fields") == len(fields)).alias("ready"))
+    return got.select(((F.unix_seconds("span.end") - origin(dt)) / dt).cast("long").alias("w"), "n_fields", (F.col("n_fields") == len(fields)).alias("ready"))
 
 
 def backward(puts: DataFrame, order: str) -> DataFrame:

@@ -12,7 +12,7 @@ from gridflow.plans import coupled
 from gridflow.plans import exchange as plan
 from gridflow.schema import regular_grid
 from gridflow.sources import netcdf, tables
-from gridflow.streaming import stateful
+from gridflow.streaming import stateful, windows
 
 PUTS = "field string, cell long, t long, v double"
 
@@ -218,6 +218,19 @@ def test_state_begins_from_a_restart_and_is_read_back(spark, tmp_path):
         stateful.windows(spark.readStream.schema(PUTS).parquet(landing), "T_MAX", 10, values=("v", "v2"))
 
 
+def test_puts_at_the_start_of_a_run_are_not_late(spark, tmp_path):
+    landing = str(tmp_path / "puts")
+    early = [("f", 1, t, float(t)) for t in (-25, 0, 1, 2)]
+    spark.createDataFrame([*early, ("f", 1, 50, 0.0)], PUTS).write.parquet(landing)
+    puts = spark.readStream.schema(PUTS).parquet(landing)
+    want = [(-20, -25.0), (0, 0.0), (10, 2.0)]
+    for k, stream in enumerate((windows.loctrans(puts, "T_MAX", 10), stateful.windows(puts, "T_MAX", 10))):
+        drain = (windows, stateful)[k].drain
+        assert sorted((r.t, r.v) for r in drain(stream, str(tmp_path / f"run{k}")).collect()) == want
+    ready = windows.drain(windows.ready(puts, ["f"], 10), str(tmp_path / "ready"))
+    assert sorted((r.w, r.ready) for r in ready.collect()) == [(-2, True), (0, True), (1, True)]
+
+
 # ---------------------------------------------------------------- NetCDF
 
 
