@@ -1,7 +1,7 @@
-"""Coupling windows over a stream as arbitrary state: legs of a run that go on from state, and a last window that closes.
+"""Coupling windows over a stream as state: legs of a run that go on from it, and a last window that closes.
 
-Each (field, cell) keeps the sums (or extremes) and counts of its open windows, of up to five value arrays, and the time of
-its latest put. A timer on event time sends a window once the watermark is past its end. The state lives in the stream's checkpoint: a
+An open window of a (field, cell) is kept as the sums (or extremes) and the count of its puts, of up to five value arrays, by a streaming
+aggregation, and is sent once the watermark is past its end. The state lives in the stream's checkpoint: a
 stream that stops within a window goes on with it, :func:`left_open` reads it back as restart values, and :func:`windows` starts from such values.
 
 The end of a run is a row of a clock stream (:func:`with_clock`), which moves the watermark past the last window without a put.
@@ -9,71 +9,18 @@ The end of a run is a row of a clock stream (:func:`with_clock`), which moves th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.timewin import TRANSFORMS, check_lag, check_values, window_id
-from .windows import event_time, origin
+from ..operators.batch import fingerprint
+from ..operators.timewin import TRANSFORMS, check_lag, check_values
+from ..shared import shared_folder
+from .windows import EARLIEST, event_time, origin
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOCK = "clock"  # the field of clock rows
-_ADD = {"T_MIN": "min", "T_MAX": "max"}
-
-
-class Windows(StatefulProcessor):
-    """The open windows of one (field, cell)."""
-
-    def __init__(self, transform: str, dt: int, values: tuple[str, ...]):
-        self.transform, self.dt, self.values = transform, dt, values
-        self.how = _ADD.get(transform, "sum")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "w long", f"{', '.join(f'{v} double' for v in self.values)}, cnt long")
-        self.latest = handle.getValueState("latest", "t long")
-
-    def _add(self, w: int, more: tuple[float, ...], cnt: int) -> None:
-        if self.open.containsKey((w,)):
-            held = self.open.getValue((w,))
-            join = {"sum": lambda a, b: a + b, "min": min, "max": max}[self.how]
-            more, cnt = tuple(join(a, b) for a, b in zip(held[:-1], more, strict=True)), cnt + held[-1]
-        else:
-            self.handle.registerTimer((w * self.dt + origin(self.dt)) * 1000)
-        self.open.updateValue((w,), (*map(float, more), int(cnt)))
-
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
-        for row in initialState.itertuples(index=False):
-            self._add(int(row.w), tuple(getattr(row, v) for v in self.values), int(row.cnt))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            if key[0] == CLOCK:
-                continue
-            own = pdf.groupby("w", sort=True)
-            sums, counts = own[list(self.values)].agg(self.how), own.size()
-            for w in sums.index:
-                self._add(int(w), tuple(sums.loc[w]), int(counts[w]))
-            before = self.latest.get()[0] if self.latest.exists() else None
-            last = int(pdf["t"].max())
-            self.latest.update((last if before is None else max(last, before),))
-        return iter([])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        w = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - origin(self.dt)) // self.dt
-        if self.open.containsKey((w,)):
-            *held, cnt = self.open.getValue((w,))
-            self.open.removeKey((w,))
-            held = [x / cnt if self.transform == "AVERAGE" else x for x in held]
-            yield pd.DataFrame({"field": [key[0]], "cell": [key[1]], "t": [w * self.dt], **{v: [x] for v, x in zip(self.values, held, strict=True)}})
-
-    def close(self) -> None:
-        pass
+_ADD = {"T_MIN": F.min, "T_MAX": F.max}
 
 
 def windows(puts: DataFrame, transform: str, dt: int, lag: int = 0, delay: int = 0, values: tuple[str, ...] = ("v",), begin: DataFrame | None = None) -> DataFrame:
@@ -85,10 +32,28 @@ def windows(puts: DataFrame, transform: str, dt: int, lag: int = 0, delay: int =
     check_values(transform, values)
     if transform not in TRANSFORMS:
         raise ValueError(f"no windows for {transform}")
-    rows = puts.select("field", "cell", "t", *values, window_id(F.col("t"), dt, lag).alias("w"), event_time(dt, lag).alias("at")).withWatermark("at", f"{delay} seconds")
-    out = f"field string, cell long, t long, {', '.join(f'{v} double' for v in values)}"
-    held = None if begin is None else begin.select("field", "cell", "w", *values, "cnt").groupBy("field", "cell")
-    return rows.groupBy("field", "cell").transformWithStateInPandas(Windows(transform, dt, values), out, "Append", "EventTime", initialState=held)
+    cnt = F.when(F.col("field").eqNullSafe(CLOCK), 0).otherwise(1).cast("long").alias("cnt")
+    rows = puts.select("field", "cell", event_time(dt, lag).alias("at"), *values, cnt)
+    if begin is not None:
+        # at the first second of their window: no put of it is late for them
+        at = F.timestamp_seconds((F.col("w") - 1) * dt + origin(dt)).alias("at")
+        rows = rows.unionByName(_as_stream(begin.select("field", "cell", at, *[F.col(v).cast("double").alias(v) for v in values], F.col("cnt").cast("long").alias("cnt"))))
+    add = _ADD.get(transform, F.sum)
+    spans = rows.withWatermark("at", f"{delay} seconds").groupBy(F.window("at", f"{dt} seconds").alias("span"), "field", "cell")
+    held = spans.agg(*[add(v).alias(v) for v in values], F.sum("cnt").alias("cnt"))
+    out = [(F.col(v) / F.col("cnt") if transform == "AVERAGE" else F.col(v)).alias(v) for v in values]
+    # rows of the clock are left out by their count: a condition on their field would be pushed below the watermark, which they move
+    return held.where("cnt > 0").select("field", "cell", (F.unix_seconds("span.end") - origin(dt)).alias("t"), *out)
+
+
+def _as_stream(rows: DataFrame) -> DataFrame:
+    """The rows as a stream of a table in the shared folder that is known by its content: a stream that goes on in another process finds it there."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/begin-{fingerprint(rows).replace(':', '_')}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        rows.write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
 
 
 def with_clock(puts: DataFrame, folder: str, values: tuple[str, ...] = ("v",)) -> DataFrame:
@@ -121,7 +86,12 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def left_open(spark: SparkSession, folder: str) -> DataFrame:
-    """(field, cell, w, values, cnt): the windows that are open in the state of a stream that has been drained to ``folder``."""
-    rows = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "open").load()
-    return rows.select("key.field", "key.cell", F.col("user_map_key.w").alias("w"), "user_map_value.*")
+def left_open(spark: SparkSession, folder: str, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(field, cell, w, values, cnt): the windows that are open in the state of a stream of these values that has been drained to ``folder``."""
+    rows = spark.read.format("statestore").option("path", f"{folder}/state").load()
+    end, start = F.unix_seconds("key.window.end"), F.unix_seconds("key.window.start")
+    # windows count from the run's start, which lies on their lattice
+    w = (F.ceil(end / (end - start)) - F.ceil(F.lit(EARLIEST) / (end - start))).cast("long").alias("w")
+    # the state has its values in their order, without names
+    held = F.col("value").cast(f"struct<{', '.join(f'{v}: double' for v in values)}, cnt: bigint>").alias("held")
+    return rows.select("key.field", "key.cell", w, held).select("field", "cell", "w", "held.*").where("cnt > 0")

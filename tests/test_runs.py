@@ -231,6 +231,21 @@ def test_puts_at_the_start_of_a_run_are_not_late(spark, tmp_path):
     assert sorted((r.w, r.ready) for r in ready.collect()) == [(-2, True), (0, True), (1, True)]
 
 
+def test_windows_of_many_keys_stay_in_the_aggregation(spark, tmp_path):
+    landing, folder, values = str(tmp_path / "puts"), str(tmp_path / "run"), ("v", "v2")
+    rows = spark.range(600).select(F.lit("f").alias("field"), (F.col("id") % 200).alias("cell"), (F.floor(F.col("id") / 200) * 10 + 5).alias("t"), F.col("id").cast("double").alias("v"), F.lit(2.0).alias("v2"))
+    rows.write.parquet(landing)
+    stream = stateful.windows(stateful.with_clock(spark.readStream.schema(rows.schema).parquet(landing), str(tmp_path / "clock"), values), "AVERAGE", 10, values=values)
+    assert "InPandas" not in stream._jdf.queryExecution().logical().toString()  # no call of Python for a key or a window
+    assert stateful.drain(stream, folder).count() == 400
+    left = {r.cell: (r.w, r.v, r.v2, r.cnt) for r in stateful.left_open(spark, folder, values).collect()}
+    assert left == {c: (3, 400.0 + c, 2.0, 1) for c in range(200)}
+    stateful.tick(spark, str(tmp_path / "clock"), 50)
+    got = stateful.drain(stream, folder)
+    assert sorted((r.t, r.cell, r.v, r.v2) for r in got.collect()) == [(10 * k + 10, c, 200.0 * k + c, 2.0) for k in range(3) for c in range(200)]
+    assert stateful.left_open(spark, folder, values).isEmpty()
+
+
 # ---------------------------------------------------------------- NetCDF
 
 
