@@ -111,7 +111,7 @@ def located(quads_: DataFrame, dst: DataFrame, bins: int | None = None) -> DataF
     xs, ys = [F.col(f"x{k}") for k in range(1, 5)], [F.col(f"y{k}") for k in range(1, 5)]
     a = _binned(quads_, F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys), bins)
     b = _binned(dst.select(F.col("cell").alias("dst"), F.pmod("lon", F.lit(360.0)).alias("lon"), "lat"), F.pmod("lon", F.lit(360.0)), F.pmod("lon", F.lit(360.0)), F.col("lat"), F.col("lat"), bins)
-    met = a.join(b, ["band", "sector"]).withColumns({"x": F.col("x1") + beside(F.col("lon"), F.col("x1")), "y": F.col("lat")})
+    met = a.hint("merge").join(b, ["band", "sector"]).withColumns({"x": F.col("x1") + beside(F.col("lon"), F.col("x1")), "y": F.col("lat")})
     px, py = F.col("x"), F.col("y")
     sides = [_cross(xs[(k + 1) % 4] - xs[k], ys[(k + 1) % 4] - ys[k], px - xs[k], py - ys[k]) for k in range(4)]
     slack = 1e-12

@@ -171,7 +171,8 @@ def overlaps(src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFra
     turn = F.explode(F.filter(F.array(*[F.lit(360.0 * k) for k in (-2, -1, 0, 1, 2)]), lambda t: (d_lo + t < s_hi) & (d_hi + t > s_lo))).alias("turn")
     south = F.greatest(F.array_min("src_y"), F.array_min("dst_y"))
     tall = south < F.least(F.array_max("src_y"), F.array_max("dst_y"))
-    met = dealt(src, "src").join(dealt(dst, "dst"), ["band", "sector"]).where(tall).select("*", turn)
+    # Spark takes arrays and exploded rows for much smaller than they are, and would send a whole grid through the driver
+    met = dealt(src, "src").hint("merge").join(dealt(dst, "dst"), ["band", "sector"]).where(tall).select("*", turn)
     west = F.greatest(s_lo, d_lo + F.col("turn"))
     # a pair is formed in the first bin that both are in
     first = (F.least(F.floor((south + 90) / height), F.lit(bins - 1)) == F.col("band")) & (F.pmod(F.floor((west + SHIFT) / height), F.lit(sectors)) == F.col("sector"))

@@ -16,6 +16,8 @@ from ..shared import cut
 from .batch import running
 
 EPSILON = 2.220446049250313e-16
+#: Source points that every task may hold, and pairs of targets and bins that a task of a search forms, or so.
+FEW, PAIRS = 4096, 250_000
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -38,9 +40,9 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
     poles; if its k-th distance is more than what is left to the edges, it looks again with three times the reach.
     """
     out = dst.select(F.col("cell").alias("dst"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
-    if dst.isEmpty():
+    if not (n := dst.count()):
         return out
-    bins = bins or bins_for(src)
+    bins, few = bins or bins_for(src), src.count() <= FEW
     height, sectors = 180.0 / bins, 2 * bins
 
     def of(lat: Column) -> Column:
@@ -57,8 +59,10 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
         turn = F.when(2 * F.col("wide") + 1 >= sectors, F.sequence(F.lit(0), F.lit(sectors - 1))).otherwise(
             F.transform(F.sequence(F.col("east") - F.col("wide"), F.col("east") + F.col("wide")), lambda x: F.pmod(x, F.lit(sectors)))
         )
-        looked = todo.withColumn("wide", wide).withColumn("bin", F.explode(F.sequence(low, high))).withColumn("sector", F.explode(turn))
-        near = looked.join(s, ["bin", "sector"])
+        tasks = math.ceil(n * (2 * min(reach, bins) + 1) ** 2 / PAIRS)
+        looked = todo.repartition(tasks, "dst").withColumn("wide", wide).withColumn("bin", F.explode(F.sequence(low, high))).withColumn("sector", F.explode(turn))
+        # more points than a few are never sent through the driver, as small as Spark may take them for
+        near = looked.join(s.hint("broadcast" if few else "merge"), ["bin", "sector"])
         d = great_circle(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
         # rounding errors don't part equal distances
         order = Window.partitionBy("dst").orderBy(F.round("d", 9), "src")
@@ -77,7 +81,7 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
         if reach >= bins:
             return out
         rest = todo.join(best.where("sure").select("dst").distinct(), "dst", "left_anti")
-        if rest.isEmpty():
+        if not (n := rest.count()):
             return out
         todo, reach = rest, reach * 3
 

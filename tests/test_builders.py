@@ -274,3 +274,13 @@ def test_running_merge_raises_on_no_weight(spark):
     assert reduce.merged(total, ["v"], strict=False).first().v is None
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         reduce.merged(total, ["v"]).collect()
+
+
+def test_searches_deal_their_targets(spark, monkeypatch):
+    """Few source points and many targets: the pairs that a task forms do not grow with the targets, and the result is the same."""
+    src, dst = regular_grid(spark, 12, 6), regular_grid(spark, 30, 15)
+    whole = sorted(map(tuple, weights.nearest_k(src, dst, 4).select("dst", "src", "rank").collect()))
+    monkeypatch.setattr(weights, "PAIRS", 100)
+    dealt = weights.nearest_k(src, dst, 4)
+    assert sorted(map(tuple, dealt.select("dst", "src", "rank").collect())) == whole
+    assert dealt.rdd.getNumPartitions() >= 450 * 9 // 100
