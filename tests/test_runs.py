@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from gridflow import catalog
 from gridflow.operators import batch, exact, matrix, partition, reduce, timewin
 from gridflow.plans import coupled
 from gridflow.plans import exchange as plan
@@ -415,3 +416,12 @@ def test_parts_of_cells_with_great_circles_add_up(spark):
     sums = {r.src: r.w for r in links.groupBy("src").agg(F.sum("w1").alias("w")).collect()}
     whole = {r.cell: r.area for r in polygons.measured(polygons.with_great_circles(src, 16)).collect()}
     assert all(abs(sums[c] - whole[c]) < 1e-3 * whole[c] for c in inner), [(c, sums[c], whole[c]) for c in inner]
+
+
+def test_puts_of_one_place_are_called_by_event(spark, tmp_path):
+    rows = [(1_000_004, "2024-01-01 01:00:00", 7), (1, "2024-01-01 02:00:00", 7)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long").coalesce(1)
+    events = events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["backward_shuffled"](spark, str(tmp_path)).select("t", "seen").collect()
+    assert [tuple(r) for r in got] == [(3600, 7200)]
