@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .curvilinear import SHIFT, _binned, beside
 from ..shared import cut
-from .weights import bins_for, with_nearest_unmasked
+from .weights import bins_for, nearest_unmasked
 
 _GAUSS = ((0.5 - 15**0.5 / 10, 5 / 18), (0.5, 8 / 18), (0.5 + 15**0.5 / 10, 5 / 18))
 
@@ -216,7 +216,7 @@ def conservative(src: DataFrame, dst: DataFrame, normalisation: str = "FRACAREA"
     """
     if arcs:
         src, dst = with_great_circles(src, arcs), with_great_circles(dst, arcs)
-    met = overlaps(src, dst).join(src.where("mask = 0").select(F.col("cell").alias("src")), "src", "left_semi")
+    met = overlaps(src.where("mask = 0"), dst)
     if normalisation in ("FRACAREA", "FRACNNEI"):
         met = met.withColumn("by", F.sum("area").over(Window.partitionBy("dst")))
     elif normalisation == "DESTAREA":
@@ -235,5 +235,5 @@ def conservative(src: DataFrame, dst: DataFrame, normalisation: str = "FRACAREA"
     if normalisation != "FRACNNEI":
         return links
     links = cut(links)  # the repair below reads them in several jobs
-    near = with_nearest_unmasked(links.select("dst", "src", F.col("w1").alias("w")), src, dst.where("mask = 0")).join(links.select("dst").distinct(), "dst", "left_anti")
+    near = nearest_unmasked(links, src, dst.where("mask = 0"))
     return links.unionByName(near.select("dst", "src", F.col("w").alias("w1"), *[F.lit(0.0).alias(n) for n in w if n != "w1"]))

@@ -1,8 +1,8 @@
 """Builders of interpolation weights as distributed queries.
 
 Neighbour and overlap searches bin one side by latitude and longitude and join on the bin, so
-no pair outside neighbouring bins is formed. The k-nearest search widens its
-bins for the targets whose k-th distance reaches past them, so it is exact.
+no pair outside neighbouring bins is formed. The k-nearest search takes the targets
+whose k-th distance reaches past them down a tree of bins, so it is exact.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .batch import running
 EPSILON = 2.220446049250313e-16
 #: Source points that every task may hold, and pairs of targets and bins that a task of a search forms, or so.
 FEW, PAIRS = 4096, 250_000
+#: Radians by which a distance may be off: acos is good to 1e-7 or so.
+SLACK = 1e-7
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -36,8 +38,8 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
     """(dst, src, d, rank) of the k nearest source points of each target; ties (to 1e-9) go to the lower address.
 
     Distance is at least the difference in latitude, and at least the distance to the meridian that bounds the
-    sectors looked at. A target looks at the bands within a reach and as far in longitude, all around near the
-    poles; if its k-th distance is more than what is left to the edges, it looks again with three times the reach.
+    sectors looked at. A target looks at its own band and those beside it, and as far in longitude, all around near the
+    poles; if its k-th distance is more than what is left to the edges, it goes down a tree of bins (:func:`_from_above`).
     """
     out = dst.select(F.col("cell").alias("dst"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("rank")).limit(0)
     if not (n := dst.count()):
@@ -52,38 +54,89 @@ def nearest_k(src: DataFrame, dst: DataFrame, k: int, bins: int | None = None) -
         return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / height), F.lit(sectors - 1)).cast("int")
 
     s = src.select(F.col("cell").alias("src"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), of(F.col("lat")).alias("bin"), sector(F.col("lon")).alias("sector"))
-    todo, reach, out = dst.select(F.col("cell").alias("dst"), "lon", "lat", of(F.col("lat")).alias("home"), sector(F.col("lon")).alias("east")), 1, None
-    while True:
-        low, high = F.greatest(F.col("home") - reach, F.lit(0)), F.least(F.col("home") + reach, F.lit(bins - 1))
-        wide = F.least(F.ceil(reach / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6))), F.lit(bins)).cast("int")
-        turn = F.when(2 * F.col("wide") + 1 >= sectors, F.sequence(F.lit(0), F.lit(sectors - 1))).otherwise(
-            F.transform(F.sequence(F.col("east") - F.col("wide"), F.col("east") + F.col("wide")), lambda x: F.pmod(x, F.lit(sectors)))
-        )
-        tasks = math.ceil(n * (2 * min(reach, bins) + 1) ** 2 / PAIRS)
-        looked = todo.repartition(tasks, "dst").withColumn("wide", wide).withColumn("bin", F.explode(F.sequence(low, high))).withColumn("sector", F.explode(turn))
-        # more points than a few are never sent through the driver, as small as Spark may take them for
-        near = looked.join(s.hint("broadcast" if few else "merge"), ["bin", "sector"])
-        d = great_circle(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
-        # rounding errors don't part equal distances
-        order = Window.partitionBy("dst").orderBy(F.round("d", 9), "src")
-        best = near.select("dst", "lon", "lat", "home", "east", "wide", "src", d.alias("d")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        below = F.when(F.col("home") - reach <= 0, F.lit(math.pi)).otherwise(F.radians(F.col("lat") + 90 - (F.col("home") - reach) * height))
-        above = F.when(F.col("home") + reach >= bins - 1, F.lit(math.pi)).otherwise(F.radians((F.col("home") + reach + 1) * height - 90 - F.col("lat")))
-        at = F.pmod(F.col("lon"), F.lit(360.0)) - F.col("east") * height
-        left = F.least(F.least(at, height - at) + F.col("wide") * height, F.lit(90.0))
-        beside = F.when(2 * F.col("wide") + 1 >= sectors, F.lit(math.pi)).otherwise(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(left))))
-        last = Window.partitionBy("dst")
-        # acos is good to 1e-7 or so
-        best = best.withColumn("sure", (F.max("d").over(last) <= F.least(below, above, beside) - 1e-7) & (F.max("rank").over(last) >= k) | F.lit(reach >= bins))
-        best = cut(best)  # used three times, and by every wider search
-        done = best.where("sure").select("dst", "src", "d", "rank")
-        out = done if out is None else out.unionAll(done)
-        if reach >= bins:
-            return out
-        rest = todo.join(best.where("sure").select("dst").distinct(), "dst", "left_anti")
-        if not (n := rest.count()):
-            return out
-        todo, reach = rest, reach * 3
+    todo = dst.select(F.col("cell").alias("dst"), "lon", "lat", of(F.col("lat")).alias("home"), sector(F.col("lon")).alias("east"))
+    low, high = F.greatest(F.col("home") - 1, F.lit(0)), F.least(F.col("home") + 1, F.lit(bins - 1))
+    wide = F.least(F.ceil(1 / F.greatest(F.cos(F.radians("lat")), F.lit(1e-6))), F.lit(bins)).cast("int")
+    turn = F.when(2 * F.col("wide") + 1 >= sectors, F.sequence(F.lit(0), F.lit(sectors - 1))).otherwise(
+        F.transform(F.sequence(F.col("east") - F.col("wide"), F.col("east") + F.col("wide")), lambda x: F.pmod(x, F.lit(sectors)))
+    )
+    tasks = math.ceil(n * 9 / PAIRS)
+    looked = todo.repartition(tasks, "dst").withColumn("wide", wide).withColumn("bin", F.explode(F.sequence(low, high))).withColumn("sector", F.explode(turn))
+    # more points than a few are never sent through the driver, as small as Spark may take them for
+    near = looked.join(s.hint("broadcast" if few else "merge"), ["bin", "sector"])
+    best = _ranked(near.select("dst", "lon", "lat", "home", "east", "wide", "src", "slon", "slat"), k)
+    below = F.when(F.col("home") <= 1, F.lit(math.pi)).otherwise(F.radians(F.col("lat") + 90 - (F.col("home") - 1) * height))
+    above = F.when(F.col("home") + 1 >= bins - 1, F.lit(math.pi)).otherwise(F.radians((F.col("home") + 2) * height - 90 - F.col("lat")))
+    at = F.pmod(F.col("lon"), F.lit(360.0)) - F.col("east") * height
+    left = F.least(F.least(at, height - at) + F.col("wide") * height, F.lit(90.0))
+    beside = F.when(2 * F.col("wide") + 1 >= sectors, F.lit(math.pi)).otherwise(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(left))))
+    last = Window.partitionBy("dst")
+    best = best.withColumn("sure", (F.max("d").over(last) <= F.least(below, above, beside) - SLACK) & (F.max("rank").over(last) >= k) | F.lit(bins == 1))
+    best = cut(best)  # used three times
+    done = best.where("sure").select("dst", "src", "d", "rank")
+    rest = todo.select("dst", "lon", "lat").join(best.where("sure").select("dst").distinct(), "dst", "left_anti")
+    if bins == 1 or rest.isEmpty():
+        return done
+    return done.unionAll(_from_above(s, rest, k, bins))
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    """The rows (dst, lon, lat, src, slon, slat) of the k nearest of each target, with d and rank."""
+    d = great_circle(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
+    # rounding errors don't part equal distances
+    order = Window.partitionBy("dst").orderBy(F.round("d", 9), "src")
+    return near.withColumn("d", d).drop("slon", "slat").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def box_distances(lon: Column, lat: Column, west: Column, east: Column, south: Column, north: Column) -> tuple[Column, Column]:
+    """The least and the greatest angle, in radians, between a point and those of a box; all in degrees, longitudes from 0 to 360."""
+
+    def apart(edge: Column) -> Column:
+        return F.least(F.abs(lon - edge), 360 - F.abs(lon - edge))
+
+    # distance grows with the difference in longitude, so both ends lie on a meridian
+    near = F.radians(F.when(lon.between(west, east), F.lit(0.0)).otherwise(F.least(apart(west), apart(east))))
+    far = F.radians(F.when(F.pmod(lon + 180, F.lit(360.0)).between(west, east), F.lit(180.0)).otherwise(F.greatest(apart(west), apart(east))))
+
+    def cosines(turn: Column) -> tuple[Column, Column, Column, Column]:
+        """At the box's ends of a meridian and at the meridian's nearest point, and the latitude of that."""
+        a, b = F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(turn)
+        return *[a * F.sin(F.radians(y)) + b * F.cos(F.radians(y)) for y in (south, north)], F.sqrt(a * a + b * b), F.degrees(F.atan2(a, b))
+
+    (s, n, top, at), (s2, n2, top2, at2) = cosines(near), cosines(far)
+    opposite = F.when(at2 > 0, at2 - 180).otherwise(at2 + 180)
+    most = F.when(at.between(south, north), top).otherwise(F.greatest(s, n))
+    least = F.when(opposite.between(south, north), -top2).otherwise(F.least(s2, n2))
+    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), most))), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), least)))
+
+
+def _from_above(s: DataFrame, todo: DataFrame, k: int, bins: int) -> DataFrame:
+    """(dst, src, d, rank) of the k nearest of (src, slon, slat, bin, sector) for targets (dst, lon, lat) that may be far from all.
+
+    Boxes of a level have 4 by 4 boxes of the one below, down to those of 4 by 4 bins. A target goes on to the boxes that may hold one of
+    its k nearest: no farther than the distance within which the boxes it looks at hold k points for certain.
+    """
+    height, top = 180.0 / bins, max(1, math.ceil(math.log(bins / 2, 4)))
+    lowest = s.groupBy(F.shiftright("bin", 2).alias("row"), F.shiftright("sector", 2).alias("column")).agg(F.count("*").alias("held"))
+    lowest, looked = cut(lowest), None  # read by each level
+    for level in range(top, 0, -1):
+        side, up = height * 4**level, 2 * (level - 1)
+        boxes = lowest.groupBy(F.shiftright("row", up).alias("row"), F.shiftright("column", up).alias("column")).agg(F.sum("held").alias("held"))
+        if looked is None:
+            looked = todo.crossJoin(F.broadcast(boxes))  # 2 by 4 at most
+        else:
+            few = 2 * math.ceil(bins / 4**level) ** 2 <= FEW
+            below = boxes.withColumns({"__row": F.shiftright("row", 2), "__column": F.shiftright("column", 2)})
+            looked = looked.withColumnsRenamed({"row": "__row", "column": "__column"}).join(below.hint("broadcast" if few else "merge"), ["__row", "__column"])
+        south, west = F.col("row") * side - 90, F.col("column") * side
+        nearest, farthest = box_distances(F.pmod("lon", F.lit(360.0)), F.col("lat"), west, F.least(west + side, F.lit(360.0)), south, F.least(south + side, F.lit(90.0)))
+        looked = looked.select("dst", "lon", "lat", "row", "column", "held", nearest.alias("nearest"), farthest.alias("farthest"))
+        sums = Window.partitionBy("dst").orderBy("farthest", "row", "column").rowsBetween(Window.unboundedPreceding, 0)
+        looked = looked.withColumn("sum", F.sum("held").over(sums))
+        within = F.min(F.when(F.col("sum") >= k, F.col("farthest"))).over(Window.partitionBy("dst"))
+        looked = looked.withColumn("within", F.coalesce(within, F.lit(math.pi))).where(F.col("nearest") <= F.col("within") + SLACK).select("dst", "lon", "lat", "row", "column")
+    points = s.select("src", "slon", "slat", F.shiftright("bin", 2).alias("row"), F.shiftright("sector", 2).alias("column"))
+    return _ranked(looked.join(points.hint("merge"), ["row", "column"]).select("dst", "lon", "lat", "src", "slon", "slat"), k).select("dst", "src", "d", "rank")
 
 
 def _normalised(near: DataFrame, src: DataFrame, raw: Column) -> DataFrame:
@@ -94,9 +147,13 @@ def _normalised(near: DataFrame, src: DataFrame, raw: Column) -> DataFrame:
 
 def with_nearest_unmasked(links: DataFrame, src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFrame:
     """Targets without links get their nearest unmasked source with weight 1."""
+    return links.unionByName(nearest_unmasked(links, src, dst, bins))
+
+
+def nearest_unmasked(links: DataFrame, src: DataFrame, dst: DataFrame, bins: int | None = None) -> DataFrame:
+    """(dst, src, w): the nearest unmasked source, with weight 1, of each target without links."""
     bare = cut(dst.join(links.select("dst").distinct(), dst["cell"] == F.col("dst"), "left_anti"))  # read by each round of the search
-    one = nearest_k(src.where("mask = 0"), bare, 1, bins)
-    return links.unionByName(one.select("dst", "src", F.lit(1.0).alias("w")))
+    return nearest_k(src.where("mask = 0"), bare, 1, bins).select("dst", "src", F.lit(1.0).alias("w"))
 
 
 def distance_weights(src: DataFrame, dst: DataFrame, k: int) -> DataFrame:

@@ -284,3 +284,25 @@ def test_searches_deal_their_targets(spark, monkeypatch):
     dealt = weights.nearest_k(src, dst, 4)
     assert sorted(map(tuple, dealt.select("dst", "src", "rank").collect())) == whole
     assert dealt.rdd.getNumPartitions() >= 450 * 9 // 100
+
+
+@pytest.mark.parametrize(("n", "k"), [(6000, 1), (6000, 4), (3, 5)])
+def test_far_targets_go_down_a_tree(spark, monkeypatch, n, k):
+    """Targets far from all source points find those of brute force, and do not look at bins by the square of how far that is."""
+    monkeypatch.setattr(weights, "PAIRS", 100)
+    rng = np.random.default_rng(n + k)
+    slon, slat = rng.uniform(190, 360, n), rng.uniform(-85, -20, n)
+    lon, lat = rng.uniform(-180, 540, 150), np.degrees(np.arcsin(rng.uniform(-1, 1, 150)))
+    lat[:4], lon[4:6] = (90, -90, 89.99, -89.99), (0, 360)
+    src, dst = (spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "cell long, lon double, lat double") for a, b in ((slon, slat), (lon, lat)))
+    near = weights.nearest_k(src, dst, k)
+    assert near.rdd.getNumPartitions() < 150
+    a, b, a2, b2 = np.radians(lat)[:, None], np.radians(lon)[:, None], np.radians(slat), np.radians(slon)
+    d = np.arccos(np.clip(np.sin(a) * np.sin(a2) + np.cos(a) * np.cos(a2) * np.cos(b - b2), -1, 1))
+    got = {(r.dst, r["rank"]): (r.src, r.d) for r in near.collect()}
+    assert len(got) == 150 * min(n, k)
+    order = np.argsort(d, axis=1)
+    for (at, rank), (cell, far) in got.items():
+        assert abs(far - d[at, order[at, rank - 1]]) < 1e-7 and abs(d[at, cell] - far) < 1e-7
+    # each source point once for a target
+    assert len({(at, cell) for (at, _), (cell, _) in got.items()}) == len(got)
