@@ -306,3 +306,20 @@ def test_far_targets_go_down_a_tree(spark, monkeypatch, n, k):
         assert abs(far - d[at, order[at, rank - 1]]) < 1e-7 and abs(d[at, cell] - far) < 1e-7
     # each source point once for a target
     assert len({(at, cell) for (at, _), (cell, _) in got.items()}) == len(got)
+
+
+def test_points_that_coincide_meet_by_blocks(spark, monkeypatch):
+    """Places with many points: every pair once, whatever the size of the blocks, and no grid goes through the driver."""
+    rng = np.random.default_rng(5)
+    lon = rng.choice([0.0, 1e-7, 360 - 1e-7, 360 - 1e-14, 12.0, 12.0 + 9e-7, 200.0, -160.0], 400)
+    lat = rng.choice([10.0, 10.0 + 9e-7, 10.0 - 9e-7, -90.0], 400)
+    grid = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat, strict=True))], "cell long, lon double, lat double")
+    step = np.abs((lon[:, None] - lon + 180) % 360 - 180)
+    close = np.tril((step < 1e-6) & (np.abs(lat[:, None] - lat) < 1e-6), -1)
+    want = sorted(map(tuple, np.argwhere(close).tolist()))
+    for block in (8192, 7):
+        monkeypatch.setattr(curvilinear, "BLOCK", block)
+        got = curvilinear.duplicates(grid)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want
+    assert curvilinear.duplicates(grid.where("false")).isEmpty()
