@@ -556,15 +556,22 @@ def _folder(spark, name: str) -> str:
     return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT l_orderkey AS dst, round(sum(l_discount * p_retailprice), 4) AS y, round(sum(l_tax * p_retailprice), 4) AS z FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1")
-def weights_stored(spark, d):
-    """A map of two weights a link, written, and read again by the owner of some targets."""
+def _products_of_stored(spark, d, owned: DataFrame) -> DataFrame:
+    """A map of two weights a link, written, read again by the owner of some targets, and applied to the prices of parts."""
     folder = _folder(spark, "weights")
     both = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dst"), F.col("l_partkey").alias("src"), "l_discount", "l_tax")
     tables.write_weights(both, folder, "lines", ("l_discount", "l_tax"))
-    owned = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("dst"))
-    read = tables.read_weights(spark, folder, "lines", owned).join(parts(spark, d), F.col("src") == F.col("cell"))
-    return rounded(read.groupBy("dst").agg(*[F.sum(F.col("w")[i] * F.col("price")).alias(n) for i, n in enumerate("yz")]), 4)
+    read, n = tables.read_weights(spark, folder, "lines", owned), tables.dealt(both)
+    # no task sorts or sums more as the map grows, and parts do not go through the driver
+    read = read.repartition(n, "src").join(parts(spark, d).hint("merge"), F.col("src") == F.col("cell"))
+    terms = read.select("dst", *[(F.col("w")[i] * F.col("price")).alias(name) for i, name in enumerate("yz")]).repartition(n, "dst")
+    return rounded(terms.groupBy("dst").agg(*[F.sum(name).alias(name) for name in "yz"]), 4)
+
+
+@query("SELECT l_orderkey AS dst, round(sum(l_discount * p_retailprice), 4) AS y, round(sum(l_tax * p_retailprice), 4) AS z FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1")
+def weights_stored(spark, d):
+    """A map of two weights a link, written, and read again by the owner of some targets."""
+    return _products_of_stored(spark, d, table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("dst")))
 
 
 @query(_PUTS + "SELECT cell, round(avg(v), 5) AS v FROM p WHERE field = 'view' AND CAST(ceil(t / 86400.0) AS BIGINT) * 86400 = 1296000 GROUP BY 1")
@@ -777,12 +784,7 @@ def order_halo(spark, d):
 WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
 def weights_of_finished(spark, d):
     """As ``weights_stored``, read again for the orders of one status."""
-    folder = _folder(spark, "weights")
-    both = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dst"), F.col("l_partkey").alias("src"), "l_discount", "l_tax")
-    tables.write_weights(both, folder, "lines", ("l_discount", "l_tax"))
-    owned = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("dst")).distinct()
-    read = tables.read_weights(spark, folder, "lines", owned).join(parts(spark, d), F.col("src") == F.col("cell"))
-    return rounded(read.groupBy("dst").agg(*[F.sum(F.col("w")[i] * F.col("price")).alias(n) for i, n in enumerate("yz")]), 4)
+    return _products_of_stored(spark, d, table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("dst")).distinct())
 
 
 @query("SELECT l_orderkey AS cell, round(sum(l_quantity), 3) AS q FROM lineitem GROUP BY 1")

@@ -10,6 +10,7 @@ row of the table of commits. Until then no read sees them, and a leg that is run
 
 from __future__ import annotations
 
+import math
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ __all__ = [
     "append_output", "commit", "committed", "read_arrays", "read_grid", "read_input", "read_records", "read_restart", "read_weights", "resource", "shared_folder", "write_arrays", "write_grid", "write_restart", "write_weights",
 ]
 
+#: Links that a task sorts, or so.
+LINKS = 500_000
 VALUES = ("v", "v2", "v3", "v4", "v5")
 RESTART = f"cell long, {', '.join(f'{v} double' for v in VALUES)}, cnt long, entry string, kind string, at long, field string"
 OUTPUT = "t long, cell long, v double, leg string, field string"
@@ -141,9 +144,14 @@ def resource(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("key", (F.col("line") + 1).alias("line"), F.posexplode(F.split("words", r"\s+")).alias("place", "token")).select("key", "line", (F.col("place") + 1).alias("place"), "token")
 
 
+def dealt(links: DataFrame) -> int:
+    """Tasks for a shuffle of as many links as ``links`` has, so that the share that a task sorts does not grow; no fewer than the session's, or a join would deal them anew."""
+    return max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(links.count() / LINKS))
+
+
 def write_weights(links: DataFrame, folder: str, name: str, columns: tuple[str, ...] = ("w",)) -> None:
     """Replaces the map ``name`` by (dst, src, one or more weights), in ranges of targets: a file, and a part of it, tells which it has."""
-    links = links.repartitionByRange("dst", "src").sortWithinPartitions("dst", "src")
+    links = links.repartitionByRange(max(1, math.ceil(links.count() / LINKS)), "dst", "src").sortWithinPartitions("dst", "src")
     _replace(links.select("dst", "src", F.array(*[F.col(c).cast("double") for c in columns]).alias("w"), F.lit(name).alias("map")), folder, "map")
 
 
@@ -153,7 +161,9 @@ def read_weights(spark: SparkSession, folder: str, name: str, owned: DataFrame |
     if owned is None:
         return out
     ends = owned.agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")).first()
-    return out.where(F.col("dst").between(ends["lo"], ends["hi"])).join(owned.select("dst"), "dst", "left_semi")
+    out = out.where(F.col("dst").between(ends["lo"], ends["hi"]))
+    n = dealt(out)
+    return out.repartition(n, "dst").join(owned.select("dst").repartition(n, "dst").hint("merge"), "dst", "left_semi")
 
 
 def write_grid(cells: DataFrame, folder: str, name: str, variables: tuple[str, ...]) -> None:

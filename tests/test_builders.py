@@ -323,3 +323,17 @@ def test_points_that_coincide_meet_by_blocks(spark, monkeypatch):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, got.collect())) == want
     assert curvilinear.duplicates(grid.where("false")).isEmpty()
+
+
+def test_stored_maps_are_dealt_by_their_links(spark, tmp_path, monkeypatch):
+    """A map with more links is written and read by more tasks, whatever the session's partitions; ranges of targets stay apart."""
+    monkeypatch.setattr(tables, "LINKS", 100)
+    links = spark.range(2000).select((F.col("id") % 500).alias("dst"), F.col("id").alias("src"), F.lit(0.5).alias("w"))
+    tables.write_weights(links, str(tmp_path / "maps"), "m")
+    read = tables.read_weights(spark, str(tmp_path / "maps"), "m")
+    assert len(read.inputFiles()) == 20
+    own = tables.read_weights(spark, str(tmp_path / "maps"), "m", spark.range(100, 400).select(F.col("id").alias("dst")))
+    assert own.rdd.getNumPartitions() >= 12 and own.count() == 1200
+    assert "Broadcast" not in own._jdf.queryExecution().executedPlan().toString()
+    none = spark.createDataFrame([], "dst long")
+    assert tables.read_weights(spark, str(tmp_path / "maps"), "m", none).isEmpty()
