@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import os
 import tempfile
@@ -222,9 +223,11 @@ class Vocabulary:
                 ids, ranks, size, at, first, low, row = ids[live], ranks[live], size[live], at[live], first[live], low[live], row[: int(live.sum())]
             if not len(ids):
                 return
-            # what follows the pair moves up
-            move = np.minimum(column + (column > first[:, None]), width - 1)
-            ids, ranks = np.take_along_axis(ids, move, 1), np.take_along_axis(ranks, move, 1)
+            # what follows the pair moves up; every word loses one place
+            keep = np.ones(ids.shape, bool)
+            keep[row, first + 1] = False
+            keep, width = keep.reshape(-1), ids.shape[1] - 1
+            ids, ranks = ids.reshape(-1)[keep].reshape(-1, width), ranks.reshape(-1)[keep].reshape(-1, width)
             size = size - 1
             ids[row, first] = self.made_ids[low]
             inner = np.flatnonzero(first < size - 1)
@@ -239,14 +242,13 @@ class Vocabulary:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def word_starts(points: np.ndarray, classes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
-    """Starts of words among the code points of joined texts.
+def word_starts(points: np.ndarray, c: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Starts of words among the code points, of classes ``c``, of joined texts.
 
     A word is a run of letters, of numbers or of signs with one blank before
     it, a contraction, or a run of spaces that leaves its last one to what follows.
     """
     n = len(points)
-    c = classes[points]
     first = np.zeros(n + 1, bool)
     first[text_starts] = True
     first[n] = True
@@ -425,14 +427,31 @@ class Lexicon:
 class Encoder:
     """Encodes batches of texts."""
 
+    _held: dict[str, Encoder] = {}
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
-        self._forget()
+        # words met so far: their places, and by place where their ids begin, how many they are and in how many batches the word was since words were forgotten
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begin, self.size, self.met = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    @classmethod
+    def at(cls, path: str) -> Encoder:
+        """The encoder of this process: tasks that run after each other find the words of those before."""
+        if path not in cls._held:
+            cls._held[path] = cls(Vocabulary.at(path))
+        return cls._held[path]
 
     def _forget(self) -> None:
-        """Words met so far: their places, and by place where their ids begin and how many they are."""
-        self.known: dict[bytes, int] = {}
-        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Keeps the words that were met again, half of :data:`REMEMBERED` at most."""
+        least = 2
+        while np.count_nonzero(self.met >= least) > REMEMBERED // 2:
+            least *= 2
+        keep = self.met >= least
+        words = list(itertools.compress(self.known, keep.tolist()))  # places are in the order of the words
+        size = self.size[keep]
+        self.flat = self.flat.take(_spans(self.begin[keep], size))
+        self.known, self.size, self.begin, self.met = dict(zip(words, range(len(words)), strict=True)), size, np.cumsum(size) - size, np.zeros(len(words), np.int32)
 
     def split(self, texts: list[str]) -> tuple[pa.DictionaryArray | None, np.ndarray, np.ndarray]:
         """The joined texts' words as a dictionary array, the words in each text, and which texts go to the library."""
@@ -441,30 +460,31 @@ class Encoder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.cumsum(sizes) - sizes
         odd = np.zeros(len(texts), bool)
-        if len(points) and points.max() >= 0x370 and (strange := self.v.classes[points] == 9).any():  # all below are assigned
-            odd[np.searchsorted(starts + sizes, np.flatnonzero(strange), side="right")] = True
+        classes = self.v.classes.take(points)
+        if len(points) and classes.max() == 9:
+            odd[np.searchsorted(starts + sizes, np.flatnonzero(classes == 9), side="right")] = True
             return (*self.split(["" if o else t for t, o in zip(texts, odd, strict=True)])[:2], odd)
         if not len(points):
             return None, np.zeros(len(texts), np.int64), odd
-        words = word_starts(points, self.v.classes, starts[sizes > 0])
-        width = 1 + (points >= 0x80).astype(np.int64)
-        if points.max() >= 0x800:
-            width += points >= 0x800
-            width += points >= 0x10000
-        byte_at = np.cumsum(width) - width
+        words = word_starts(points, classes, starts[sizes > 0])
         data = joined.encode("utf-8")
-        offsets = np.append(byte_at[words], len(data)).astype(np.int32)
+        # the bytes that begin a code point
+        byte_at = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)
+        offsets = np.append(byte_at.take(words), len(data)).astype(np.int32)
         array = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         per_text = np.diff(np.searchsorted(words, np.append(starts, len(points))))
         return array.dictionary_encode(), per_text, odd
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        """The place of each word; words not met before are looked up in the transducer, the others merged."""
+        """The place of each of these different words; words not met before are looked up in the transducer, the others merged."""
         if len(self.known) > REMEMBERED:
             self._forget()
         known = self.known
-        new = [w for w in words if w not in known]
+        place = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unmet = place < 0
+        new = list(itertools.compress(words, unmet.tolist()))
         if new:
+            place[unmet] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             at = self.lexicon.lookup(new) if self.lexicon is not None else np.full(len(new), -1)
             other = np.flatnonzero(at < 0)
@@ -478,7 +498,9 @@ class Encoder:
                 begin[held] = np.cumsum(size[held]) - size[held] + len(self.flat) + len(ids)
                 parts.append(self.lexicon.ids[_spans(self.lexicon.offset[at[held]], size[held])])
             self.flat, self.begin, self.size = np.concatenate(parts), np.append(self.begin, begin), np.append(self.size, size)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.met = np.append(self.met, np.zeros(len(new), np.int32))
+        self.met[place] += 1
+        return place
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of texts without special tokens, up to some MB of text."""
@@ -487,7 +509,7 @@ class Encoder:
         if coded is None:
             out = [empty] * len(texts)
         else:
-            at = self.places(coded.dictionary.to_pylist()).take(coded.indices.to_numpy(zero_copy_only=False))
+            at = self.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist()).take(coded.indices.to_numpy(zero_copy_only=False))
             counts = self.size.take(at)
             ids = self.flat.take(_spans(self.begin.take(at), counts))
             cuts = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per_text)))]
@@ -561,7 +583,7 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON, text_col: st
                 if coded is None:
                     continue
                 n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-                for w, k in zip(coded.dictionary.to_pylist(), n.tolist(), strict=True):
+                for w, k in zip(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), n.tolist(), strict=True):
                     counts[w] = counts.get(w, 0) + k
                 if len(counts) > REMEMBERED:
                     yield flush()

@@ -60,16 +60,23 @@ _LEAST = 48  # of 2**GROUP_BITS, towards which a group that does not occur shrin
 _HASH, _HASH_SHIFT = tuple(map(np.uint32, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))), np.uint32(32 - SLOT_BITS)
 _U32, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 _LOW = np.uint64(1) << _U32
+_ONE, _TWO, _SURENESS, _WHOLE = map(np.uint32, (1, 2, 3, 65536))
+_NONE, _SHARES, _GROUP_BITS, _U16 = np.uint32(0), np.uint32(1 << SHARE_BITS), np.uint32(GROUP_BITS), np.uint64(16)
+_MOST_INSIDE = np.uint32(65535)
+_MOST, _SURER = np.int32(MOST), np.int32(_SURE[1] - _SURE[0])
 
 
 class _Model:
-    """What all blocks that are coded side by side have learned; blocks are the last axis of every array."""
+    """What all blocks that are coded side by side have learned; blocks are the last axis of every array.
+
+    Operations are on whole arrays of one type each: numpy casts slowly where types differ.
+    """
 
     def __init__(self, lanes: int, first: np.ndarray):
-        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.lanes, self.lane, self.lane32 = lanes, np.arange(lanes), np.arange(lanes, dtype=np.uint32)
         self.base = self.lane * SLOTS
         # by the hash of a context: (the id that last followed it + 1) * 4 + how sure it is, 0 to 3; order 1, order 2
-        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
+        self.guess = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]
         # by sureness: how often the guess was right, of 2**16; no guess is never right
         self.right = [np.repeat(np.array([0, 12000, 28000, 45000], np.int32), lanes) for _ in range(2)]
         self.weight = np.full(lanes, 36000, np.int32)  # of order 2 against order 1, of 2**16
@@ -81,45 +88,65 @@ class _Model:
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.rising = (np.arange(1, groups, dtype=np.int16) * np.int16(_LEAST))[:, None]
         self.place = np.arange(1, groups, dtype=np.int16)[:, None]
+        self.step = np.empty((groups - 1, lanes), np.int16)
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
-        """(the share of order 2's guess, of both guesses), of 2**30."""
+        """(the share of order 2's guess, of both guesses), of 2**30; ``id1``, ``id2``: the guesses' ids + 1, 0 for none."""
         last = self.last
-        self.at1 = at1 = self.base + (last * _HASH[0] >> _HASH_SHIFT)
-        self.at2 = at2 = self.base + (last * _HASH[1] + self.before >> _HASH_SHIFT)
-        self.one, self.two = one, two = self.guess[0].take(at1), self.guess[1].take(at2)
-        sure1, sure2 = one & 3, two & 3
-        self.k1, self.k2 = sure1 * self.lanes + self.lane, sure2 * self.lanes + self.lane
+        self.at1, self.at2 = at1, at2 = (last * _HASH[0] >> _HASH_SHIFT).astype(np.int64), (last * _HASH[1] + self.before >> _HASH_SHIFT).astype(np.int64)
+        at1 += self.base
+        at2 += self.base
+        one, two = self.guess[0].take(at1), self.guess[1].take(at2)
+        self.id1, self.id2 = one >> _TWO, two >> _TWO
+        self.sure1, self.sure2 = sure1, sure2 = one & _SURENESS, two & _SURENESS
+        lanes = np.uint32(self.lanes)
+        self.k1, self.k2 = (sure1 * lanes + self.lane32).astype(np.int64), (sure2 * lanes + self.lane32).astype(np.int64)
         self.r1, self.r2 = r1, r2 = self.right[0].take(self.k1), self.right[1].take(self.k2)
-        w = (self.weight * (sure2 > 0)).astype(np.int64)
-        share2 = w * r2 >> 2
-        both = ((65536 - w) * r1 >> 2) + share2
-        same = np.flatnonzero((one ^ two) < 4)
-        share2[same] = both[same]
+        # below 2**32, as no share is above MOST
+        w = self.weight.view(np.uint32).copy()
+        w *= np.minimum(sure2, _ONE)
+        share2 = w * r2.view(np.uint32)
+        share2 >>= _TWO
+        both = np.subtract(_WHOLE, w, out=w)
+        both *= r1.view(np.uint32)
+        both >>= _TWO
+        both += share2
+        np.copyto(share2, both, where=self.id1 == self.id2)
         return share2, both
 
-    def learn(self, ids: np.ndarray, group: np.ndarray) -> None:
-        new = ids.astype(np.int32) + 1
-        hit2, hit1 = (self.two >> 2) == new, (self.one >> 2) == new
-        for right, k, r, hit in ((self.right[1], self.k2, self.r2, hit2), (self.right[0], self.k1, self.r1, hit1)):
-            right[k] = r + ((hit * np.int32(MOST) - r) >> 5)
+    def learn(self, new: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, group: np.ndarray) -> None:
+        """``new``: the ids + 1; ``hit1``, ``hit2``: where the guesses were right; ``group`` of the ids, as int16."""
+        one, two = hit1.astype(np.int32), hit2.astype(np.int32)
+        for right, k, r, hit in ((self.right[1], self.k2, self.r2, two), (self.right[0], self.k1, self.r1, one)):
+            move = hit * _MOST
+            move -= r
+            move >>= 5
+            move += r
+            right[k] = move
         # only one was right: the weight moves towards it
-        only = np.flatnonzero(hit2 != hit1)
-        w = self.weight[only]
-        self.weight[only] = w + ((np.where(hit2[only], np.int32(_SURE[1]), np.int32(_SURE[0])) - w) >> 4)
-        entry = new << 2
-        entry |= 1
-        for guess, at, old, hit in ((self.guess[0], self.at1, self.one, hit1), (self.guess[1], self.at2, self.two, hit2)):
-            guess[at] = entry
-            again = np.flatnonzero(hit)
-            guess[at[again]] = np.minimum(old[again] + 1, old[again] | 3)
-        step = (self.place > group.astype(np.int16)) * self.spread
+        move = two * _SURER
+        move += _SURE[0]
+        move -= self.weight
+        move >>= 4
+        move *= one ^ two
+        self.weight += move
+        entry = new << _TWO
+        entry |= _ONE
+        for guess, at, sure, hit in ((self.guess[0], self.at1, self.sure1, one), (self.guess[1], self.at2, self.sure2, two)):
+            # a guess that was right is surer by one, up to 3
+            more = np.minimum(sure, _TWO)
+            more *= hit.view(np.uint32)
+            more += entry
+            guess[at] = more
+        step = np.subtract(group, self.place, out=self.step)
+        step >>= 15
+        step &= self.spread  # in the groups below their bound
         step += self.rising
         step -= self.inner
         step >>= 5
         self.inner += step
         self.before = self.last * _HASH[2]
-        self.last = new.view(np.uint32)
+        self.last = new
 
 
 class _OrderZero:
@@ -138,9 +165,9 @@ class _OrderZero:
             group += rest // MEMBERS
         groups = max(GROUPS, int(group[-1]) + 1) if len(order) else GROUPS
         sums = np.bincount(group, n[order], groups)
-        self.group = np.zeros(len(n), np.int64)
+        self.group = np.zeros(len(n), np.int16)
         self.group[order] = group
-        self.start, self.freq = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        self.start, self.freq = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
         self.symbol = np.zeros(groups << 16, np.int32)
         for g in range(groups):
             own = order[group == g]
@@ -167,23 +194,39 @@ def code_blocks(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     written = np.zeros(lanes, np.int64)
     lane_of, words, carry_lane, carry_at = [], [], [], []
     for x in steps:
+        new = x.view(np.uint32) + _ONE
         x = x.astype(np.int64)
         share2, both = m.look()
         group = zero.group.take(x)
-        at = group * lanes + m.lane
-        lo = m.flat_bound.take(at).astype(np.int64)
-        step = (1 << SHARE_BITS) - both >> GROUP_BITS
-        sub = step * (m.flat_bound.take(at + lanes) - lo) >> 16
-        start = both + step * lo + sub * zero.start.take(x)
-        part = sub * zero.freq.take(x)
-        for guess, begin, share in ((m.one, share2, both - share2), (m.two, None, share2)):
-            hit = np.flatnonzero((guess >> 2) == x + 1)
-            hit = hit[share[hit] > 0]
-            start[hit], part[hit] = 0 if begin is None else begin[hit], share[hit]
+        at = group.astype(np.int64)
+        at *= lanes
+        at += m.lane
+        lo = m.flat_bound.take(at)
+        at += lanes
+        wide = m.flat_bound.take(at)
+        wide -= lo
+        # 2**30 at most, so that 32 bits hold all of it
+        step = _SHARES - both
+        step >>= _GROUP_BITS
+        start = step * lo.astype(np.uint32)
+        step = step.astype(np.uint64)
+        sub = step * wide.astype(np.uint64)
+        sub >>= _U16
+        start += both
+        start = start.astype(np.uint64)
+        start += sub * zero.start.take(x)
+        part = sub
+        part *= zero.freq.take(x)
+        hit1, hit2 = m.id1 == new, m.id2 == new
+        share1 = both - share2
+        for hit, begin, share in ((hit1, share2, share1), (hit2, _NONE, share2)):
+            hit = hit & (share > _NONE)
+            np.copyto(start, begin, where=hit)
+            np.copyto(part, share, where=hit)
         width >>= np.uint64(SHARE_BITS)
-        add = start.view(np.uint64) * width
+        add = start * width
         low += add
-        width *= part.view(np.uint64)
+        width *= part
         over = np.flatnonzero(low < add)
         if len(over):
             carry_lane.append(over)
@@ -196,7 +239,7 @@ def code_blocks(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             low[due] = head << _U32
             width[due] <<= _U32
             written[due] += 1
-        m.learn(x, group)
+        m.learn(new, hit1, hit2, group)
     for word in (low >> _U32, low & _MASK):
         lane_of.append(m.lane)
         words.append(word)
@@ -225,27 +268,45 @@ def decode_blocks(words: np.ndarray, counts: np.ndarray, total: int, n: np.ndarr
     for t in range(size):
         share2, both = m.look()
         width >>= np.uint64(SHARE_BITS)
-        v = (code // width).view(np.int64)
-        step = (1 << SHARE_BITS) - both >> GROUP_BITS
-        u = np.maximum(v - both, 0)
-        group = np.add.reduce((m.inner <= (u // step).astype(np.int16)).view(np.int8), axis=0, dtype=np.int8).astype(np.int64)
-        k = group * lanes + m.lane
-        lo = m.flat_bound.take(k).astype(np.int64)
-        sub = step * (m.flat_bound.take(k + lanes) - lo) >> 16
-        lo *= step
-        inside = np.minimum((u - lo) // sub, 65535)
-        x = zero.symbol.take((group << 16) + inside)
-        start = both + lo + sub * zero.start.take(x)
-        part = sub * zero.freq.take(x)
-        known = np.flatnonzero(v < both)
-        if len(known):
-            of2, a, b = v[known] < share2[known], share2[known], both[known]
-            x[known] = (np.where(of2, m.two[known], m.one[known]) >> 2) - 1
-            start[known] = np.where(of2, 0, a)
-            part[known] = np.where(of2, a, b - a)
-            group[known] = zero.group[x[known]]
-        code -= start.view(np.uint64) * width
-        width *= part.view(np.uint64)
+        v = (code // width).astype(np.uint32)  # 2**30 or little more
+        step = _SHARES - both
+        step >>= _GROUP_BITS
+        u = np.maximum(v, both)
+        u -= both
+        group = np.add.reduce((m.inner <= (u // step).astype(np.int16)).view(np.int8), axis=0, dtype=np.int8)
+        k = group.astype(np.int64)
+        symbol = k << 16
+        k *= lanes
+        k += m.lane
+        lo = m.flat_bound.take(k)
+        k += lanes
+        wide = m.flat_bound.take(k)
+        wide -= lo
+        sub = step.astype(np.uint64)
+        sub *= wide.astype(np.uint64)
+        sub >>= _U16
+        lo = step * lo.astype(np.uint32)
+        u -= lo
+        inside = u // sub.astype(np.uint32)
+        symbol += np.minimum(inside, _MOST_INSIDE)
+        x = zero.symbol.take(symbol)
+        lo += both
+        start = lo.astype(np.uint64)
+        start += sub * zero.start.take(x)
+        part = sub
+        part *= zero.freq.take(x)
+        new = x.view(np.uint32)
+        new += _ONE
+        of2 = v < share2
+        known = v < both
+        share1 = both - share2
+        for hit, id_, begin, share in ((known, m.id1, share2, share1), (of2, m.id2, _NONE, share2)):
+            np.copyto(new, id_, where=hit)
+            np.copyto(start, begin, where=hit)
+            np.copyto(part, share, where=hit)
+        x = (new - _ONE).view(np.int32)
+        code -= start * width
+        width *= part
         due = np.flatnonzero(width < _LOW)
         if len(due):
             place = at[due]
@@ -253,7 +314,7 @@ def decode_blocks(words: np.ndarray, counts: np.ndarray, total: int, n: np.ndarr
             width[due] <<= _U32
             at[due] = place + 1
         out[t] = x
-        m.learn(x, group)
+        m.learn(new, m.id1 == new, m.id2 == new, zero.group.take(x))
     return out.T.reshape(-1)[:total]
 
 
@@ -313,7 +374,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.Encoder(bpe.Vocabulary.at(tokenizer))
+        encoder = bpe.Encoder.at(tokenizer)
         size = len(encoder.v.pieces)
         names: list[int | None] = []
         arrays: list[np.ndarray] = []

@@ -155,6 +155,23 @@ def test_words_merged_side_by_side_equal_words_merged_alone():
     assert counts.tolist() == list(map(len, alone)) and ids.tolist() == [i for x in alone for i in x]
 
 
+def test_words_that_come_again_outlast_a_task_and_the_bound(monkeypatch):
+    assert bpe.Encoder.at(PATH) is bpe.Encoder.at(PATH)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    encoder, merged = bpe.Encoder(bpe.Vocabulary.at(PATH)), []
+    many = encoder.v.merged_many
+    monkeypatch.setattr(encoder.v, "merged_many", lambda words: merged.extend(words) or many(words))
+    for k in range(12):
+        texts = [f"often metagain {'x' * k}{i}zq" for i in range(15)] + [""]
+        want = bpe.Encoder(bpe.Vocabulary.at(PATH)).v.library().encode_batch(texts, add_special_tokens=False)
+        assert [a.tolist() for a in encoder.encode(texts)] == [w.ids for w in want]
+        assert len(encoder.known) <= 40 + 50  # the bound is passed by the words of one batch at most
+    assert merged.count(b" metagain") == merged.count(b"often") == 1
+    encoder.met[:] = 1 << 20  # where all are frequent some go nevertheless
+    encoder._forget()
+    assert len(encoder.known) <= 20 and len(encoder.known) == len(encoder.size) == len(encoder.met) and len(encoder.flat) == encoder.size.sum()
+
+
 def test_token_files_are_smaller_than_deflated_ids(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [r.text or "" for r in docs.select("text").collect()]
