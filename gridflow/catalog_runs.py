@@ -95,8 +95,7 @@ SELECT place, field, t, seen FROM b WHERE t < seen""")
 def backward_shuffled(spark, d):
     """Puts that are called in another order than that of their times."""
     # places that two puts share are called in the order of the events
-    called = _hours(spark, d).withColumn("called", F.col("place") * 10**10 + F.col("event_id"))
-    return timewin.backward(called, "called").select("place", "field", "t", "seen")
+    return timewin.backward(_hours(spark, d), "place", ties=("event_id",)).select("place", "field", "t", "seen")
 
 
 @query(_HOURS + f""", s AS (SELECT field, cell, CAST(ceil(t / {DT}.0) AS BIGINT) * {DT} AS t, avg(v) AS v FROM h GROUP BY 1, 2, 3)

@@ -131,12 +131,12 @@ def missed(puts: DataFrame, dt: int, keys: tuple[str, ...] = ("field",)) -> Data
     return w.withColumn("before", before).where(F.col("w") > F.col("before") + 1).withColumn("n_missed", F.col("w") - F.col("before") - 1)
 
 
-def backward(puts: DataFrame, order: str, keys: tuple[str, ...] = ("field",)) -> DataFrame:
+def backward(puts: DataFrame, order: str, keys: tuple[str, ...] = ("field",), ties: tuple[str, ...] = ()) -> DataFrame:
     """Puts that are earlier than one before them in calling order: the latest before them in their range of that
-    order, or the latest of the ranges before."""
+    order, or the latest of the ranges before. Equal places share a range, within which they go by ``ties``."""
     dealt = ranged(puts, order)
     before = (Window.unboundedPreceding, -1)
-    here = F.max("t").over(Window.partitionBy("__range", *keys).orderBy(order).rowsBetween(*before))
+    here = F.max("t").over(Window.partitionBy("__range", *keys).orderBy(order, *ties).rowsBetween(*before))
     # one row for each range and key
     tops = dealt.groupBy("__range", *keys).agg(F.max("t").alias("__top"))
     earlier = tops.select("__range", *keys, F.max("__top").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(*before)).alias("__earlier"))

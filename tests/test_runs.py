@@ -425,3 +425,15 @@ def test_puts_of_one_place_are_called_by_event(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     got = catalog.QUERIES["backward_shuffled"](spark, str(tmp_path)).select("t", "seen").collect()
     assert [tuple(r) for r in got] == [(3600, 7200)]
+
+
+@pytest.mark.parametrize("name", ["backward_shuffled"])
+def test_places_go_before_events_of_any_number(spark, tmp_path, name):
+    rows = [(245_369, "2024-01-01 02:00:00", 7), (10**12, "2024-01-01 01:00:00", 7), (10**12 + 1_000_003, "2024-01-01 03:00:00", 7)]  # places 71,282 and twice 71,271
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long").coalesce(1)
+    events = events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    events.write.parquet(str(tmp_path / "in" / "events.parquet"))
+    # the stream reads a file of that name
+    next((tmp_path / "in" / "events.parquet").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select("t", "seen").collect()
+    assert [tuple(r) for r in got] == [(7200, 10800)]
