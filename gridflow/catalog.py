@@ -640,8 +640,8 @@ SELECT field, cell, t, seen FROM b WHERE t < seen""")
 def stream_backward(spark, d):
     """Puts that are called in another order than that of their times."""
     # places that two puts share are called in the order of the events
-    stream = _stream(spark, d).withColumn("called", F.col("event_id") * 7919 % 1_000_003 * 10**10 + F.col("event_id"))
-    return windows.drain(windows.backward(stream, "called"), _folder(spark, "stream"))
+    stream = _stream(spark, d).withColumn("place", F.col("event_id") * 7919 % 1_000_003)
+    return windows.drain(windows.backward(stream, "place", "event_id"), _folder(spark, "stream"))
 
 
 # ---------------------------------------------------------------- decompositions

@@ -59,14 +59,14 @@ def ready(puts: DataFrame, fields: list[str], dt: int, lag: int = 0, delay: int
     return got.select(((F.unix_seconds("span.end") - origin(dt)) / dt).cast("long").alias("w"), "n_fields", (F.col("n_fields") == len(fields)).alias("ready"))
 
 
-def backward(puts: DataFrame, order: str) -> DataFrame:
+def backward(puts: DataFrame, *order: str) -> DataFrame:
     """(field, cell, t, seen): puts that are earlier than one before them, by ``order`` within a batch.
 
     The state of a (field, cell) is its latest time.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order)
+        rows = pd.concat(list(frames)).sort_values(list(order))
         known = state.get[0] if state.exists else rows["t"].iloc[0]
         seen = rows["t"].cummax().shift(fill_value=known).clip(lower=known)
         state.update((int(max(known, rows["t"].max())),))

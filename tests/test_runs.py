@@ -427,7 +427,7 @@ def test_puts_of_one_place_are_called_by_event(spark, tmp_path):
     assert [tuple(r) for r in got] == [(3600, 7200)]
 
 
-@pytest.mark.parametrize("name", ["backward_shuffled"])
+@pytest.mark.parametrize("name", ["backward_shuffled", "stream_backward"])
 def test_places_go_before_events_of_any_number(spark, tmp_path, name):
     rows = [(245_369, "2024-01-01 02:00:00", 7), (10**12, "2024-01-01 01:00:00", 7), (10**12 + 1_000_003, "2024-01-01 03:00:00", 7)]  # places 71,282 and twice 71,271
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long").coalesce(1)
