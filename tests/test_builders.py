@@ -325,6 +325,45 @@ def test_points_that_coincide_meet_by_blocks(spark, monkeypatch):
     assert curvilinear.duplicates(grid.where("false")).isEmpty()
 
 
+def test_points_that_coincide_are_sent_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """Four times as many points at two places: sixteen times the pairs, but about four times the shuffled bytes."""
+    monkeypatch.setattr(curvilinear, "BLOCK", 8)
+    monkeypatch.setattr(curvilinear, "MET", 10_000)
+    monkeypatch.setattr(curvilinear, "TILES", 50, raising=False)
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    sent = {}
+    for n in (1000, 4000):
+        grid = spark.range(n).select(F.col("id").alias("cell"), (F.col("id") % 2 * 7.0).alias("lon"), F.lit(10.0).alias("lat"))
+        before = written()
+        assert curvilinear.duplicates(grid).count() == n * (n // 2 - 1) // 2
+        sent[n] = written() - before
+    assert sent[4000] < 7 * sent[1000], sent
+
+
+@pytest.mark.parametrize("group", [7, 20])
+def test_groups_of_bins_meet_once(spark, monkeypatch, group):
+    """Bins of several groups, next to one another, around the date line, with repeated cells, and points that lie nowhere."""
+    monkeypatch.setattr(curvilinear, "BLOCK", 7)
+    monkeypatch.setattr(curvilinear, "MET", 1)
+    monkeypatch.setattr(curvilinear, "GROUP", group, raising=False)
+    rng = np.random.default_rng(6)
+    lon = rng.choice([0.0, 1e-7, 360 - 1e-7, 12.0, 12.0 + 9e-7, 12.0 + 1.8e-6], 300)
+    lat = rng.choice([10.0, 10.0 + 9e-7, 10.0 - 9e-7], 300)
+    cell = np.r_[np.arange(290), np.arange(10)]
+    rows = [(int(i), float(x), float(y)) for i, x, y in zip(cell, lon, lat, strict=True)]
+    nowhere = [(900 + k, x, y) for k, (x, y) in enumerate([(math.nan, 10.0)] * 2 + [(12.0, math.nan)] * 2 + [(None, 10.0)] * 2 + [(12.0, None)] * 2 + [(math.inf, 10.0), (12.0, math.inf)] * 2)]
+    grid = spark.createDataFrame(rows + nowhere, "cell long, lon double, lat double")
+    step = np.abs((lon[:, None] - lon + 180) % 360 - 180)
+    close = np.triu((step < 1e-6) & (np.abs(lat[:, None] - lat) < 1e-6), 1)
+    want = sorted((int(max(cell[a], cell[b])), int(min(cell[a], cell[b]))) for a, b in np.argwhere(close) if cell[a] != cell[b])
+    assert sorted(map(tuple, curvilinear.duplicates(grid).collect())) == want
+
+
 def test_stored_maps_are_dealt_by_their_links(spark, tmp_path, monkeypatch):
     """A map with more links is written and read by more tasks, whatever the session's partitions; ranges of targets stay apart."""
     monkeypatch.setattr(tables, "LINKS", 100)
